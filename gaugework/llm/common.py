@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -57,6 +58,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A space that belongs to a longer run of white space, or ends the text.
+GAP = re.compile(r" (?:\s|\Z)")
+
+
 class TokenIds:
     """Token ids of whole texts by a file of the tokenizers library, with a memo of space-delimited chunks.
 
@@ -74,13 +79,12 @@ class TokenIds:
     def chunks(self, text: str) -> list[str] | None:
         if "<|" in text:
             return None
-        parts = text.split(" ")
         if not self.keep_space:
-            return parts
-        # a chunk that is empty or starts with white space: the space before it belongs to a longer run
-        if any(not p or p[0].isspace() for p in parts[1:]):
+            return text.split(" ")
+        if GAP.search(text):
             return None
-        return [parts[0], *(" " + p for p in parts[1:])]
+        first, *rest = text.split(" ")
+        return [first, *[" " + p for p in rest]]
 
     def encode(self, batch: Iterable[str]) -> Iterator[bytes]:
         """For every text its ids as little-endian unsigned 32-bit integers."""
