@@ -26,6 +26,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.language_id import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(docs["doc_id"])))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugework.llm.simhash import simhash_components
 
