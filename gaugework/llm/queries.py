@@ -18,6 +18,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gaugework.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"), least=0.5)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
