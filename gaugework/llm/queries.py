@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from gaugework.llm.common import table
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.media import media_table
+
+    return media_table(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +38,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), least=0.5)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.fingerprints import fingerprint_table
+
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
