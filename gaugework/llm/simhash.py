@@ -59,18 +59,21 @@ def _without(value: Column, bit: Column) -> Column:
 
 
 def variants(fps: DataFrame) -> DataFrame:
-    """fp, seg, wild, key: both 32-bit segments with each bit left out in turn. key holds the segment, the bit and the rest."""
+    """fp, key: both 32-bit segments with each bit left out in turn. key holds the segment (0 or 1) and the bit above the rest."""
     halves = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), _low("low").alias("part")), F.struct(F.lit(1).alias("seg"), _low("high").alias("part")))).alias("s"))
     each = halves.select("fp", "s.seg", "s.part", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("wild"))
     place = F.call_function("shiftleft", (F.col("seg") * 32 + F.col("wild")).cast("long"), F.lit(32))
-    return each.select("fp", "seg", "wild", place.bitwiseOR(_without(F.col("part"), F.col("wild"))).alias("key"))
+    return each.select("fp", place.bitwiseOR(_without(F.col("part"), F.col("wild"))).alias("key"))
 
 
 def links(fps: DataFrame, bucket: int = 256) -> DataFrame:
     """Edges (a, b) between distinct fingerprints at 2 or fewer differing bits: every component of the full link graph is one of theirs."""
-    v = variants(fps)
-    shared = written(v.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
-    met = written(v.join(shared, "key"), "simhash-met")
+    spark = fps.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), fps.count() * 64 // 1_000_000)
+    v = variants(fps).repartition(parts, "key")  # dealt out once: the counts and the join below both read it
+    shared = v.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("shuffle_hash")
+    place = F.shiftright("key", 32)
+    met = written(v.join(shared, "key").select("fp", "key", "n", F.floor(place / 32).alias("seg"), (place % 32).cast("int").alias("wild")), "simhash-met")
     some, hot = met.where(F.col("n") <= bucket), met.where(F.col("n") > bucket)
     # segments that are equal share all 32 variants: that pair is made at the first only
     part = F.when(F.col("x.seg") == 1, F.shiftrightunsigned(F.col("x.fp").bitwiseXOR(F.col("y.fp")), 32)).otherwise(F.col("x.fp").bitwiseXOR(F.col("y.fp")).bitwiseAND(F.lit(0xFFFFFFFF)))
