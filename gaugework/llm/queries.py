@@ -16,6 +16,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_table(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.html_extraction import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

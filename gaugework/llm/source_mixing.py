@@ -115,3 +115,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     taken = held.join(times, ["src", "block"], "left").groupBy("src", "chunk", "nth", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = rows.where("size = 0").select("src", "chunk", "nth", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).join(sources, "src").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: a document is repeated as often as it is taken whole; of what
+    is left of the words taken, its beginning follows, as words between single spaces. n_chars, if there is one, follows.
+
+    Rows that share a doc_id share alike in the words taken of them all.
+    """
+    taken = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken")).withColumnsRenamed({"doc_id": "_id", "size": "_size"})
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (word_count(docs["text"]) == taken["_size"])).where("_taken > 0")
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
+    rows = rows.withColumns({"_whole": whole, "_rest": rest}).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_rest").cast("int")), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_copy") <= F.col("_whole"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
