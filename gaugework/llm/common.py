@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -58,52 +57,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A space that belongs to a longer run of white space, or ends the text.
-GAP = re.compile(r" (?:\s|\Z)")
-
-
-class TokenIds:
-    """Token ids of whole texts by a file of the tokenizers library, with a memo of space-delimited chunks.
-
-    Both vocabularies split a text before every space that a non-space follows, so the ids of a text are the ids of
-    its chunks in turn. A text for which that isn't plain (white space after a space, strings of special tokens) is
-    encoded as a whole. The memo is bounded; what it doesn't hold is encoded anew.
-    """
-
-    def __init__(self, path: str, keep_space: bool, memo: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep_space, self.limit, self.memo = Tokenizer.from_file(path), keep_space, memo, {}
-
-    def chunks(self, text: str) -> list[str] | None:
-        if "<|" in text:
-            return None
-        if not self.keep_space:
-            return text.split(" ")
-        if GAP.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
-    def encode(self, batch: Iterable[str]) -> Iterator[bytes]:
-        """For every text its ids as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
-        batch = list(batch)
-        split = [self.chunks(t) for t in batch]
-        wanted = set()
-        for parts in split:
-            if parts is not None:
-                wanted.update(parts)
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        if new := [w for w in wanted if w not in memo]:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        for text, parts in zip(batch, split, strict=True):
-            if parts is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield b"".join(map(memo.__getitem__, parts))
+def grouped(batches: Iterator, size: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
+    """Columns doc_id and text of Arrow batches, in groups of about ``size`` characters."""
+    ids, own, n = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            own.append(t)
+            n += len(t)
+            if n >= size:
+                yield ids, own
+                ids, own, n = [], [], 0
+    if ids:
+        yield ids, own

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import small_batches, texts, written
+from gaugework.llm.common import grouped, small_batches, texts, written
 from gaugework.llm.token_files import tokenizer
 
 
@@ -31,9 +31,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         encode, end = tokenizer(path, False).encode, np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for doc_ids, texts_of in grouped(batches):
             out: list[tuple] = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(doc_ids, encode(texts_of), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

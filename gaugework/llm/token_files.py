@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm import files
-from gaugework.llm.common import TokenIds, shared_dir, small_batches, texts, written
+from gaugework.llm.common import grouped, shared_dir, small_batches, texts, written
+from gaugework.llm.token_ids import TokenIds
 
 MAGIC, BLOCK = b"WVM1", 512
 
@@ -171,8 +172,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2,
             names.clear()
             return row
 
-        for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+        for doc_ids, own in grouped(batches):
+            for doc_id, ids in zip(doc_ids, encode(own), strict=True):
                 held.append(ids + end)
                 names.append(doc_id)
                 size += len(ids) // 4 + 1
