@@ -27,6 +27,13 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(own).sort_values(["ts", "seq"]) if own else pd.DataFrame({"ts": [], "seq": []})
 
 
+def _frame(**columns) -> Iterator[pd.DataFrame]:
+    """One frame of these columns, text as plain objects; none if they are empty."""
+    made = {k: pd.Series(list(v), dtype=object) if k in ("host_id", "metric", "rule_id", "state", "status", "kind") else pd.Series(v) for k, v in columns.items()}
+    if any(map(len, made.values())):
+        yield pd.DataFrame(made)
+
+
 class Liveness(StatefulProcessor):
     """offline once a host is silent for the timeout, healthy again with the next heartbeat."""
 
@@ -53,12 +60,12 @@ class Liveness(StatefulProcessor):
         self.last.update((last, offline))
         if not offline:
             self.handle.registerTimer(last + self.timeout_ms)
-        yield pd.DataFrame({"host_id": [key[0]] * len(out), "ts": pd.to_datetime([x for x, _ in out], unit="ms"), "state": [s for _, s in out]})
+        yield from _frame(host_id=[key[0]] * len(out), ts=pd.to_datetime([x for x, _ in out], unit="ms"), state=[s for _, s in out])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, _ = self.last.get()
         self.last.update((last, True))
-        yield pd.DataFrame({"host_id": [key[0]], "ts": [_time(last + self.timeout_ms)], "state": ["offline"]})
+        yield from _frame(host_id=[key[0]], ts=[_time(last + self.timeout_ms)], state=["offline"])
 
     def close(self) -> None:
         pass
@@ -94,7 +101,7 @@ class Sustained(StatefulProcessor):
         else:
             self.run.update((start, fired))
         n = len(out)
-        yield pd.DataFrame({"host_id": [key[0]] * n, "rule_id": [key[1]] * n, "ts": pd.to_datetime([x for x, _ in out], unit="ms"), "status": [s for _, s in out]})
+        yield from _frame(host_id=[key[0]] * n, rule_id=[key[1]] * n, ts=pd.to_datetime([x for x, _ in out], unit="ms"), status=[s for _, s in out])
 
     def close(self) -> None:
         pass
@@ -129,12 +136,13 @@ class TopK(StatefulProcessor):
         gone = [(h[0], v) for h, v in self.hosts.iterator() if v[0] + self.ttl_ms <= now]
         for host, _ in gone:
             self.hosts.removeKey((host,))
-        if gone:
-            yield pd.DataFrame({"metric": key[0], "kind": "expire", "rank": 0, "host_id": [h for h, _ in gone], "value": [v[1] for _, v in gone]})
+        n = len(gone)
+        yield from _frame(metric=[key[0]] * n, kind=["expire"] * n, rank=[0] * n, host_id=[h for h, _ in gone], value=[v[1] for _, v in gone])
 
     def _top(self, key) -> Iterator[pd.DataFrame]:
         best = sorted((-v[1], h[0]) for h, v in self.hosts.iterator())[: self.k]
-        yield pd.DataFrame({"metric": key[0], "kind": "update", "rank": range(1, len(best) + 1), "host_id": [h for _, h in best], "value": [-v for v, _ in best]})
+        n = len(best)
+        yield from _frame(metric=[key[0]] * n, kind=["update"] * n, rank=range(1, n + 1), host_id=[h for _, h in best], value=[-v for v, _ in best])
 
     def close(self) -> None:
         pass
@@ -173,11 +181,9 @@ class Sliding(StatefulProcessor):
                 size, resized = (new, t) if new != size else (size, resized)
         self.points.put(held)
         self.limit.update((size, resized))
-        names = ["ts", "count", "sum", "avg", "min", "max", "std_dev", "size"]
-        df = pd.DataFrame(out, columns=names)
-        df.insert(0, "host_id", key[0])
-        df.insert(1, "metric", key[1])
-        yield df
+        names = ("ts", "count", "sum", "avg", "min", "max", "std_dev", "size")
+        n = len(out)
+        yield from _frame(host_id=[key[0]] * n, metric=[key[1]] * n, **dict(zip(names, zip(*out), strict=False)))
 
     def close(self) -> None:
         pass
