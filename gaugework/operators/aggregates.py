@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,15 +45,27 @@ def positive_rate() -> Column:
     return F.when(span > 0, grown / span).otherwise(0.0)
 
 
-def aggregate(samples: DataFrame, kinds: tuple[str, ...] = ("avg", "sum", "min", "max", "count", "rate", "p95", "stddev"), metric: str | None = None, start=None, end=None, closed: str = "both", scope: str = "metric") -> DataFrame:
-    """All the kinds for every series at once (for every host, if scope is record: over all metrics of the records)."""
+def aggregate(samples: DataFrame, kinds: tuple[str, ...] = ("avg", "sum", "min", "max", "count", "rate", "p95", "stddev"), metric: str | None = None, start=None, end=None, closed: str = "both", scope: str = "metric", exact: bool = True) -> DataFrame:
+    """All the kinds for every series at once (for every host, if scope is record: over all metrics of the records).
+
+    Exact percentiles keep a group's distinct values in memory; with exact=False they are approximate and keep a summary.
+    """
     if unknown := [k for k in kinds if k not in AGGREGATORS and k != "rate" and not _percent(k)]:
         raise ValueError(f"unknown aggregates: {', '.join(unknown)}")
     rows = time_range(samples, start, end, closed)
     rows = rows if metric is None else metric_filter(rows, metric, scope=scope)
     keys = SERIES if scope == "metric" else ("host_id",)
     rows = with_deltas(rows, keys) if "rate" in kinds else rows
-    made = [positive_rate() if k == "rate" else AGGREGATORS[k](F.col("value")) if k in AGGREGATORS else F.percentile("value", F.lit(_percent(k) / 100)) for k in kinds]
+
+    def of(kind: str) -> Column:
+        if kind == "rate":
+            return positive_rate()
+        if kind in AGGREGATORS and (exact or _percent(kind) is None):
+            return AGGREGATORS[kind](F.col("value"))
+        share = F.lit(_percent(kind) / 100)
+        return F.percentile("value", share) if exact else F.percentile_approx("value", share, 10_000)
+
+    made = [of(k) for k in kinds]
     return rows.groupBy(*keys).agg(*(c.alias(k) for c, k in zip(made, kinds, strict=True)))
 
 
@@ -156,10 +169,9 @@ def topk_stats(samples: DataFrame, as_of, k: int = 10, ttl_s: int = 3600) -> Dat
 def membership(candidates: DataFrame, members: DataFrame, key: str, bits: int = 1_000_000, hashes: int = 7) -> DataFrame:
     """Each candidate with an exact flag; fp_estimate is what a Bloom filter of that size would err by."""
     own = members.select(key).distinct()
-    n = own.agg(F.count("*").alias("n"))
+    n = own.count()
     flagged = candidates.join(own.withColumn("_in", F.lit(True)), key, "left").withColumn("found", F.coalesce("_in", F.lit(False))).drop("_in")
-    rate = F.pow(1 - F.exp(-hashes * F.col("n") / bits), F.lit(float(hashes)))
-    return flagged.join(F.broadcast(n.select(rate.alias("fp_estimate"))))  # one row
+    return flagged.withColumn("fp_estimate", F.lit((1 - math.exp(-hashes * n / bits)) ** hashes))
 
 
 def rule_stats(rules: DataFrame) -> DataFrame:

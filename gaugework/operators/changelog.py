@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def fold_changelog(log: DataFrame) -> DataFrame:
     """``log``: idx, key, op (SET, DELETE, UPDATE, INCREMENT, EXPIRE), value. key and value of all keys that are there at the end.
 
-    Only what follows a key's last SET, DELETE or EXPIRE matters, so that alone is gathered and folded in order.
+    A key is there if its last SET, DELETE or EXPIRE is a SET. From then on it stays, so the last SET or UPDATE gives a
+    value, and the INCREMENTs after it add to that. All of this is aggregates, however many commands a key has.
     """
-    w = Window.partitionBy("key")
-    reset = F.when(F.col("op").isin("SET", "DELETE", "EXPIRE"), F.col("idx"))
-    tail = log.withColumn("_from", F.max(reset).over(w)).where(F.col("idx") >= F.col("_from"))
-    ops = tail.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", "op", "value"))).alias("ops"))
-
-    def step(now, x):
-        op = x["op"]
-        return (
-            F.when(op == "SET", x["value"])
-            .when(op.isin("DELETE", "EXPIRE"), F.lit(None).cast("long"))
-            .when((op == "UPDATE") & now.isNotNull(), x["value"])
-            .when((op == "INCREMENT") & now.isNotNull(), now + x["value"])
-            .otherwise(now)
-        )
-
-    return ops.select("key", F.aggregate("ops", F.lit(None).cast("long"), step).alias("value")).where("value is not null")
+    idx, op = F.col("idx"), F.col("op")
+    reset = op.isin("SET", "DELETE", "EXPIRE")
+    last = log.groupBy("key").agg(F.max(F.when(reset, idx)).alias("since"), F.max_by(F.when(reset, op), F.when(reset, idx)).alias("how"))
+    there = last.where("how = 'SET'").select("key", "since")
+    given = log.where(op.isin("SET", "UPDATE")).join(there, "key").where("idx >= since").groupBy("key")
+    given = given.agg(F.max("idx").alias("at"), F.max_by("value", "idx").alias("base"))
+    added = log.where(op == "INCREMENT").join(given.select("key", "at"), "key").where("idx > at").groupBy("key").agg(F.sum("value").alias("more"))
+    return given.join(added, "key", "left").select("key", (F.col("base") + F.coalesce("more", F.lit(0))).alias("value"))
 
 
 def log_compaction(log: DataFrame, snapshot_idx: int) -> DataFrame:

@@ -12,11 +12,14 @@ from gaugework.operators.windows import latest
 def topk_hosts(samples: DataFrame, k: int = 10, ttl_s: int = 3600, as_of=None) -> DataFrame:
     """metric, rank, host_id, value: by value, then by host. One row a host reaches the ranking. as_of: the last sample's time."""
     last = latest(time_range(samples, end=as_of))
-    now = F.lit(as_of) if as_of is not None else F.max("ts").over(Window.partitionBy("metric"))
-    live = last.withColumn("now", now).where(F.col("ts") >= F.col("now") - F.make_dt_interval(secs=F.lit(ttl_s)))
+    if as_of is None:
+        last = last.join(samples.groupBy("metric").agg(F.max("ts").alias("now")), "metric")
+    else:
+        last = last.withColumn("now", F.lit(as_of))
+    live = last.where(F.col("ts") >= F.col("now") - F.make_dt_interval(secs=F.lit(ttl_s)))
     w = Window.partitionBy("metric").orderBy(F.desc("value"), "host_id")
-    ranked = live.withColumn("rank", F.row_number().over(w).cast("long"))
-    return ranked.where(F.col("rank") <= k).select("metric", "rank", "host_id", "value")
+    top = live.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # the bare number: Spark then cuts to k before it shuffles
+    return top.select("metric", F.col("rank").cast("long").alias("rank"), "host_id", "value")
 
 
 def topk_in_range(samples: DataFrame, start, end, k: int = 10, ttl_s: int = 3600) -> DataFrame:
