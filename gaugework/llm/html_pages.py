@@ -127,7 +127,7 @@ if __name__ == "__main__":
 
     from gaugework.llm.html_model import WEIGHTS, Labeller
 
-    model = Labeller.fresh().fit([labelled(k) for k in range(4000)])
+    model = Labeller.fresh().fit([labelled(k) for k in [*range(10_000), *range(20_000, 22_000)]])
     tests = [labelled(k) for k in range(10_000, 10_600)]
     got = model.main_blocks([p for p, _ in tests])
     right = sum(a == b for g, (_, y) in zip(got, tests, strict=True) for a, b in zip(g, y, strict=True))
