@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import small_batches, written
+from gaugework.llm.common import give_back, small_batches, written
 
 PIECE, WORD_BITS = 1 << 19, 60
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -173,6 +173,7 @@ def fit(docs: DataFrame, rows: int = 2000, orders: tuple[int, ...] = (3, 4), bit
                     for n in orders:
                         h, c = np.unique(grams(now, n)[0], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "order", "gram", "n"])
+        give_back()
 
     found = chosen.select("lang", "text").mapInArrow(count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     found = written(found, "language-grams")
@@ -212,6 +213,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
         for b in batches:
             found = held.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -227,5 +229,6 @@ def drop_unidentified(docs: DataFrame, model: LanguageFilter, least_score: float
         for b in batches:
             found = held.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= least_score for x, s in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gaugework.llm.common import small_batches, texts
+from gaugework.llm.common import give_back, small_batches, texts
 from gaugework.llm.spans import Span, joined, overlaps, replaced, sha256
 
 #: The kinds in their order, and the pattern of each.
@@ -134,5 +134,6 @@ def redact_secrets(docs: DataFrame, path: str, mark: str = "[SECRET]") -> DataFr
                 sizes = [n if x == y else len(y) for n, x, y in zip(columns[n_chars].to_pylist(), old, new, strict=True)]
                 columns[n_chars] = pa.array(sizes, b.schema.field(n_chars).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import small_batches, texts, written
+from gaugework.llm.common import give_back, small_batches, texts, written
 
 
 def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
         for b in batches:
             fps = [fingerprint_of(t, words, seed) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        give_back()
 
     return texts(docs, "doc_id").mapInArrow(run, "doc_id long, fp long")
 

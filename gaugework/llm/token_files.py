@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm import files
-from gaugework.llm.common import grouped, shared_dir, small_batches, texts, written
+from gaugework.llm.common import give_back, grouped, shared_dir, small_batches, texts, written
 from gaugework.llm.token_ids import TokenIds
 
 MAGIC, BLOCK = b"WVM1", 512
@@ -181,6 +181,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2,
                     yield put()
         if held:
             yield put()
+        give_back()
 
     rows = texts(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(rows.mapInArrow(run, "part long, shard long, name string, start long, n_tokens long"), "token-shards")
