@@ -16,8 +16,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import word_count, written
+from gaugework.llm.common import WORD, word_count, written
 
+SPACE = r"[\x20\x09-\x0D]"
 #: Documents of a source whose running sums one window holds; chunks of a run that the next window holds.
 CHUNK_DOCS, RUN_CHUNKS = 256, 1024
 
@@ -52,10 +53,13 @@ def permuted(i: Column, n: Column, *keys: Column, rounds: int = 10) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i, swap)
 
 
-def placed(sized: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
-    """Documents with the place of their first word among all words of their source: sums in chunks, runs of chunks, and runs."""
+def placed(sized: DataFrame, sources: DataFrame, n_docs: int, *keys: str) -> DataFrame:
+    """Documents with the place of their first word among all words of their source: sums in chunks, runs of chunks, and runs.
+
+    keys: columns that go along and order rows of the same doc_id and size.
+    """
     chunks = n_docs // CHUNK_DOCS + 1
-    rows = sized.join(sources.select("src", "source"), sized["source"].eqNullSafe(sources["source"])).select("src", "doc_id", "size")
+    rows = sized.join(sources.select("src", "source"), sized["source"].eqNullSafe(sources["source"])).select("src", "doc_id", "size", *keys)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).withColumn("run", F.floor(F.col("chunk") / RUN_CHUNKS))
     back = (Window.unboundedPreceding, -1)
 
@@ -67,9 +71,9 @@ def placed(sized: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
     by_run = by_run.select("src", "run", before("n", ["src"], "run").alias("run_start"))
     by_chunk = by_chunk.select("src", "run", "chunk", before("n", ["src", "run"], "chunk").alias("chunk_start"))
     starts = by_chunk.join(by_run, ["src", "run"]).select("src", "chunk", (F.col("chunk_start") + F.col("run_start")).alias("base"))
-    one = Window.partitionBy("src", "chunk").orderBy("doc_id", "size")
+    one = Window.partitionBy("src", "chunk").orderBy("doc_id", "size", *keys)
     rows = rows.withColumn("nth", F.row_number().over(one)).withColumn("start", F.coalesce(F.sum("size").over(one.rowsBetween(*back)), F.lit(0)))
-    return rows.join(starts, ["src", "chunk"]).withColumn("start", F.col("start") + F.col("base")).select("src", "chunk", "nth", "doc_id", "size", "start")
+    return rows.join(starts, ["src", "chunk"]).withColumn("start", F.col("start") + F.col("base")).select("src", "chunk", "nth", "doc_id", "size", "start", *keys)
 
 
 def slot_counts(plan: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -90,13 +94,8 @@ def slot_counts(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     return counts.withColumn("first", F.coalesce(F.sum("n").over(in_turn), F.lit(0)))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 32, slots_per_shard: int = 4096, seed: int = 20) -> DataFrame:
-    """doc_id, size, source_size, target and taken (the words that the mix takes of this document, repeats counted).
-
-    No block is taken more than ``cap`` times, so no document exceeds ``cap`` times its size; a draw beyond that, which
-    only a source at its cap can meet, takes nothing. Up to 3e9 blocks a source.
-    """
-    sized = written(docs.select("doc_id", "source", word_count(docs["text"]).alias("size")), "mix-sized")
+def drawn(sized: DataFrame, weights: tuple[int, ...], cap: int, share: float, block_words: int, slots_per_shard: int, seed: int, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources, the rows in their places, and each row's blocks with their words and times (null: not drawn)."""
     n_docs, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     sources = written(source_targets(sized, weights, cap, share), "mix-sources")
     shards = max(1, math.ceil(share * words / block_words / slots_per_shard))
@@ -107,29 +106,43 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     slots = slots.select("src", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")).where(F.col("slot") < cap * F.col("blocks"))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("src"), F.floor(F.col("slot") / F.col("blocks")))
     times = slots.select("src", block.alias("block")).groupBy("src", "block").agg(F.count("*").alias("times"))
-    rows = placed(sized, sources, n_docs)
+    rows = placed(sized, sources, n_docs, *keys)
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
     held = rows.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block_words), last)).alias("block"))
     words_in = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    held = held.select("src", "chunk", "nth", "doc_id", "size", "block", words_in.alias("words"))
-    taken = held.join(times, ["src", "block"], "left").groupBy("src", "chunk", "nth", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    held = held.select("src", "chunk", "nth", "doc_id", "size", "start", *keys, "block", words_in.alias("words"))
+    return sources, rows, held.join(times, ["src", "block"], "left")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 32, slots_per_shard: int = 4096, seed: int = 20) -> DataFrame:
+    """doc_id, size, source_size, target and taken (the words that the mix takes of this document, repeats counted).
+
+    No block is taken more than ``cap`` times, so no document exceeds ``cap`` times its size; a draw beyond that, which
+    only a source at its cap can meet, takes nothing. Up to 3e9 blocks a source.
+    """
+    sized = written(docs.select("doc_id", "source", word_count(docs["text"]).alias("size")), "mix-sized")
+    sources, rows, held = drawn(sized, weights, cap, share, block_words, slots_per_shard, seed)
+    taken = held.groupBy("src", "chunk", "nth", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = rows.where("size = 0").select("src", "chunk", "nth", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).join(sources, "src").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: a document is repeated as often as it is taken whole; of what
-    is left of the words taken, its beginning follows, as words between single spaces. n_chars, if there is one, follows.
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 32, slots_per_shard: int = 4096, seed: int = 20) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: copy c of a document has the blocks that are drawn c times or
+    more, in their order and with the white space behind their words; n_chars, if there is one, follows.
 
-    Rows that share a doc_id share alike in the words taken of them all.
+    A copy with every block is the document as it is. Rows are drawn each for itself, also where they share a doc_id.
     """
-    taken = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken")).withColumnsRenamed({"doc_id": "_id", "size": "_size"})
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (word_count(docs["text"]) == taken["_size"])).where("_taken > 0")
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    rows = rows.withColumns({"_whole": whole, "_rest": rest}).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_rest").cast("int")), " "))
-    rows = rows.withColumn("text", text)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    sized = written(rows.select("doc_id", "source", word_count(rows["text"]).alias("size"), F.xxhash64(*docs.columns).alias("_hash"), "_row"), "mix-sized")
+    _, _, held = drawn(sized, weights, cap, share, block_words, slots_per_shard, seed, "_hash", "_row")
+    each = held.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("times", F.lit(0)).alias("times")))).alias("blocks"), F.min(F.col("start") % block_words).alias("_skip"))
+    each = each.select("_row", "_skip", F.col("blocks.times").alias("_times")).withColumns({"_least": F.array_min("_times"), "_most": F.array_max("_times")}).where("_most > 0")
+    rows = rows.join(written(each, "mix-drawn"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_most")))
+    words = F.regexp_extract_all("text", F.lit(rf"(?:\A{SPACE}+)?{WORD}{SPACE}*"), F.lit(0))
+    is_drawn = lambda _, i: F.get("_times", F.floor((F.col("_skip") + i) / block_words).cast("int")) >= F.col("_copy")
+    whole = F.col("_copy") <= F.col("_least")
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.filter(words, is_drawn), "")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_copy") <= F.col("_whole"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
