@@ -222,7 +222,8 @@ def near_links(rows: DataFrame, words: int, least: float, bucket: int) -> DataFr
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 6, bucket: int = 256) -> DataFrame:
     """The documents without near-duplicates: of each group of near copies (Jaccard similarity of ``words``-word shingles
-    at ``least`` or more, in a chain) the one with the smallest doc_id stays (of repeated rows, one).
+    at ``least`` or more, in a chain) one row stays: by the smallest doc_id, null last, then by a hash of the text.
+    Rows of one doc_id with different texts all stay.
 
     A 64-bit fingerprint is too short for this: at 0.8 about ten bits differ. Min-hash bands propose the pairs (24 of 6
     values: 99.9 % of the pairs at 0.8, by the formula), the texts confirm them.
@@ -230,6 +231,6 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 2
     rows = written(near_rows(docs.withColumn("_row", F.monotonically_increasing_id()), words, bands, band_rows), "near-rows")
     roots = components(near_links(rows, words, least, bucket)).select(F.col("node").alias("_node"), "root")
     of = rows.join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    kept = of.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    only = rows.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return only.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns), "_row")
+    kept = of.groupBy("root").agg(F.min(order).alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
