@@ -2,7 +2,8 @@
 
 A public byte-pair vocabulary covers words and names with few tokens, random strings with many: a run of key characters
 with few characters a token is taken for a secret, after known digests (hex of a digest's length, UUIDs) and
-identifiers (parts that are plain words or short numbers, numbers alone) are excluded. Pattern matches always stay.
+identifiers (parts that are plain words or short numbers, numbers alone) are excluded. A part of an identifier that is
+as long as a run must itself have many characters a token, else it is no word. Pattern matches always stay.
 
 Edge cases: a null text is an empty one; texts of any length are read whole; repeated rows each get a row; an empty
 table gives an empty result; other columns are ignored (kept by redact_secrets).
@@ -33,6 +34,7 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+SEPARATORS = re.compile(r"[+/_=-]+")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
 
 
@@ -71,26 +73,31 @@ def vocabulary(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_digest(run: str) -> bool:
+    return bool(UUID.fullmatch(run) or (DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS))
+
+
 def is_known(run: str) -> bool:
     """Digests and identifiers, which are no secrets."""
-    if UUID.fullmatch(run) or (DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS):
+    if is_digest(run):
         return True
     letters, digits = any(c.isalpha() for c in run), any(c.isdigit() for c in run)
     if not (letters and digits):
         return True
-    parts = [p for p in re.split(r"[+/_=-]+", run) if p]
+    parts = [p for p in SEPARATORS.split(run) if p]
     # an identifier: words of some length, with short numbers at most
     return all(PART.fullmatch(p) or (p.isalnum() and all(len(x) > 2 or x.isdigit() for x in PART.findall(p)) and "".join(PART.findall(p)) == p) for p in parts)
 
 
-def random_spans(text: str, base: list[Span], path: str, most: float = 2.2) -> list[Span]:
-    """Runs of key characters with ``most`` or fewer characters a token."""
+def random_spans(text: str, base: list[Span], path: str, most: float = 2.2, most_word: float = 2.1) -> list[Span]:
+    """Runs of key characters with ``most`` or fewer characters a token; of identifiers, with a part of 20 or more characters at ``most_word`` or fewer."""
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or is_known(run) or overlaps(base, *m.span()):
+        if is_digest(run) or overlaps(base, *m.span()):
             continue
-        if len(run) <= most * len(vocabulary(path).encode_ordinary(run)):
+        parts, limit = ([p for p in SEPARATORS.split(run) if len(p) >= 20 and not p.isdigit()], most_word) if is_known(run) else ([run], most)
+        if any(len(p) <= limit * len(vocabulary(path).encode_ordinary(p)) for p in parts):
             found.append(("random", *m.span()))
     return found
 
