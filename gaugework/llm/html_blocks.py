@@ -10,6 +10,10 @@ from typing import NamedTuple
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head title template noscript iframe object svg textarea select".split())
+#: Of these the content is no markup: without an end tag they reach to the end of the page, as in browsers.
+RAW = frozenset("script style title textarea iframe".split())
+#: What can stand in a head; any other start tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: An open element of the key ends where a start tag named in the value comes.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 TAG = re.compile(
@@ -23,6 +27,10 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 NAME = re.compile(r"[a-z]+")
 
 
+def ends(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>?", re.IGNORECASE)
+
+
 class Block(NamedTuple):
     text: str
     path: tuple[str, ...]  # of each open element its name and the words of its class, id and role, outermost first
@@ -34,12 +42,32 @@ def element(tag: str, attributes: str) -> str:
     return " ".join([tag, *words])
 
 
+def head_end(html: str, at: int) -> int:
+    """Where a head's content ends: behind </head>, or before the first tag or text that cannot stand in a head."""
+    while m := TAG.search(html, at):
+        if html[at : m.start()].strip():
+            return at
+        end, tag = (m[1], m[2]) if m[2] else (m[4], m[5])
+        tag = (tag or "").lower()
+        if end and tag in ("head", "body", "html"):
+            return m.end() if tag == "head" else m.start()
+        if tag and not end and tag not in IN_HEAD and tag != "head":
+            return m.start()
+        at = m.end()
+        if not end and tag in HIDDEN and (over := ends(tag).search(html, at)):
+            at = over.end()
+        elif not end and tag in RAW:
+            return len(html)
+    return at
+
+
 def blocks(html: str) -> list[Block]:
     """All blocks with text: character references decoded, white space as one space, trimmed."""
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = links = at = 0
+    missing: set[str] = set()  # hidden elements of which no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -78,9 +106,14 @@ def blocks(html: str) -> list[Block]:
                 flush()
             continue
         if tag in HIDDEN:
-            if not attributes.endswith("/"):
-                over = re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>?", re.IGNORECASE).search(html, at)
-                at = over.end() if over else len(html)
+            if tag == "head":
+                at = head_end(html, at)
+            elif not attributes.endswith("/"):
+                if tag not in missing and (over := ends(tag).search(html, at)):
+                    at = over.end()
+                else:
+                    missing.add(tag)
+                    at = len(html) if tag in RAW else at
             continue
         if tag == "br":
             parts.append(" ")
