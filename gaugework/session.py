@@ -21,12 +21,24 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
-def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder name that driver and executors share: in spark.checkpoint.dir, or, where that isn't set (a local run), in one of our own."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it isn't set in a local run, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-gaugework-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return root
+
+
+def work_dir(spark: SparkSession, tag: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
