@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 from typing import NamedTuple
 
@@ -25,17 +26,60 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
-
-
 def ends(tag: str) -> re.Pattern:
     return re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>?", re.IGNORECASE)
 
 
+class Element:
+    """An open element: its name and the words of its class, id and role, in one string, and the element around it."""
+
+    __slots__ = ("parent", "label", "tag", "depth")
+
+    def __init__(self, parent: Element | None, label: str):
+        self.parent, self.label, self.tag = parent, label, label.split(" ", 1)[0]
+        self.depth = parent.depth + 1 if parent else 1
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # of each open element its name and the words of its class, id and role, outermost first
+    inside: Element | None  # the innermost open element
     linked: int  # characters in links
 
+    def path(self, most: int) -> tuple[str, ...]:
+        """The labels of the innermost open elements, ``most`` at most, from the outer to the inner."""
+        out, e = [], self.inside
+        while e and len(out) < most:
+            out.append(e.label)
+            e = e.parent
+        return tuple(reversed(out))
+
+
+class Stack:
+    """The open elements, with the places of each tag: what a tag costs doesn't depend on the depth."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def top(self) -> Element | None:
+        return self.open[-1] if self.open else None
+
+    def last(self, *tags: str) -> int:
+        k = -1
+        for t in tags:
+            if (own := self.at[t]) and own[-1] > k:
+                k = own[-1]
+        return k
+
+    def push(self, label: str) -> None:
+        e = Element(self.top(), label)
+        self.at[e.tag].append(len(self.open))
+        self.open.append(e)
+
+    def close(self, k: int) -> None:
+        while len(self.open) > k:
+            self.at[self.open.pop().tag].pop()
+
 
 def element(tag: str, attributes: str) -> str:
     words = [w for m in ATTRIBUTE.finditer(attributes) for w in NAME.findall((m[2] or m[3] or m[4] or "").lower())]
@@ -44,6 +88,7 @@ def element(tag: str, attributes: str) -> str:
 
 def head_end(html: str, at: int) -> int:
     """Where a head's content ends: behind </head>, or before the first tag or text that cannot stand in a head."""
+    missing: set[str] = set()
     while m := TAG.search(html, at):
         if html[at : m.start()].strip():
             return at
@@ -54,42 +99,36 @@ def head_end(html: str, at: int) -> int:
         if tag and not end and tag not in IN_HEAD and tag != "head":
             return m.start()
         at = m.end()
-        if not end and tag in HIDDEN and (over := ends(tag).search(html, at)):
+        if not end and tag in HIDDEN and tag not in missing and (over := ends(tag).search(html, at)):
             at = over.end()
         elif not end and tag in RAW:
             return len(html)
+        elif not end and tag in HIDDEN:
+            missing.add(tag)
     return at
 
 
 def blocks(html: str) -> list[Block]:
     """All blocks with text: character references decoded, white space as one space, trimmed."""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = Stack()
     parts: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
     missing: set[str] = set()  # hidden elements of which no end tag follows
 
     def flush() -> None:
         nonlocal linked
         if text := " ".join("".join(parts).split()):
-            found.append(Block(text, tuple(e for _, e in stack), min(linked, len(text))))
+            found.append(Block(text, stack.top(), min(linked, len(text))))
         parts.clear()
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[k:])
-        del stack[k:]
-
-    def last(*tags: str) -> int:
-        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in tags), -1)
-
     while True:
         m = TAG.search(html, at)
         if own := html[at : m.start() if m else len(html)]:
             own = unescape(own)
             parts.append(own)
-            linked += len(own) if links else 0
+            linked += len(own) if stack.at["a"] else 0
         if not m:
             break
         at = m.end()
@@ -98,10 +137,10 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = tag.lower()
         if end:
-            if (k := last(tag)) >= 0:
+            if (k := stack.last(tag)) >= 0:
                 if tag not in INLINE:
                     flush()
-                close(k)
+                stack.close(k)
             elif tag == "p":
                 flush()
             continue
@@ -120,13 +159,12 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if (k := last("p")) >= 0 and not any(t in ("table", "button", "td", "th") for t, _ in stack[k:]):
-                close(k)
+            if (k := stack.last("p")) >= 0 and stack.last("table", "button", "td", "th") < k:
+                stack.close(k)
             for inner, by in CLOSED_BY.items():
-                if tag in by and (k := last(inner, "ul", "ol", "dl", "table")) >= 0 and stack[k][0] == inner:
-                    close(k)
+                if tag in by and (k := stack.last(inner, "ul", "ol", "dl", "table")) >= 0 and stack.open[k].tag == inner:
+                    stack.close(k)
         if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE):
-            stack.append((tag, element(tag, attributes)))
-            links += tag == "a"
+            stack.push(element(tag, attributes))
     flush()
     return found

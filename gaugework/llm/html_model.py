@@ -17,6 +17,8 @@ import numpy as np
 from gaugework.llm.html_blocks import Block
 
 PATHS, WORD_BITS, EMBED, HIDDEN, MEASURES = 512, 9, 16, 24, 9
+#: Of so many open elements around a block, the innermost, the names are read.
+NEAR = 64
 WORDS = 1 << WORD_BITS
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(64)], np.uint64)
@@ -24,7 +26,7 @@ WEIGHTS = os.path.join(os.path.dirname(__file__), "block_labeller.npz")
 HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(20_000)
 def path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
     """Buckets of every element's name, of its class words, and of each pair of an element and its parent."""
     names, before = [], ""
@@ -35,8 +37,8 @@ def path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode()) % PATHS for n in dict.fromkeys(names))
 
 
-def word_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For every text of words between single spaces, its number of words and the share of them in each bucket."""
+def word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words of texts of words between single spaces the bucket, and the first word of each text."""
     codes = np.frombuffer("\n".join(texts).lower().encode(), np.uint8)
     gap = (codes == 32) | (codes == 10)
     starts = np.append(0, np.flatnonzero(gap) + 1)
@@ -44,26 +46,33 @@ def word_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     term = (codes.astype(np.uint64) + np.uint64(1)) * POWERS[place & 63]
     term[gap] = 0
     bucket = (np.add.reduceat(term, starts) * MIX >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    owner = np.append(0, np.cumsum(codes[starts[1:] - 1] == 10))
-    n = np.bincount(owner, minlength=len(texts))
-    bags = np.bincount(owner * WORDS + bucket, minlength=len(texts) * WORDS).reshape(-1, WORDS)
-    return n, bags / n[:, None]
+    return bucket, np.flatnonzero(np.append(True, codes[starts[1:] - 1] == 10))
+
+
+def measures(page: list[Block], words: np.ndarray) -> np.ndarray:
+    """Nine measures of each block: size, words, links, marks, heading or not, place in the page, depth."""
+    total, rows = len(page), []
+    for i, (b, n) in enumerate(zip(page, words.tolist(), strict=True)):
+        size, e = len(b.text), b.inside
+        marks = sum(map(b.text.count, ".,;:!?"))
+        depth = e.depth if e else 0
+        rows.append((math.log1p(size) / 8, math.log1p(n) / 6, b.linked / size, marks / n, size / n / 10, bool(e) and e.tag in HEADINGS, i / total, 1 - i / total, depth / 10))
+    return np.array(rows, np.float32).reshape(total, MEASURES)
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """A row for each block: path bag, word bag (each of length 1), measures."""
+    """A row for each block: path bag, word bag (each of length 1), measures. For training; embedded() has no such rows."""
     out = np.zeros((len(page), PATHS + WORDS + MEASURES), np.float32)
-    total = len(page)
-    if not total:
+    if not page:
         return out
-    words, out[:, PATHS : PATHS + WORDS] = word_bags([b.text for b in page])
-    for i, (b, n) in enumerate(zip(page, words.tolist(), strict=True)):
-        buckets = path_buckets(b.path)
+    bucket, first = word_buckets([b.text for b in page])
+    n = np.diff(np.append(first, len(bucket)))
+    np.add.at(out, (np.repeat(np.arange(len(page)), n), PATHS + bucket), 1)
+    out[:, PATHS : PATHS + WORDS] /= n[:, None]
+    for i, b in enumerate(page):
+        buckets = path_buckets(b.path(NEAR))
         out[i, list(buckets)] = 1 / max(1, len(buckets)) ** 0.5
-        size = len(b.text)
-        marks = sum(map(b.text.count, ".,;:!?"))
-        tag = b.path[-1].split(" ", 1)[0] if b.path else ""
-        out[i, PATHS + WORDS :] = (math.log1p(size) / 8, math.log1p(n) / 6, b.linked / size, marks / n, size / n / 10, tag in HEADINGS, i / total, 1 - i / total, len(b.path) / 10)
+    out[:, PATHS + WORDS :] = measures(page, n)
     return out
 
 
@@ -76,6 +85,7 @@ class Labeller:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
+        self.paths: dict[tuple[str, ...], np.ndarray] = {}  # embeddings of paths met before, for labelling
 
     @classmethod
     def fresh(cls, seed: int = 7) -> Labeller:
@@ -143,6 +153,59 @@ class Labeller:
         grad["ep"], grad["ew"] = flat[:, :PATHS].T @ d_e[:, :EMBED], flat[:, PATHS : PATHS + WORDS].T @ d_e[:, EMBED : 2 * EMBED]
         return grad
 
+    def embedded(self, page: list[Block]) -> np.ndarray:
+        """What enters the recurrent layers for each block: both bags' embeddings and the measures."""
+        out, ep = np.zeros((len(page), 2 * EMBED + MEASURES), np.float32), self.w["ep"]
+        bucket, first = word_buckets([b.text for b in page])
+        n = np.diff(np.append(first, len(bucket)))
+        for at in range(0, len(page), 1024):  # the words of so many blocks at once
+            size = n[at : at + 1024]
+            own = bucket[first[at] : first[at] + size.sum()]
+            bags = np.bincount(np.repeat(np.arange(len(size)) * WORDS, size) + own, minlength=len(size) * WORDS).reshape(-1, WORDS)
+            out[at : at + 1024, EMBED : 2 * EMBED] = bags.astype(np.float32) @ self.w["ew"] / size[:, None]
+        table, numbers, of = [], [], {}
+        if len(self.paths) > 20_000:
+            self.paths.clear()
+        for b in page:
+            if (k := of.get(b.inside)) is None:
+                path, k = b.path(NEAR), len(table)
+                of[b.inside] = k
+                if path not in self.paths:
+                    buckets = path_buckets(path)
+                    self.paths[path] = ep[list(set(buckets))].sum(0) / max(1, len(buckets)) ** 0.5
+                table.append(self.paths[path])
+            numbers.append(k)
+        out[:, :EMBED] = np.array(table)[numbers]
+        out[:, 2 * EMBED :] = measures(page, n)
+        return out
+
+    def odds(self, pages: list[np.ndarray], chunk: int = 1024) -> list[np.ndarray]:
+        """Log-odds of every block of embedded pages. Both directions go step by step together, the backward one from each
+        page's own end; what a step needs of the input is made for ``chunk`` steps at a time, and no trace is kept."""
+        w, n, steps = self.w, len(pages), max(map(len, pages))
+        both = np.zeros((2, steps, n, 2 * EMBED + MEASURES), np.float32)
+        for i, p in enumerate(pages):
+            both[0, : len(p), i], both[1, : len(p), i] = p, p[::-1]
+        pair = lambda k: np.stack([w[k + "f"], w[k + "b"]])
+        wx, u, bias = pair("w"), pair("u"), pair("b")[:, None]
+        o = w["o"].reshape(2, HIDDEN)
+        h = c = np.zeros((2, n, HIDDEN), np.float32)
+        out = np.empty((2, steps, n), np.float32)
+        for at in range(0, steps, chunk):
+            now = both[:, at : at + chunk].reshape(2, -1, both.shape[-1])
+            gates = np.matmul(now, wx)
+            gates += bias
+            gates = gates.reshape(2, -1, n, 4 * HIDDEN)
+            held = np.empty((2, gates.shape[1], n, HIDDEN), np.float32)
+            for t in range(gates.shape[1]):
+                z = np.matmul(h, u)
+                z += gates[:, t]
+                s = sigmoid(z[..., : 3 * HIDDEN])
+                c = s[..., HIDDEN : 2 * HIDDEN] * c + s[..., :HIDDEN] * np.tanh(z[..., 3 * HIDDEN :])
+                h = held[:, t] = s[..., 2 * HIDDEN :] * np.tanh(c)
+            out[:, at : at + chunk] = np.matmul(held.reshape(2, -1, HIDDEN), o[:, :, None]).reshape(2, -1, n)
+        return [out[0, : len(p), i] + out[1, : len(p), i][::-1] + w["c"] for i, p in enumerate(pages)]
+
     @staticmethod
     def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         steps = max(len(p) for p in pages)
@@ -158,15 +221,15 @@ class Labeller:
         while order:
             n = max(1, cells // len(pages[order[-1]]))
             now, order = order[-n:], order[:-n]
-            odds, _ = self.forward(*self.padded([features(pages[i]) for i in now]))
-            for k, i in enumerate(now):
-                out[i] = (odds[k, : len(pages[i])] > 0).tolist()
+            for i, odds in zip(now, self.odds([self.embedded(pages[i]) for i in now]), strict=True):
+                out[i] = (odds > 0).tolist()
         return out
 
     def fit(self, pages: list[tuple[list[Block], list[bool]]], rounds: int = 6, batch: int = 24, rate: float = 4e-3, seed: int = 11) -> Labeller:
         """Adam on the cross-entropy of all blocks."""
         rng = np.random.default_rng(seed)
         rows = [(features(p), np.array(y, np.float32)) for p, y in pages if p]
+        self.paths.clear()
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         step = 0
         for turn in range(rounds):

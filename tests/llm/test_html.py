@@ -1,4 +1,7 @@
+import os
 import re
+import subprocess
+import sys
 from html import unescape
 
 import numpy as np
@@ -32,7 +35,7 @@ def test_blocks():
     found = html_blocks.blocks(page)
     assert [b.text for b in found] == ["one two three", "föur & five six A", "x", "y", "z", "tail"]
     assert [b.linked for b in found] == [0, 0, 0, 1, 0, 0]
-    assert found[4].path == ("body a b", "div it") and found[1].path == ("body a b", "p")
+    assert found[4].path(9) == ("body a b", "div it") and found[1].path(9) == ("body a b", "p") and found[1].path(1) == ("p",)
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<script>only") == []
 
 
@@ -67,3 +70,25 @@ def test_edges(spark):
     got = {(r.page_id, r.url): r for r in html_extraction.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(got) == 5 and got[1, "u"].text == got[2, None].text == "" and got[4, "u"].n_chars == 199_999
     assert html_extraction.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_deep_and_long_pages():
+    """Time and memory go with a page's size, not with its depth: in a process of its own, for its peak."""
+    code = (
+        "import resource, time; from gaugework.llm.html_extraction import main_texts\n"
+        "main_texts(['<p>x</p>'])\n"
+        "for page in ('<div>a ' * 50_000, '<p>word two</p>' * 200_000, '<head><template>' * 20_000, '<p>x<b>' * 30_000):\n"
+        "    began = time.process_time(); main_texts([page])\n"
+        "    print(time.process_time() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}).stdout
+    rows = [tuple(map(float, line.split())) for line in out.splitlines()]
+    assert len(rows) == 4 and all(s < 30 and mb < 500 for s, mb in rows), rows
+
+
+def test_labelling_equals_training_path():
+    """The forward pass by embedded rows, without padding's mask, against the one that training uses."""
+    model, pages = html_model.Labeller.load(), [html_pages.labelled(k)[0] for k in range(60_000, 60_020)]
+    dense, _ = model.forward(*model.padded([html_model.features(p) for p in pages]))
+    for own, want in zip(model.odds([model.embedded(p) for p in pages], chunk=7), dense, strict=True):
+        assert np.allclose(own, want[: len(own)], atol=1e-3)
