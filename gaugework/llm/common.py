@@ -2,42 +2,45 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.session import remove_dir, work_dir
+
 #: A word is a longest run of characters that are no space, tab, line feed, vertical tab, form feed or return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else one of our own (a local run)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-gaugework-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new name in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+#: Folders that written() has made and nobody has removed; the last one is the newest.
+MADE: list[str] = []
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them again."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, tag)
+    spark, path = df.sparkSession, work_dir(df.sparkSession, tag)
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what written() makes inside, but for the table made last: the result, which needs the others no more.
+
+    ``with scratch(spark): ...; result = written(...)``
+    """
+    first = len(MADE)
+    yield
+    gone, MADE[first:] = MADE[first:-1], MADE[-1:] if len(MADE) > first else []
+    for path in gone:
+        remove_dir(spark, path)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keeps Arrow batches of long texts small, unless the user set a size."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -65,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grouped(batches: Iterator, size: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
+def grouped(batches: Iterator, size: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
     """Columns doc_id and text of Arrow batches, in groups of about ``size`` characters."""
     ids, own, n = [], [], 0
     for b in batches:

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gaugework.llm import files
-from gaugework.llm.common import shared_dir, small_batches, texts
+from gaugework.llm.common import small_batches, texts
+from gaugework.session import work_dir
 
 WIDTH, SIGNATURE = 64, b"\x89PNG\r\n\x1a\n"
 
@@ -199,6 +200,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def media_table(docs: DataFrame) -> DataFrame:
     """Stores all texts in archives in the shared folder, reads them back and computes features."""
-    folder = shared_dir(docs.sparkSession, "media")
+    folder = work_dir(docs.sparkSession, "media")
     write_archives(docs, folder)
     return media_features(read_archives(docs.sparkSession, folder))

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm import files
-from gaugework.llm.common import give_back, grouped, shared_dir, small_batches, texts, written
+from gaugework.llm.common import give_back, grouped, small_batches, texts, written
 from gaugework.llm.token_ids import TokenIds
+from gaugework.session import work_dir
 
 MAGIC, BLOCK = b"WVM1", 512
 
@@ -208,5 +209,5 @@ def read_token_files(shards: DataFrame, folder: str) -> DataFrame:
 
 def token_table(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
     """Writes the token files of all documents to the shared folder and reads them back."""
-    folder = shared_dir(docs.sparkSession, "tokens")
+    folder = work_dir(docs.sparkSession, "tokens")
     return read_token_files(write_token_files(docs, folder, path, end_id, shard_tokens), folder)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gaugework.llm import files, media
-from gaugework.llm.common import shared_dir
+from gaugework.session import work_dir
 
 SCHEMA = "doc_id long, text string, media binary, feature int"
 
@@ -47,7 +47,7 @@ def test_edges(spark):
 
 def test_ranges_and_archives(spark):
     docs = spark.range(300).selectExpr("id as doc_id", "repeat(cast(id as string), 50) as text").coalesce(2)
-    folder = shared_dir(spark, "media")
+    folder = work_dir(spark, "media")
     assert media.write_archives(docs, folder, archive_bytes=4000) == 300
     assert len(files.listed(folder, ".zip")) > 5
     for size in (500, 1 << 20):
