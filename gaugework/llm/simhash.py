@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugework.llm.common import give_back, small_batches, texts, written
+from gaugework.llm.common import give_back, scratch, small_batches, texts, written
 
 
 def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
@@ -97,31 +97,33 @@ def links(fps: DataFrame, bucket: int = 256) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that it reaches) of every node that an edge (a, b) names: large and small stars in turn."""
     spark = edges.sparkSession
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
-    before = None
-    while (state := now.agg(mark).first()[0]) != before and state[0]:
-        before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.unionByName(now.select("b", "b").distinct().toDF("node", "root")) if before else spark.createDataFrame([], "node long, root long")
+    with scratch(spark):
+        now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
+        before = None
+        while (state := now.agg(mark).first()[0]) != before and state[0]:
+            before = state
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = written(large, "large")
+            least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+            now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return written(nodes.unionByName(now.select("b", "b").distinct().toDF("node", "root")), "components")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42, bucket: int = 256) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach, itself included)."""
     rows = written(fingerprints(docs, words, seed), "simhash-rows")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-fps")
-    roots = components(links(fps.select("fp"), bucket))
-    of = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    of = written(of, "simhash-of")
-    least = of.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    ids = written(of.join(least, "root").select("fp", "component_id"), "simhash-ids")
+    with scratch(docs.sparkSession):
+        fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-fps")
+        roots = components(links(fps.select("fp"), bucket))
+        of = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+        of = written(of, "simhash-of")
+        least = of.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+        ids = written(of.join(least, "root").select("fp", "component_id"), "simhash-ids")
     return rows.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -132,7 +134,8 @@ def shingles(text: str, words: int = 5) -> set[bytes]:
 
 
 def near_rows(docs: DataFrame, words: int, bands: int, band_rows: int, seed: int = 42) -> DataFrame:
-    """The documents with _node (a hash of the set of shingles), _n (its size) and _bands (a hash of each band of its min-hashes)."""
+    """doc (the document's columns), row (a number), node (a hash of its set of shingles), n (the set's size), bands (a hash
+    of each band of its min-hashes) and mins (the low 16 bits of every min-hash)."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -140,29 +143,48 @@ def near_rows(docs: DataFrame, words: int, bands: int, band_rows: int, seed: int
         import numpy as np
         import xxhash
 
-        factors = np.random.default_rng(seed).integers(0, 1 << 64, bands * band_rows, np.uint64) | np.uint64(1)
+        factors = np.random.default_rng(seed).integers(0, 1 << 32, bands * band_rows, np.uint32) | np.uint32(1)
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            nodes, sizes, keys = [], [], []
-            for t in b.column(at).to_pylist():
+            nodes, sizes, keys, mins = [], [], [], []
+            for t in b.column(0).field(at).to_pylist():
                 h = np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles(t or "", words)], "<u8"))
-                least = np.full(bands * band_rows, (1 << 64) - 1, "<u8")
-                for k in range(0, len(h), 2048):
-                    np.minimum(least, (h[k : k + 2048, None] * factors).min(0), out=least)
+                g, least = (h ^ (h >> np.uint64(32))).astype("<u4"), np.full(bands * band_rows, (1 << 32) - 1, "<u4")
+                for k in range(0, len(g), 1024):
+                    np.minimum(least, (g[k : k + 1024, None] * factors).min(0), out=least)
                 nodes.append(signed(xxhash.xxh64_intdigest(h.tobytes(), seed)))
                 sizes.append(len(h))
                 keys.append([signed(xxhash.xxh64_intdigest(least[i * band_rows : (i + 1) * band_rows].tobytes(), i)) for i in range(bands)])
-            own = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *own], [*b.schema.names, "_node", "_n", "_bands"])
+                mins.append(least.astype("<u2").tobytes())
+            own = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], [*b.schema.names, "node", "n", "bands", "mins"])
         give_back()
 
-    more = [("_node", T.LongType()), ("_n", T.LongType()), ("_bands", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in more)])
-    return docs.mapInArrow(run, schema)
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    more = [("node", T.LongType()), ("n", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("mins", T.BinaryType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(*x) for x in more)]))
 
 
-def similar(pairs: DataFrame, of: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``. of: _node, text."""
+def likely(pairs: DataFrame, near: DataFrame, floor: float) -> DataFrame:
+    """The pairs (a, b) of nodes that can have the similarity by their sizes, and of whose min-hashes a share of ``floor`` or more agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
+                keep = (a == b).mean(1) >= floor
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: near.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mins").alias(f"mins_{c}"))
+    met = pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().join(of("b"), "b").join(of("a"), "a")
+    met = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * floor)
+    return met.select("a", "b", "mins_a", "mins_b").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, near: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``. near: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, set()
@@ -177,60 +199,79 @@ def similar(pairs: DataFrame, of: DataFrame, words: int, least: float) -> DataFr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    texts_of = lambda c: of.select(F.col("_node").alias(c), F.col("text").alias(f"text_{c}"))
+    texts_of = lambda c: near.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     met = pairs.join(texts_of("b"), "b").join(texts_of("a").hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(run, "a long, b long")
 
 
-def near_links(rows: DataFrame, words: int, least: float, bucket: int) -> DataFrame:
+def other_ends(met: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) a node: with the least or the greatest node, by component, of one of its keys, if that is of another component."""
+    ends = met.groupBy("key").agg(F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high")).where("low.root < high.root")
+    end = F.when(F.col("root") != F.col("low.root"), F.col("low.node")).otherwise(F.col("high.node"))
+    asked = met.join(ends, "key").select("node", end.alias("end"))
+    # at first the least node of all, so that a group meets in few nodes; then any other
+    order = F.col("end") if not turn else F.xxhash64("end", "node", F.lit(turn))
+    return asked.groupBy("node").agg(F.min_by("end", order).alias("end")).select(F.col("node").alias("a"), F.col("end").alias("b"))
+
+
+def near_links(rows: DataFrame, words: int, least: float, bucket: int, hashes: int, turns: int = 2) -> DataFrame:
     """Edges (a, b) between nodes of similarity ``least`` or more that share a band.
 
-    First every node is compared with the smallest node of each of its bands; then the nodes of a band that are not yet
-    in one component, all with all. Of a band with over ``bucket`` nodes those that share one of three more bands are
-    compared with the smallest of these that is of another component.
+    In a few turns every node is compared with one node of another component that shares a band, so that a group of many
+    near copies takes a few comparisons a node. Then the nodes of a band that still has several components are compared
+    all with all; of a band with over ``bucket`` nodes those that share one of three more bands, with two of these of
+    other components. Pairs are looked at by their min-hashes first: those with a share that is
+    four standard deviations below the similarity go. The texts of what is left decide.
     """
-    nodes = written(rows.groupBy("_node").agg(F.first("_n").alias("n"), F.first("_bands").alias("bands"), F.min("_row").alias("_row")), "near-nodes")
-    keyed = nodes.select(F.col("_node").alias("node"), "n", F.explode("bands").alias("key"), "bands")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
-    met = written(keyed.join(shared, "key"), "near-met")
-    one = nodes.join(met.select(F.col("node").alias("_node")), "_node", "left_semi").select("_row")
-    of = rows.join(one, "_row", "left_semi")
-    of = written(of.select("_node", F.coalesce("text", F.lit("")).alias("text")), "near-texts")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        sized = pairs.where("least(n_a, n_b) >= greatest(n_a, n_b) * " + repr(least - 1e-9)).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-        return written(similar(sized.where("a <> b").select("a", "b").distinct(), of, words, least), "near-links")
-
-    sizes = nodes.select(F.col("_node").alias("a"), F.col("n").alias("n_a"))
-    stars = met.select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).where("a <> b").distinct()
-    found = checked(stars.join(sizes, "a"))
-    roots = components(found)
-    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    met = written(met.join(mixed, "key"), "near-met")
-    some, hot = met.where(F.col("size") <= bucket).drop("bands"), met.where(F.col("size") > bucket)
-    pairs = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("y.node").alias("b"), F.col("y.n").alias("n_b"))
-    place = F.array_position("bands", F.col("key"))
-    more = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.element_at("bands", ((place - 1 + i) % F.size("bands") + 1).cast("int")))
-    hot = hot.select("node", "n", "root", "key", F.explode(more).alias("more"))
-    ends = hot.groupBy("key", "more").agg(F.min(F.struct("root", "node", "n")).alias("low"), F.max(F.struct("root", "node", "n")).alias("high")).where("low.root < high.root")
-    ends = hot.join(ends, ["key", "more"]).select("node", "n", "root", F.explode(F.array("low", "high")).alias("end")).where("end.root <> root")
-    ends = ends.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("end.node").alias("b"), F.col("end.n").alias("n_b"))
-    return found.unionByName(checked(pairs.unionByName(ends)))
-
-
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 6, bucket: int = 256) -> DataFrame:
+    spark = rows.sparkSession
+    with scratch(spark):
+        one = rows.groupBy("node").agg(F.min("row").alias("row")).select("row")
+        keyed = rows.join(one, "row", "left_semi").select("node", F.explode("bands").alias("key"))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * 24 // 2_000_000)
+        keyed = keyed.repartition(parts, "key")  # dealt out once: the counts and the join below both read it
+        shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
+        met = written(keyed.join(shared, "key"), "near-met")
+        ids = rows.select("row", "node").join(one, "row", "left_semi").join(met.select("node").distinct(), "node", "left_semi").select("row")
+        near = rows.join(ids, "row", "left_semi").select("node", "n", "bands", "mins", F.coalesce("doc.text", F.lit("")).alias("text"))
+        near = written(near, "near-nodes")
+        floor = least - 4 * (least * (1 - least) / hashes) ** 0.5
+        checked = lambda pairs: written(similar(written(likely(pairs, near, floor), "near-pairs"), near, words, least), "near-links")
+        found = None
+        for turn in range(turns):
+            links = checked(other_ends(met.withColumn("root", F.col("node")) if found is None else met, turn))
+            found = links if found is None else found.unionByName(links)
+            roots = components(found).withColumnRenamed("root", "own")
+            met = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("own", "node")).drop("own")
+            mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            met = written(met.join(mixed, "key"), "near-met")
+        some, hot = met.where(F.col("size") <= bucket), met.where(F.col("size") > bucket)
+        pairs = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        hot = hot.join(near.select("node", "bands"), "node")
+        place = F.array_position("bands", F.col("key"))
+        more = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.element_at("bands", ((place - 1 + i) % F.size("bands") + 1).cast("int")))
+        hot = hot.select("node", "root", "key", F.explode(more).alias("more"))
+        ends = hot.groupBy("key", "more").agg(F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high"))
+        ends = hot.join(ends.where("low.root < high.root"), ["key", "more"])
+        ends = ends.select("node", "root", F.explode(F.array("low", "high")).alias("end")).where("end.root <> root")
+        last = checked(pairs.unionByName(ends.select(F.col("node").alias("a"), F.col("end.node").alias("b"))))
+        return written(found.unionByName(last), "near-edges")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 6, bucket: int = 64) -> DataFrame:
     """The documents without near-duplicates: of each group of near copies (Jaccard similarity of ``words``-word shingles
     at ``least`` or more, in a chain) one row stays: by the smallest doc_id, null last, then by a hash of the text.
-    Rows of one doc_id with different texts all stay.
+    Of rows of one doc_id, those with different texts all stay, unless they are near copies; so do rows without a doc_id.
 
     A 64-bit fingerprint is too short for this: at 0.8 about ten bits differ. Min-hash bands propose the pairs (24 of 6
     values: 99.9 % of the pairs at 0.8, by the formula), the texts confirm them.
     """
-    rows = written(near_rows(docs.withColumn("_row", F.monotonically_increasing_id()), words, bands, band_rows), "near-rows")
-    roots = components(near_links(rows, words, least, bucket)).select(F.col("node").alias("_node"), "root")
-    of = rows.join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns), "_row")
-    kept = of.groupBy("root").agg(F.min(order).alias("least")).select("least._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    others = F.to_json(F.struct(*(F.col(f"doc.`{c}`") for c in docs.columns if c != "text")))
+    rows = written(near_rows(docs, words, bands, band_rows), "near-rows")
+    order = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.xxhash64(F.coalesce("doc.text", F.lit(""))), F.xxhash64(others), "row")
+    with scratch(docs.sparkSession):
+        of = written(rows.select("node", order.alias("place")), "near-order")
+        roots = components(near_links(rows, words, least, bucket, bands * band_rows))
+        of = of.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place"))
+        kept = written(of.select("place.row"), "near-kept")
+    return rows.join(kept, "row", "left_semi").select(*(F.col(f"doc.`{c}`") for c in docs.columns))
