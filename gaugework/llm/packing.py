@@ -108,7 +108,8 @@ def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     table = spark.sparkContext.broadcast(slots(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rows = cut.join(firsts, ["part", "length"]).withColumn("number", F.col("first") + F.col("nth"))
+    # dealt out by key: the table of first numbers grows with the partitions, and in memory it is many times its files' size
+    rows = cut.join(firsts.hint("shuffle_hash"), ["part", "length"]).withColumn("number", F.col("first") + F.col("nth"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
