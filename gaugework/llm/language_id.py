@@ -218,8 +218,9 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def drop_unidentified(docs: DataFrame, model: LanguageFilter, least_score: float = 0.05) -> DataFrame:
-    """The documents without those that have no letter or next to no n-gram of any language."""
+def drop_unidentified(docs: DataFrame, model: LanguageFilter, least_score: float = 0.25) -> DataFrame:
+    """The documents without those that have no letter, or less than ``least_score`` of their n-grams in the language that
+    they are nearest to: other scripts and languages, strings of random letters. Half of a text in one known language is enough."""
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -71,3 +72,59 @@ def test_edges(spark):
     one = [(9, "just this one")]
     assert [tuple(r) for r in fp.fingerprint_table(spark.createDataFrame([(*r, 1, "p") for r in one], SCHEMA)).collect()] == brute(one)
     assert fp.fingerprint_table(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x + 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 29
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ x >> 32
+
+
+def plain_power(k):
+    return pow(0xD6E8FEB86659FD93, k, 1 << 64)
+
+
+def plain_names(x):
+    """One level for one text: runs, deterministic coin tossing, phrases that begin at local maxima, their names."""
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(x)]
+    x = [plain_mix(c ^ (n * plain_power(1) & MASK)) if n > 1 else c for c, n in runs]
+    label = x
+    for _ in range(4):
+        tossed = []
+        for k, c in enumerate(label):
+            differ = c ^ label[k - 1] if k else 1
+            low = (differ & -differ).bit_length() - 1
+            tossed.append(2 * low | (c >> low & 1))
+        label = tossed
+    assert all(0 <= c <= 5 for c in label) and all(a != b for a, b in zip(label, label[1:]))
+    begins = [0] + [k for k in range(1, len(x) - 1) if label[k] > label[k - 1] and label[k] > label[k + 1]]
+    phrases = [x[a:z] for a, z in zip(begins, [*begins[1:], len(x)])]
+    return [plain_mix(sum(plain_mix(c) * plain_power(k) for k, c in enumerate(p)) & MASK) for p in phrases]
+
+
+def plain_sketch(text, first_level=3):
+    out, x, level = [0xFFFF] * 64, [ord(c) for c in text], 0
+    while text:
+        x, level = plain_names(x), level + 1
+        if level >= first_level:
+            for name in (plain_mix(c ^ level) for c in x):
+                out[name >> 58] = min(out[name >> 58], name & 0xFFFF, 0xFFFE)
+            if len(x) == 1:
+                break
+    return out
+
+
+def test_parsing_symbol_by_symbol():
+    rng = random.Random(9)
+    texts = ["", "a", "aa", "ab" * 300, "a" * 500, "\U0001f600é" * 7, *("".join(rng.choices("abcdef gh", k=rng.randint(2, 700))) for _ in range(40))]
+    got = fp.sketches(texts)
+    want = [plain_sketch(t) for t in texts]
+    assert got.tolist() == want
+    for a, b in itertools.combinations(range(0, len(texts), 3), 2):
+        some = [(x, y) for x, y in zip(want[a], want[b]) if (x, y) != (0xFFFF, 0xFFFF)]
+        like = sum(x == y for x, y in some) / len(some) if some else 1.0
+        assert abs(fp.likeness(got[[a]], got[[b]])[0] - like) < 1e-12

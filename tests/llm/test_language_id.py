@@ -1,3 +1,5 @@
+import collections
+import random
 import zlib
 
 import numpy as np
@@ -68,3 +70,47 @@ def test_edges(spark):
     none = spark.createDataFrame([], schema)
     assert language_id.identify(none, language_id.fit(none)).count() == 0
     assert [r.lang_pred for r in language_id.identify(df, language_id.fit(none)).collect()] == ["und"] * len(rows)
+
+
+def test_filter_against_sets(spark, sf_dir):
+    """The bit-sliced filter's counts and decisions against sets of the n-grams themselves, which have no false positives."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    train = docs.where(~language_id.held_out(docs["doc_id"]))
+    model = language_id.fit(train, rows=10**9)
+    parts = collections.defaultdict(dict)
+    rows = [r for r in train.collect() if r.lang and r.text]
+    for lang in {r.lang for r in rows}:
+        for n in (3, 4):
+            found = collections.Counter(g for r in rows if r.lang == lang for g in brute_grams(r.text, n))
+            total = sum(found.values())
+            for g, k in found.items():
+                parts[g][lang] = k / total
+    sets = collections.defaultdict(set)
+    for g, by in parts.items():
+        for lang, part in by.items():
+            if part >= 1e-5 and part >= 0.25 * max(by.values()):
+                sets[lang].add(g)
+    texts = [r.text or "" for r in docs.collect()] + ["Das ist the end", "x", "12 34", ""]
+    total, hits = model.counts(texts)
+    for text, t, own, (lang, score) in zip(texts, total.tolist(), hits.tolist(), model.predict(texts), strict=True):
+        grams = [g for n in (3, 4) for g in brute_grams(text, n)]
+        assert t == len(grams)
+        exact = {k: sum(g in sets[k] for g in grams) for k in model.languages}
+        for k, n in zip(model.languages, own, strict=True):
+            assert exact[k] <= n <= exact[k] + 3 + 0.001 * t
+        if any(map(str.isalpha, text)):
+            most = max(exact.values())
+            assert exact[lang] >= most - 3 - 0.001 * t and abs(score - exact[lang] / max(1, t)) < 0.01 + 3 / max(1, t)
+        else:
+            assert (lang, score) == ("und", 0.0)
+
+
+def test_rejected_documents(spark, sf_dir):
+    """Planted rows that must go, among the table's, which must stay."""
+    rng, docs = random.Random(4), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    noise = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    planted = ["Это совсем другой язык и другие буквы", "这是另一种语言", "12345 67890 !!! ???", "", None, *noise]
+    rows = [(10**9 + k, t, None, None, len(t or "")) for k, t in enumerate(planted)]
+    model = language_id.fit(docs.where(~language_id.held_out(docs["doc_id"])))
+    kept = language_id.drop_unidentified(docs.unionByName(spark.createDataFrame(rows, docs.schema)), model)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())

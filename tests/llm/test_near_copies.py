@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, source string"
 
 
 def grams(text):
-    w = text.lower().split()
+    w = (text or "").encode().lower().split()  # ASCII letters and white space only
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
 

@@ -5,8 +5,8 @@ import public_tokenizers
 import corpus_pipeline
 from gaugework.llm.common import written
 from gaugework.llm.queries import queries
+from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_packing import held
-from tests.llm.test_simhash import brute_components, brute_fp
 from tests.llm.test_source_mixing import brute_targets
 from tests.llm.test_spans import brute_secrets
 
@@ -27,10 +27,10 @@ def test_every_stage(spark, sf_dir):
         assert name == "packing" or now.schema.names == docs.schema.names
     rows = {name: df.collect() for name, df in [("docs", docs), *steps.items()]}
     kept = {r.doc_id for r in rows["language"]}
-    assert set(rows["language"]) <= set(rows["docs"]) and len(kept) >= 0.98 * len(rows["docs"])
+    assert set(rows["language"]) <= set(rows["docs"]) and len(kept) >= 0.98 * len(rows["docs"])  # test_language_id plants what must go
     assert all(any(map(str.isalpha, r.text)) for r in rows["language"])
-    comp = brute_components({r.doc_id: brute_fp(r.text) for r in rows["language"]})
-    assert sorted(r.doc_id for r in rows["near_dedup"]) == sorted(d for d, c in comp.items() if c == d)
+    in_order = sorted((r.doc_id, r.text, r.source) for r in rows["language"])
+    assert sorted(r.doc_id for r in rows["near_dedup"]) == brute_kept(in_order)
     assert set(rows["near_dedup"]) <= set(rows["language"])
     before = {r.doc_id: r for r in rows["near_dedup"]}
     for r in rows["secrets"]:
@@ -42,7 +42,8 @@ def test_every_stage(spark, sf_dir):
         sizes[r.source] += len(words(r.text))
     for r in rows["mix"]:
         own = clean[r.doc_id]
-        assert r.text == own.text or words(r.text) == words(own.text)[: len(words(r.text))]
+        rest = iter(words(own.text))
+        assert r.text == own.text or all(w in rest for w in words(r.text))  # drawn blocks, in their order
         assert r.n_chars == len(r.text) and r.source == own.source
         mixed[r.source] += len(words(r.text))
     for s, t in brute_targets(dict(sizes)).items():
