@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -142,11 +143,33 @@ def basic_stats(samples: DataFrame, keys: tuple[str, ...] = ("metric",)) -> Data
     return samples.groupBy(*keys).agg(F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("stddev"))
 
 
-def percentiles(samples: DataFrame, points: tuple[int, ...] = (50, 90, 95, 99), keys: tuple[str, ...] = ("metric",), exact: bool = True) -> DataFrame:
-    """Columns p50 and so on; approximate ones need memory by their accuracy alone."""
-    at = F.array(*(F.lit(p / 100) for p in points))
-    made = F.percentile("value", at) if exact else F.percentile_approx("value", at)
-    return samples.groupBy(*keys).agg(made.alias("p")).select(*keys, *(F.col("p")[i].alias(f"p{p}") for i, p in enumerate(points)))
+def percentiles(samples: DataFrame, points: tuple[int, ...] = (50, 90, 95, 99), keys: tuple[str, ...] = ("metric",), exact: bool = True, parts: int = 128) -> DataFrame:
+    """Columns p50 and so on, with linear interpolation. Approximate ones need memory by their accuracy alone.
+
+    Exact ones come from counts of distinct values: approximate cuts split a group's values into ``parts`` ranges, whose
+    sums of counts say where each begins, so that the ranks within a range are one task's work, however large the group is.
+    """
+    if not exact:
+        made = F.percentile_approx("value", F.array(*(F.lit(p / 100) for p in points)), 10_000)
+        return samples.groupBy(*keys).agg(made.alias("p")).select(*keys, *(F.col("p")[i].alias(f"p{p}") for i, p in enumerate(points)))
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    of = lambda a: [F.col(f"{a}.{k}").alias(k) for k in keys]
+    cuts = samples.groupBy(*keys).agg(F.percentile_approx("value", F.array(*(F.lit(k / parts) for k in range(1, parts))), 10 * parts).alias("cuts"))
+    counts = samples.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    part = F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part")
+    rows = counts.alias("a").join(cuts.alias("b"), same("a", "b")).select(*of("a"), "value", "n", part)
+    back = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
+    sums = sums.select(*keys, "part", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))  # a row a range
+    rows = rows.alias("a").join(sums.alias("b"), same("a", "b") & (F.col("a.part") == F.col("b.part"))).select(*of("a"), F.col("a.part").alias("part"), "value", "n", "before", "total")
+    upto = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("end", F.col("before") + upto)
+    place = {p: F.lit(p / 100) * (F.col("total") - 1) for p in points}
+    at = lambda rank: F.max(F.when((rank >= F.col("end") - F.col("n")) & (rank < F.col("end")), F.col("value")))
+    ends = [c for p, x in place.items() for c in (at(F.floor(x)).alias(f"low{p}"), at(F.ceil(x)).alias(f"high{p}"))]
+    found = rows.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
+    made = [(F.col(f"low{p}") + (F.col(f"high{p}") - F.col(f"low{p}")) * (x - F.floor(x))).alias(f"p{p}") for p, x in place.items()]
+    return cuts.alias("a").join(found.alias("b"), same("a", "b"), "left").select(*of("a"), *made)
 
 
 def valid_count(samples: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:

@@ -38,9 +38,9 @@ def load_score(load: DataFrame, custom: float = 0.0, scale: float = 1.0) -> Data
     return load.withColumn("score", F.when(F.col("hosts") == 0, 100.0).otherwise(F.least(score * scale, F.lit(100.0))))
 
 
-def time_rules(decisions: DataFrame, rules: DataFrame) -> DataFrame:
+def time_rules(decisions: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``rules``: ord, name, start_time, end_time, days (0 is Sunday), min_hosts, max_hosts, action. The first that fits the
-    bucket's weekday and minute, as rule_action, rule_reason and rule_target (null: none)."""
+    bucket's weekday and minute, as rule_action, rule_reason and rule_target (null: none). keys: of fleets with buckets of their own."""
     day = (F.dayofweek("ts") - 1).cast("int")
     minute = F.date_format("ts", "HH:mm")
     each = rules.withColumn("day", F.explode("days")).drop("days")
@@ -51,9 +51,9 @@ def time_rules(decisions: DataFrame, rules: DataFrame) -> DataFrame:
     )
     keyed = decisions.withColumns({"day": day, "minute": minute})
     hit = keyed.join(each, "day").where((F.col("minute") >= F.col("start_time")) & (F.col("minute") <= F.col("end_time")))
-    first = hit.groupBy("ts").agg(F.min_by(F.struct(F.col("action").alias("a"), F.concat(F.lit("time_based_rule:"), "name").alias("r"), target.alias("t")), "ord").alias("x"))
-    first = first.select("ts", F.col("x.a").alias("rule_action"), F.col("x.r").alias("rule_reason"), F.col("x.t").alias("rule_target"))
-    return decisions.join(first, "ts", "left")
+    first = hit.groupBy(*keys, "ts").agg(F.min_by(F.struct(F.col("action").alias("a"), F.concat(F.lit("time_based_rule:"), "name").alias("r"), target.alias("t")), "ord").alias("x"))
+    first = first.select(*keys, "ts", F.col("x.a").alias("rule_action"), F.col("x.r").alias("rule_reason"), F.col("x.t").alias("rule_target"))
+    return decisions.join(first, [*keys, "ts"], "left")
 
 
 def cost_decision(hosts: Column, c: Scaling) -> Column:
@@ -80,18 +80,26 @@ def proposed(scored: DataFrame, c: Scaling) -> DataFrame:
 def scaling_decisions(decisions: DataFrame, cooldown_s: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """The proposals in order, those within the cooldown after a decision set to none.
 
-    Each decision depends on the one before, so a group's buckets (one row a time bucket, not samples) are folded in order.
+    Each decision depends on the one before, so a fleet's buckets (one row a time bucket, not samples) are gone through
+    in order, once; fleets (by keys) are independent of each other.
     """
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    row = F.struct(at.alias("t"), F.col("ts"), F.col("action"), F.col("reason"), F.col("target"), F.col("hosts"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<ts:timestamp_ntz,action:string,reason:string,target:bigint>>").alias("out"))
-
-    def fold(s, x):
-        cold = s["last"].isNotNull() & (x["t"] - s["last"] < cooldown_s)
-        act = ~cold & (x["action"] != "none")
-        own = F.struct(x["ts"].alias("ts"), F.when(act, x["action"]).otherwise("none").alias("action"), F.when(act, x["reason"]).otherwise("").alias("reason"), F.when(act, x["target"]).otherwise(x["hosts"]).alias("target"))
-        return F.struct(F.when(act, x["t"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(own)).alias("out"))
-
-    rows = decisions.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return rows.select(*keys, F.inline(F.aggregate("rows", start, fold, lambda s: s["out"])))
-
+    import numpy as np
+    import pandas as pd
+
+    def cooled(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts")
+        at, wanted = rows["ts"].to_numpy("datetime64[s]").astype("int64"), (rows["action"] != "none").to_numpy()
+        act, last = np.zeros(len(rows), bool), None
+        for k in np.flatnonzero(wanted).tolist():
+            if last is None or at[k] - last >= cooldown_s:
+                act[k], last = True, at[k]
+        out = rows[[*keys, "ts"]].copy()
+        out["action"] = np.where(act, rows["action"], "none")
+        out["reason"] = np.where(act, rows["reason"], "")
+        out["target"] = np.where(act, rows["target"], rows["hosts"])
+        return out
+
+    rows = decisions.select(*keys, "ts", "action", "reason", "target", "hosts")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "ts", "action", "reason", "target"))
+    return rows.groupBy(*keys).applyInPandas(cooled, schema)

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 def fold_changelog(log: DataFrame) -> DataFrame:
     """``log``: idx, key, op (SET, DELETE, UPDATE, INCREMENT, EXPIRE), value. key and value of all keys that are there at the end.
 
-    A key is there if its last SET, DELETE or EXPIRE is a SET. From then on it stays, so the last SET or UPDATE gives a
-    value, and the INCREMENTs after it add to that. All of this is aggregates, however many commands a key has.
+    A key is there if its last SET, DELETE or EXPIRE is a SET. From then on it stays, so the last SET or UPDATE of all
+    gives a value, and the INCREMENTs after it add to that: one aggregate of the log, and one of its INCREMENTs.
     """
     idx, op = F.col("idx"), F.col("op")
-    reset = op.isin("SET", "DELETE", "EXPIRE")
-    last = log.groupBy("key").agg(F.max(F.when(reset, idx)).alias("since"), F.max_by(F.when(reset, op), F.when(reset, idx)).alias("how"))
-    there = last.where("how = 'SET'").select("key", "since")
-    given = log.where(op.isin("SET", "UPDATE")).join(there, "key").where("idx >= since").groupBy("key")
-    given = given.agg(F.max("idx").alias("at"), F.max_by("value", "idx").alias("base"))
-    added = log.where(op == "INCREMENT").join(given.select("key", "at"), "key").where("idx > at").groupBy("key").agg(F.sum("value").alias("more"))
-    return given.join(added, "key", "left").select("key", (F.col("base") + F.coalesce("more", F.lit(0))).alias("value"))
+    reset, gives = op.isin("SET", "DELETE", "EXPIRE"), op.isin("SET", "UPDATE")
+    last = log.groupBy("key").agg(
+        F.max_by(F.when(reset, op), F.when(reset, idx)).alias("how"), F.max(F.when(gives, idx)).alias("at"), F.max_by(F.when(gives, F.col("value")), F.when(gives, idx)).alias("base")
+    )
+    there = last.where("how = 'SET'").select("key", "at", "base").alias("t")
+    more = log.where(op == "INCREMENT").select("key", "idx", F.col("value").alias("more")).alias("m")
+    both = there.join(more, (F.col("t.key") == F.col("m.key")) & (F.col("m.idx") > F.col("t.at")), "left")
+    return both.groupBy("t.key", "base").agg(F.coalesce(F.sum("more"), F.lit(0)).alias("more")).select("key", (F.col("base") + F.col("more")).alias("value"))
 
 
 def log_compaction(log: DataFrame, snapshot_idx: int) -> DataFrame:

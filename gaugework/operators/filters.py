@@ -106,15 +106,19 @@ def prefix_search(keys: DataFrame, prefix: str, column: str = "key", empty: str
     return keys.where(F.col(column).startswith(prefix))
 
 
-def prefixes_of(keys: DataFrame, column: str = "key") -> DataFrame:
-    """Each key with each of its prefixes, from the empty one to itself, so that prefix matches become equality joins."""
-    return keys.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length(column)), lambda n: F.substr(F.col(column), F.lit(1), n))).alias("prefix"))
+def prefixes_of(keys: DataFrame, prefixes: DataFrame, column: str = "key") -> DataFrame:
+    """Each key with each of its prefixes of a length that one of the ``prefixes`` (column prefix) has, so that prefix
+    matches become equality joins. The distinct lengths, no more than the longest prefix has characters, go to the driver."""
+    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect() if r[0] is not None)
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(column))
+    return keys.select("*", F.explode(fits).alias("_n")).withColumn("prefix", F.substr(F.col(column), F.lit(1), F.col("_n"))).drop("_n")
 
 
 def prefix_exists(keys: DataFrame, prefixes: DataFrame, column: str = "key") -> DataFrame:
     """For each prefix (a row each) the number of rows whose key begins with it, and whether there is one."""
-    counts = prefixes_of(keys.groupBy(column).agg(F.count("*").alias("n")), column).groupBy("prefix").agg(F.sum("n").alias("n"))
-    hits = prefixes.select("prefix").distinct().join(counts, "prefix", "left")
+    asked = prefixes.select("prefix").distinct()
+    met = prefixes_of(keys.select(column), asked, column).join(asked, "prefix")
+    hits = asked.join(met.groupBy("prefix").agg(F.count("*").alias("n")), "prefix", "left")
     return hits.select("prefix", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("found"))
 
 

@@ -47,7 +47,7 @@ def auto_remove(states: DataFrame, as_of, unhealthy_timeout_s: int = 600, offlin
 def health_state(checks: DataFrame, over: DataFrame) -> DataFrame:
     """``checks``: host_id, ord, check, ok; ``over``: host_id, reason. Unhealthy by load (its reason goes first) or by the first failing check."""
     c = checks.groupBy("host_id").agg(F.min_by(F.when(~F.col("ok"), F.col("check")), F.when(~F.col("ok"), F.col("ord"))).alias("failed"))
-    rows = c.join(over.select("host_id", "reason"), "host_id", "left")
+    rows = c.join(over.select("host_id", "reason"), "host_id", "full")  # an overloaded host may have no check
     message = F.coalesce(F.concat(F.lit("high "), "reason"), F.concat(F.lit("failed "), "failed"))
     return rows.select("host_id", F.when(message.isNull(), "healthy").otherwise("unhealthy").alias("state"), message.alias("message"))
 

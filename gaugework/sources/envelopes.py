@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from gaugework.operators.filters import canonicalise
 
+
 def time_of(text: Column) -> Column:
     """RFC 3339 text or seconds since 1970, as a time stamp without a zone in UTC."""
-    return F.coalesce(F.timestamp_seconds(F.expr("try_cast(timestamp as bigint)")), F.try_to_timestamp(text)).cast("timestamp_ntz")
-
-
-def parsed(rows: DataFrame, payload: str = "payload") -> DataFrame:
-    """Rows with the envelope as a struct, null where the payload is none."""
-    envelope = F.from_json(F.col(payload).cast("string"), "host_id string, hostId string, timestamp string, metrics string, tags map<string,string>")
-    host = F.coalesce("_e.host_id", "_e.hostId")
-    ok = F.coalesce(host, F.lit("")) != ""
-    rows = rows.withColumn("_e", envelope).withColumn("_ok", F.coalesce(ok & F.col("_e.timestamp").isNotNull(), F.lit(False)))
-    return rows.withColumns({"host_id": F.when(F.col("_ok"), host), "timestamp": F.when(F.col("_ok"), F.col("_e.timestamp")), "metrics": F.when(F.col("_ok"), F.col("_e.metrics")), "tags": F.col("_e.tags")}).drop("_e", "_ok")
+    return F.coalesce(F.timestamp_seconds(text.try_cast("bigint")), F.try_to_timestamp(text)).cast("timestamp_ntz")
 
 
 def number(text: Column, on_error: str = "skip") -> Column:
@@ -28,32 +20,40 @@ def number(text: Column, on_error: str = "skip") -> Column:
 
 
 def explode_envelopes(rows: DataFrame, payload: str = "payload", on_error: str = "skip") -> DataFrame:
-    """Long samples with seq, of rows with a payload and seq. Metrics without a name or value go, and tags with an empty key or value."""
-    e = parsed(rows, payload).where(F.col("host_id").isNotNull())
-    listed = F.from_json("metrics", "array<struct<name:string,value:string,unit:string>>")
-    keyed = F.transform(
-        F.map_entries(F.from_json("metrics", "map<string,string>")),
-        lambda x: F.struct(x["key"].alias("name"), F.coalesce(F.get_json_object(x["value"], "$.value"), x["value"]).alias("value"), F.get_json_object(x["value"], "$.unit").alias("unit")),
-    )
-    is_list = F.trim("metrics").startswith("[")
-    each = e.select("host_id", time_of(F.col("timestamp")).alias("ts"), "seq", F.map_filter("tags", lambda k, v: (k != "") & (F.coalesce(v, F.lit("")) != "")).alias("tags"), F.explode(F.when(is_list, listed).otherwise(keyed)).alias("m"))
-    value = number(F.col("m.value"), on_error)
-    out = each.select("host_id", F.col("m.name").alias("metric"), "ts", value.alias("value"), F.coalesce("m.unit", F.lit("")).alias("unit"), "seq", "tags")
-    return out.where((F.coalesce("metric", F.lit("")) != "") & F.col("value").isNotNull() & F.col("ts").isNotNull())
+    """Long samples with seq, of rows with a payload and seq. Metrics without a name or value go, and tags with an empty key or value.
+
+    A payload is parsed once, into a variant; rows that are no envelope explode to one empty metric, which goes with the
+    others (a filter before would parse again).
+    """
+    at = lambda path, kind: F.try_variant_get("_e", path, kind)
+    host = F.coalesce(at("$.host_id", "string"), at("$.hostId", "string"))
+    listed = F.transform(at("$.metrics", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    keyed = F.map_entries(at("$.metrics", "map<string,variant>"))
+    tags = F.map_filter(at("$.tags", "map<string,string>"), lambda k, v: (k != "") & (F.coalesce(v, F.lit("")) != ""))
+    e = rows.select("seq", F.try_parse_json(F.col(payload).cast("string")).alias("_e"))
+    e = e.select(host.alias("host_id"), time_of(at("$.timestamp", "string")).alias("ts"), "seq", tags.alias("tags"), F.coalesce(listed, keyed).alias("metrics"))
+    each = e.select("host_id", "ts", "seq", "tags", F.explode_outer("metrics").alias("m"))
+    part = lambda path: F.try_variant_get("m.value", path, "string")
+    out = each.select("host_id", F.coalesce("m.key", part("$.name")).alias("metric"), "ts", number(F.coalesce(part("$.value"), part("$")), on_error).alias("value"), F.coalesce(part("$.unit"), F.lit("")).alias("unit"), "seq", "tags")
+    return out.where((F.coalesce("metric", F.lit("")) != "") & F.col("value").isNotNull() & F.col("ts").isNotNull() & (F.coalesce("host_id", F.lit("")) != ""))
+
+
+def scrapes(samples: DataFrame) -> DataFrame:
+    """One row a scrape: host_id, timestamp in seconds, and its metrics by name."""
+    metric = F.struct(F.col("metric").alias("name"), "value", "unit")
+    rows = samples.groupBy("host_id", "ts").agg(F.array_sort(F.collect_list(metric)).alias("metrics"))  # the metrics of one scrape
+    return rows.select("host_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), "metrics")
 
 
 def build_envelopes(samples: DataFrame) -> DataFrame:
-    """One row a scrape: host_id, timestamp in seconds, and its metrics by name as JSON."""
-    metric = F.struct(F.col("metric").alias("name"), "value", "unit")
-    rows = samples.groupBy("host_id", "ts").agg(F.array_sort(F.collect_list(metric)).alias("m"))
-    return rows.select("host_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), F.to_json("m").alias("metrics"))
+    """scrapes() with the metrics as JSON."""
+    return scrapes(samples).withColumn("metrics", F.to_json("metrics"))
 
 
 def live_messages(samples: DataFrame) -> DataFrame:
     """host_id, and the canonical envelope as a message of type metrics."""
-    e = build_envelopes(canonicalise(samples))
-    data = F.struct("host_id", "timestamp", F.from_json("metrics", "array<struct<name:string,value:double,unit:string>>").alias("metrics"))
-    return e.select("host_id", F.to_json(F.struct(F.lit("metrics").alias("type"), data.alias("data"))).alias("message"))
+    data = F.struct("host_id", "timestamp", "metrics")
+    return scrapes(canonicalise(samples)).select("host_id", F.to_json(F.struct(F.lit("metrics").alias("type"), data.alias("data"))).alias("message"))
 
 
 def dead_letters(messages: DataFrame, max_retries: int = 3) -> DataFrame:

@@ -27,10 +27,11 @@ PSEUDO_FILESYSTEMS, PSEUDO_MOUNTS = ("proc", "sysfs", "devpts", "tmpfs", "devtmp
 FILES = ("stat", "loadavg", "meminfo", "vmstat", "buddyinfo", "pressure_memory", "numa_meminfo", "diskstats", "mounts", "net_dev", "sockstat")
 
 
-def _lines(snapshots: DataFrame, file: str) -> DataFrame:
-    rows = snapshots.where(F.col("file") == file).select("host_id", "ts", F.explode(F.split("content", "\n")).alias("line"))
-    rows = rows.withColumn("line", F.trim("line")).where("line <> ''")
-    return rows.withColumn("f", F.split(F.regexp_replace("line", ":", " "), r"\s+"))
+METRICS = "array<struct<metric:string,value:double,unit:string>>"
+
+
+def _fields(line: Column) -> Column:
+    return F.split(F.regexp_replace(F.trim(line), ":", " "), r"\s+")
 
 
 def _at(i: int) -> Column:
@@ -43,43 +44,58 @@ def _num(i: int) -> Column:
 
 
 def _metrics(*made: tuple[Column, Column, str]) -> Column:
-    return F.explode(F.array(*(F.struct(n.alias("metric"), v.alias("value"), F.lit(u).alias("unit")) for n, v, u in made)))
+    return F.array(*(F.struct(n.alias("metric"), v.alias("value"), F.lit(u).alias("unit")) for n, v, u in made)).cast(METRICS)
 
 
 def _renamed(names: dict[str, str], i: int) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), _at(i))
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), _at(i))
 
 
 def _named(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), *parts)
 
 
-def parse_host_snapshots(snapshots: DataFrame) -> DataFrame:
-    of = lambda file: _lines(snapshots, file)
-    lit, key = F.lit, ("host_id", "ts")
-    stat = of("stat")
-    core = F.when(_at(1) == "cpu", "total").otherwise(_at(1))
-    out = [
-        stat.where(_at(1).startswith("cpu")).select(*key, _metrics(*((_named("cpu.jiffies.", core, lit("." + n)), _num(i + 2), "jiffies") for i, n in enumerate(CPU_FIELDS)))),
-        stat.where(_at(1) == "ctxt").select(*key, _metrics((lit("cpu.context_switches"), _num(2), ""))),
-        stat.where(_at(1) == "intr").select(*key, _metrics((lit("cpu.interrupts"), _num(2), ""))),
-        stat.where(_at(1).isin("processes", "procs_running", "procs_blocked")).select(*key, _metrics((_named("cpu.", _at(1)), _num(2), ""))),
-        of("loadavg").select(*key, _metrics(*((lit(f"cpu.load_avg_{n}"), _num(i), "") for i, n in ((1, "1"), (2, "5"), (3, "15"))))),
-        of("meminfo").where(_at(1).isin(*MEMINFO_FIELDS)).select(*key, _metrics((_renamed(MEMINFO_FIELDS, 1), _num(2), "KB"))),
-        of("vmstat").where(_at(1).isin(*VMSTAT_FIELDS)).select(*key, _metrics((_named("memory.vmstat_", _at(1)), _num(2), ""))),
-        of("vmstat").where(_at(1).isin(*SWAP_FIELDS)).select(*key, _metrics((_renamed(SWAP_FIELDS, 1), _num(2), ""))),
-        of("pressure_memory").where(_at(1).isin("some", "full")).select(*key, _metrics((_named("memory.pressure_", _at(1)), F.element_at(F.split(_at(2), "="), 2).try_cast("double"), "%"))),
-        of("numa_meminfo").where((_at(1) == "Node") & _at(3).isin(*NUMA_FIELDS)).select(*key, _metrics((_named("memory.numa_", _at(2), lit("."), _renamed(NUMA_FIELDS, 3)), _num(4), "KB"))),
-        of("mounts").where(~_at(3).isin(*PSEUDO_FILESYSTEMS) & ~_at(2).rlike(f"^({'|'.join(PSEUDO_MOUNTS)})")).select(*key, _metrics((_named("disk.mount.", _at(2)), lit(1.0), ""))),
-        of("net_dev").where(_num(2).isNotNull() & (_at(1) != "lo")).select(*key, _metrics(*((_named("network.", lit(n + "."), _at(1)), _num(i + 2), "") for i, n in enumerate(NET_FIELDS)))),
-        of("sockstat").where((_at(1) == "TCP") & (_at(2) == "inuse")).select(*key, _metrics((lit("network.connections"), _num(3), "conn"))),
+def _free_pages(content: Column) -> Column:
+    """KB in free pages of all zones of a buddyinfo file: its counts in pages of 4 KB."""
+    counts = lambda line: F.slice(_fields(line), 5, 99)
+    zone = lambda s, line: s + F.aggregate(counts(line), F.lit(0.0), lambda t, x: t + F.coalesce(x.try_cast("double"), F.lit(0.0)))
+    zones = F.filter(F.split(content, "\n"), lambda line: F.trim(line).startswith("Node"))
+    return F.when(F.size(zones) > 0, F.aggregate(zones, F.lit(0.0), zone) * 4)
+
+
+def _rules() -> list[tuple[str, Column, Column]]:
+    """File, which of its lines, and the metrics of such a line."""
+    lit, name = F.lit, _at(1)
+    core = F.when(name == "cpu", "total").otherwise(name)
+    disk = (("reads", 4, 1, "ops"), ("read_bytes", 6, 512, "B"), ("writes", 8, 1, "ops"), ("write_bytes", 10, 512, "B"), ("io_time", 13, 1, "ms"))
+    load = ((1, "1"), (2, "5"), (3, "15"))
+    real = ~_at(3).isin(*PSEUDO_FILESYSTEMS) & ~_at(2).rlike(f"^({'|'.join(PSEUDO_MOUNTS)})")
+    return [
+        ("stat", name.startswith("cpu"), _metrics(*((_named("cpu.jiffies.", core, lit("." + n)), _num(i + 2), "jiffies") for i, n in enumerate(CPU_FIELDS)))),
+        ("stat", name == "ctxt", _metrics((lit("cpu.context_switches"), _num(2), ""))),
+        ("stat", name == "intr", _metrics((lit("cpu.interrupts"), _num(2), ""))),
+        ("stat", name.isin("processes", "procs_running", "procs_blocked"), _metrics((_named("cpu.", name), _num(2), ""))),
+        ("loadavg", lit(True), _metrics(*((lit(f"cpu.load_avg_{n}"), _num(i), "") for i, n in load))),
+        ("meminfo", name.isin(*MEMINFO_FIELDS), _metrics((_renamed(MEMINFO_FIELDS, 1), _num(2), "KB"))),
+        ("vmstat", name.isin(*VMSTAT_FIELDS), _metrics((_named("memory.vmstat_", name), _num(2), ""))),
+        ("vmstat", name.isin(*SWAP_FIELDS), _metrics((_renamed(SWAP_FIELDS, 1), _num(2), ""))),
+        ("pressure_memory", name.isin("some", "full"), _metrics((_named("memory.pressure_", name), F.try_element_at(F.split(_at(2), "="), lit(2)).try_cast("double"), "%"))),
+        ("numa_meminfo", (name == "Node") & _at(3).isin(*NUMA_FIELDS), _metrics((_named("memory.numa_", _at(2), lit("."), _renamed(NUMA_FIELDS, 3)), _num(4), "KB"))),
+        ("diskstats", (F.size("f") >= 14) & ~_at(3).rlike("^(loop|ram)|dm-"), _metrics(*((_named(f"disk.{n}.", _at(3)), _num(i) * by, u) for n, i, by, u in disk))),
+        ("mounts", real, _metrics((_named("disk.mount.", _at(2)), lit(1.0), ""))),
+        ("net_dev", _num(2).isNotNull() & (name != "lo"), _metrics(*((_named("network.", lit(n + "."), name), _num(i + 2), "") for i, n in enumerate(NET_FIELDS)))),
+        ("sockstat", (name == "TCP") & (_at(2) == "inuse"), _metrics((lit("network.connections"), _num(3), "conn"))),
+        ("buddyinfo", lit(True), _metrics((lit("memory.free_pages"), _free_pages(F.col("line")), "KB"))),
     ]
-    disk = of("diskstats").where((F.size("f") >= 14) & ~_at(3).rlike("^(loop|ram)|dm-"))
-    out.append(disk.select(*key, _metrics(*((_named(f"disk.{n}.", _at(3)), _num(i) * by, u) for n, i, by, u in (("reads", 4, 1, "ops"), ("read_bytes", 6, 512, "B"), ("writes", 8, 1, "ops"), ("write_bytes", 10, 512, "B"), ("io_time", 13, 1, "ms"))))))
-    pages = F.aggregate(F.slice("f", 5, 99), F.lit(0.0), lambda s, x: s + F.coalesce(x.try_cast("double"), F.lit(0.0)))
-    buddy = of("buddyinfo").where(_at(1) == "Node").groupBy(*key).agg((F.sum(pages) * 4).alias("value"))
-    out.append(buddy.select(*key, F.struct(lit("memory.free_pages").alias("metric"), "value", lit("KB").alias("unit")).alias("col")))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.union(more)
-    return rows.select(*key, "col.metric", "col.value", "col.unit").where(F.col("value").isNotNull() & F.col("metric").isNotNull())
+
+
+def parse_host_snapshots(snapshots: DataFrame) -> DataFrame:
+    """One pass: every file's lines (buddyinfo, whose zones are summed, as one), each line's metrics by its file."""
+    lines = F.when(F.col("file") == "buddyinfo", F.array("content")).otherwise(F.split("content", "\n"))
+    rows = snapshots.select("host_id", "ts", "file", F.explode_outer(lines).alias("line")).withColumn("f", _fields(F.col("line")))
+    made = None
+    for file, hit, metrics in _rules():
+        fits = (F.col("file") == file) & hit
+        made = F.when(fits, metrics) if made is None else made.when(fits, metrics)
+    rows = rows.select("host_id", "ts", F.explode_outer(made).alias("m")).select("host_id", "ts", "m.metric", "m.value", "m.unit")
+    return rows.where(F.col("value").isNotNull() & F.col("metric").isNotNull())

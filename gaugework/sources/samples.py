@@ -28,10 +28,16 @@ def merged(samples: DataFrame) -> DataFrame:
     return last.select(*POINT, "x.value", "x.unit", "x.seq")
 
 
-def _replace_dates(rows: DataFrame, path: str) -> None:
-    """Writes the rows over the dates that they have; other dates stay. Within a file rows are in the order of series."""
+def _replace_dates(rows: DataFrame, path: str, rows_a_file: int = 2_000_000) -> None:
+    """Writes the rows over the dates that they have; other dates stay. A date has files by its rows, dealt by series (a
+    hot host's series apart), and within a file rows are in the order of series."""
     out = rows.withColumn("date", F.to_date("ts"))
-    out.repartition("date", F.pmod(F.xxhash64("host_id"), F.lit(16))).sortWithinPartitions("date", *POINT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    files = {r["date"]: -(-r["n"] // rows_a_file) for r in out.groupBy("date").agg(F.count("*").alias("n")).collect()}  # a row a day
+    if not files:
+        return
+    own = F.element_at(F.create_map(*(F.lit(x) for pair in files.items() for x in pair)), F.col("date")) if max(files.values()) > 1 else F.lit(1)
+    out = out.repartition(sum(files.values()), "date", F.pmod(F.xxhash64(*SERIES), own))
+    out.sortWithinPartitions("date", *POINT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def _dates(rows: DataFrame) -> list:
