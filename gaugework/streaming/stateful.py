@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gaugework.streaming.queries import DELAY, event_time
@@ -114,7 +116,7 @@ def stream_sustained_alerts(breaches: DataFrame, delay: str = DELAY) -> DataFram
 
 
 class TopK(StatefulProcessor):
-    """The top of a metric after every batch, and hosts whose last sample has expired: update and expire rows."""
+    """The top of a metric among a bucket of its hosts after every batch, and hosts whose last sample has expired: update and expire rows."""
 
     def __init__(self, k: int, ttl_s: int):
         self.k, self.ttl_ms = k, ttl_s * 1000
@@ -122,35 +124,67 @@ class TopK(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.hosts = handle.getMapState("hosts", "host_id string", "ts long, value double")
+        self.turn = handle.getValueState("turn", "n long, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for r in _sorted(rows).itertuples():
-            t = _ms(r.ts)
-            if not self.hosts.containsKey((r.host_id,)) or self.hosts.getValue((r.host_id,))[0] <= t:
-                self.hosts.updateValue((r.host_id,), (t, float(r.value)))
-            self.handle.registerTimer(t + self.ttl_ms)
-        yield from self._top(key)
+        turn, timer = self.turn.get() if self.turn.exists() else (0, None)
+        for own in rows:  # frame by frame: of each host its last sample
+            own = own.sort_values(["ts", "seq"]).drop_duplicates("host_id", keep="last")
+            for host, t, value in zip(own["host_id"], map(_ms, own["ts"]), own["value"]):
+                if not self.hosts.containsKey((host,)) or self.hosts.getValue((host,))[0] <= t:
+                    self.hosts.updateValue((host,), (t, float(value)))
+        self._wake(turn + 1, timer)
+        yield from self._top(key, turn + 1)
+
+    def _wake(self, turn: int, timer: int | None) -> None:
+        """One timer a bucket: for the host that expires first."""
+        first = min((v[0] for _, v in self.hosts.iterator()), default=None)
+        due = None if first is None else first + self.ttl_ms
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.turn.update((turn, due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         gone = [(h[0], v) for h, v in self.hosts.iterator() if v[0] + self.ttl_ms <= now]
         for host, _ in gone:
             self.hosts.removeKey((host,))
+        turn, _ = self.turn.get()
+        self._wake(turn + 1, None)
         n = len(gone)
-        yield from _frame(metric=[key[0]] * n, kind=["expire"] * n, rank=[0] * n, host_id=[h for h, _ in gone], value=[v[1] for _, v in gone])
+        yield from _frame(metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn + 1] * n, kind=["expire"] * n, host_id=[h for h, _ in gone], ts=[_time(v[0]) for _, v in gone], value=[v[1] for _, v in gone])
+        yield from self._top(key, turn + 1)
 
-    def _top(self, key) -> Iterator[pd.DataFrame]:
-        best = sorted((-v[1], h[0]) for h, v in self.hosts.iterator())[: self.k]
+    def _top(self, key, turn: int) -> Iterator[pd.DataFrame]:
+        best = sorted((-v[1], h[0], v[0]) for h, v in self.hosts.iterator())[: self.k]
         n = len(best)
-        yield from _frame(metric=[key[0]] * n, kind=["update"] * n, rank=range(1, n + 1), host_id=[h for _, h in best], value=[-v for v, _ in best])
+        yield from _frame(metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn] * n, kind=["update"] * n, host_id=[h for _, h, _ in best], ts=[_time(t) for *_, t in best], value=[-v for v, *_ in best])
 
     def close(self) -> None:
         pass
 
 
-def stream_topk(samples: DataFrame, k: int = 10, ttl_s: int = 3600, delay: str = DELAY) -> DataFrame:
-    rows = event_time(samples, delay).select("metric", "host_id", "ts", "seq", "value")
-    return rows.groupBy("metric").transformWithStateInPandas(TopK(k, ttl_s), "metric string, kind string, rank long, host_id string, value double", "Append", "EventTime")
+def stream_topk(samples: DataFrame, k: int = 10, ttl_s: int = 3600, delay: str = DELAY, buckets: int = 64) -> DataFrame:
+    """metric, bucket, turn, kind (update or expire), host_id, ts, value. State is kept by metric and bucket of hosts, so that a
+    metric of many hosts is many tasks' work; merged_tops() makes a metric's top of its buckets'."""
+    rows = event_time(samples, delay).select("metric", F.pmod(F.xxhash64("host_id"), F.lit(buckets)).alias("bucket"), "host_id", "ts", "seq", "value")
+    schema = "metric string, bucket long, turn long, kind string, host_id string, ts timestamp, value double"
+    return rows.groupBy("metric", "bucket").transformWithStateInPandas(TopK(k, ttl_s), schema, "Append", "EventTime")
+
+
+def merged_tops(rows: DataFrame, k: int = 10) -> DataFrame:
+    """metric, rank, host_id, value: of the rows of stream_topk, the last update of each bucket without hosts that expired
+    with or after it, cut to k: k rows a bucket at most are ranked."""
+    one = Window.partitionBy("metric", "bucket")
+    last = F.max(F.when(F.col("kind") == "update", F.col("turn"))).over(one)
+    rows = rows.withColumn("last", last).where("turn >= last")
+    gone = F.max(F.col("kind") == "expire").over(Window.partitionBy("metric", "bucket", "host_id"))
+    live = rows.withColumn("gone", gone).where("kind = 'update' and not gone")
+    top = live.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "host_id"))).where(F.col("rank") <= k)
+    return top.select("metric", F.col("rank").cast("long").alias("rank"), "host_id", "value")
 
 
 class Sliding(StatefulProcessor):
@@ -164,26 +198,53 @@ class Sliding(StatefulProcessor):
         self.points = handle.getListState("points", "t long, v double")
         self.limit = handle.getValueState("limit", "size int, resized long")
 
+    def _sizes(self, t: np.ndarray, held: int, size: int, resized: int) -> tuple[np.ndarray, int, int]:
+        """The window's size at each of the times t, and its state after them. Only an adaptive window is gone through in order."""
+        sizes = np.full(len(t), size)
+        if self.adaptive:
+            least, most = self.adaptive
+            start = 0
+            for k in range(held, len(t)):
+                sizes[k] = size
+                start = max(start, k + 1 - size, int(np.searchsorted(t, t[k] - self.age_ms)))
+                if t[k] - resized >= 60_000:
+                    full = (k + 1 - start) / size
+                    new = min(most, int(size * 1.5)) if full > 0.8 else max(least, int(size * 0.8)) if full < 0.3 else size
+                    size, resized = (new, int(t[k])) if new != size else (size, resized)
+        return sizes, size, resized
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(p) for p in self.points.get()] if self.points.exists() else []
+        new = _sorted(rows)
+        before = np.array([tuple(p) for p in self.points.get()] if self.points.exists() else [], np.float64).reshape(-1, 2)
         size, resized = self.limit.get() if self.limit.exists() else (self.size, 0)
-        out = []
-        for r in _sorted(rows).itertuples():
-            t = _ms(r.ts)
-            held = [p for p in [*held, (t, float(r.value))][-size:] if p[0] >= t - self.age_ms]
-            v = [x for _, x in held]
-            mean = sum(v) / len(v)
-            spread = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5 if len(v) > 1 else 0.0
-            out.append((r.ts, len(v), sum(v), mean, min(v), max(v), spread, size))
-            if self.adaptive and t - resized >= 60_000:
-                full, (least, most) = len(held) / size, self.adaptive
-                new = min(most, int(size * 1.5)) if full > 0.8 else max(least, int(size * 0.8)) if full < 0.3 else size
-                size, resized = (new, t) if new != size else (size, resized)
-        self.points.put(held)
-        self.limit.update((size, resized))
-        names = ("ts", "count", "sum", "avg", "min", "max", "std_dev", "size")
-        n = len(out)
-        yield from _frame(host_id=[key[0]] * n, metric=[key[1]] * n, **dict(zip(names, zip(*out), strict=False)))
+        held = len(before)
+        t = np.append(before[:, 0].astype(np.int64), new["ts"].to_numpy("datetime64[ms]").astype(np.int64))
+        t = np.maximum.accumulate(t)  # a late row of a later batch counts as of the newest before it
+        v = np.append(before[:, 1], new["value"].to_numpy(np.float64))
+        sizes, size, resized = self._sizes(t, held, size, resized)
+        at = np.arange(held, len(t))
+        # a point that has left the window doesn't come back when the window grows: starts never go back
+        first = np.maximum.accumulate(np.maximum(np.searchsorted(t, t[at] - self.age_ms), at + 1 - sizes[held:])).clip(0)
+        n = at + 1 - first
+        wide = int(n.max(initial=1))
+        stats = [np.empty(len(at)) for _ in range(5)]
+        for lo in range(0, len(at), max(1, 1_000_000 // wide)):  # windows as the rows of a table of bounded size
+            own = slice(lo, lo + max(1, 1_000_000 // wide))
+            place = first[own, None] + np.arange(wide)
+            inside = place <= at[own, None]
+            values = v[np.minimum(place, len(v) - 1)]
+            total = np.where(inside, values, 0).sum(1)
+            mean = total / n[own]
+            spread = np.sqrt((np.where(inside, values - mean[:, None], 0) ** 2).sum(1) / n[own])
+            for out, x in zip(stats, (total, mean, np.where(inside, values, np.inf).min(1), np.where(inside, values, -np.inf).max(1), spread)):
+                out[own] = x
+        keep = max(first[-1] if len(first) else 0, len(t) - size)
+        self.points.put(list(zip(t[keep:].tolist(), v[keep:].tolist())))
+        self.limit.update((int(size), int(resized)))
+        total, mean, least, most, spread = stats
+        yield from _frame(
+            host_id=[key[0]] * len(at), metric=[key[1]] * len(at), ts=new["ts"].tolist(), count=n, sum=total, avg=mean, min=least, max=most, std_dev=spread, size=sizes[held:]
+        )
 
     def close(self) -> None:
         pass

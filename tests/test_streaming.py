@@ -3,6 +3,8 @@
 import datetime
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,8 +75,43 @@ def test_liveness(spark, parts):
 def test_topk(spark, parts, tmp_path):
     finished_sink(stream(spark, parts), Q.topk_sink(f"{tmp_path}/t", 5, 86_400))
     same(spark.read.parquet(f"{tmp_path}/t/top"), K.topk_hosts(parts[1], 5, 86_400), "metric", "rank", "host_id", "value")
-    rows = finished(T.stream_topk(stream(spark, parts), 5, 864_000)).collect()
-    assert {r.kind for r in rows} >= {"update"} and all(1 <= r.rank <= 5 for r in rows if r.kind == "update")
+    forever = 10**9
+    same(T.merged_tops(finished(T.stream_topk(stream(spark, parts), 5, forever, buckets=3)), 5), K.topk_hosts(parts[1], 5, forever), "metric", "rank", "host_id", "value")
+    short = finished(T.stream_topk(stream(spark, parts), 5, 86_400, buckets=3))
+    gone = {(r.metric, r.host_id) for r in short.where("kind = 'expire'").collect()}
+    top = T.merged_tops(short, 5).collect()
+    assert gone and top and all(1 <= r["rank"] <= 5 for r in top)
+
+
+def test_merged_tops(spark):
+    rows = [("m", 0, 1, "update", "a", 9.0), ("m", 0, 2, "update", "b", 8.0), ("m", 0, 2, "update", "c", 7.0), ("m", 0, 3, "expire", "b", 8.0), ("m", 1, 4, "update", "d", 8.0), ("n", 1, 1, "update", "e", 1.0)]
+    top = T.merged_tops(spark.createDataFrame(rows, "metric string, bucket long, turn long, kind string, host_id string, value double"), 2)
+    assert sorted((r.metric, r["rank"], r.host_id) for r in top.collect()) == [("m", 1, "d"), ("m", 2, "c"), ("n", 1, "e")]
+
+
+def test_sliding_windows_plain():
+    """Window sizes and frames of one key over several batches against a plain loop, late rows and adaptive sizes included."""
+    rng = np.random.default_rng(3)
+    for adaptive in (None, (2, 9)):
+        own, state = T.Sliding(4, 300, adaptive), {}
+        keep = lambda name: type("State", (), {"exists": lambda _: name in state, "get": lambda _: state[name], "put": lambda _, x: state.update({name: x}), "update": lambda _, x: state.update({name: x})})()
+        own.points, own.limit = keep("points"), keep("limit")
+        held, size, resized, clock, seq = [], 4, 0, 0, 0
+        for _ in range(5):
+            t = np.sort(rng.integers(0, 4000, 30)) * 1000 + 1_700_000_000_000
+            rows = pd.DataFrame({"ts": pd.to_datetime(t, unit="ms"), "seq": range(seq, seq + 30), "value": rng.random(30)})
+            seq += 30
+            (got,) = own.handleInputRows(("h", "m"), iter([rows]), None)
+            for k in range(30):
+                clock = max(clock, int(t[k]))
+                held = [p for p in [*held, (clock, rows["value"][k])][-size:] if p[0] >= clock - 300_000]
+                v = np.array([x for _, x in held])
+                want = (len(v), v.sum(), v.mean(), v.min(), v.max(), v.std(), size)
+                assert np.allclose(got.iloc[k][["count", "sum", "avg", "min", "max", "std_dev", "size"]].astype(float), want)
+                if adaptive and clock - resized >= 60_000:
+                    full = len(held) / size
+                    new = min(9, int(size * 1.5)) if full > 0.8 else max(2, int(size * 0.8)) if full < 0.3 else size
+                    size, resized = (new, clock) if new != size else (size, resized)
 
 
 def test_buckets(spark, parts):
