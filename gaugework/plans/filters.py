@@ -65,15 +65,16 @@ def raw_names(spark, sf_dir):
 RAW = f"q AS (SELECT host_id, [{', '.join(repr(n) for n in NAMES)}][CAST(seq % {len(NAMES)} + 1 AS INTEGER)] AS metric, ts, value, seq FROM s)"
 
 
-@query(
-    f"""WITH {{S}}, {RAW} SELECT host_id, seq, CASE WHEN metric = 'cpu.usage' THEN 'cpu_usage' WHEN metric = 'memory.usage' THEN 'memory_usage' WHEN metric LIKE 'network.bandwidth.%' THEN 'network_traffic'
+CANON = f"""{RAW}, c AS (SELECT host_id, ts, seq, CASE WHEN metric = 'cpu.usage' THEN 'cpu_usage' WHEN metric = 'memory.usage' THEN 'memory_usage' WHEN metric LIKE 'network.bandwidth.%' THEN 'network_traffic'
       WHEN metric LIKE 'network.rx\\_bytes.%' ESCAPE '\\' THEN 'network_rx' WHEN metric LIKE 'network.tx\\_bytes.%' ESCAPE '\\' THEN 'network_tx' WHEN metric LIKE 'network.connections.%' THEN 'network_connections'
       WHEN metric LIKE 'memory.%' THEN replace(metric, '.', '_') WHEN metric LIKE 'disk.%' THEN 'disk_' || split_part(metric, '.', 2) ELSE metric END AS metric,
       round(CASE WHEN metric LIKE 'network.bandwidth.%' OR metric IN ('memory.total', 'memory.used', 'memory.free') THEN value / 1048576 WHEN metric IN ('network.rx_bytes.eth0', 'network.tx_bytes.eth0') THEN value / 1024
       WHEN metric IN ('disk.total./', 'disk.used./', 'disk.free./') THEN value / 1073741824 ELSE value END, 12) AS value,
       CASE WHEN metric LIKE 'network.bandwidth.%' THEN 'MB/s' WHEN metric IN ('network.rx_bytes.eth0', 'network.tx_bytes.eth0') THEN 'KB/s' WHEN metric IN ('memory.total', 'memory.used', 'memory.free', 'disk.total./', 'disk.used./', 'disk.free./') THEN 'GB' ELSE '' END AS unit,
-      CASE WHEN metric IN ('network.bandwidth.eth0', 'network.rx_bytes.eth0', 'network.tx_bytes.eth0') THEN 'eth0' WHEN metric = 'network.connections.tcp' THEN 'tcp' WHEN metric LIKE 'disk.%' THEN '/' ELSE '' END AS instance FROM q"""
-)
+      CASE WHEN metric IN ('network.bandwidth.eth0', 'network.rx_bytes.eth0', 'network.tx_bytes.eth0') THEN 'eth0' WHEN metric = 'network.connections.tcp' THEN 'tcp' WHEN metric LIKE 'disk.%' THEN '/' ELSE '' END AS instance FROM q)"""
+
+
+@query(f"WITH {{S}}, {CANON} SELECT host_id, seq, metric, value, unit, instance FROM c")
 def canonicalise(spark, sf_dir):
     return rounded(O.canonicalise(raw_names(spark, sf_dir)).select("host_id", "seq", "metric", "value", "unit", "instance"), "value", places=12)
 
@@ -125,10 +126,10 @@ def threshold_predicate(spark, sf_dir):
     return samples(spark, sf_dir).select("seq", C.threshold_predicate(F.col("value"), op, F.lit(50.0)).alias("hit"))
 
 
-@query("WITH {S}, q AS (SELECT seq, CASE seq % 4 WHEN 0 THEN value * 10000 + 37 WHEN 1 THEN value * 100 + 0.3 WHEN 2 THEN (value + 0.003) / 100000 ELSE value END AS v FROM s) SELECT seq, CASE WHEN v >= 1e6 THEN format('{:.2f}M', v / 1e6) WHEN v >= 1e3 THEN format('{:.2f}K', v / 1e3) WHEN v > 0 AND v < 0.01 THEN format('{:.6f}', v) ELSE format('{:.4f}', v) END AS shown FROM q WHERE seq % 4 <> 0 OR v >= 1e6")
+@query("WITH {S}, q AS (SELECT seq, CASE seq % 4 WHEN 0 THEN value * 10000 + 37 WHEN 1 THEN value * 100 + 0.3 WHEN 2 THEN (value + 0.003) / 100000 ELSE value END AS v FROM s) SELECT seq, CASE WHEN v >= 1e6 THEN format('{:.2f}M', v / 1e6) WHEN v >= 1e3 THEN format('{:.2f}K', v / 1e3) WHEN v > 0 AND v < 0.01 THEN format('{:.6f}', v) ELSE format('{:.4f}', v) END AS shown FROM q")
 def si_format(spark, sf_dir):
     v = F.when(F.col("seq") % 4 == 0, F.col("value") * 10000 + 37).when(F.col("seq") % 4 == 1, F.col("value") * 100 + 0.3).when(F.col("seq") % 4 == 2, (F.col("value") + 0.003) / 100000).otherwise(F.col("value"))
-    rows = samples(spark, sf_dir).select("seq", v.alias("v")).where("seq % 4 <> 0 or v >= 1e6")
+    rows = samples(spark, sf_dir).select("seq", v.alias("v"))
     return rows.select("seq", C.si_format(F.col("v")).alias("shown"))
 
 
@@ -199,13 +200,14 @@ PAIRS = "WITH v AS (SELECT x.vec_id, x.embedding AS a, y.embedding AS b FROM emb
 
 
 @query(
-    f"""{PAIRS}, z AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM v) SELECT vec_id, round(sum(CAST(x + y AS DOUBLE)), 3) AS added, round(sum(CAST(x - y AS DOUBLE)), 3) AS subtracted,
-      round(sum(CAST(x * y AS DOUBLE)), 3) AS multiplied FROM z GROUP BY ALL"""
+    f"""{PAIRS}, z AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y, generate_subscripts(a, 1) - 1 AS pos FROM v)
+    SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(x + y AS DOUBLE) AS added, CAST(x - y AS DOUBLE) AS subtracted, CAST(x * y AS DOUBLE) AS multiplied FROM z"""
 )
 def vector_elementwise(spark, sf_dir):
     p, a, b = vector_pairs(spark, sf_dir), F.col("a"), F.col("b")
     made = {"added": V.vec_add(a, b), "subtracted": V.vec_sub(a, b), "multiplied": V.vec_mul(a, b)}
-    return p.select("vec_id", *(F.round(V.vec_sum(c), 3).alias(n) for n, c in made.items()))
+    each = p.select("vec_id", F.posexplode(F.arrays_zip(*(c.alias(n) for n, c in made.items()))))
+    return each.select("vec_id", "pos", *(F.col(f"col.{n}").cast("double").alias(n) for n in made))
 
 
 @query(f"{PAIRS}, z AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM v) SELECT vec_id, round(sum(x::DOUBLE * y::DOUBLE), 4) AS dot FROM z GROUP BY ALL")

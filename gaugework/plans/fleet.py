@@ -197,30 +197,58 @@ def cost_decision(spark, sf_dir):
 
 NODES = ("node1", "node2", "node3", "node4")
 
+#: CRC-32 in SQL: the table of its 256 steps, and the fold of a text's bytes.
+CRC_TABLE = "g AS (SELECT list(r ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END) AS r FROM range(256) x(i)))"
+
+
+def crc_sql(text):
+    codes = f"list_transform(range(length({text})), lambda j: CAST(ord(substr({text}, CAST(j + 1 AS BIGINT), 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda s, b: xor(s // 256, tab[CAST(xor(s % 256, b) + 1 AS INTEGER)])), 4294967295)"
+
+
+def ring_sql(name, nodes):
+    """The points of a ring, h and node, 50 a node."""
+    return f"{name} AS (SELECT {crc_sql('p')} AS h, node FROM (SELECT CAST(i AS VARCHAR) || node AS p, node FROM range(50) x(i), (SELECT unnest({list(nodes)}) AS node)), g)"
+
+
+def owner_sql(ring):
+    """The node of column crc of k: of the first point from there on, else of the ring's first."""
+    return f"k ASOF LEFT JOIN {ring} ON k.crc <= {ring}.h"
+
+
+KEYS = f"k AS (SELECT key, seq, {crc_sql('key')} AS crc FROM (SELECT host_id || ':' || CAST(floor(epoch(ts)) AS BIGINT) AS key, seq FROM s), g)"
+SHARDS = f"{{S}}, {CRC_TABLE}, {KEYS}, {ring_sql('ring', NODES)}, o AS (SELECT key, seq, crc, coalesce(node, (SELECT arg_min(node, h) FROM ring)) AS node FROM {owner_sql('ring')})"
+
 
 def shard_keys(spark, sf_dir):
     s = samples(spark, sf_dir)
     return s.select(F.concat_ws(":", "host_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")).alias("key"), "seq")
 
 
-@query()
+@query(f"WITH {SHARDS} SELECT key, seq, crc, node FROM o")
 def assign_shards(spark, sf_dir):
     return D.assign_shards(shard_keys(spark, sf_dir), NODES)
 
 
-@query()
+@query(
+    f"""WITH {SHARDS}, w AS (SELECT p.h, q.node, min((q.h - p.h + 4294967296) % 4294967296) AS way FROM ring p, ring q GROUP BY ALL), n AS (SELECT h, string_agg(node, ',' ORDER BY way) AS nodes FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY way) <= 3) GROUP BY h),
+    a AS (SELECT key, seq, crc, coalesce(ring.h, (SELECT min(h) FROM ring)) AS h FROM {owner_sql('ring')}) SELECT key, seq, crc, nodes FROM a JOIN n USING (h)"""
+)
 def assign_replicas(spark, sf_dir):
     return D.assign_replicas(shard_keys(spark, sf_dir), NODES, replicas=3).withColumn("nodes", F.array_join("nodes", ","))
 
 
-@query()
+@query(
+    f"""WITH {SHARDS}, {ring_sql('less', NODES[:3])}, b AS (SELECT key, seq, coalesce(node, (SELECT arg_min(node, h) FROM less)) AS node_after FROM {owner_sql('less')})
+    SELECT o.key, node AS node_before, node_after FROM o JOIN b USING (seq) WHERE node <> node_after"""
+)
 def rebalance(spark, sf_dir):
     return D.rebalance(shard_keys(spark, sf_dir), NODES, NODES[:3])
 
 
-@query()
+@query(f"WITH {SHARDS}, n AS (SELECT node, count(*) AS keys FROM o GROUP BY ALL) SELECT node, 50 AS points, keys, round(keys / avg(keys) OVER (), 9) AS skew FROM n")
 def shard_distribution(spark, sf_dir):
-    return D.shard_distribution(D.assign_shards(shard_keys(spark, sf_dir), NODES))
+    return D.shard_distribution(D.assign_shards(shard_keys(spark, sf_dir), NODES)).withColumn("skew", F.round("skew", 9))
 
 
 FOLD = """c AS (SELECT event_id AS idx, 'k' || user_id AS key, CASE event_type WHEN 'signup' THEN 'SET' WHEN 'error' THEN 'DELETE' WHEN 'view' THEN 'UPDATE' WHEN 'click' THEN 'INCREMENT' ELSE 'SET' END AS op, CAST(floor(value) AS BIGINT) AS value FROM events),

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugework.model import hosts, messages, samples, table
-from gaugework.plans.filters import HOSTS, NAMES, RAW, raw_names
+from gaugework.plans.filters import CANON, HOSTS, raw_names
 from gaugework.plans.series import END, START, bounds
 from gaugework.registry import query
 from gaugework.session import work_dir
 from gaugework.sources import envelopes as E
 from gaugework.sources import hosts as J
-from gaugework.sources import procfs
+from gaugework.sources import kafka, procfs
 from gaugework.sources import samples as S
 
 ALL = "host_id, metric, ts, value, '' AS unit, seq"
@@ -77,42 +77,72 @@ def explode_envelopes(spark, sf_dir):
     return E.explode_envelopes(payloads(spark, sf_dir)).withColumn("tags", F.to_json("tags"))
 
 
+def daily(spark, sf_dir):
+    """The greatest whole value of each series and day."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")
+    return samples(spark, sf_dir).groupBy("host_id", day, "metric").agg(F.max(F.floor("value")).cast("double").alias("value")).withColumn("unit", F.lit(""))
+
+
 @query(
     """WITH {S}, m AS (SELECT host_id, date_trunc('day', ts)::TIMESTAMP AS ts, metric, max(CAST(floor(value) AS BIGINT)) AS v FROM s GROUP BY ALL)
     SELECT host_id, CAST(epoch(ts) AS BIGINT) AS timestamp, '[' || string_agg('{"name":"' || metric || '","value":' || v || '.0,"unit":""}', ',' ORDER BY metric) || ']' AS metrics FROM m GROUP BY ALL"""
 )
 def build_envelopes(spark, sf_dir):
-    day = samples(spark, sf_dir).groupBy("host_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "metric").agg(F.max(F.floor("value")).cast("double").alias("value"))
-    return E.build_envelopes(day.withColumn("unit", F.lit("")))
+    return E.build_envelopes(daily(spark, sf_dir))
 
 
-@query(
-    f"""WITH {{S}}, {RAW} SELECT host_id, '{{"type":"metrics","data":{{"host_id":"' || host_id || '","timestamp":' || CAST(floor(epoch(ts)) AS BIGINT) || ',"metrics":[{{"name":"load","value":' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.0,"unit":""}}]}}}}' AS message FROM q WHERE metric = 'load'"""
-)
+def sent(messages):
+    """The metrics of live messages, a row each."""
+    data = "struct<host_id:string,timestamp:bigint,metrics:array<struct<name:string,value:double,unit:string>>>"
+    m = messages.select("host_id", F.from_json("message", f"struct<type:string,data:{data}>").alias("m"))
+    return m.select("host_id", "m.type", "m.data.timestamp", F.col("m.data.host_id").alias("of"), F.inline("m.data.metrics"))
+
+
+@query(f"WITH {{S}}, {CANON} SELECT host_id, 'metrics' AS type, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, host_id AS of, metric AS name, value, unit FROM c")
 def live_push(spark, sf_dir):
-    return E.live_messages(raw_names(spark, sf_dir).where(F.col("metric") == NAMES[-1]).withColumn("value", F.floor("value").cast("double")))
+    return sent(E.live_messages(raw_names(spark, sf_dir))).withColumn("value", F.round("value", 12))
 
 
-SNAPSHOTS = """i AS (SELECT 'host-' || user_id AS host_id, ts, event_type, CAST(floor(value) AS BIGINT) AS v FROM events),
-    m AS (SELECT host_id, ts, unnest([{'m': 'memory.total', 'v': 1000000.0, 'u': 'KB'}, {'m': 'memory.free', 'v': v * 10.0, 'u': 'KB'}, {'m': 'memory.slab_reclaimable', 'v': v * 1.0, 'u': 'KB'}]) AS x FROM i WHERE event_type = 'click'
-      UNION ALL SELECT host_id, ts, unnest([{'m': 'cpu.load_avg_1', 'v': 0.5, 'u': ''}, {'m': 'cpu.load_avg_5', 'v': v + 0.25, 'u': ''}, {'m': 'cpu.load_avg_15', 'v': v * 1.0, 'u': ''}]) FROM i WHERE event_type = 'view'
-      UNION ALL SELECT host_id, ts, unnest([{'m': 'disk.reads.sda', 'v': v * 1.0, 'u': 'ops'}, {'m': 'disk.read_bytes.sda', 'v': 2.0 * v * 512, 'u': 'B'}, {'m': 'disk.writes.sda', 'v': 7.0, 'u': 'ops'}, {'m': 'disk.write_bytes.sda', 'v': 8.0 * 512, 'u': 'B'}, {'m': 'disk.io_time.sda', 'v': 11.0, 'u': 'ms'}]) FROM i WHERE event_type = 'purchase'
-      UNION ALL SELECT host_id, ts, unnest([{'m': 'network.connections', 'v': v * 1.0, 'u': 'conn'}]) FROM i WHERE event_type = 'signup'
-      UNION ALL SELECT host_id, ts, unnest([{'m': 'memory.pressure_some', 'v': v + 0.5, 'u': '%'}, {'m': 'memory.pressure_full', 'v': 0.25, 'u': '%'}]) FROM i WHERE event_type = 'error')"""
+@query(
+    """WITH {S}, m AS (SELECT host_id, date_trunc('day', ts)::TIMESTAMP AS ts, metric, max(CAST(floor(value) AS BIGINT)) AS v FROM s GROUP BY ALL)
+    SELECT host_id AS key, '{"host_id":"' || host_id || '","timestamp":' || CAST(epoch(ts) AS BIGINT) || ',"metrics":[' || string_agg('{"name":"' || metric || '","value":' || v || '.0,"unit":""}', ',' ORDER BY metric) || ']}' AS value FROM m GROUP BY host_id, ts"""
+)
+def encode_messages(spark, sf_dir):
+    return kafka.encode_messages(E.scrapes(daily(spark, sf_dir)))
+
+
+# The fields of the stat and net_dev files.
+JIFFIES = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
+NET = ("rx_bytes", "rx_packets", "rx_errors", "rx_dropped", "rx_fifo", "rx_frame", "rx_compressed", "rx_multicast", "tx_bytes", "tx_packets", "tx_errors", "tx_dropped", "tx_fifo", "tx_collisions", "tx_carrier", "tx_compressed")
+#: For each kind of file (by event_id % 11) its text, with %s for a number, and the metrics in it as (name, value in SQL, unit).
+KINDS = (
+    ("meminfo", "MemTotal:  1000000 kB\nMemFree: %s0 kB\nDirectMap4k: 5 kB\nSReclaimable: %s kB", [("memory.total", "1000000", "KB"), ("memory.free", "v * 10", "KB"), ("memory.slab_reclaimable", "v", "KB")]),
+    ("loadavg", "0.50 %s.25 %s.00 2/300 4711", [("cpu.load_avg_1", "0.5", ""), ("cpu.load_avg_5", "v + 0.25", ""), ("cpu.load_avg_15", "v", "")]),
+    ("diskstats", "   8  0 sda %s 1 %s 4 7 6 8 9 0 11 12\n 7 0 loop0 1 1 1 1 1 1 1 1 1 1 1\n 253 0 dm-0 1 1 1 1 1 1 1 1 1 1 1",
+        [("disk.reads.sda", "v", "ops"), ("disk.read_bytes.sda", "v * 512", "B"), ("disk.writes.sda", "7", "ops"), ("disk.write_bytes.sda", "4096", "B"), ("disk.io_time.sda", "11", "ms")]),
+    ("sockstat", "sockets: used 300\nTCP: inuse %s orphan 0", [("network.connections", "v", "conn")]),
+    ("pressure_memory", "some avg10=%s.50 avg60=0.00 total=1\nfull avg10=0.25 avg60=0.00 total=1", [("memory.pressure_some", "v + 0.5", "%"), ("memory.pressure_full", "0.25", "%")]),
+    ("stat", "cpu  %s 1 2 3 4 5 6 7 0 0\ncpu0 %s 1 2 3 4 5 6 7 0 0\nintr 99 1 2\nctxt 17\nbtime 5\nprocesses 12\nprocs_running 2\nprocs_blocked 0",
+        [(f"cpu.jiffies.{c}.{n}", "v" if i == 0 else str(i), "jiffies") for c in ("total", "cpu0") for i, n in enumerate(JIFFIES)]
+        + [("cpu.interrupts", "99", ""), ("cpu.context_switches", "17", ""), ("cpu.processes", "12", ""), ("cpu.procs_running", "2", ""), ("cpu.procs_blocked", "0", "")]),
+    ("vmstat", "nr_free_pages %s\nnr_other 3\npswpin 7\nnr_dirty %s", [("memory.vmstat_nr_free_pages", "v", ""), ("memory.swap_in", "7", ""), ("memory.vmstat_nr_dirty", "v", "")]),
+    ("buddyinfo", "Node 0, zone DMA 1 %s 2\nNode 0, zone Normal 3 0 %s", [("memory.free_pages", "(v + v + 6) * 4", "KB")]),
+    ("numa_meminfo", "Node 0 MemTotal: 500 kB\nNode 0 MemFree: %s kB\nNode 1 MemFree: %s kB\nNode 0 Active: 3 kB", [("memory.numa_0.total", "500", "KB"), ("memory.numa_0.free", "v", "KB"), ("memory.numa_1.free", "v", "KB")]),
+    ("mounts", "/dev/sda1 /data ext4 rw 0 0\nproc /proc proc rw 0 0\ntmpfs /run tmpfs rw 0 0\n/dev/sdb /dev/x ext4 rw 0 0", [("disk.mount./data", "1", "")]),
+    ("net_dev", "Inter-|   Receive    |  Transmit\n face |bytes packets |bytes packets\n    lo: " + "1 " * 16 + "\n  eth0: %s 2 3 4 5 6 7 8 %s 10 11 12 13 14 15 16", [(f"network.{n}.eth0", "v" if i in (0, 8) else str(i + 1), "") for i, n in enumerate(NET)]),
+)
+METRIC = "{'m': '%s', 'v': CAST(%s AS DOUBLE), 'u': '%s'}"
+OF_KIND = " UNION ALL ".join(f"SELECT host_id, ts, unnest([{', '.join(METRIC % m for m in made)}]) AS x FROM i WHERE kind = {k}" for k, (_, _, made) in enumerate(KINDS))
+SNAPSHOTS = f"i AS (SELECT event_id % {len(KINDS)} AS kind, 'host-' || user_id AS host_id, ts, CAST(floor(value) AS BIGINT) AS v FROM events), m AS ({OF_KIND})"
 
 
 def snapshots(spark, sf_dir):
-    """Events as text snapshots of files, one kind of file for each event type."""
+    """Events as text snapshots of files, all kinds by turns."""
     e = table(spark, sf_dir, "events").withColumn("v", F.floor("value").cast("string"))
-    content = {
-        "click": ("meminfo", F.format_string("MemTotal:  1000000 kB\nMemFree: %s0 kB\nDirectMap4k: 5 kB\nSReclaimable: %s kB", "v", "v")),
-        "view": ("loadavg", F.format_string("0.50 %s.25 %s.00 2/300 4711", "v", "v")),
-        "purchase": ("diskstats", F.format_string("   8  0 sda %s 1 %s 4 7 6 8 9 0 11 12\n 7 0 loop0 1 1 1 1 1 1 1 1 1 1 1\n 253 0 dm-0 1 1 1 1 1 1 1 1 1 1 1", "v", (F.floor("value") * 2).cast("string"))),
-        "signup": ("sockstat", F.format_string("sockets: used 300\nTCP: inuse %s orphan 0", "v")),
-        "error": ("pressure_memory", F.format_string("some avg10=%s.50 avg60=0.00 total=1\nfull avg10=0.25 avg60=0.00 total=1", "v")),
-    }
-    pick = lambda i: F.coalesce(*(F.when(F.col("event_type") == t, F.lit(x[i]) if i == 0 else x[i]) for t, x in content.items()))
-    return e.select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("host_id"), "ts", pick(0).alias("file"), pick(1).alias("content"))
+    kind = F.col("event_id") % len(KINDS)
+    file = F.element_at(F.array(*(F.lit(n) for n, _, _ in KINDS)), (kind + 1).cast("int"))
+    content = F.coalesce(*(F.when(kind == k, F.format_string(t, *["v"] * t.count("%s")) if "%s" in t else F.lit(t)) for k, (_, t, _) in enumerate(KINDS)))
+    return e.select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("host_id"), "ts", file.alias("file"), content.alias("content"))
 
 
 @query(f"WITH {SNAPSHOTS} SELECT host_id, ts, x.m AS metric, round(CAST(x.v AS DOUBLE), 4) AS value, x.u AS unit FROM m")

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.model import resources_of, samples_of, table
+from gaugework.model import resources_of, samples, samples_of, table
 from gaugework.operators import alerts as L
 from gaugework.plans.series import rounded
-from gaugework.plans.storage import payloads
+from gaugework.plans.storage import payloads, sent
 from gaugework.registry import query
 from gaugework.session import work_dir
-from gaugework.sources import kafka, samples
+from gaugework.sources import kafka
+from gaugework.sources import samples as stored
 from gaugework.streaming import queries as Q
 from gaugework.streaming import stateful as T
 
@@ -47,14 +48,22 @@ def stream_bucket_stats(spark, sf_dir):
     return rounded(finished(Q.stream_bucket_stats(samples_of(events_stream(spark, sf_dir)), "1 day")), "sum", "avg")
 
 
-@query("WITH {S} SELECT DISTINCT host_id, metric, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM s WHERE value > 20")
+@query("WITH {S} SELECT DISTINCT host_id, metric, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, true AS of_the_hour, true AS is_an_alert FROM s WHERE value > 20")
 def stream_dedup_alerts(spark, sf_dir):
-    return finished(Q.stream_dedup_alerts(samples_of(events_stream(spark, sf_dir)).where("value > 20"))).select("host_id", "metric", "hour")
+    """Which alert of an hour survives depends on their arrival; it must be one of them, as it was."""
+    kept = finished(Q.stream_dedup_alerts(samples_of(events_stream(spark, sf_dir)).where("value > 20")))
+    given = samples(spark, sf_dir).where("value > 20").select("seq", *(F.col(c).alias(f"own_{c}") for c in ("host_id", "metric", "ts", "value")))
+    same = F.coalesce((F.col("host_id") == F.col("own_host_id")) & (F.col("metric") == F.col("own_metric")) & (F.col("ts") == F.col("own_ts")) & (F.col("value") == F.col("own_value")), F.lit(False))
+    own = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) == F.col("hour")
+    return kept.join(given, "seq", "left").select("host_id", "metric", "hour", own.alias("of_the_hour"), same.alias("is_an_alert"))
 
 
-@query("WITH {S}, l AS (SELECT host_id, metric, arg_max(value, (ts, seq)) AS value FROM s GROUP BY ALL) SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, host_id) AS rank, host_id, value FROM l QUALIFY rank <= 10")
+@query(
+    """WITH {S}, l AS (SELECT host_id, metric, max(ts) AS ts, arg_max(value, (ts, seq)) AS value FROM s GROUP BY ALL)
+    SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, host_id) AS rank, host_id, value FROM l WHERE epoch_ms(ts) + 86400000 > (SELECT epoch_ms(max(ts)) - 600000 FROM s) QUALIFY rank <= 10"""
+)
 def stream_topk(spark, sf_dir):
-    return finished(T.stream_topk(samples_of(events_stream(spark, sf_dir)), 10, 86_400)).where("kind = 'update'").drop("kind")
+    return T.merged_tops(finished(T.stream_topk(samples_of(events_stream(spark, sf_dir)), 10, 86_400)), 10)
 
 
 @query(
@@ -92,10 +101,10 @@ def stream_sustained_alerts(spark, sf_dir):
 @query(
     """WITH {S}, f AS (SELECT *, list({'t': epoch_ms(ts), 'v': value}) OVER (PARTITION BY host_id, metric ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS frame FROM s),
     h AS (SELECT *, list_transform(list_filter(frame, lambda x: x.t >= epoch_ms(ts) - 604800000), lambda x: x.v) AS v FROM f)
-    SELECT host_id, metric, ts, CAST(len(v) AS BIGINT) AS count, round(list_avg(v), 6) AS avg, list_min(v) AS min, list_max(v) AS max, round(list_stddev_pop(v), 6) AS std_dev FROM h"""
+    SELECT host_id, metric, ts, CAST(len(v) AS BIGINT) AS count, round(list_sum(v), 6) AS sum, round(list_avg(v), 6) AS avg, list_min(v) AS min, list_max(v) AS max, round(list_stddev_pop(v), 6) AS std_dev, CAST(10 AS BIGINT) AS size FROM h"""
 )
 def stream_sliding_stats(spark, sf_dir):
-    return rounded(finished(T.stream_sliding_stats(samples_of(events_stream(spark, sf_dir)), 10, 604_800)).drop("sum", "size"), "avg", "std_dev")
+    return rounded(finished(T.stream_sliding_stats(samples_of(events_stream(spark, sf_dir)), 10, 604_800)), "sum", "avg", "std_dev")
 
 
 @query("WITH {S} SELECT host_id, metric, date_trunc('second', ts)::TIMESTAMP AS ts, value, CASE seq % 4 WHEN 0 THEN 'u' WHEN 1 THEN '%' ELSE '' END AS unit, seq FROM s WHERE seq % 4 <> 3")
@@ -104,14 +113,14 @@ def stream_ingest(spark, sf_dir):
     payloads(spark, sf_dir).withColumn("retries", F.lit(0)).write.parquet(source)
     stream = spark.readStream.schema("seq long, payload string, retries int").parquet(source)
     finished_sink(stream, Q.ingest_sink(path, dead))
-    return samples.read_samples(spark, path)
+    return stored.read_samples(spark, path)
 
 
-@query("WITH {S} SELECT DISTINCT host_id FROM s")
+@query("WITH {S} SELECT host_id, 'metrics' AS type, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, host_id AS of, metric AS name, value, '' AS unit FROM s")
 def stream_live_push(spark, sf_dir):
     out = work_dir(spark, "pushed")
     finished_sink(samples_of(events_stream(spark, sf_dir)), Q.push_sink(lambda rows, k: rows.write.mode("overwrite").parquet(f"{out}/batch={k}")))
-    return spark.read.parquet(out).select("host_id").distinct()
+    return sent(spark.read.parquet(out))
 
 
 @query(
@@ -125,15 +134,14 @@ def stream_anomaly(spark, sf_dir):
     return rounded(spark.read.parquet(out).select("host_id", "metric", "n", "last", "score"), "score")
 
 
-@query("SELECT CASE WHEN event_type = 'error' THEN 'alerts' ELSE 'metrics' END AS topic, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT CASE WHEN event_type = 'error' THEN 'alerts' ELSE 'metrics' END AS topic, event_id, user_id, event_type, ts, value, props FROM events")
 def route_topics(spark, sf_dir):
     out = work_dir(spark, "topics")
     keep = lambda name: lambda rows, k: rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={k}")
     handlers = {t: keep(t) for t in ("metrics", "alerts")}
     topic = F.when(F.col("event_type") == "error", "alerts").otherwise("metrics")
     finished_sink(events_stream(spark, sf_dir).withColumn("topic", topic), lambda rows, k: kafka.route_topics(rows, k, handlers))
-    both = spark.read.parquet(f"{out}/metrics").unionByName(spark.read.parquet(f"{out}/alerts"))
-    return both.groupBy("topic").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{out}/metrics").unionByName(spark.read.parquet(f"{out}/alerts")).drop("batch")
 
 
 @query("WITH {S} SELECT host_id, metric, date_trunc('second', ts)::TIMESTAMP AS ts, value, CASE seq % 4 WHEN 0 THEN 'u' WHEN 1 THEN '%' ELSE '' END AS unit, seq FROM s WHERE seq % 4 <> 3")

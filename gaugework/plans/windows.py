@@ -133,14 +133,24 @@ def delta_profile(spark, sf_dir):
     return rounded(Z.delta_profile(samples(spark, sf_dir)), "repeated")
 
 
-@query()
+DW = D.replace("PARTITION BY host_id, metric", "PARTITION BY host_id, metric, w").replace("FROM s WINDOW", "FROM b WINDOW")
+PRESSED = f"""b AS (SELECT *, time_bucket(INTERVAL 10 DAY, ts, TIMESTAMP '1970-01-01') AS w FROM s), {DW},
+    y AS (SELECT *, bits + CASE WHEN p IS NULL THEN 64 WHEN p = value THEN 1 ELSE 14 + length(trim(xor(CAST(value AS BIT), CAST(p AS BIT))::VARCHAR, '0')) END AS point_bits FROM x),
+    z AS (SELECT host_id, metric, w AS "window", count(*) AS n, CAST(ceil(sum(point_bits) / 8) AS BIGINT) AS bytes FROM y GROUP BY ALL), c AS (SELECT *, n * 16 / bytes AS ratio FROM z WHERE n >= 4 AND n * 16 / bytes >= 1.0)"""
+
+
+@query(f"WITH {{S}}, {PRESSED} SELECT host_id, metric, \"window\", n, bytes, ratio FROM c")
 def compressibility(spark, sf_dir):
     return Z.compressibility(samples(spark, sf_dir), "10 days", 4, 1.0)
 
 
-@query()
+@query(
+    f"""WITH {{S}}, {PRESSED} SELECT count(*) AS windows, CAST(sum(n * 16) AS BIGINT) AS original_bytes, CAST(sum(bytes) AS BIGINT) AS compressed_bytes, round(avg(ratio), 9) AS avg_ratio,
+      round(1 - sum(bytes) / sum(n * 16), 9) AS savings FROM c"""
+)
 def compression_stats(spark, sf_dir):
-    return Z.compression_stats(Z.compressibility(samples(spark, sf_dir), "10 days", 4, 1.0))
+    stats = Z.compression_stats(Z.compressibility(samples(spark, sf_dir), "10 days", 4, 1.0))
+    return stats.withColumns({c: F.round(c, 9) for c in ("avg_ratio", "savings")})
 
 
 @query("WITH {S} SELECT host_id, metric, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window, count(*)::INT AS n FROM s GROUP BY ALL")
