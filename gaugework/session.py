@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +45,35 @@ def work_dir(spark: SparkSession, tag: str) -> str:
 def remove_dir(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def package_root() -> str:
+    """The folder that this package lies in."""
+    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver does: on one machine, or from a folder that all share."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if package_root() not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([package_root(), *paths])
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to all executors, for clusters where they don't have it: once a session, as a zip in the shared folder."""
+    import pyarrow.fs as pafs
+
+    data, top = io.BytesIO(), os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith((".py", ".npz")):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(top)))
+    uri = work_dir(spark, "package")
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/gaugework.zip") as out:
+        out.write(data.getvalue())
+    spark.sparkContext.addPyFile(f"{uri}/gaugework.zip")
