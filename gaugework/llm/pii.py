@@ -1,10 +1,13 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-E-mail and IP addresses, card and phone numbers that pass their checks always stay. Bank account numbers (mod 97) and
-social security numbers are added where their score, with the words nearby, reaches ``least``.
-
-Edge cases: a null text is an empty one; texts of any length are read whole; repeated rows each get a row; an empty
-table gives an empty result; other columns are ignored.
+E-mail and IP addresses, card and phone numbers that pass their checks always stay. Others are added where their score
+reaches ``least``, which words nearby raise (what such data is called) or lower (what else such numbers are): bank account
+numbers of a registered length (mod 97), which need no word for it; those of other lengths, social security numbers,
+phone numbers without a country and 13-digit card numbers (Luhn), which do.
+
+Edge cases: a null text is an empty one; texts of any length are read whole; repeated rows, and ties of doc_id, each get a
+row; where proposals overlap, base ones go first, then the longer of the added; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gaugework.llm.common import small_batches, texts
-from gaugework.llm.spans import Span, in_order, joined, overlaps, sha256
+from gaugework.llm.spans import Covered, Span, in_order, joined, sha256
 
 #: The kinds in their order, the patterns, the score of a confirmed span, and the words that raise it.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "account", "ssn", "local_phone", "short_card")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -36,15 +39,22 @@ IBAN_LENGTHS = {c: int(n) for c, n in re.findall(r"([A-Z]{2})([0-9]{2})", (
 ))}
 IBAN_OF = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+LOCAL_PHONE = re.compile(r"(?<![0-9+(.,-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})(?:[\x20./-]?[0-9]{2,4}){2,4}(?![0-9]|[.,][0-9])")
+SHORT_CARD = re.compile(r"(?<![0-9-])[0-9]{4}([\x20-]?)[0-9]{3}\1[0-9]{3}\1[0-9]{3}(?![0-9]|[\x20-][0-9])")
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "account": 0.4, "ssn": 0.4, "local_phone": 0.4, "short_card": 0.4}
 CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "server", "host"),
     "card": ("card", "visa", "credit", "payment"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
+    "account": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security", "insurance"),
+    "local_phone": ("phone", "call", "tel", "mobile", "fax"),
+    "short_card": ("card", "visa", "credit", "payment"),
 }
+#: Words that speak against personal data: each takes away twice what a word of the context gives.
+AGAINST = ("example", "sample", "isbn", "order", "invoice", "tracking", "serial", "version")
 
 
 def luhn(digits: str) -> bool:
@@ -58,14 +68,14 @@ def mod97(account: str) -> bool:
 
 
 def accounts(text: str) -> list[Span]:
-    """Bank account numbers that pass mod 97: of the length that the country fixes, else as far as their characters go."""
+    """Bank account numbers that pass mod 97: iban of the length that the country fixes, account as far as their characters go."""
     found, at = [], 0
     while start := IBAN_START.search(text, at):
         at = start.end()
         of = IBAN_OF.get(IBAN_LENGTHS.get(start[0][:2]))
-        for m in (of and of.match(text, start.start()), IBAN.match(text, start.start())):
+        for kind, m in (("iban", of and of.match(text, start.start())), ("account", IBAN.match(text, start.start()))):
             if m and mod97(m[0].replace(" ", "")):
-                found.append(("iban", m.start(), at := m.end()))
+                found.append((kind, m.start(), at := m.end()))
                 break
     return found
 
@@ -107,14 +117,23 @@ def score(text: str, span: Span, reach: int = 40) -> float:
     kind, start, end = span
     near = (text[max(0, start - reach) : start] + " " + text[end : end + reach]).lower()
     words = set(re.findall(r"[a-z]+", near))
-    return min(1.0, SCORES[kind] + 0.1 * sum(w in words for w in CONTEXT[kind]))
+    return max(0.0, min(1.0, SCORES[kind] + 0.1 * sum(w in words for w in CONTEXT[kind]) - 0.2 * sum(w in words for w in AGAINST)))
 
 
 def more_spans(text: str, base: list[Span], least: float) -> list[Span]:
-    found: list[Span] = []
-    found += accounts(text)
+    found = accounts(text)
     found += [("ssn", *m.span()) for m in SSN.finditer(text)]
-    return [s for s in found if not overlaps([b for b in base if b[0] != "card"], *s[1:]) and score(text, s) >= least]
+    found += [("local_phone", *m.span()) for m in LOCAL_PHONE.finditer(text) if 8 <= len(digits_of(m[0])) <= 12]
+    found += [("short_card", *m.span()) for m in SHORT_CARD.finditer(text) if luhn(digits_of(m[0]))]
+    if not found:
+        return []
+    of_all, but_cards, taken, kept = Covered(base), Covered([b for b in base if b[0] != "card"]), Covered(), []
+    for s in sorted(found, key=lambda s: (s[1] - s[2], s[1], KINDS.index(s[0]))):
+        around = but_cards if s[0] in ("iban", "account", "ssn") else of_all  # their digits alone can pass for a card's
+        if not around.meets(*s[1:]) and not taken.meets(*s[1:]) and score(text, s) >= least:
+            taken.add(*s[1:])
+            kept.append(s)
+    return kept
 
 
 def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -5,8 +5,8 @@ with few characters a token is taken for a secret, after known digests (hex of a
 identifiers (parts that are plain words or short numbers, numbers alone) are excluded. A part of an identifier that is
 as long as a run must itself have many characters a token, else it is no word. Pattern matches always stay.
 
-Edge cases: a null text is an empty one; texts of any length are read whole; repeated rows each get a row; an empty
-table gives an empty result; other columns are ignored (kept by redact_secrets).
+Edge cases: a null text is an empty one; texts of any length are read whole; repeated rows, and ties of doc_id, each get
+a row; an empty table gives an empty result; other columns are ignored (kept by redact_secrets).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gaugework.llm.common import give_back, small_batches, texts
-from gaugework.llm.spans import Span, joined, overlaps, replaced, sha256
+from gaugework.llm.spans import Covered, Span, joined, replaced, sha256
 
 #: The kinds in their order, and the pattern of each.
 KINDS = ("assign", "access", "hex", "random")
@@ -91,10 +91,10 @@ def is_known(run: str) -> bool:
 
 def random_spans(text: str, base: list[Span], path: str, most: float = 2.2, most_word: float = 2.1) -> list[Span]:
     """Runs of key characters with ``most`` or fewer characters a token; of identifiers, with a part of 20 or more characters at ``most_word`` or fewer."""
-    found = []
+    found, taken = [], Covered(base)
     for m in RUN.finditer(text):
         run = m[0]
-        if is_digest(run) or overlaps(base, *m.span()):
+        if is_digest(run) or taken.meets(*m.span()):
             continue
         parts, limit = ([p for p in SEPARATORS.split(run) if len(p) >= 20 and not p.isdigit()], most_word) if is_known(run) else ([run], most)
         if any(len(p) <= limit * len(vocabulary(path).encode_ordinary(p)) for p in parts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 Span = tuple[str, int, int]
@@ -19,8 +20,28 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def overlaps(spans: list[Span], start: int, end: int) -> bool:
-    return any(a < end and start < z for _, a, z in spans)
+class Covered:
+    """Which places spans take; asking and adding go with the logarithm of their number."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, z in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], z)
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """A span that meets none yet."""
+        k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
 
 
 def replaced(text: str, spans: list[Span], mark: str) -> str:

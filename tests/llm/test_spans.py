@@ -1,13 +1,14 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gaugework.llm import pii, secrets
-from gaugework.llm.spans import joined, replaced
+from gaugework.llm.spans import Covered, joined, replaced
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, spans int, n_hex string"
@@ -100,3 +101,37 @@ def test_edges(spark):
     check(spark, spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), rows)
     none = spark.createDataFrame([], SCHEMA)
     assert secrets.find_secrets(none, RANKS).count() == pii.find_pii(none).count() == secrets.redact_secrets(none, RANKS).count() == 0
+
+
+def test_context_decides():
+    """The same number with words that speak for it, none, or some against it."""
+    for kind, number, word, against in (
+        ("local_phone", "(0211) 55 12 34", "call", "order"),
+        ("local_phone", "030/123 4567", "tel", "serial"),
+        ("short_card", "4222 222 222 222", "visa", "invoice"),
+        ("ssn", "078-05-1120", "ssn", "isbn"),
+        ("account", "ZZ33 1234 5678 9012 345", "bank", "tracking"),
+    ):
+        kinds = lambda text: [k for k, *_ in pii.more_spans(text, pii.base_spans(text), 0.5)]
+        assert kinds(f"{word} {number} now") == [kind], (kind, number)
+        assert kinds(f"so {number} now") == [] == kinds(f"{word} {number} {against}")
+    assert pii.score("iban DE89370400440532013000 order", ("iban", 5, 27)) == 0.8 and pii.more_spans("order DE89370400440532013000 isbn", [], 0.5) == [("iban", 6, 28)]
+
+
+def test_covered():
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [("k", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        own, a = Covered(spans), rng.randint(0, 60)
+        z = a + rng.randint(1, 9)
+        assert own.meets(a, z) == any(x < z and a < y for _, x, y in spans)
+        if not own.meets(a, z):
+            own.add(a, z)
+            assert own.meets(a, a + 1) and own.starts == sorted(own.starts)
+
+
+def test_many_spans_in_one_text():
+    began = time.process_time()
+    text = "ssn 078-05-1120 a@b.cd " * 20_000
+    assert len(pii.more_spans(text, pii.base_spans(text), 0.5)) == 20_000
+    assert time.process_time() - began < 10
