@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import uuid
 
+import numpy as np
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 
 
 def at(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -47,3 +49,11 @@ def read(folder: str, name: str) -> bytes:
     fs, path = at(folder)
     with fs.open_input_stream(f"{path}/{name}") as f:
         return f.read()
+
+
+def column(uri: str, name: str) -> np.ndarray:
+    """A number column of all Parquet files of a folder; none if there is no such folder."""
+    fs, path = at(uri)
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.is_file and f.base_name.endswith(".parquet")]
+    parts = [pq.read_table(f, columns=[name], filesystem=fs).column(name).to_numpy() for f in sorted(found)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)

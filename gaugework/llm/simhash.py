@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugework.llm.common import give_back, scratch, small_batches, texts, written
+from gaugework.llm import files
+from gaugework.llm.common import MADE, give_back, scratch, small_batches, texts, written
+from gaugework.session import work_dir
 
 
 def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
@@ -133,11 +135,37 @@ def shingles(text: str, words: int = 5) -> set[bytes]:
     return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def near_rows(docs: DataFrame, words: int, bands: int, band_rows: int, seed: int = 42) -> DataFrame:
-    """doc (the document's columns), row (a number), node (a hash of its set of shingles), n (the set's size), bands (a hash
-    of each band of its min-hashes) and mins (the low 16 bits of every min-hash)."""
-    small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose number is among ``ids`` (column row in both, from monotonically_increasing_id, so that the high bits
+    are a partition), without dealing the rows out: ids are written by partition, and a task reads those that it meets."""
+    path, at = work_dir(rows.sparkSession, "picked"), rows.columns.index("row")
+    part = F.shiftright("row", 33)
+    ids.select("row", part.alias("part")).repartition("part").write.partitionBy("part").parquet(path)
+    MADE.append(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            row, keep = b.column(at).to_numpy(), np.zeros(b.num_rows, bool)
+            for p in np.unique(row >> 33).tolist():
+                if p not in held:
+                    if len(held) > 8:
+                        held.clear()
+                    held[p] = np.sort(files.column(f"{path}/part={p}", "row"))
+                if len(held[p]):
+                    k = np.searchsorted(held[p], row)
+                    keep |= held[p][np.minimum(k, len(held[p]) - 1)] == row
+            yield b.filter(pa.array(keep))
+        give_back()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def near_rows(rows: DataFrame, words: int, bands: int, band_rows: int, seed: int = 42) -> DataFrame:
+    """row, node (a hash of the text's set of shingles), n (the set's size) and mins (the low 16 bits of every min-hash). rows: row, text."""
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -146,23 +174,25 @@ def near_rows(docs: DataFrame, words: int, bands: int, band_rows: int, seed: int
         factors = np.random.default_rng(seed).integers(0, 1 << 32, bands * band_rows, np.uint32) | np.uint32(1)
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            nodes, sizes, keys, mins = [], [], [], []
-            for t in b.column(0).field(at).to_pylist():
+            nodes, sizes, mins = [], [], []
+            for t in b.column(1).to_pylist():
                 h = np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles(t or "", words)], "<u8"))
                 g, least = (h ^ (h >> np.uint64(32))).astype("<u4"), np.full(bands * band_rows, (1 << 32) - 1, "<u4")
                 for k in range(0, len(g), 1024):
                     np.minimum(least, (g[k : k + 1024, None] * factors).min(0), out=least)
                 nodes.append(signed(xxhash.xxh64_intdigest(h.tobytes(), seed)))
                 sizes.append(len(h))
-                keys.append([signed(xxhash.xxh64_intdigest(least[i * band_rows : (i + 1) * band_rows].tobytes(), i)) for i in range(bands)])
                 mins.append(least.astype("<u2").tobytes())
-            own = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *own], [*b.schema.names, "node", "n", "bands", "mins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mins, pa.binary())], ["row", "node", "n", "mins"])
         give_back()
 
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    more = [("node", T.LongType()), ("n", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("mins", T.BinaryType())]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(*x) for x in more)]))
+    return rows.select("row", "text").mapInArrow(run, "row long, node long, n long, mins binary")
+
+
+def band_keys(bands: int, band_rows: int) -> Column:
+    """A hash of each band of the min-hashes."""
+    width = 2 * band_rows
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("mins"), i * width + 1, F.lit(width)), i))
 
 
 def likely(pairs: DataFrame, near: DataFrame, floor: float) -> DataFrame:
@@ -183,8 +213,9 @@ def likely(pairs: DataFrame, near: DataFrame, floor: float) -> DataFrame:
     return met.select("a", "b", "mins_a", "mins_b").mapInArrow(run, "a long, b long")
 
 
-def similar(pairs: DataFrame, near: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``. near: node, text."""
+def similar(pairs: DataFrame, near: DataFrame, texts_of_rows: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``. near: node, row; the
+    texts by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, set()
@@ -199,7 +230,9 @@ def similar(pairs: DataFrame, near: DataFrame, words: int, least: float) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    texts_of = lambda c: near.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    asked = near.select("node", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    found = written(picked(texts_of_rows, asked.select("row")).join(asked, "row").select("node", "text"), "near-texts")
+    texts_of = lambda c: found.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     met = pairs.join(texts_of("b"), "b").join(texts_of("a").hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(run, "a long, b long")
 
@@ -214,7 +247,7 @@ def other_ends(met: DataFrame, turn: int) -> DataFrame:
     return asked.groupBy("node").agg(F.min_by("end", order).alias("end")).select(F.col("node").alias("a"), F.col("end").alias("b"))
 
 
-def near_links(rows: DataFrame, words: int, least: float, bucket: int, hashes: int, turns: int = 2) -> DataFrame:
+def near_links(rows: DataFrame, marks: DataFrame, words: int, least: float, bands: int, band_rows: int, bucket: int, turns: int = 2) -> DataFrame:
     """Edges (a, b) between nodes of similarity ``least`` or more that share a band.
 
     In a few turns every node is compared with one node of another component that shares a band, so that a group of many
@@ -225,17 +258,16 @@ def near_links(rows: DataFrame, words: int, least: float, bucket: int, hashes: i
     """
     spark = rows.sparkSession
     with scratch(spark):
-        one = rows.groupBy("node").agg(F.min("row").alias("row")).select("row")
-        keyed = rows.join(one, "row", "left_semi").select("node", F.explode("bands").alias("key"))
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * 24 // 2_000_000)
+        one = marks.groupBy("node").agg(F.min("row").alias("row"))
+        keyed = marks.join(one, ["node", "row"], "left_semi").select("node", F.explode(band_keys(bands, band_rows)).alias("key"))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() * bands // 2_000_000)
         keyed = keyed.repartition(parts, "key")  # dealt out once: the counts and the join below both read it
         shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
         met = written(keyed.join(shared, "key"), "near-met")
-        ids = rows.select("row", "node").join(one, "row", "left_semi").join(met.select("node").distinct(), "node", "left_semi").select("row")
-        near = rows.join(ids, "row", "left_semi").select("node", "n", "bands", "mins", F.coalesce("doc.text", F.lit("")).alias("text"))
-        near = written(near, "near-nodes")
-        floor = least - 4 * (least * (1 - least) / hashes) ** 0.5
-        checked = lambda pairs: written(similar(written(likely(pairs, near, floor), "near-pairs"), near, words, least), "near-links")
+        near = written(marks.join(one.join(met.select("node").distinct(), "node", "left_semi"), ["node", "row"], "left_semi"), "near-nodes")
+        of_near = written(picked(rows.select("row", F.coalesce("doc.text", F.lit("")).alias("text")), near.select("row")), "near-texts")
+        floor = least - 4 * (least * (1 - least) / (bands * band_rows)) ** 0.5
+        checked = lambda pairs: written(similar(written(likely(pairs, near, floor), "near-pairs"), near, of_near, words, least), "near-links")
         found = None
         for turn in range(turns):
             links = checked(other_ends(met.withColumn("root", F.col("node")) if found is None else met, turn))
@@ -247,7 +279,7 @@ def near_links(rows: DataFrame, words: int, least: float, bucket: int, hashes: i
         some, hot = met.where(F.col("size") <= bucket), met.where(F.col("size") > bucket)
         pairs = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        hot = hot.join(near.select("node", "bands"), "node")
+        hot = hot.join(near.select("node", band_keys(bands, band_rows).alias("bands")), "node")
         place = F.array_position("bands", F.col("key"))
         more = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.element_at("bands", ((place - 1 + i) % F.size("bands") + 1).cast("int")))
         hot = hot.select("node", "root", "key", F.explode(more).alias("more"))
@@ -267,11 +299,12 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 2
     values: 99.9 % of the pairs at 0.8, by the formula), the texts confirm them.
     """
     others = F.to_json(F.struct(*(F.col(f"doc.`{c}`") for c in docs.columns if c != "text")))
-    rows = written(near_rows(docs, words, bands, band_rows), "near-rows")
+    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near-rows")
     order = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.xxhash64(F.coalesce("doc.text", F.lit(""))), F.xxhash64(others), "row")
     with scratch(docs.sparkSession):
-        of = written(rows.select("node", order.alias("place")), "near-order")
-        roots = components(near_links(rows, words, least, bucket, bands * band_rows))
-        of = of.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place"))
-        kept = written(of.select("place.row"), "near-kept")
-    return rows.join(kept, "row", "left_semi").select(*(F.col(f"doc.`{c}`") for c in docs.columns))
+        marks = written(near_rows(rows.select("row", F.col("doc.text").alias("text")), words, bands, band_rows), "near-marks")
+        roots = components(near_links(rows, marks, words, least, bands, band_rows, bucket))
+        of = marks.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+        of = of.join(rows.select("row", order.alias("place")), "row")
+        kept = written(of.groupBy("root").agg(F.min("place").alias("place")).select("place.row"), "near-kept")
+    return picked(rows, kept).select(*(F.col(f"doc.`{c}`") for c in docs.columns))
