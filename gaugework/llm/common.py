@@ -41,11 +41,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove_dir(spark, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keeps Arrow batches of long texts small, unless the user set a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Keeps Arrow batches of long texts small, in rows and in bytes, for this session, unless the user set another size."""
+    for key, default, least in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", str((1 << 31) - 1), size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) in (default, str((1 << 63) - 1), "-1"):
+            spark.conf.set(key, str(least))
 
 
 def give_back() -> None:

@@ -125,13 +125,18 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"]
 
 
-def _compared(ids: list, own: list[str], following: list[str], first_level: int, known: np.ndarray | None = None) -> tuple[list[pa.Array], np.ndarray]:
+def _compared(
+    ids: list, own: list[str], following: list[str], first_level: int, known: np.ndarray | None = None
+) -> tuple[list[pa.Array], np.ndarray]:
     """The result's columns for texts and those that follow them, and all sketches in the texts' order and of the last that follows."""
     new = [edited(t, f) for t, f in zip(own, following, strict=True)]
     marks = sketches([*own, *following[-1:]], first_level) if known is None else known
     fresh = sketches(new, first_level)
     hashed = [hashlib.sha256(t.encode()).hexdigest() for t in new]
-    columns = [pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(hashed, pa.string()), pa.array([m.tobytes() for m in marks[: len(own)]], pa.binary()), pa.array([m.tobytes() for m in fresh], pa.binary())]
+    columns = [
+        pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(hashed, pa.string()),
+        pa.array([m.tobytes() for m in marks[: len(own)]], pa.binary()), pa.array([m.tobytes() for m in fresh], pa.binary())
+    ]
     return [*columns, pa.array(likeness(marks[: len(own)], fresh)), pa.array(likeness(marks[: len(own)], marks[1 : len(own) + 1]))], marks
 
 
@@ -147,8 +152,13 @@ def fingerprint_table(docs: DataFrame, first_level: int = 3) -> DataFrame:
         part, last = TaskContext.get().partitionId(), None
 
         def edge(kind: str, doc_id, text: str) -> pa.RecordBatch:
-            empty = [pa.array([doc_id], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()))]
-            return pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int64()), pa.array([kind]), pa.array([text])], [*NAMES, "part", "edge", "text"])
+            empty = [
+                pa.array([doc_id], pa.int64()),
+                *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()))
+            ]
+            return pa.RecordBatch.from_arrays(
+                [*empty, pa.array([part], pa.int64()), pa.array([kind]), pa.array([text])], [*NAMES, "part", "edge", "text"]
+            )
 
         for b in batches:
             ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -162,7 +172,9 @@ def fingerprint_table(docs: DataFrame, first_level: int = 3) -> DataFrame:
             if len(ids) > 1:
                 columns, _ = _compared(ids[:-1], own[:-1], own[1:], first_level)
                 n = len(ids) - 1
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], [*NAMES, "part", "edge", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([part] * n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], [*NAMES, "part", "edge", "text"]
+                )
         if last is not None:
             yield edge("last", *last)
 
@@ -174,8 +186,13 @@ def fingerprint_table(docs: DataFrame, first_level: int = 3) -> DataFrame:
     rows = texts(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = written(rows.mapInArrow(run, f"{RESULT}, part long, edge string, text string"), "fingerprints")
     first = rows.where("edge = 'first'").select("part", F.col("text").alias("following"))
-    parts = first.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))  # one row a range
+    parts = first.select(
+        "part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next")
+    )  # one row a range
     last = rows.where("edge = 'last'").select("part", "doc_id", "text").join(parts, "part")
     last = last.join(first.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following").mapInArrow(joined, RESULT)
     every = rows.where("edge is null").select(*NAMES).unionByName(last)
-    return every.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return every.select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
+        "near_edited", "near_next"
+    )

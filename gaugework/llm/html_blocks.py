@@ -16,7 +16,9 @@ RAW = frozenset("script style title textarea iframe".split())
 #: What can stand in a head; any other start tag ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: An open element of the key ends where a start tag named in the value comes.
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+CLOSED_BY = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}
+}
 TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"

@@ -31,7 +31,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = main_texts(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(out, pa.string()),
+                    pa.array([len(t) for t in out], pa.int64())
+                ],
+                ["page_id", "url", "text", "n_chars"]
+            )
 
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

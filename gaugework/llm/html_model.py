@@ -56,7 +56,10 @@ def measures(page: list[Block], words: np.ndarray) -> np.ndarray:
         size, e = len(b.text), b.inside
         marks = sum(map(b.text.count, ".,;:!?"))
         depth = e.depth if e else 0
-        rows.append((math.log1p(size) / 8, math.log1p(n) / 6, b.linked / size, marks / n, size / n / 10, bool(e) and e.tag in HEADINGS, i / total, 1 - i / total, depth / 10))
+        rows.append((
+            math.log1p(size) / 8, math.log1p(n) / 6, b.linked / size, marks / n, size / n / 10, bool(e) and e.tag in HEADINGS, i / total,
+            1 - i / total, depth / 10
+        ))
     return np.array(rows, np.float32).reshape(total, MEASURES)
 
 

@@ -18,7 +18,9 @@ MARK = "⁣"  # before each main block's text, taken out again once blocks are f
 class Page:
     def __init__(self, rng: random.Random):
         self.rng = rng
-        syllables = ["".join(rng.choices("bcdfghjklmnprstvwz", k=1)) * rng.randint(0, 1) + rng.choice("aeiouéèöäüó") + rng.choice(["", "n", "r", "s", "t", "nd"]) for _ in range(40)]
+        syllables = ["".join(rng.choices("bcdfghjklmnprstvwz", k=1)) * rng.randint(0, 1) + rng.choice("aeiouéèöäüó") + rng.choice([
+            "", "n", "r", "s", "t", "nd"
+        ]) for _ in range(40)]
         self.words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(300)]
         self.junk = rng.random() < 0.15
         self.bare = rng.random() < 0.25  # no class words
@@ -41,19 +43,26 @@ class Page:
 
     def menu(self) -> str:
         r = self.rng
-        inner = f"<ul>{self.links(r.randint(2, 10))}</ul>" if r.random() < 0.7 else " ".join(f'<a href="#">{self.text(1, "")}</a>' for _ in range(r.randint(2, 8)))
+        inner = f"<ul>{self.links(r.randint(2, 10))}</ul>" if r.random() < 0.7 else " ".join(f'<a href="#">{self.text(1, "")}</a>' for _ in range(r.randint(
+            2, 8
+        )))
         return self.tag(r.choice(["nav", "nav", "div"]), inner, "nav", "menu", "navigation", "navbar", "topnav", "breadcrumbs")
 
     def header(self) -> str:
         r = self.rng
         inner = r.choice(["<h1>{0}</h1>", "<div>{0}</div>", "<p>{0}</p>", "<a href='/'>{0}</a>"]).format(self.text(r.randint(1, 5), ""))
-        return self.tag(r.choice(["header", "header", "div"]), inner + (self.menu() if r.random() < 0.3 else ""), "header", "banner", "masthead", "top", "site header")
+        return self.tag(
+            r.choice(["header", "header", "div"]), inner + (self.menu() if r.random() < 0.3 else ""), "header", "banner", "masthead", "top",
+            "site header"
+        )
 
     def advert(self) -> str:
         r = self.rng
         inner = self.text(r.randint(2, 30))
         inner = inner if r.random() < 0.5 else f"<p>{inner}</p>" if r.random() < 0.6 else f'<a href="x">{inner}</a>'
-        return self.tag(r.choice(["div", "div", "aside", "section", "ins"]), inner, "ad", "ads", "advert", "sponsored", "promo", "advertisement", "banner ad")
+        return self.tag(
+            r.choice(["div", "div", "aside", "section", "ins"]), inner, "ad", "ads", "advert", "sponsored", "promo", "advertisement", "banner ad"
+        )
 
     def notice(self) -> str:
         r = self.rng
@@ -70,12 +79,18 @@ class Page:
 
     def comments(self) -> str:
         r = self.rng
-        each = "".join(self.tag("div", f"<b>{self.text(1, '')}</b> <p>{self.text(r.randint(3, 50))}</p>", "comment", "reply") for _ in range(r.randint(1, 5)))
-        return self.tag(r.choice(["section", "div"]), f"<h3>{self.text(2, '')}</h3>{each}", "comments", "comment list", "discussion", "responses", "disqus")
+        each = "".join(self.tag(
+            "div", f"<b>{self.text(1, '')}</b> <p>{self.text(r.randint(3, 50))}</p>", "comment", "reply"
+        ) for _ in range(r.randint(1, 5)))
+        return self.tag(
+            r.choice(["section", "div"]), f"<h3>{self.text(2, '')}</h3>{each}", "comments", "comment list", "discussion", "responses", "disqus"
+        )
 
     def footer(self) -> str:
         r = self.rng
-        inner = r.choice(["&copy; {0} &middot; {1}", "<p>&copy; {0}</p><ul>{2}</ul>", "<p>{1}</p>", "{0}"]).format(self.text(r.randint(1, 8)), self.text(r.randint(2, 20)), self.links(r.randint(1, 5)))
+        inner = r.choice(["&copy; {0} &middot; {1}", "<p>&copy; {0}</p><ul>{2}</ul>", "<p>{1}</p>", "{0}"]).format(
+            self.text(r.randint(1, 8)), self.text(r.randint(2, 20)), self.links(r.randint(1, 5))
+        )
         return self.tag(r.choice(["footer", "footer", "div"]), inner, "footer", "foot", "bottom", "copyright", "site footer")
 
     def article(self) -> str:
@@ -111,7 +126,9 @@ class Page:
         maybe = lambda share, *makers: "".join(m() for m in r.sample(makers, len(makers)) if r.random() < share)
         plain = r.random() < 0.35
         before = self.menu() + self.advert() if plain else maybe(0.45, self.header, self.menu, self.advert, self.notice, self.form, self.side)
-        after = self.footer() if plain else maybe(0.45, self.side, self.comments, self.advert, self.notice, self.form, self.menu) + maybe(0.8, self.footer)
+        after = self.footer() if plain else maybe(
+            0.45, self.side, self.comments, self.advert, self.notice, self.form, self.menu
+        ) + maybe(0.8, self.footer)
         page = f"<!DOCTYPE html><html><head><title>{self.text(4, '')}</title><style>p{{margin:0}}</style></head><body>{before}<!-- {self.text(1)} -->{self.article()}{after}</body></html>"
         return page[: r.randint(len(page) // 3, len(page))] if r.random() < 0.1 else page
 
@@ -131,5 +148,7 @@ if __name__ == "__main__":
     tests = [labelled(k) for k in range(10_000, 10_600)]
     got = model.main_blocks([p for p, _ in tests])
     right = sum(a == b for g, (_, y) in zip(got, tests, strict=True) for a, b in zip(g, y, strict=True))
-    print("blocks right:", right / sum(len(y) for _, y in tests), "pages right:", sum(g == y for g, (_, y) in zip(got, tests, strict=True)) / len(tests))
+    print(
+        "blocks right:", right / sum(len(y) for _, y in tests), "pages right:", sum(g == y for g, (_, y) in zip(got, tests, strict=True)) / len(tests)
+    )
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float32) for k, v in model.w.items()})

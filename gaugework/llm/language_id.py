@@ -144,7 +144,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, rows: int = 2000, orders: tuple[int, ...] = (3, 4), bits: int = 20, least: float = 1e-5, ratio: float = 0.25) -> LanguageFilter:
+def fit(
+    docs: DataFrame, rows: int = 2000, orders: tuple[int, ...] = (3, 4), bits: int = 20, least: float = 1e-5, ratio: float = 0.25
+) -> LanguageFilter:
     """Learns from about ``rows`` of the given rows a language, chosen by a hash of the doc_id: the bound of what is read.
 
     The n-grams of the chosen texts are counted on Spark; a language has at most 1 / ``least`` of each order, and
@@ -172,21 +174,30 @@ def fit(docs: DataFrame, rows: int = 2000, orders: tuple[int, ...] = (3, 4), bit
                         now.append(own.pop())
                     for n in orders:
                         h, c = np.unique(grams(now, n)[0], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "order", "gram", "n"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(h), pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c)],
+                            ["lang", "order", "gram", "n"]
+                        )
         give_back()
 
-    found = chosen.select("lang", "text").mapInArrow(count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    found = chosen.select("lang", "text").mapInArrow(
+        count, "lang string, order int, gram long, n long"
+    ).groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     found = written(found, "language-grams")
     totals = {(r["lang"], r["order"]): r["n"] for r in found.groupBy("lang", "order").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return LanguageFilter([], np.zeros((1, 1 << bits), np.uint64), orders)
     total = F.element_at(F.create_map(*(x for (k, n), c in totals.items() for x in (F.lit(f"{n}:{k}"), F.lit(c)))), F.concat_ws(":", "order", "lang"))
     part = found.select("order", "gram", "lang", (F.col("n") / total).alias("part")).where(F.col("part") >= least)
-    most = part.groupBy("order", "gram").agg(F.max("part").alias("most"), F.collect_list(F.struct("lang", "part")).alias("all"))  # one entry a language
+    most = part.groupBy("order", "gram").agg(
+        F.max("part").alias("most"), F.collect_list(F.struct("lang", "part")).alias("all")
+    )  # one entry a language
     member = most.select("gram", "most", F.inline("all")).where(F.col("part") >= ratio * F.col("most"))
     number = F.element_at(F.create_map(*(x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i)))), F.col("lang"))
     width = -(-len(languages) // WORD_BITS)
-    words = [F.bit_or(F.when(F.floor(number / WORD_BITS) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (number % WORD_BITS).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(width)]
+    words = [F.bit_or(F.when(
+        F.floor(number / WORD_BITS) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (number % WORD_BITS).cast("int"))
+    ).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(width)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +207,9 @@ def fit(docs: DataFrame, rows: int = 2000, orders: tuple[int, ...] = (3, 4), bit
 
     each = member.groupBy("gram").agg(*words)
     kinds = ", ".join(f"w{w} long" for w in range(width))
-    filled = each.mapInArrow(place, f"place long, {kinds}").groupBy("place").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(width))).toArrow()  # 2 ** bits rows at most
+    filled = each.mapInArrow(
+        place, f"place long, {kinds}"
+    ).groupBy("place").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(width))).toArrow()  # 2 ** bits rows at most
     out = np.zeros((width, 1 << bits), np.uint64)
     for w in range(width):
         out[w, filled.column("place").to_numpy()] = filled.column(f"w{w}").to_numpy().view(np.uint64)
@@ -212,7 +225,10 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = held.value.predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                ["doc_id", "lang_pred", "score"]
+            )
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -40,7 +40,10 @@ def to_png(data: bytes) -> bytes:
     flat = np.zeros(rows * WIDTH, np.uint8)
     flat[: len(data)] = np.frombuffer(data, np.uint8)
     lines[:, 1:] = flat.reshape(rows, WIDTH)
-    chunks = [(b"IHDR", struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)), (b"tEXt", b"bytes\0%d" % len(data)), (b"IDAT", zlib.compress(lines.tobytes(), 1)), (b"IEND", b"")]
+    chunks = [
+        (b"IHDR", struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)), (b"tEXt", b"bytes\0%d" % len(data)),
+        (b"IDAT", zlib.compress(lines.tobytes(), 1)), (b"IEND", b"")
+    ]
     return SIGNATURE + b"".join(struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x)) for kind, x in chunks)
 
 
@@ -157,7 +160,10 @@ class ArchiveReader(DataSourceReader):
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["archive", "member", "offset", "media"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)],
+            ["archive", "member", "offset", "media"]
+        )
 
 
 class MediaArchiveSource(DataSource):
@@ -191,11 +197,17 @@ def media_features(media: DataFrame) -> DataFrame:
                 image = image.as_buffer().to_pybytes()
                 payload, n = from_png(image)
                 doc_id = member.partition("_")[0]
-                out.append((int(doc_id) if doc_id else None, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+                out.append((
+                    int(doc_id) if doc_id else None, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image),
+                    hashlib.sha256(image).hexdigest(), feature(payload)
+                ))
             columns = zip(*out, strict=True) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-    return media.select("member", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("member", "media").mapInArrow(
+        run,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    )
 
 
 def media_table(docs: DataFrame) -> DataFrame:

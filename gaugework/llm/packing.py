@@ -42,7 +42,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
                     seen[n] += 1
             if out:
                 types = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+                )
         give_back()
 
     return texts(docs, "doc_id").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long")

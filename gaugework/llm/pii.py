@@ -154,4 +154,6 @@ def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-    return texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string")
+    return texts(docs, "doc_id").mapInArrow(
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
+    )

@@ -123,7 +123,9 @@ def find_secrets(docs: DataFrame, path: str) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-    return texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return texts(docs, "doc_id").mapInArrow(
+        run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
+    )
 
 
 def redact_secrets(docs: DataFrame, path: str, mark: str = "[SECRET]") -> DataFrame:

@@ -64,7 +64,12 @@ def _without(value: Column, bit: Column) -> Column:
 
 def variants(fps: DataFrame) -> DataFrame:
     """fp, key: both 32-bit segments with each bit left out in turn. key holds the segment (0 or 1) and the bit above the rest."""
-    halves = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), _low("low").alias("part")), F.struct(F.lit(1).alias("seg"), _low("high").alias("part")))).alias("s"))
+    halves = fps.select(
+        "fp",
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("seg"), _low("low").alias("part")), F.struct(F.lit(1).alias("seg"), _low("high").alias("part"))
+        )).alias("s")
+    )
     each = halves.select("fp", "s.seg", "s.part", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("wild"))
     place = F.call_function("shiftleft", (F.col("seg") * 32 + F.col("wild")).cast("long"), F.lit(32))
     return each.select("fp", place.bitwiseOR(_without(F.col("part"), F.col("wild"))).alias("key"))
@@ -77,19 +82,30 @@ def links(fps: DataFrame, bucket: int = 256) -> DataFrame:
     v = variants(fps).repartition(parts, "key")  # dealt out once: the counts and the join below both read it
     shared = v.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("shuffle_hash")
     place = F.shiftright("key", 32)
-    met = written(v.join(shared, "key").select("fp", "key", "n", F.floor(place / 32).alias("seg"), (place % 32).cast("int").alias("wild")), "simhash-met")
+    met = written(
+        v.join(shared, "key").select("fp", "key", "n", F.floor(place / 32).alias("seg"), (place % 32).cast("int").alias("wild")), "simhash-met"
+    )
     some, hot = met.where(F.col("n") <= bucket), met.where(F.col("n") > bucket)
     # segments that are equal share all 32 variants: that pair is made at the first only
-    part = F.when(F.col("x.seg") == 1, F.shiftrightunsigned(F.col("x.fp").bitwiseXOR(F.col("y.fp")), 32)).otherwise(F.col("x.fp").bitwiseXOR(F.col("y.fp")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    part = F.when(
+        F.col("x.seg") == 1, F.shiftrightunsigned(F.col("x.fp").bitwiseXOR(F.col("y.fp")), 32)
+    ).otherwise(F.col("x.fp").bitwiseXOR(F.col("y.fp")).bitwiseAND(F.lit(0xFFFFFFFF)))
     once = (part != 0) | (F.col("x.wild") == 0)
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= 2
-    pairs = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near & once).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))
+    pairs = some.alias("x").join(
+        some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near & once
+    ).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))
     other = F.when(F.col("seg") == 0, _low("high")).otherwise(_low("low"))
     own = F.when(F.col("seg") == 0, _low("low")).otherwise(_low("high"))
-    one = hot.select("fp", "key", other.alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("w1")).select("fp", "key", (F.col("w1") - 64).cast("long").alias("w"), _without(F.col("rest"), F.col("w1")).alias("rest"))
+    one = hot.select("fp", "key", other.alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("w1")).select(
+        "fp", "key", (F.col("w1") - 64).cast("long").alias("w"), _without(F.col("rest"), F.col("w1")).alias("rest")
+    )
     pairs_of_bits = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.transform(F.sequence(i + 1, F.lit(31)), lambda j: i * 32 + j)))
     two = hot.where("wild = 0").select("fp", "seg", own.alias("own"), other.alias("rest"), F.explode(pairs_of_bits).alias("w"))
-    two = two.select("fp", F.col("own").bitwiseOR(F.call_function("shiftleft", (F.col("seg") + 64).cast("long"), F.lit(32))).alias("key"), F.col("w").cast("long").alias("w"), _without(_without(F.col("rest"), F.floor(F.col("w") / 32).cast("int")), F.col("w") % 32).alias("rest"))
+    two = two.select(
+        "fp", F.col("own").bitwiseOR(F.call_function("shiftleft", (F.col("seg") + 64).cast("long"), F.lit(32))).alias("key"),
+        F.col("w").cast("long").alias("w"), _without(_without(F.col("rest"), F.floor(F.col("w") / 32).cast("int")), F.col("w") % 32).alias("rest")
+    )
     keyed = one.unionByName(two)
     least = keyed.groupBy("key", "w", "rest").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = keyed.join(least, ["key", "w", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
@@ -183,7 +199,9 @@ def near_rows(rows: DataFrame, words: int, bands: int, band_rows: int, seed: int
                 nodes.append(signed(xxhash.xxh64_intdigest(h.tobytes(), seed)))
                 sizes.append(len(h))
                 mins.append(least.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mins, pa.binary())], ["row", "node", "n", "mins"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mins, pa.binary())], ["row", "node", "n", "mins"]
+            )
         give_back()
 
     return rows.select("row", "text").mapInArrow(run, "row long, node long, n long, mins binary")
@@ -239,7 +257,9 @@ def similar(pairs: DataFrame, near: DataFrame, texts_of_rows: DataFrame, words:
 
 def other_ends(met: DataFrame, turn: int) -> DataFrame:
     """One pair (a, b) a node: with the least or the greatest node, by component, of one of its keys, if that is of another component."""
-    ends = met.groupBy("key").agg(F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high")).where("low.root < high.root")
+    ends = met.groupBy("key").agg(
+        F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high")
+    ).where("low.root < high.root")
     end = F.when(F.col("root") != F.col("low.root"), F.col("low.node")).otherwise(F.col("high.node"))
     asked = met.join(ends, "key").select("node", end.alias("end"))
     # at first the least node of all, so that a group meets in few nodes; then any other

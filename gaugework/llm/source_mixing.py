@@ -43,7 +43,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: float, share
     """
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("src") % len(weights)) + 1).cast("int"))
     each = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    each = each.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("long") - 1).withColumn("w", w.cast("double"))
+    each = each.withColumn(
+        "src", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("long") - 1
+    ).withColumn("w", w.cast("double"))
     every = Window.partitionBy()
     fill = Window.orderBy("ratio", "src").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("ratio", cap * F.col("source_size") / F.col("w"))
@@ -113,7 +115,9 @@ def settled(counts: DataFrame, plan: DataFrame) -> DataFrame:
     by_run = by_run.select("src", "run", "in_run", before("in_run", ("src",), "run").alias("run_start"))
     have = by_run.groupBy("src").agg(F.sum("in_run").alias("have"))
     have = plan.select("src", "draws").join(have, "src", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    have = have.withColumns({"over": F.greatest(F.col("have") - F.col("draws"), F.lit(0)), "lack": F.greatest(F.col("draws") - F.col("have"), F.lit(0))})
+    have = have.withColumns({
+        "over": F.greatest(F.col("have") - F.col("draws"), F.lit(0)), "lack": F.greatest(F.col("draws") - F.col("have"), F.lit(0))
+    })
     have = have.withColumns({"over_first": before("over", (), "src"), "lack_first": before("lack", (), "src")})  # a row a source
     have = written(have, "mix-have")
     rows = counts.withColumn("in_turn", before("n", ("src", "run"), "shard")).join(by_run, ["src", "run"]).join(have, "src")
@@ -159,7 +163,9 @@ def drawn(
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 32, slots_per_shard: int = 4096, seed: int = 20
+    docs: DataFrame, weights: tuple[
+        int, ...
+    ] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 32, slots_per_shard: int = 4096, seed: int = 20
 ) -> DataFrame:
     """doc_id, size, source_size, target and taken (the words that the mix takes of this document, repeats counted).
 
@@ -174,7 +180,9 @@ def mix_sources(
 
 
 def mix_documents(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 32, slots_per_shard: int = 4096, seed: int = 20
+    docs: DataFrame, weights: tuple[
+        int, ...
+    ] = (5, 2, 1), cap: int = 3, share: float = 1.0, block_words: int = 32, slots_per_shard: int = 4096, seed: int = 20
 ) -> DataFrame:
     """The mix as documents with the columns of ``docs``: copy c of a document has the blocks that are drawn c times or
     more, in their order and with the white space behind their words; n_chars, if there is one, follows.

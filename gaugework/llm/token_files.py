@@ -198,12 +198,20 @@ def read_token_files(shards: DataFrame, folder: str) -> DataFrame:
                 raw, ends = matrix.decode().astype("<u4").tobytes(), docs.column(1).to_numpy()
                 starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
                 sums = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ends), pa.int64()), docs.column(0), pa.array(starts + start), pa.array(ends - starts), pa.array(sums, pa.int64())], ["part", "doc_id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part] * len(ends), pa.int64()), docs.column(0), pa.array(starts + start), pa.array(ends - starts),
+                        pa.array(sums, pa.int64())
+                    ],
+                    ["part", "doc_id", "at", "n_tokens", "ids_crc32"]
+                )
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of doc_ids
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     n = max(1, shards.count() // 4)
-    rows = shards.select("part", "name", "start").repartition(n, "name").mapInArrow(run, "part long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "name", "start").repartition(n, "name").mapInArrow(
+        run, "part long, doc_id long, at long, n_tokens long, ids_crc32 long"
+    )
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 

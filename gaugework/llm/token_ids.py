@@ -24,7 +24,10 @@ LONGEST = 64
 def classes() -> np.ndarray:
     """The class of every byte; of bytes over 127, only the lead and the rest of U+00C0 to U+00FF can be letters."""
     out = np.full(256, OTHER, np.uint8)
-    for kind, chars in ((LETTER, range(65, 91)), (LETTER, range(97, 123)), (LETTER, [0xC3, *range(0x80, 0xC0)]), (DIGIT, range(48, 58)), (MARK, b"!\"#$%&()*+,./:;=<>?@[\\]^_`{|}~-"), (SPACE, b" "), (FEED, b"\n"), (END, b"\0")):
+    for kind, chars in (
+        (LETTER, range(65, 91)), (LETTER, range(97, 123)), (LETTER, [0xC3, *range(0x80, 0xC0)]), (DIGIT, range(48, 58)),
+        (MARK, b"!\"#$%&()*+,./:;=<>?@[\\]^_`{|}~-"), (SPACE, b" "), (FEED, b"\n"), (END, b"\0")
+    ):
         out[list(chars)] = kind
     return out
 

@@ -18,7 +18,10 @@ def brute(rows):
         half = len(text) // 2
         new = text[: len(text) - half] + following[:half]
         a, b, c = (fp.sketches([t]) for t in (text, new, following))
-        out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), float(fp.likeness(a, b)[0]), float(fp.likeness(a, c)[0])))
+        out.append((
+            doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), float(fp.likeness(a, b)[0]),
+            float(fp.likeness(a, c)[0])
+        ))
     return out
 
 

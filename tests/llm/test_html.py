@@ -66,7 +66,10 @@ def test_gradients():
 
 
 def test_edges(spark):
-    rows = [(1, "u", None, 1), (2, None, "", 1), (2, None, "", 1), (3, "u", "<<<>< & <p", 1), (4, "u", "<article>" + "<p>" + "word " * 40_000 + "</p></article>", 1), (None, "u", "<nav><a>x</a></nav>", 1)]
+    rows = [
+        (1, "u", None, 1), (2, None, "", 1), (2, None, "", 1), (3, "u", "<<<>< & <p", 1),
+        (4, "u", "<article>" + "<p>" + "word " * 40_000 + "</p></article>", 1), (None, "u", "<nav><a>x</a></nav>", 1)
+    ]
     got = {(r.page_id, r.url): r for r in html_extraction.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(got) == 5 and got[1, "u"].text == got[2, None].text == "" and got[4, "u"].n_chars == 199_999
     assert html_extraction.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -81,7 +84,10 @@ def test_deep_and_long_pages():
         "    began = time.process_time(); main_texts([page])\n"
         "    print(time.process_time() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n"
     )
-    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}).stdout
+    out = subprocess.run(
+        [sys.executable, "-c", code], capture_output=True, text=True, check=True,
+        env=os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+    ).stdout
     rows = [tuple(map(float, line.split())) for line in out.splitlines()]
     assert len(rows) == 4 and all(s < 30 and mb < 500 for s, mb in rows), rows
 

@@ -62,7 +62,12 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, score int"
-    rows = [(i, t, lang, 1) for i, (t, lang) in enumerate([("the cat and the dog", "en")] * 5 + [("le chat et le chien", "fr")] * 5 + [(None, "en"), ("", None), ("12 34 !", "fr"), ("the", None), ("Ω", None), ("the dog " * 200_000, None)])]
+    rows = [
+        (i, t, lang, 1) for i,
+        (t, lang) in enumerate([("the cat and the dog", "en")] * 5 + [("le chat et le chien", "fr")] * 5 + [
+            (None, "en"), ("", None), ("12 34 !", "fr"), ("the", None), ("Ω", None), ("the dog " * 200_000, None)
+        ])
+    ]
     df = spark.createDataFrame(rows, schema)
     got = [(r.lang_pred, r.score) for r in language_id.identify(df, language_id.fit(df)).orderBy("doc_id").collect()]
     assert {x for x, _ in got[:5]} == {"en"} and {x for x, _ in got[5:10]} == {"fr"}

@@ -10,7 +10,9 @@ SCHEMA = "doc_id long, text string, source string, n_chars long"
 
 def test_partial_copies_have_the_drawn_blocks(spark):
     texts = {i: "".join(f"{i}-{k}" + ("\n" if k % 5 == 4 else "\t " if k % 7 == 0 else " ") for k in range(400 + i)) for i in range(30)}
-    rows = [(i, t, "abc"[i % 3], len(t)) for i, t in texts.items()] + [(90, "same id", "a", 7), (90, "another text", "a", 12), (91, None, "a", None), (92, "  ", "b", 2)]
+    rows = [(i, t, "abc"[i % 3], len(t)) for i, t in texts.items()] + [
+        (90, "same id", "a", 7), (90, "another text", "a", 12), (91, None, "a", None), (92, "  ", "b", 2)
+    ]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = source_mixing.mix_documents(docs).collect()
     taken = collections.Counter()

@@ -56,6 +56,9 @@ def test_planted_copies(spark):
 
 def test_rows_not_doc_ids_are_chosen(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
-    rows = [(1, one, "a"), (1, two, "a"), (2, two, "b"), (3, three, "a"), (3, three, "a"), (None, three, "a"), (None, "p q", None), (None, "p q", None), (None, "r s", None)]
+    rows = [
+        (1, one, "a"), (1, two, "a"), (2, two, "b"), (3, three, "a"), (3, three, "a"), (None, three, "a"), (None, "p q", None), (None, "p q", None),
+        (None, "r s", None)
+    ]
     got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == sorted([("1", one), ("1", two), ("3", three), ("None", "p q"), ("None", "r s")])

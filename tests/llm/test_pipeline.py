@@ -54,7 +54,10 @@ def test_every_stage(spark, sf_dir):
 def test_empty_and_odd(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/a/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the cat sat", "en", "s", 11), (3, "the cat sat", "en", "s", 11), (None, "le chat", "fr", None, 7), (5, "w x y " * 20_000, None, "t", 120_000)]
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "s", 0), (3, "the cat sat", "en", "s", 11), (3, "the cat sat", "en", "s", 11),
+        (None, "le chat", "fr", None, 7), (5, "w x y " * 20_000, None, "t", 120_000)
+    ]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() > 0
 

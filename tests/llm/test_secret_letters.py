@@ -22,7 +22,10 @@ def test_letters():
 
 
 def test_words():
-    for run in ("internationalization", "getCurrentUserAccountSettings", "src/main/resources/application-settings", "Geschwindigkeitsbegrenzung", "a/b/c/d/e/f/g/h/i/j/k/l/m/n", "====================", "--------------------", "12345678901234567890"):
+    for run in (
+        "internationalization", "getCurrentUserAccountSettings", "src/main/resources/application-settings", "Geschwindigkeitsbegrenzung",
+        "a/b/c/d/e/f/g/h/i/j/k/l/m/n", "====================", "--------------------", "12345678901234567890"
+    ):
         assert found(run) == [], run
 
 

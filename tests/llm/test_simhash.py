@@ -71,7 +71,10 @@ def test_hot_buckets_lose_no_link(spark):
 
 
 def test_edges(spark):
-    rows = [(1, None, None, 1), (2, "", "en", 1), (3, " \t\n", "en", 1), (4, "one", "en", 1), (5, "ONE", "en", 1), (5, "ONE", "en", 1), (6, "a b", None, 2), (7, "x " * 50_000, None, 2)]
+    rows = [
+        (1, None, None, 1), (2, "", "en", 1), (3, " \t\n", "en", 1), (4, "one", "en", 1), (5, "ONE", "en", 1), (5, "ONE", "en", 1),
+        (6, "a b", None, 2), (7, "x " * 50_000, None, 2)
+    ]
     got = {(r.doc_id, r.component_id) for r in simhash.simhash_components(spark.createDataFrame(rows, LONG)).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} <= got
     assert simhash.simhash_components(spark.createDataFrame(rows, LONG)).count() == 8

@@ -50,7 +50,9 @@ def test_documents(spark, sf_dir):
 
 
 def test_caps_nulls_ties(spark):
-    rows = [(i, "w " * (i % 7), "a") for i in range(40)] + [(100 + i, "v " * 500, "b") for i in range(30)] + [(200, None, None), (201, "x y z", None), (201, "x y z", None), (202, "", "c")]
+    rows = [(i, "w " * (i % 7), "a") for i in range(40)] + [(100 + i, "v " * 500, "b") for i in range(30)] + [
+        (200, None, None), (201, "x y z", None), (201, "x y z", None), (202, "", "c")
+    ]
     got = source_mixing.mix_sources(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)).collect()
     held(rows, got, 0.03)
     assert source_mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -36,20 +36,36 @@ def brute_pii(text):
         return total % 10 == 0
 
     out += [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
-    out += [(m.start(), 2, "card", m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text
+    ) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, "card", m.end()) for m in re.finditer(
+        r"[0-9]([\x20-]?[0-9])+", text
+    ) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     out += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
     return ",".join(f"{k}:{a}:{z}" for a, _, k, z in sorted(out))
 
 
 @settings(max_examples=1500, deadline=None)
-@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "token", "api_key", "APIKEY", "toKen", "İ", '"', "'", " ", ":", "=", "abc", "x9", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "ſecret", "\n", "-", "_"]), max_size=14).map("".join))
+@given(st.lists(
+    st.sampled_from([
+        "password", "PassWd", "secret", "token", "api_key", "APIKEY", "toKen", "İ", '"', "'", " ", ":", "=", "abc", "x9", "AKIA", "ABCDEFGH12345678",
+        "0123456789abcdef", "deadbeef", "é", "ſecret", "\n", "-", "_"
+    ]),
+    max_size=14
+).map("".join))
 def test_secret_base(text):
     assert joined(secrets.base_spans(text), secrets.KINDS) == brute_secrets(text)
 
 
 @settings(max_examples=1500, deadline=None)
-@given(st.lists(st.sampled_from(["@", "a", "b.c", "_d", ".", "-", "%", "+", "1", "255", "256", "4111 1111 1111 1111", "00", "(", ")", " ", "12.34", "é", "+49 30 1234567", "x@y.z", "\n"]), max_size=14).map("".join))
+@given(st.lists(
+    st.sampled_from([
+        "@", "a", "b.c", "_d", ".", "-", "%", "+", "1", "255", "256", "4111 1111 1111 1111", "00", "(", ")", " ", "12.34", "é", "+49 30 1234567",
+        "x@y.z", "\n"
+    ]),
+    max_size=14
+).map("".join))
 def test_pii_base(text):
     assert joined(pii.base_spans(text), pii.KINDS) == brute_pii(text)
 
@@ -97,7 +113,10 @@ def test_documents(spark, sf_dir):
 
 
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (3, "token = 'abcdef123'"), (3, "token = 'abcdef123'"), (4, "a@b.c " * 30_000), (5, "1" * 50_000), (6, "a" * 100_000 + " é +1 (499) 555-6503")]
+    rows = [
+        (1, None), (2, ""), (3, "token = 'abcdef123'"), (3, "token = 'abcdef123'"), (4, "a@b.c " * 30_000), (5, "1" * 50_000),
+        (6, "a" * 100_000 + " é +1 (499) 555-6503")
+    ]
     check(spark, spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), rows)
     none = spark.createDataFrame([], SCHEMA)
     assert secrets.find_secrets(none, RANKS).count() == pii.find_pii(none).count() == secrets.redact_secrets(none, RANKS).count() == 0
@@ -115,7 +134,9 @@ def test_context_decides():
         kinds = lambda text: [k for k, *_ in pii.more_spans(text, pii.base_spans(text), 0.5)]
         assert kinds(f"{word} {number} now") == [kind], (kind, number)
         assert kinds(f"so {number} now") == [] == kinds(f"{word} {number} {against}")
-    assert pii.score("iban DE89370400440532013000 order", ("iban", 5, 27)) == 0.8 and pii.more_spans("order DE89370400440532013000 isbn", [], 0.5) == [("iban", 6, 28)]
+    assert pii.score(
+        "iban DE89370400440532013000 order", ("iban", 5, 27)
+    ) == 0.8 and pii.more_spans("order DE89370400440532013000 isbn", [], 0.5) == [("iban", 6, 28)]
 
 
 def test_covered():

@@ -9,7 +9,11 @@ from gaugework.llm import token_files
 from gaugework.llm.token_ids import TokenIds
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "a", "a  b", "a   b", " a", "a ", "a \n b", "a\n\n b\tc", "x<|endoftext|> y", "x  <|endoftext|>", "it's we'll 'tis", "Éc ö 12 345 6789!", "\x1c a\x85b", "don 't", "é" * 300, "tab\t end", "a\nb", "a\n", "\nb", "ÀÖ ×÷ ß ÿ Ÿ", "nul\0 x", "naïve ½ ﬁ", "A1b22c", "é\u0301", "Ã\u0303 \u00c3x", "\u0083", "# $% &&&\n\nx"]
+ODD = [
+    "", " ", "a", "a  b", "a   b", " a", "a ", "a \n b", "a\n\n b\tc", "x<|endoftext|> y", "x  <|endoftext|>", "it's we'll 'tis", "Éc ö 12 345 6789!",
+    "\x1c a\x85b", "don 't", "é" * 300, "tab\t end", "a\nb", "a\n", "\nb", "ÀÖ ×÷ ß ÿ Ÿ", "nul\0 x", "naïve ½ ﬁ", "A1b22c", "é\u0301",
+    "Ã\u0303 \u00c3x", "\u0083", "# $% &&&\n\nx"
+]
 
 
 @pytest.mark.parametrize("name,keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
