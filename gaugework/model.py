@@ -24,7 +24,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples_of(e: DataFrame) -> DataFrame:
     """Events, of a table or a stream, as samples: a user is a host, an event type is a metric."""
-    return e.select(F.concat(F.lit("host-"), e["user_id"].cast("string")).alias("host_id"), e["event_type"].alias("metric"), "ts", "value", F.lit("").alias("unit"), e["event_id"].alias("seq"))
+    return e.select(
+        F.concat(F.lit("host-"), e["user_id"].cast("string")).alias("host_id"), e["event_type"].alias("metric"), "ts", "value",
+        F.lit("").alias("unit"), e["event_id"].alias("seq")
+    )
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,22 +55,36 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     seen = table(spark, sf_dir, "events").select("user_id").distinct()
     c = c.join(seen, c["c_custkey"] == seen["user_id"], "left_semi")
-    rows = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])  # 25 nations and 5 regions by definition
-    ip = F.concat_ws(".", F.lit("10"), (F.col("c_custkey") / 65536 % 256).cast("int"), (F.col("c_custkey") / 256 % 256).cast("int"), (F.col("c_custkey") % 300).cast("int"))
-    return rows.select(F.concat(F.lit("host-"), F.col("c_custkey").cast("string")).alias("host_id"), F.col("c_name").alias("hostname"), ip.alias("ip"), F.col("c_mktsegment").alias("group"), F.col("n_name").alias("location"), F.col("r_name").alias("zone"), (F.col("c_custkey") % 16 + 1).cast("int").alias("cpu_count"), F.col("c_custkey").alias("ord"))
+    rows = c.join(
+        F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]
+    ).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])  # 25 nations and 5 regions by definition
+    ip = F.concat_ws(
+        ".", F.lit("10"), (F.col("c_custkey") / 65536 % 256).cast("int"), (F.col("c_custkey") / 256 % 256).cast("int"),
+        (F.col("c_custkey") % 300).cast("int")
+    )
+    return rows.select(
+        F.concat(F.lit("host-"), F.col("c_custkey").cast("string")).alias("host_id"), F.col("c_name").alias("hostname"), ip.alias("ip"),
+        F.col("c_mktsegment").alias("group"), F.col("n_name").alias("location"), F.col("r_name").alias("zone"),
+        (F.col("c_custkey") % 16 + 1).cast("int").alias("cpu_count"), F.col("c_custkey").alias("ord")
+    )
 
 
 def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a command log: idx, key, op, value."""
     ops = {"signup": "SET", "error": "DELETE", "view": "UPDATE", "click": "INCREMENT", "purchase": "SET"}
     op = F.element_at(F.create_map(*(F.lit(x) for pair in ops.items() for x in pair)), F.col("event_type"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), op.alias("op"), F.floor("value").alias("value"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("idx"), F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), op.alias("op"),
+        F.floor("value").alias("value")
+    )
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as queue messages: topic, payload (JSON, every ninth cut short), ts, retries."""
     e = table(spark, sf_dir, "events")
-    whole = F.concat(F.lit('{"host_id":"host-'), e["user_id"].cast("string"), F.lit('","value":'), e["value"].cast("decimal(18,2)").cast("string"), F.lit("}"))
+    whole = F.concat(
+        F.lit('{"host_id":"host-'), e["user_id"].cast("string"), F.lit('","value":'), e["value"].cast("decimal(18,2)").cast("string"), F.lit("}")
+    )
     cut = F.when(e["event_id"] % 9 == 0, F.lit('{"host_id":')).otherwise(whole)
     topic = F.when(e["event_type"] == "error", "alerts").otherwise("metrics")
     return e.select(e["event_id"].alias("id"), topic.alias("topic"), cut.alias("payload"), e["ts"], (e["event_id"] % 5).cast("int").alias("retries"))

@@ -46,7 +46,10 @@ def positive_rate() -> Column:
     return F.when(span > 0, grown / span).otherwise(0.0)
 
 
-def aggregate(samples: DataFrame, kinds: tuple[str, ...] = ("avg", "sum", "min", "max", "count", "rate", "p95", "stddev"), metric: str | None = None, start=None, end=None, closed: str = "both", scope: str = "metric", exact: bool = True) -> DataFrame:
+def aggregate(
+    samples: DataFrame, kinds: tuple[str, ...] = ("avg", "sum", "min", "max", "count", "rate", "p95", "stddev"), metric: str | None = None,
+    start=None, end=None, closed: str = "both", scope: str = "metric", exact: bool = True
+) -> DataFrame:
     """All the kinds for every series at once (for every host, if scope is record: over all metrics of the records).
 
     Exact percentiles keep a group's distinct values in memory; with exact=False they are approximate and keep a summary.
@@ -123,27 +126,39 @@ def trend(samples: DataFrame, flat: float = 0.1) -> DataFrame:
     w = Window.partitionBy(*SERIES).orderBy("ts", "seq")
     rows = samples.withColumn("x", (F.row_number().over(w) - 1).cast("double"))
     a = rows.groupBy(*SERIES).agg(
-        F.count("*").alias("n"), F.regr_slope("value", "x").alias("slope"), F.covar_pop("value", "x").alias("both"), F.stddev_pop("x").alias("width"), F.stddev_pop("value").alias("spread"), F.max_by("value", "x").alias("last")
+        F.count("*").alias("n"), F.regr_slope(
+            "value", "x"
+        ).alias("slope"), F.covar_pop("value", "x").alias("both"), F.stddev_pop("x").alias("width"), F.stddev_pop("value").alias("spread"), F.max_by("value", "x").alias("last")
     ).where("n >= 2")
     r = F.when(F.col("spread") == 0, 1.0).otherwise(F.col("both") / F.nullif(F.col("width") * F.col("spread"), F.lit(0.0)))
     slope = F.when(F.col("spread") == 0, 0.0).otherwise(F.col("slope"))
     direction = F.when(slope > flat, "up").when(slope < -flat, "down").otherwise("stable")
-    return a.select(*SERIES, "n", slope.alias("slope"), r.alias("correlation"), direction.alias("direction"), (F.col("last") + slope * F.col("n")).alias("prediction"), (F.abs(r) * 100).alias("confidence"))
+    return a.select(
+        *SERIES, "n", slope.alias("slope"), r.alias("correlation"), direction.alias("direction"),
+        (F.col("last") + slope * F.col("n")).alias("prediction"), (F.abs(r) * 100).alias("confidence")
+    )
 
 
 def anomaly(samples: DataFrame, threshold: float = 3.0, least: int = 10) -> DataFrame:
     """z-score of the last point against all of its series; ``least`` points or more."""
-    a = samples.groupBy(*SERIES).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev"), F.max_by("value", F.struct("ts", "seq")).alias("last")).where(F.col("n") >= least)
+    a = samples.groupBy(*SERIES).agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev"),
+        F.max_by("value", F.struct("ts", "seq")).alias("last")
+    ).where(F.col("n") >= least)
     z = F.when(F.col("stddev") > 0, F.abs(F.col("last") - F.col("mean")) / F.col("stddev")).otherwise(0.0)
     return a.select(*SERIES, "n", "mean", "stddev", "last", z.alias("score"), (z > threshold).alias("is_anomaly"))
 
 
 def basic_stats(samples: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
     v = F.col("value")
-    return samples.groupBy(*keys).agg(F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("stddev"))
+    return samples.groupBy(*keys).agg(
+        F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("stddev")
+    )
 
 
-def percentiles(samples: DataFrame, points: tuple[int, ...] = (50, 90, 95, 99), keys: tuple[str, ...] = ("metric",), exact: bool = True, parts: int = 128) -> DataFrame:
+def percentiles(
+    samples: DataFrame, points: tuple[int, ...] = (50, 90, 95, 99), keys: tuple[str, ...] = ("metric",), exact: bool = True, parts: int = 128
+) -> DataFrame:
     """Columns p50 and so on, with linear interpolation. Approximate ones need memory by their accuracy alone.
 
     Exact ones come from counts of distinct values: approximate cuts split a group's values into ``parts`` ranges, whose
@@ -160,8 +175,12 @@ def percentiles(samples: DataFrame, points: tuple[int, ...] = (50, 90, 95, 99),
     rows = counts.alias("a").join(cuts.alias("b"), same("a", "b")).select(*of("a"), "value", "n", part)
     back = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
-    sums = sums.select(*keys, "part", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))  # a row a range
-    rows = rows.alias("a").join(sums.alias("b"), same("a", "b") & (F.col("a.part") == F.col("b.part"))).select(*of("a"), F.col("a.part").alias("part"), "value", "n", "before", "total")
+    sums = sums.select(
+        *keys, "part", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(*keys)).alias("total")
+    )  # a row a range
+    rows = rows.alias("a").join(sums.alias("b"), same("a", "b") & (F.col("a.part") == F.col("b.part"))).select(
+        *of("a"), F.col("a.part").alias("part"), "value", "n", "before", "total"
+    )
     upto = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("end", F.col("before") + upto)
     place = {p: F.lit(p / 100) * (F.col("total") - 1) for p in points}
@@ -186,7 +205,9 @@ def topk_stats(samples: DataFrame, as_of, k: int = 10, ttl_s: int = 3600) -> Dat
     """Per metric: updates, hosts whose last sample is within the TTL (k at most), k, ttl and the last update."""
     last = samples.groupBy(*SERIES).agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     live = F.count_if(F.col("last_ts") >= F.lit(as_of) - F.make_dt_interval(secs=F.lit(ttl_s)))
-    return last.groupBy("metric").agg(F.sum("n").alias("updates"), F.least(live, F.lit(k)).alias("items"), F.max("last_ts").alias("last_update")).withColumns({"k": F.lit(k), "ttl_s": F.lit(ttl_s)})
+    return last.groupBy("metric").agg(
+        F.sum("n").alias("updates"), F.least(live, F.lit(k)).alias("items"), F.max("last_ts").alias("last_update")
+    ).withColumns({"k": F.lit(k), "ttl_s": F.lit(ttl_s)})
 
 
 def membership(candidates: DataFrame, members: DataFrame, key: str, bits: int = 1_000_000, hashes: int = 7) -> DataFrame:
@@ -199,4 +220,6 @@ def membership(candidates: DataFrame, members: DataFrame, key: str, bits: int =
 
 def rule_stats(rules: DataFrame) -> DataFrame:
     p = F.col("prefix")
-    return rules.agg(F.count("*").alias("rules"), F.max(F.length(p)).alias("longest"), F.count_distinct(F.substr(p, F.lit(1), F.lit(1))).alias("first_chars"))
+    return rules.agg(
+        F.count("*").alias("rules"), F.max(F.length(p)).alias("longest"), F.count_distinct(F.substr(p, F.lit(1), F.lit(1))).alias("first_chars")
+    )

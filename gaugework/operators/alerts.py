@@ -36,7 +36,10 @@ def evaluate_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     hit = matched(latest(samples), rules).where("breach")
     message = alert_message(F.col("metric"), F.col("condition"), F.col("value"), F.col("threshold"))
     name = F.concat_ws("-", "rule_id", "host_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"))
-    return hit.select(name.alias("id"), "rule_id", "host_id", "metric", "value", "threshold", "severity", message.alias("message"), "ts", F.lit("active").alias("status"))
+    return hit.select(
+        name.alias("id"), "rule_id", "host_id", "metric", "value", "threshold", "severity", message.alias("message"), "ts",
+        F.lit("active").alias("status")
+    )
 
 
 def sustained_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
@@ -44,11 +47,15 @@ def sustained_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     w = Window.partitionBy("host_id", "rule_id").orderBy("ts", "seq")
     rows = matched(samples, rules).withColumn("island", F.count_if(~F.col("breach")).over(w))
     runs = rows.groupBy("host_id", "metric", "rule_id", "duration_s", "island").agg(
-        F.min(F.when(F.col("breach"), F.col("ts"))).alias("start_ts"), F.max(F.when(F.col("breach"), F.col("ts"))).alias("end_ts"), F.count_if("breach").alias("n")
+        F.min(F.when(
+            F.col("breach"), F.col("ts")
+        )).alias("start_ts"), F.max(F.when(F.col("breach"), F.col("ts"))).alias("end_ts"), F.count_if("breach").alias("n")
     ).where("n > 0")
     last = rows.groupBy("host_id", "rule_id").agg(F.max("island").alias("last_island"))
     long_enough = F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp")) >= F.col("duration_s") * 1_000_000
-    return runs.where(long_enough).join(last, ["host_id", "rule_id"]).select("host_id", "metric", "rule_id", "start_ts", "end_ts", "n", (F.col("island") < F.col("last_island")).alias("resolved"))
+    return runs.where(long_enough).join(last, ["host_id", "rule_id"]).select(
+        "host_id", "metric", "rule_id", "start_ts", "end_ts", "n", (F.col("island") < F.col("last_island")).alias("resolved")
+    )
 
 
 def dedup_alerts(alerts: DataFrame) -> DataFrame:

@@ -51,7 +51,9 @@ def time_rules(decisions: DataFrame, rules: DataFrame, keys: tuple[str, ...] = (
     )
     keyed = decisions.withColumns({"day": day, "minute": minute})
     hit = keyed.join(each, "day").where((F.col("minute") >= F.col("start_time")) & (F.col("minute") <= F.col("end_time")))
-    first = hit.groupBy(*keys, "ts").agg(F.min_by(F.struct(F.col("action").alias("a"), F.concat(F.lit("time_based_rule:"), "name").alias("r"), target.alias("t")), "ord").alias("x"))
+    first = hit.groupBy(*keys, "ts").agg(F.min_by(
+        F.struct(F.col("action").alias("a"), F.concat(F.lit("time_based_rule:"), "name").alias("r"), target.alias("t")), "ord"
+    ).alias("x"))
     first = first.select(*keys, "ts", F.col("x.a").alias("rule_action"), F.col("x.r").alias("rule_reason"), F.col("x.t").alias("rule_target"))
     return decisions.join(first, [*keys, "ts"], "left")
 
@@ -73,7 +75,9 @@ def proposed(scored: DataFrame, c: Scaling) -> DataFrame:
         "*",
         pick(F.col("rule_action"), F.lit("scale_down"), F.lit("scale_down"), F.lit("scale_up"), F.lit("none")).alias("action"),
         pick(F.col("rule_reason"), F.lit("cost_optimization"), F.lit("low_load"), F.lit("high_load"), F.lit("")).alias("reason"),
-        pick(F.col("rule_target"), n - 1, F.greatest(n - c.step, F.lit(c.min_hosts)), F.least(n + c.step, F.lit(c.max_hosts)), n).cast("long").alias("target"),
+        pick(
+            F.col("rule_target"), n - 1, F.greatest(n - c.step, F.lit(c.min_hosts)), F.least(n + c.step, F.lit(c.max_hosts)), n
+        ).cast("long").alias("target"),
     )
 
 

@@ -15,12 +15,16 @@ def fold_changelog(log: DataFrame) -> DataFrame:
     idx, op = F.col("idx"), F.col("op")
     reset, gives = op.isin("SET", "DELETE", "EXPIRE"), op.isin("SET", "UPDATE")
     last = log.groupBy("key").agg(
-        F.max_by(F.when(reset, op), F.when(reset, idx)).alias("how"), F.max(F.when(gives, idx)).alias("at"), F.max_by(F.when(gives, F.col("value")), F.when(gives, idx)).alias("base")
+        F.max_by(F.when(reset, op), F.when(reset, idx)).alias("how"), F.max(F.when(gives, idx)).alias("at"), F.max_by(
+            F.when(gives, F.col("value")), F.when(gives, idx)
+        ).alias("base")
     )
     there = last.where("how = 'SET'").select("key", "at", "base").alias("t")
     more = log.where(op == "INCREMENT").select("key", "idx", F.col("value").alias("more")).alias("m")
     both = there.join(more, (F.col("t.key") == F.col("m.key")) & (F.col("m.idx") > F.col("t.at")), "left")
-    return both.groupBy("t.key", "base").agg(F.coalesce(F.sum("more"), F.lit(0)).alias("more")).select("key", (F.col("base") + F.col("more")).alias("value"))
+    return both.groupBy("t.key", "base").agg(F.coalesce(F.sum("more"), F.lit(0)).alias("more")).select(
+        "key", (F.col("base") + F.col("more")).alias("value")
+    )
 
 
 def log_compaction(log: DataFrame, snapshot_idx: int) -> DataFrame:

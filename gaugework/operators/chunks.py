@@ -84,4 +84,7 @@ def unpack_chunks(chunks: DataFrame) -> DataFrame:
 def compression_stats(profile: DataFrame) -> DataFrame:
     """``profile`` as compressibility() gives it: windows, original and compressed bytes, mean ratio, savings."""
     original = F.sum(F.col("n") * 16)
-    return profile.agg(F.count("*").alias("windows"), original.alias("original_bytes"), F.sum("bytes").alias("compressed_bytes"), F.avg("ratio").alias("avg_ratio"), (1 - F.sum("bytes") / original).alias("savings"))
+    return profile.agg(
+        F.count("*").alias("windows"), original.alias("original_bytes"), F.sum("bytes").alias("compressed_bytes"), F.avg("ratio").alias("avg_ratio"),
+        (1 - F.sum("bytes") / original).alias("savings")
+    )

@@ -52,7 +52,9 @@ def host_filter(samples: DataFrame, *hosts: str) -> DataFrame:
     return samples.where(F.col("host_id").isin(*hosts)) if hosts else samples
 
 
-def hosts_by(hosts: DataFrame, state: str | None = None, group: str | None = None, tag: tuple[str, str] | None = None, host_id: str | None = None) -> DataFrame:
+def hosts_by(
+    hosts: DataFrame, state: str | None = None, group: str | None = None, tag: tuple[str, str] | None = None, host_id: str | None = None
+) -> DataFrame:
     """Hosts by state, group, one tag (key, value) of a map column tags, or id; what is None doesn't matter."""
     for column, value in (("state", state), ("group", group), ("host_id", host_id)):
         hosts = hosts if value is None else hosts.where(F.col(column) == value)
@@ -133,13 +135,19 @@ def memory_usage_fallback(samples: DataFrame) -> DataFrame:
     used = F.coalesce("memory_used", F.col("memory_total") - F.col("memory_available"))
     swap = F.col("swap_total") - F.col("swap_free")
     share = lambda a, b: F.when(b > 0, a / b * 100)
-    return p.select("host_id", "ts", F.coalesce("memory_usage", share(used, F.col("memory_total"))).alias("memory_usage"), used.alias("memory_used"), swap.alias("swap_used"), share(swap, F.col("swap_total")).alias("swap_usage"))
+    return p.select(
+        "host_id", "ts", F.coalesce("memory_usage", share(used, F.col("memory_total"))).alias("memory_usage"), used.alias("memory_used"),
+        swap.alias("swap_used"), share(swap, F.col("swap_total")).alias("swap_usage")
+    )
 
 
 def disk_usage(samples: DataFrame) -> DataFrame:
     p = pivoted(samples, "disk_total", "disk_free")
     used = F.col("disk_total") - F.col("disk_free")
-    return p.select("host_id", "ts", used.alias("disk_used"), F.when(F.col("disk_total") == 0, 0.0).otherwise(used / F.col("disk_total") * 100).alias("disk_usage"))
+    return p.select(
+        "host_id", "ts", used.alias("disk_used"),
+        F.when(F.col("disk_total") == 0, 0.0).otherwise(used / F.col("disk_total") * 100).alias("disk_usage")
+    )
 
 
 def network_total(samples: DataFrame) -> DataFrame:

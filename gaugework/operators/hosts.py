@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert_hosts(events: DataFrame, texts: tuple[str, ...] = ("hostname", "ip", "group"), numbers: tuple[str, ...] = ("port",), maps: tuple[str, ...] = ()) -> DataFrame:
+def upsert_hosts(
+    events: DataFrame, texts: tuple[str, ...] = ("hostname", "ip", "group"), numbers: tuple[str, ...] = ("port",), maps: tuple[str, ...] = ()
+) -> DataFrame:
     """``events``: host_id, ts, seq and those columns. The last non-empty text and positive number win; maps merge, later keys win.
 
     Each column is an aggregate of its own, so a host with very many events needs no more than its current record.
@@ -40,7 +42,9 @@ def stale_hosts(samples: DataFrame, as_of, offline_timeout_s: int = 300) -> Data
 def auto_remove(states: DataFrame, as_of, unhealthy_timeout_s: int = 600, offline_timeout_s: int = 1200) -> DataFrame:
     """``states``: host_id, state, last_ts. Hosts to remove, with the reason: unhealthy too long, or offline twice its timeout."""
     older = lambda s: F.col("last_ts") < F.lit(as_of) - F.make_dt_interval(secs=F.lit(s))
-    reason = F.when((F.col("state") == "unhealthy") & older(unhealthy_timeout_s), "unhealthy_timeout").when((F.col("state") == "offline") & older(2 * offline_timeout_s), "offline_timeout")
+    reason = F.when(
+        (F.col("state") == "unhealthy") & older(unhealthy_timeout_s), "unhealthy_timeout"
+    ).when((F.col("state") == "offline") & older(2 * offline_timeout_s), "offline_timeout")
     return states.withColumn("reason", reason).where("reason is not null")
 
 

@@ -43,7 +43,9 @@ def intervals(spark: SparkSession, nodes: Sequence[str], virtual: int, replicas:
 def assign_replicas(keys: DataFrame, nodes: Sequence[str], virtual: int = 50, replicas: int = 1, column: str = "key") -> DataFrame:
     """Keys with crc and nodes (the replicas in order)."""
     hashed = keys.withColumn("crc", F.crc32(F.col(column).cast("binary"))).withColumn("byte", F.shiftright("crc", 24).cast("int"))
-    rows = hashed.join(intervals(keys.sparkSession, nodes, virtual, replicas), "byte").where((F.col("crc") > F.col("lo")) & (F.col("crc") <= F.col("hi")))
+    rows = hashed.join(
+        intervals(keys.sparkSession, nodes, virtual, replicas), "byte"
+    ).where((F.col("crc") > F.col("lo")) & (F.col("crc") <= F.col("hi")))
     return rows.drop("byte", "lo", "hi")
 
 
@@ -61,4 +63,6 @@ def rebalance(keys: DataFrame, before: Sequence[str], after: Sequence[str], virt
 def shard_distribution(assigned: DataFrame, virtual: int = 50) -> DataFrame:
     """Keys and ring points of each node, and its keys as a share of the mean."""
     n = assigned.groupBy("node").agg(F.count("*").alias("keys"))
-    return n.select("node", F.lit(virtual).alias("points"), "keys", (F.col("keys") / F.avg("keys").over(Window.partitionBy())).alias("skew"))  # a row a node
+    return n.select(
+        "node", F.lit(virtual).alias("points"), "keys", (F.col("keys") / F.avg("keys").over(Window.partitionBy())).alias("skew")
+    )  # a row a node

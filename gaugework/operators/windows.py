@@ -21,7 +21,9 @@ def sliding_stats(samples: DataFrame, size: int, max_age_s: int, keys: tuple[str
     """
     w = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(-(size - 1), 0)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = samples.withColumn("frame", F.filter(F.collect_list(F.struct(at.alias("t"), F.col("value").alias("v"))).over(w), lambda x: x["t"] >= at - max_age_s * 1_000_000))
+    rows = samples.withColumn(
+        "frame", F.filter(F.collect_list(F.struct(at.alias("t"), F.col("value").alias("v"))).over(w), lambda x: x["t"] >= at - max_age_s * 1_000_000)
+    )
     v = F.transform("frame", lambda x: x["v"])
     n = F.size("frame")
     rows = rows.withColumns({"v": v, "n": n}).withColumns({"total": F.aggregate("v", F.lit(0.0), lambda s, x: s + x), "ordered": F.array_sort("v")})
@@ -57,7 +59,9 @@ def cpu_usage(jiffies: DataFrame) -> DataFrame:
     w = Window.partitionBy("host_id", "core").orderBy("ts")
     idle, total = (F.col(c) - F.lag(c).over(w) for c in ("idle", "total"))
     rows = jiffies.withColumns({"d_idle": idle, "d_total": total}).where(F.col("d_total").isNotNull())
-    return rows.select("host_id", "core", "ts", F.when(F.col("d_total") == 0, 0.0).otherwise(100 * (1 - F.col("d_idle") / F.col("d_total"))).alias("usage"))
+    return rows.select(
+        "host_id", "core", "ts", F.when(F.col("d_total") == 0, 0.0).otherwise(100 * (1 - F.col("d_idle") / F.col("d_total"))).alias("usage")
+    )
 
 
 def latest(samples: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -90,7 +94,9 @@ def consecutive_failures(checks: DataFrame, max_retries: int = 3, keys: tuple[st
 
 def latest_as_of(requests: DataFrame, samples: DataFrame) -> DataFrame:
     """For each request (host_id, metric, ts) the last value not after it: both kinds of rows in one ordered run a series."""
-    asked = requests.select(*SERIES, "ts", F.lit(None).cast("double").alias("value"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(1).alias("kind"))
+    asked = requests.select(
+        *SERIES, "ts", F.lit(None).cast("double").alias("value"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(1).alias("kind")
+    )
     given = samples.select(*SERIES, "ts", "value", F.col("ts").alias("at"), F.lit(0).alias("kind"))
     w = Window.partitionBy(*SERIES).orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
     rows = given.unionByName(asked).withColumns({"value": F.last("value", ignorenulls=True).over(w), "at": F.last("at", ignorenulls=True).over(w)})

@@ -54,7 +54,10 @@ def validate_hosts(spark, sf_dir):
     return O.validate_hosts(hosts(spark, sf_dir), 100).select("host_id", "ip")
 
 
-NAMES = ("cpu.usage", "memory.usage", "network.bandwidth.eth0", "network.rx_bytes.eth0", "network.tx_bytes.eth0", "network.connections.tcp", "memory.total", "memory.used", "memory.free", "disk.usage./", "disk.total./", "disk.used./", "disk.free./", "network.rx_bytes_avg.eth0", "load")
+NAMES = (
+    "cpu.usage", "memory.usage", "network.bandwidth.eth0", "network.rx_bytes.eth0", "network.tx_bytes.eth0", "network.connections.tcp",
+    "memory.total", "memory.used", "memory.free", "disk.usage./", "disk.total./", "disk.used./", "disk.free./", "network.rx_bytes_avg.eth0", "load"
+)
 
 
 def raw_names(spark, sf_dir):
@@ -82,7 +85,9 @@ def canonicalise(spark, sf_dir):
 @query("WITH {S} SELECT host_id, metric, seq, value FROM (SELECT host_id, CASE WHEN seq % 10 = 0 THEN '' ELSE metric END AS metric, seq, CASE WHEN seq % 7 = 0 THEN -value ELSE value END AS value FROM s) WHERE metric <> '' AND value >= 0")
 def validate_samples(spark, sf_dir):
     s = samples(spark, sf_dir)
-    odd = s.withColumns({"metric": F.when(s["seq"] % 10 == 0, "").otherwise(s["metric"]), "value": F.when(s["seq"] % 7 == 0, -s["value"]).otherwise(s["value"])})
+    odd = s.withColumns({
+        "metric": F.when(s["seq"] % 10 == 0, "").otherwise(s["metric"]), "value": F.when(s["seq"] % 7 == 0, -s["value"]).otherwise(s["value"])
+    })
     return O.validate_samples(odd).select("host_id", "metric", "seq", "value")
 
 
@@ -128,12 +133,17 @@ def threshold_predicate(spark, sf_dir):
 
 @query("WITH {S}, q AS (SELECT seq, CASE seq % 4 WHEN 0 THEN value * 10000 + 37 WHEN 1 THEN value * 100 + 0.3 WHEN 2 THEN (value + 0.003) / 100000 ELSE value END AS v FROM s) SELECT seq, CASE WHEN v >= 1e6 THEN format('{:.2f}M', v / 1e6) WHEN v >= 1e3 THEN format('{:.2f}K', v / 1e3) WHEN v > 0 AND v < 0.01 THEN format('{:.6f}', v) ELSE format('{:.4f}', v) END AS shown FROM q")
 def si_format(spark, sf_dir):
-    v = F.when(F.col("seq") % 4 == 0, F.col("value") * 10000 + 37).when(F.col("seq") % 4 == 1, F.col("value") * 100 + 0.3).when(F.col("seq") % 4 == 2, (F.col("value") + 0.003) / 100000).otherwise(F.col("value"))
+    v = F.when(F.col("seq") % 4 == 0, F.col("value") * 10000 + 37).when(F.col("seq") % 4 == 1, F.col("value") * 100 + 0.3).when(
+        F.col("seq") % 4 == 2, (F.col("value") + 0.003) / 100000
+    ).otherwise(F.col("value"))
     rows = samples(spark, sf_dir).select("seq", v.alias("v"))
     return rows.select("seq", C.si_format(F.col("v")).alias("shown"))
 
 
-GAUGES = ("memory_usage", "memory_total", "memory_used", "memory_available", "disk_total", "disk_free", "network_traffic", "network_rx", "network_tx", "swap_total", "swap_free")
+GAUGES = (
+    "memory_usage", "memory_total", "memory_used", "memory_available", "disk_total", "disk_free", "network_traffic", "network_rx", "network_tx",
+    "swap_total", "swap_free"
+)
 
 
 def scrapes(spark, sf_dir):
@@ -171,7 +181,10 @@ def network_total(spark, sf_dir):
 @query("WITH {S} SELECT seq, host_id || ':' || metric || ':' || CAST(floor(epoch(ts) / 3600) AS BIGINT) AS alert_key, 'metrics:' || host_id || ':' || CAST(floor(epoch(ts)) AS BIGINT) AS storage_key, host_id AS key_host, CAST(floor(epoch(ts)) AS BIGINT) AS key_ts, round(value / 500 * 100, 6) AS percentage FROM s")
 def keys_and_units(spark, sf_dir):
     s = samples(spark, sf_dir)
-    rows = s.select("seq", C.alert_key(s["host_id"], s["metric"], s["ts"]).alias("alert_key"), C.storage_key(s["host_id"], s["ts"]).alias("storage_key"), F.round(C.to_percentage(s["value"], F.lit(500.0)), 6).alias("percentage"))
+    rows = s.select(
+        "seq", C.alert_key(s["host_id"], s["metric"], s["ts"]).alias("alert_key"), C.storage_key(s["host_id"], s["ts"]).alias("storage_key"),
+        F.round(C.to_percentage(s["value"], F.lit(500.0)), 6).alias("percentage")
+    )
     host, ts = C.storage_key_parts(F.col("storage_key"))
     return rows.withColumns({"key_host": host, "key_ts": ts})
 
@@ -218,4 +231,6 @@ def vector_dot(spark, sf_dir):
 @query("WITH z AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, round(sum(x), 4) AS total, round(max(x), 6) AS most, round(min(x), 6) AS least FROM z GROUP BY ALL")
 def vector_reductions(spark, sf_dir):
     a = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.vec_sum(a), 4).alias("total"), F.round(V.vec_max(a), 6).alias("most"), F.round(V.vec_min(a), 6).alias("least"))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.round(V.vec_sum(a), 4).alias("total"), F.round(V.vec_max(a), 6).alias("most"), F.round(V.vec_min(a), 6).alias("least")
+    )

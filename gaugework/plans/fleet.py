@@ -57,7 +57,10 @@ def registrations(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     host = F.concat(F.lit("host-"), e["user_id"].cast("string")).alias("host_id")
     group = F.when(e["event_id"] % 3 == 0, "").otherwise(e["event_type"]).alias("group")
-    return e.select(host, "ts", F.col("event_id").alias("seq"), group, (e["event_id"] % 5 * 1000).cast("int").alias("port"), F.create_map(e["event_type"], F.floor("value").cast("string")).alias("labels"))
+    return e.select(
+        host, "ts", F.col("event_id").alias("seq"), group, (e["event_id"] % 5 * 1000).cast("int").alias("port"),
+        F.create_map(e["event_type"], F.floor("value").cast("string")).alias("labels")
+    )
 
 
 @query(
@@ -121,7 +124,9 @@ STATES = f"t AS (SELECT host_id, CASE WHEN last_ts < TIMESTAMP '{END}' - INTERVA
 
 def states(spark, sf_dir):
     rows = H.liveness(until_end(spark, sf_dir), bounds()[1], 14_400)
-    state = F.when(F.col("state") == "offline", "offline").when(F.col("host_id").endswith("7"), "unhealthy").when(F.col("host_id").endswith("9"), "maintenance").otherwise("healthy")
+    state = F.when(F.col("state") == "offline", "offline").when(F.col("host_id").endswith("7"), "unhealthy").when(
+        F.col("host_id").endswith("9"), "maintenance"
+    ).otherwise("healthy")
     return rows.select("host_id", state.alias("state"), F.substr("host_id", F.lit(6)).cast("long").alias("load"))
 
 
@@ -141,7 +146,10 @@ def scale_down_candidates(spark, sf_dir):
     return K.scale_down_candidates(states(spark, sf_dir), 20)
 
 
-TIME_RULES = ((1, "night", "00:00", "05:59", [0, 6], 3, 50, "scale_down"), (2, "noon", "12:00", "12:59", [1, 3, 5], 3, 1000, "scale_up"), (3, "hold", "12:00", "18:00", [1], 3, 50, "maintain"))
+TIME_RULES = (
+    (1, "night", "00:00", "05:59", [0, 6], 3, 50, "scale_down"), (2, "noon", "12:00", "12:59", [1, 3, 5], 3, 1000, "scale_up"),
+    (3, "hold", "12:00", "18:00", [1], 3, 50, "maintain")
+)
 TIME_RULES_SQL = f"y(ord, name, start_time, end_time, days, min_hosts, max_hosts, action) AS (VALUES {', '.join(map(str, TIME_RULES))})"
 RULED = f"""{TIME_RULES_SQL}, k AS (SELECT ts, ord, action, 'time_based_rule:' || name AS reason, CASE WHEN action = 'scale_up' AND hosts < max_hosts THEN least(hosts + 1, max_hosts) WHEN action = 'scale_down' AND hosts > min_hosts THEN greatest(hosts - 1, min_hosts) ELSE hosts END AS target
       FROM l JOIN y ON list_contains(days, dayofweek(ts)) AND strftime(ts, '%H:%M') BETWEEN start_time AND end_time),
@@ -149,7 +157,9 @@ RULED = f"""{TIME_RULES_SQL}, k AS (SELECT ts, ord, action, 'time_based_rule:' |
 
 
 def time_rule_table(spark):
-    return spark.createDataFrame(TIME_RULES, "ord int, name string, start_time string, end_time string, days array<int>, min_hosts long, max_hosts long, action string")
+    return spark.createDataFrame(
+        TIME_RULES, "ord int, name string, start_time string, end_time string, days array<int>, min_hosts long, max_hosts long, action string"
+    )
 
 
 def scored(spark, sf_dir):

@@ -39,7 +39,10 @@ def _one(kind, sql):
     query(f"WITH {{S}} SELECT host_id, metric, round(CAST({sql} AS DOUBLE), 6) AS value FROM s GROUP BY ALL")(run)
 
 
-for _kind, _sql in {"avg": "avg(value)", "sum": "sum(value)", "min": "min(value)", "max": "max(value)", "count": "count(value)", "p95": "quantile_cont(value, 0.95)", "p50": "quantile_cont(value, 0.5)", "stddev": "stddev_pop(value)"}.items():
+for _kind, _sql in {
+    "avg": "avg(value)", "sum": "sum(value)", "min": "min(value)", "max": "max(value)", "count": "count(value)", "p95": "quantile_cont(value, 0.95)",
+    "p50": "quantile_cont(value, 0.5)", "stddev": "stddev_pop(value)"
+}.items():
     _one(_kind, _sql)
 
 
@@ -206,6 +209,9 @@ def sorted_history(spark, sf_dir):
 )
 def bucket_stats_lineitem(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
-    s = l.select(F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("host_id"), F.col("l_returnflag").alias("metric"), F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("value"))
+    s = l.select(
+        F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("host_id"), F.col("l_returnflag").alias("metric"),
+        F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("value")
+    )
     return rounded(rounded(A.bucket_stats(s, "30 days"), "sum", places=2), "avg")
 

@@ -63,11 +63,17 @@ def payloads(spark, sf_dir):
     host = F.concat(F.lit("host-"), e["user_id"].cast("string"))
     value, seconds = e["value"].cast("decimal(18,2)").cast("string"), F.unix_seconds(e["ts"].cast("timestamp")).cast("string")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    listed = F.format_string('{"host_id":"%s","timestamp":"%s","metrics":[{"name":"%s","value":"%s","unit":"u"},{"name":"","value":"1"},{"name":"bad","value":"x"}],"tags":{"a":"1","":"2","b":""}}', host, stamp, "event_type", value)
+    listed = F.format_string(
+        '{"host_id":"%s","timestamp":"%s","metrics":[{"name":"%s","value":"%s","unit":"u"},{"name":"","value":"1"},{"name":"bad","value":"x"}],"tags":{"a":"1","":"2","b":""}}',
+        host, stamp, "event_type", value
+    )
     objects = F.format_string('{"hostId":"%s","timestamp":%s,"metrics":{"%s":{"value":%s,"unit":"%%"}}}', host, seconds, "event_type", value)
     numbers = F.format_string('{"host_id":"%s","timestamp":%s,"metrics":{"%s":%s,"n":"oops"}}', host, seconds, "event_type", value)
     turn = e["event_id"] % 4
-    return e.select(e["event_id"].alias("seq"), F.when(turn == 0, listed).when(turn == 1, objects).when(turn == 2, numbers).otherwise('{"host_id":"h","metr').alias("payload"))
+    return e.select(
+        e["event_id"].alias("seq"),
+        F.when(turn == 0, listed).when(turn == 1, objects).when(turn == 2, numbers).otherwise('{"host_id":"h","metr').alias("payload")
+    )
 
 
 @query(
@@ -80,7 +86,9 @@ def explode_envelopes(spark, sf_dir):
 def daily(spark, sf_dir):
     """The greatest whole value of each series and day."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")
-    return samples(spark, sf_dir).groupBy("host_id", day, "metric").agg(F.max(F.floor("value")).cast("double").alias("value")).withColumn("unit", F.lit(""))
+    return samples(spark, sf_dir).groupBy(
+        "host_id", day, "metric"
+    ).agg(F.max(F.floor("value")).cast("double").alias("value")).withColumn("unit", F.lit(""))
 
 
 @query(
@@ -113,26 +121,56 @@ def encode_messages(spark, sf_dir):
 
 # The fields of the stat and net_dev files.
 JIFFIES = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
-NET = ("rx_bytes", "rx_packets", "rx_errors", "rx_dropped", "rx_fifo", "rx_frame", "rx_compressed", "rx_multicast", "tx_bytes", "tx_packets", "tx_errors", "tx_dropped", "tx_fifo", "tx_collisions", "tx_carrier", "tx_compressed")
+NET = (
+    "rx_bytes", "rx_packets", "rx_errors", "rx_dropped", "rx_fifo", "rx_frame", "rx_compressed", "rx_multicast", "tx_bytes", "tx_packets",
+    "tx_errors", "tx_dropped", "tx_fifo", "tx_collisions", "tx_carrier", "tx_compressed"
+)
 #: For each kind of file (by event_id % 11) its text, with %s for a number, and the metrics in it as (name, value in SQL, unit).
 KINDS = (
-    ("meminfo", "MemTotal:  1000000 kB\nMemFree: %s0 kB\nDirectMap4k: 5 kB\nSReclaimable: %s kB", [("memory.total", "1000000", "KB"), ("memory.free", "v * 10", "KB"), ("memory.slab_reclaimable", "v", "KB")]),
+    (
+        "meminfo", "MemTotal:  1000000 kB\nMemFree: %s0 kB\nDirectMap4k: 5 kB\nSReclaimable: %s kB",
+        [("memory.total", "1000000", "KB"), ("memory.free", "v * 10", "KB"), ("memory.slab_reclaimable", "v", "KB")]
+    ),
     ("loadavg", "0.50 %s.25 %s.00 2/300 4711", [("cpu.load_avg_1", "0.5", ""), ("cpu.load_avg_5", "v + 0.25", ""), ("cpu.load_avg_15", "v", "")]),
     ("diskstats", "   8  0 sda %s 1 %s 4 7 6 8 9 0 11 12\n 7 0 loop0 1 1 1 1 1 1 1 1 1 1 1\n 253 0 dm-0 1 1 1 1 1 1 1 1 1 1 1",
-        [("disk.reads.sda", "v", "ops"), ("disk.read_bytes.sda", "v * 512", "B"), ("disk.writes.sda", "7", "ops"), ("disk.write_bytes.sda", "4096", "B"), ("disk.io_time.sda", "11", "ms")]),
+        [
+            ("disk.reads.sda", "v", "ops"), ("disk.read_bytes.sda", "v * 512", "B"), ("disk.writes.sda", "7", "ops"),
+            ("disk.write_bytes.sda", "4096", "B"), ("disk.io_time.sda", "11", "ms")
+        ]),
     ("sockstat", "sockets: used 300\nTCP: inuse %s orphan 0", [("network.connections", "v", "conn")]),
-    ("pressure_memory", "some avg10=%s.50 avg60=0.00 total=1\nfull avg10=0.25 avg60=0.00 total=1", [("memory.pressure_some", "v + 0.5", "%"), ("memory.pressure_full", "0.25", "%")]),
+    (
+        "pressure_memory", "some avg10=%s.50 avg60=0.00 total=1\nfull avg10=0.25 avg60=0.00 total=1",
+        [("memory.pressure_some", "v + 0.5", "%"), ("memory.pressure_full", "0.25", "%")]
+    ),
     ("stat", "cpu  %s 1 2 3 4 5 6 7 0 0\ncpu0 %s 1 2 3 4 5 6 7 0 0\nintr 99 1 2\nctxt 17\nbtime 5\nprocesses 12\nprocs_running 2\nprocs_blocked 0",
         [(f"cpu.jiffies.{c}.{n}", "v" if i == 0 else str(i), "jiffies") for c in ("total", "cpu0") for i, n in enumerate(JIFFIES)]
-        + [("cpu.interrupts", "99", ""), ("cpu.context_switches", "17", ""), ("cpu.processes", "12", ""), ("cpu.procs_running", "2", ""), ("cpu.procs_blocked", "0", "")]),
-    ("vmstat", "nr_free_pages %s\nnr_other 3\npswpin 7\nnr_dirty %s", [("memory.vmstat_nr_free_pages", "v", ""), ("memory.swap_in", "7", ""), ("memory.vmstat_nr_dirty", "v", "")]),
+        + [
+            ("cpu.interrupts", "99", ""), ("cpu.context_switches", "17", ""), ("cpu.processes", "12", ""), ("cpu.procs_running", "2", ""),
+            ("cpu.procs_blocked", "0", "")
+        ]),
+    (
+        "vmstat", "nr_free_pages %s\nnr_other 3\npswpin 7\nnr_dirty %s",
+        [("memory.vmstat_nr_free_pages", "v", ""), ("memory.swap_in", "7", ""), ("memory.vmstat_nr_dirty", "v", "")]
+    ),
     ("buddyinfo", "Node 0, zone DMA 1 %s 2\nNode 0, zone Normal 3 0 %s", [("memory.free_pages", "(v + v + 6) * 4", "KB")]),
-    ("numa_meminfo", "Node 0 MemTotal: 500 kB\nNode 0 MemFree: %s kB\nNode 1 MemFree: %s kB\nNode 0 Active: 3 kB", [("memory.numa_0.total", "500", "KB"), ("memory.numa_0.free", "v", "KB"), ("memory.numa_1.free", "v", "KB")]),
-    ("mounts", "/dev/sda1 /data ext4 rw 0 0\nproc /proc proc rw 0 0\ntmpfs /run tmpfs rw 0 0\n/dev/sdb /dev/x ext4 rw 0 0", [("disk.mount./data", "1", "")]),
-    ("net_dev", "Inter-|   Receive    |  Transmit\n face |bytes packets |bytes packets\n    lo: " + "1 " * 16 + "\n  eth0: %s 2 3 4 5 6 7 8 %s 10 11 12 13 14 15 16", [(f"network.{n}.eth0", "v" if i in (0, 8) else str(i + 1), "") for i, n in enumerate(NET)]),
+    (
+        "numa_meminfo", "Node 0 MemTotal: 500 kB\nNode 0 MemFree: %s kB\nNode 1 MemFree: %s kB\nNode 0 Active: 3 kB",
+        [("memory.numa_0.total", "500", "KB"), ("memory.numa_0.free", "v", "KB"), ("memory.numa_1.free", "v", "KB")]
+    ),
+    (
+        "mounts", "/dev/sda1 /data ext4 rw 0 0\nproc /proc proc rw 0 0\ntmpfs /run tmpfs rw 0 0\n/dev/sdb /dev/x ext4 rw 0 0",
+        [("disk.mount./data", "1", "")]
+    ),
+    (
+        "net_dev",
+        "Inter-|   Receive    |  Transmit\n face |bytes packets |bytes packets\n    lo: " + "1 " * 16 + "\n  eth0: %s 2 3 4 5 6 7 8 %s 10 11 12 13 14 15 16",
+        [(f"network.{n}.eth0", "v" if i in (0, 8) else str(i + 1), "") for i, n in enumerate(NET)]
+    ),
 )
 METRIC = "{'m': '%s', 'v': CAST(%s AS DOUBLE), 'u': '%s'}"
-OF_KIND = " UNION ALL ".join(f"SELECT host_id, ts, unnest([{', '.join(METRIC % m for m in made)}]) AS x FROM i WHERE kind = {k}" for k, (_, _, made) in enumerate(KINDS))
+OF_KIND = " UNION ALL ".join(
+    f"SELECT host_id, ts, unnest([{', '.join(METRIC % m for m in made)}]) AS x FROM i WHERE kind = {k}" for k, (_, _, made) in enumerate(KINDS)
+)
 SNAPSHOTS = f"i AS (SELECT event_id % {len(KINDS)} AS kind, 'host-' || user_id AS host_id, ts, CAST(floor(value) AS BIGINT) AS v FROM events), m AS ({OF_KIND})"
 
 
@@ -141,7 +179,9 @@ def snapshots(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("v", F.floor("value").cast("string"))
     kind = F.col("event_id") % len(KINDS)
     file = F.element_at(F.array(*(F.lit(n) for n, _, _ in KINDS)), (kind + 1).cast("int"))
-    content = F.coalesce(*(F.when(kind == k, F.format_string(t, *["v"] * t.count("%s")) if "%s" in t else F.lit(t)) for k, (_, t, _) in enumerate(KINDS)))
+    content = F.coalesce(*(
+        F.when(kind == k, F.format_string(t, *["v"] * t.count("%s")) if "%s" in t else F.lit(t)) for k, (_, t, _) in enumerate(KINDS)
+    ))
     return e.select(F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("host_id"), "ts", file.alias("file"), content.alias("content"))
 
 

@@ -30,7 +30,9 @@ def finished(stream: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream to its end; what it wrote, with times without a zone as in batch plans."""
     spark, out = stream.sparkSession, work_dir(stream.sparkSession, "stream")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option(
+        "checkpointLocation", f"{out}-state"
+    ).option("path", out).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(out)
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in rows.dtypes if kind == "timestamp"})
 
@@ -53,7 +55,10 @@ def stream_dedup_alerts(spark, sf_dir):
     """Which alert of an hour survives depends on their arrival; it must be one of them, as it was."""
     kept = finished(Q.stream_dedup_alerts(samples_of(events_stream(spark, sf_dir)).where("value > 20")))
     given = samples(spark, sf_dir).where("value > 20").select("seq", *(F.col(c).alias(f"own_{c}") for c in ("host_id", "metric", "ts", "value")))
-    same = F.coalesce((F.col("host_id") == F.col("own_host_id")) & (F.col("metric") == F.col("own_metric")) & (F.col("ts") == F.col("own_ts")) & (F.col("value") == F.col("own_value")), F.lit(False))
+    same = F.coalesce(
+        (F.col("host_id") == F.col("own_host_id")) & (F.col("metric") == F.col("own_metric")) & (F.col("ts") == F.col("own_ts")) & (F.col("value") == F.col("own_value")),
+        F.lit(False)
+    )
     own = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) == F.col("hour")
     return kept.join(given, "seq", "left").select("host_id", "metric", "hour", own.alias("of_the_hour"), same.alias("is_an_alert"))
 

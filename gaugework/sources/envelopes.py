@@ -27,7 +27,9 @@ def explode_envelopes(rows: DataFrame, payload: str = "payload", on_error: str =
     """
     at = lambda path, kind: F.try_variant_get("_e", path, kind)
     host = F.coalesce(at("$.host_id", "string"), at("$.hostId", "string"))
-    listed = lambda v, path: F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    listed = lambda v, path: F.transform(
+        F.try_variant_get(v, path, "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))
+    )
     keyed = lambda v, path: F.map_entries(F.try_variant_get(v, path, "map<string,variant>"))
     inner = F.try_parse_json(at("$.metrics", "string"))  # metrics as JSON text in the JSON
     metrics = F.coalesce(listed(F.col("_e"), "$.metrics"), keyed(F.col("_e"), "$.metrics"), listed(inner, "$"), keyed(inner, "$"))
@@ -36,8 +38,13 @@ def explode_envelopes(rows: DataFrame, payload: str = "payload", on_error: str =
     e = e.select(host.alias("host_id"), time_of(at("$.timestamp", "string")).alias("ts"), "seq", tags.alias("tags"), metrics.alias("metrics"))
     each = e.select("host_id", "ts", "seq", "tags", F.explode_outer("metrics").alias("m"))
     part = lambda path: F.try_variant_get("m.value", path, "string")
-    out = each.select("host_id", F.coalesce("m.key", part("$.name")).alias("metric"), "ts", number(F.coalesce(part("$.value"), part("$")), on_error).alias("value"), F.coalesce(part("$.unit"), F.lit("")).alias("unit"), "seq", "tags")
-    return out.where((F.coalesce("metric", F.lit("")) != "") & F.col("value").isNotNull() & F.col("ts").isNotNull() & (F.coalesce("host_id", F.lit("")) != ""))
+    out = each.select(
+        "host_id", F.coalesce("m.key", part("$.name")).alias("metric"), "ts", number(F.coalesce(part("$.value"), part("$")), on_error).alias("value"),
+        F.coalesce(part("$.unit"), F.lit("")).alias("unit"), "seq", "tags"
+    )
+    return out.where((F.coalesce("metric", F.lit("")) != "") & F.col("value").isNotNull() & F.col("ts").isNotNull() & (F.coalesce(
+        "host_id", F.lit("")
+    ) != ""))
 
 
 def scrapes(samples: DataFrame) -> DataFrame:

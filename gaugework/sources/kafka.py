@@ -15,7 +15,9 @@ HANDLERS: dict[str, Handler] = {}
 
 def read_kafka_samples(spark: SparkSession, servers: str, topic: str, group: str | None = None, starting: str = "latest") -> DataFrame:
     """A stream of samples; offsets are kept by the query's checkpoint."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting)
+    reader = spark.readStream.format("kafka").option(
+        "kafka.bootstrap.servers", servers
+    ).option("subscribe", topic).option("startingOffsets", starting)
     return decode_messages((reader.option("kafka.group.id", group) if group else reader).load())
 
 

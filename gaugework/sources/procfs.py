@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 #: Field names in file order, fields kept, and what is skipped.
 CPU_FIELDS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
-NET_FIELDS = ("rx_bytes", "rx_packets", "rx_errors", "rx_dropped", "rx_fifo", "rx_frame", "rx_compressed", "rx_multicast", "tx_bytes", "tx_packets", "tx_errors", "tx_dropped", "tx_fifo", "tx_collisions", "tx_carrier", "tx_compressed")
+NET_FIELDS = (
+    "rx_bytes", "rx_packets", "rx_errors", "rx_dropped", "rx_fifo", "rx_frame", "rx_compressed", "rx_multicast", "tx_bytes", "tx_packets",
+    "tx_errors", "tx_dropped", "tx_fifo", "tx_collisions", "tx_carrier", "tx_compressed"
+)
 VMSTAT_FIELDS = (
     "nr_free_pages", "nr_inactive_anon", "nr_active_anon", "nr_inactive_file", "nr_active_file", "nr_unevictable", "nr_slab_reclaimable",
     "nr_slab_unreclaimable", "nr_page_table_pages", "nr_dirty", "nr_writeback", "nr_anon_pages", "nr_mapped", "nr_shmem", "nr_slab",
@@ -71,7 +74,10 @@ def _rules() -> list[tuple[str, Column, Column]]:
     load = ((1, "1"), (2, "5"), (3, "15"))
     real = ~_at(3).isin(*PSEUDO_FILESYSTEMS) & ~_at(2).rlike(f"^({'|'.join(PSEUDO_MOUNTS)})")
     return [
-        ("stat", name.startswith("cpu"), _metrics(*((_named("cpu.jiffies.", core, lit("." + n)), _num(i + 2), "jiffies") for i, n in enumerate(CPU_FIELDS)))),
+        (
+            "stat", name.startswith("cpu"),
+            _metrics(*((_named("cpu.jiffies.", core, lit("." + n)), _num(i + 2), "jiffies") for i, n in enumerate(CPU_FIELDS)))
+        ),
         ("stat", name == "ctxt", _metrics((lit("cpu.context_switches"), _num(2), ""))),
         ("stat", name == "intr", _metrics((lit("cpu.interrupts"), _num(2), ""))),
         ("stat", name.isin("processes", "procs_running", "procs_blocked"), _metrics((_named("cpu.", name), _num(2), ""))),
@@ -79,11 +85,23 @@ def _rules() -> list[tuple[str, Column, Column]]:
         ("meminfo", name.isin(*MEMINFO_FIELDS), _metrics((_renamed(MEMINFO_FIELDS, 1), _num(2), "KB"))),
         ("vmstat", name.isin(*VMSTAT_FIELDS), _metrics((_named("memory.vmstat_", name), _num(2), ""))),
         ("vmstat", name.isin(*SWAP_FIELDS), _metrics((_renamed(SWAP_FIELDS, 1), _num(2), ""))),
-        ("pressure_memory", name.isin("some", "full"), _metrics((_named("memory.pressure_", name), F.try_element_at(F.split(_at(2), "="), lit(2)).try_cast("double"), "%"))),
-        ("numa_meminfo", (name == "Node") & _at(3).isin(*NUMA_FIELDS), _metrics((_named("memory.numa_", _at(2), lit("."), _renamed(NUMA_FIELDS, 3)), _num(4), "KB"))),
-        ("diskstats", (F.size("f") >= 14) & ~_at(3).rlike("^(loop|ram)|dm-"), _metrics(*((_named(f"disk.{n}.", _at(3)), _num(i) * by, u) for n, i, by, u in disk))),
+        (
+            "pressure_memory", name.isin("some", "full"),
+            _metrics((_named("memory.pressure_", name), F.try_element_at(F.split(_at(2), "="), lit(2)).try_cast("double"), "%"))
+        ),
+        (
+            "numa_meminfo", (name == "Node") & _at(3).isin(*NUMA_FIELDS),
+            _metrics((_named("memory.numa_", _at(2), lit("."), _renamed(NUMA_FIELDS, 3)), _num(4), "KB"))
+        ),
+        (
+            "diskstats", (F.size("f") >= 14) & ~_at(3).rlike("^(loop|ram)|dm-"),
+            _metrics(*((_named(f"disk.{n}.", _at(3)), _num(i) * by, u) for n, i, by, u in disk))
+        ),
         ("mounts", real, _metrics((_named("disk.mount.", _at(2)), lit(1.0), ""))),
-        ("net_dev", _num(2).isNotNull() & (name != "lo"), _metrics(*((_named("network.", lit(n + "."), name), _num(i + 2), "") for i, n in enumerate(NET_FIELDS)))),
+        (
+            "net_dev", _num(2).isNotNull() & (name != "lo"),
+            _metrics(*((_named("network.", lit(n + "."), name), _num(i + 2), "") for i, n in enumerate(NET_FIELDS)))
+        ),
         ("sockstat", (name == "TCP") & (_at(2) == "inuse"), _metrics((lit("network.connections"), _num(3), "conn"))),
         ("buddyinfo", lit(True), _metrics((lit("memory.free_pages"), _free_pages(F.col("line")), "KB"))),
     ]

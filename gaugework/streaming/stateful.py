@@ -31,7 +31,10 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 def _frame(**columns) -> Iterator[pd.DataFrame]:
     """One frame of these columns, text as plain objects; none if they are empty."""
-    made = {k: pd.Series(list(v), dtype=object) if k in ("host_id", "metric", "rule_id", "state", "status", "kind") else pd.Series(v) for k, v in columns.items()}
+    made = {
+        k: pd.Series(list(v), dtype=object) if k in ("host_id", "metric", "rule_id", "state", "status", "kind") else pd.Series(v) for k,
+        v in columns.items()
+    }
     if any(map(len, made.values())):
         yield pd.DataFrame(made)
 
@@ -75,7 +78,9 @@ class Liveness(StatefulProcessor):
 
 def stream_liveness(samples: DataFrame, timeout_s: int = 300, delay: str = DELAY) -> DataFrame:
     rows = event_time(samples, delay).select("host_id", "ts", "seq")
-    return rows.groupBy("host_id").transformWithStateInPandas(Liveness(timeout_s), "host_id string, ts timestamp, state string", "Append", "EventTime")
+    return rows.groupBy("host_id").transformWithStateInPandas(
+        Liveness(timeout_s), "host_id string, ts timestamp, state string", "Append", "EventTime"
+    )
 
 
 class Sustained(StatefulProcessor):
@@ -112,7 +117,9 @@ class Sustained(StatefulProcessor):
 def stream_sustained_alerts(breaches: DataFrame, delay: str = DELAY) -> DataFrame:
     """``breaches``: host_id, rule_id, ts, seq, breach, duration_s, as alerts.matched() gives them."""
     rows = event_time(breaches, delay).select("host_id", "rule_id", "ts", "seq", "breach", "duration_s")
-    return rows.groupBy("host_id", "rule_id").transformWithStateInPandas(Sustained(), "host_id string, rule_id string, ts timestamp, status string", "Append", "EventTime")
+    return rows.groupBy("host_id", "rule_id").transformWithStateInPandas(
+        Sustained(), "host_id string, rule_id string, ts timestamp, status string", "Append", "EventTime"
+    )
 
 
 class TopK(StatefulProcessor):
@@ -155,13 +162,19 @@ class TopK(StatefulProcessor):
         turn, _ = self.turn.get()
         self._wake(turn + 1, None)
         n = len(gone)
-        yield from _frame(metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn + 1] * n, kind=["expire"] * n, host_id=[h for h, _ in gone], ts=[_time(v[0]) for _, v in gone], value=[v[1] for _, v in gone])
+        yield from _frame(
+            metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn + 1] * n, kind=["expire"] * n, host_id=[h for h, _ in gone],
+            ts=[_time(v[0]) for _, v in gone], value=[v[1] for _, v in gone]
+        )
         yield from self._top(key, turn + 1)
 
     def _top(self, key, turn: int) -> Iterator[pd.DataFrame]:
         best = sorted((-v[1], h[0], v[0]) for h, v in self.hosts.iterator())[: self.k]
         n = len(best)
-        yield from _frame(metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn] * n, kind=["update"] * n, host_id=[h for _, h, _ in best], ts=[_time(t) for *_, t in best], value=[-v for v, *_ in best])
+        yield from _frame(
+            metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn] * n, kind=["update"] * n, host_id=[h for _, h, _ in best],
+            ts=[_time(t) for *_, t in best], value=[-v for v, *_ in best]
+        )
 
     def close(self) -> None:
         pass

@@ -81,10 +81,14 @@ def one_each(spark, values, metric="cpu_usage"):
 def test_topk(spark):
     s = one_each(spark, [("host-1", 85), ("host-2", 45), ("host-3", 92), ("host-4", 38), ("host-5", 76)])
     assert rows(K.topk_hosts(s, 3), "rank", "host_id", "value") == [(1, "host-3", 92), (2, "host-1", 85), (3, "host-5", 76)]
-    s = one_each(spark, [("host1", 100.5), ("host2", 200.3), ("host3", 150.7), ("host4", 300.1), ("host5", 250.9), ("host6", 180.2), ("host7", 350.8)])
+    s = one_each(
+        spark, [("host1", 100.5), ("host2", 200.3), ("host3", 150.7), ("host4", 300.1), ("host5", 250.9), ("host6", 180.2), ("host7", 350.8)]
+    )
     assert [h for _, h in rows(K.topk_hosts(s, 5), "rank", "host_id")] == ["host7", "host4", "host5", "host2", "host6"]
     assert rows(K.topk_evictions(s, at(4), at(6), 5), "host_id") == [("host1",), ("host3",)]
-    s = one_each(spark, [("old", 99), ("b", 5), ("a", 5)]).withColumn("ts", F.when(F.col("host_id") == "old", F.col("ts") - F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts")))
+    s = one_each(spark, [("old", 99), ("b", 5), ("a", 5)]).withColumn(
+        "ts", F.when(F.col("host_id") == "old", F.col("ts") - F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts"))
+    )
     assert [h for _, h in rows(K.topk_hosts(s), "rank", "host_id")] == ["a", "b"]
 
 
@@ -119,7 +123,10 @@ def test_basic_stats_and_percent(spark):
 def test_validation(spark):
     s = spark.createDataFrame([("h", m, T0, v, "", 0) for m, v in (("a", 1.0), ("b", 2.0), ("c", 0.0), ("", 1.0), ("d", -1.0))], SAMPLES)
     assert O.validate_samples(s).count() == 3
-    hosts = spark.createDataFrame([("a", "192.168.1.100", 1), ("", "10.0.0.1", 2), ("b", "", 3), ("c", "999.1.1.1", 4), ("d", "::1", 5), ("e", "fe80::1:2", 6)], "host_id string, ip string, ord int")
+    hosts = spark.createDataFrame(
+        [("a", "192.168.1.100", 1), ("", "10.0.0.1", 2), ("b", "", 3), ("c", "999.1.1.1", 4), ("d", "::1", 5), ("e", "fe80::1:2", 6)],
+        "host_id string, ip string, ord int"
+    )
     assert rows(O.validate_hosts(hosts), "host_id") == [("a",), ("d",), ("e",)]
     assert rows(O.validate_hosts(hosts, 2), "host_id") == [("a",), ("d",)]
 
@@ -130,7 +137,9 @@ def test_ring(spark):
     keys = spark.createDataFrame([(f"key{i}",) for i in range(1000)], "key string")
     got = {r.key: (r.crc, r.node) for r in D.assign_shards(keys, nodes, 3).collect()}
     assert len(got) == 1000 and all(c == zlib.crc32(k.encode()) for k, (c, _) in got.items())
-    assert got["key0"] == (1532712134, "node2") and got["key1"] == (744252496, "node1") and got["key2"] == (3042260458, "node1") and got["key3"] == (3260155260, "node3")
+    assert got["key0"] == (
+        1532712134, "node2"
+    ) and got["key1"] == (744252496, "node1") and got["key2"] == (3042260458, "node1") and got["key3"] == (3260155260, "node3")
     assert rows(D.shard_distribution(D.assign_shards(keys, nodes, 3), 3), "node", "keys") == [("node1", 299), ("node2", 390), ("node3", 311)]
     moved = D.rebalance(keys, nodes, nodes[:2], 3).collect()
     assert len(moved) == 311 and {r.node_before for r in moved} == {"node3"}
@@ -141,7 +150,9 @@ def test_ring(spark):
 
 def test_membership_and_rules(spark):
     keys = spark.createDataFrame([("item1",), ("item2",), ("item3",), ("nonexistent",)], "k string")
-    assert rows(A.membership(keys, keys.where("k like 'item%'"), "k"), "k", "found") == [("item1", True), ("item2", True), ("item3", True), ("nonexistent", False)]
+    assert rows(A.membership(keys, keys.where("k like 'item%'"), "k"), "k", "found") == [
+        ("item1", True), ("item2", True), ("item3", True), ("nonexistent", False)
+    ]
     rules = spark.createDataFrame([("host-*", "any"), ("host-1*", "ones")], "prefix string, category string")
     key = spark.createDataFrame([("host-12",), ("web",), (None,)], "key string")
     assert {r.key: r.category for r in U.classify_by_prefix(key, rules).collect()} == {"host-12": "ones", "web": None, None: None}
@@ -150,7 +161,10 @@ def test_membership_and_rules(spark):
 
 
 def test_chunks(spark):
-    kinds = {"flat": [42] * 100, "step": [10] * 50 + [20] * 50, "wave": [100 + 10 * math.sin(0.1 * i) for i in range(100)], "saw": [100 + i % 17 / 2 for i in range(100)]}
+    kinds = {
+        "flat": [42] * 100, "step": [10] * 50 + [20] * 50, "wave": [100 + 10 * math.sin(0.1 * i) for i in range(100)],
+        "saw": [100 + i % 17 / 2 for i in range(100)]
+    }
     s = None
     for name, v in kinds.items():
         part = series(spark, v, 1, name)
@@ -166,12 +180,19 @@ def test_chunks(spark):
 
 def test_rates(spark):
     assert [round(x, 6) for (x,) in rows(A.aggregate(series(spark, [10, 15, 3, 8], 10), ("rate",)), "rate")] == [0.333333]
-    assert rows(A.aggregate(series(spark, [10], 10), ("rate",)), "rate") == [(0.0,)] and rows(A.aggregate(series(spark, [1, 9], 0), ("rate",)), "rate") == [(0.0,)]
-    assert [(r.rate, r["reset"]) for r in W.counter_rates(series(spark, [100, 250, 20], 10)).orderBy("seq").collect()] == [(15.0, False), (None, True)]
+    assert rows(A.aggregate(series(spark, [10], 10), ("rate",)), "rate") == [(0.0,)] and rows(
+        A.aggregate(series(spark, [1, 9], 0), ("rate",)), "rate"
+    ) == [(0.0,)]
+    assert [(r.rate, r["reset"]) for r in W.counter_rates(series(spark, [100, 250, 20], 10)).orderBy("seq").collect()] == [
+        (15.0, False), (None, True)
+    ]
 
 
 def test_changelog(spark):
-    log = [("k", "INCREMENT", 5), ("k", "SET", 10), ("k", "INCREMENT", 5), ("k", "UPDATE", 7), ("k", "INCREMENT", 1), ("x", "UPDATE", 3), ("y", "SET", 1), ("y", "EXPIRE", 0)]
+    log = [
+        ("k", "INCREMENT", 5), ("k", "SET", 10), ("k", "INCREMENT", 5), ("k", "UPDATE", 7), ("k", "INCREMENT", 1), ("x", "UPDATE", 3),
+        ("y", "SET", 1), ("y", "EXPIRE", 0)
+    ]
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(log)], "idx long, key string, op string, value long")
     assert rows(G.fold_changelog(df), "key", "value") == [("k", 8)]
     for cut in range(-1, len(log) + 1):
@@ -186,28 +207,47 @@ def test_cluster_health(spark):
 
 
 def test_scaling(spark):
-    df = spark.createDataFrame([(at(i * 60), 5, 5, 60.0, 60.0, None, None, None) for i in range(8)], "ts timestamp_ntz, hosts long, healthy long, score double, forecast double, rule_action string, rule_reason string, rule_target long")
+    df = spark.createDataFrame(
+        [(at(i * 60), 5, 5, 60.0, 60.0, None, None, None) for i in range(8)],
+        "ts timestamp_ntz, hosts long, healthy long, score double, forecast double, rule_action string, rule_reason string, rule_target long"
+    )
     p = P.proposed(df, P.Scaling())
     assert set(rows(p, "action", "reason", "target")) == {("scale_down", "low_load", 4)}
-    assert [x for _, x in rows(P.scaling_decisions(p, 300), "ts", "action")] == ["scale_down", "none", "none", "none", "none", "scale_down", "none", "none"]
-    assert P.load_score(spark.createDataFrame([(50.0, 50.0, 50.0, 50.0, 10, 0), (50.0, 50.0, 50.0, 50.0, 1000, 1)], "cpu_usage double, memory_usage double, disk_usage double, network_usage double, connections long, hosts long"), 0.5).select(F.round("score", 6)).collect() == [(100.0,), (1.0,)]
+    assert [x for _, x in rows(P.scaling_decisions(p, 300), "ts", "action")] == [
+        "scale_down", "none", "none", "none", "none", "scale_down", "none", "none"
+    ]
+    assert P.load_score(
+        spark.createDataFrame(
+            [(50.0, 50.0, 50.0, 50.0, 10, 0), (50.0, 50.0, 50.0, 50.0, 1000, 1)],
+            "cpu_usage double, memory_usage double, disk_usage double, network_usage double, connections long, hosts long"
+        ),
+        0.5
+    ).select(F.round("score", 6)).collect() == [(100.0,), (1.0,)]
 
 
 def test_canonical_names(spark):
-    s = spark.createDataFrame([("h", "network.bandwidth.eth0", T0, 1048576.0, "B/s", 0), ("h", "network.rx_bytes_avg.eth0", T0, 5.0, "B/s", 1)], SAMPLES)
-    assert rows(O.canonicalise(s), "metric", "value", "unit", "instance") == [("network.rx_bytes_avg.eth0", 5.0, "B/s", ""), ("network_traffic", 1.0, "MB/s", "eth0")]
+    s = spark.createDataFrame(
+        [("h", "network.bandwidth.eth0", T0, 1048576.0, "B/s", 0), ("h", "network.rx_bytes_avg.eth0", T0, 5.0, "B/s", 1)], SAMPLES
+    )
+    assert rows(O.canonicalise(s), "metric", "value", "unit", "instance") == [
+        ("network.rx_bytes_avg.eth0", 5.0, "B/s", ""), ("network_traffic", 1.0, "MB/s", "eth0")
+    ]
 
 
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([1.0], [1.0, 2.0]), ([], [])], "a array<float>, b array<float>")
     a, b = F.col("a"), F.col("b")
     got = df.select(V.vec_dot(a, b), V.vec_add(a, b), V.vec_sum(a), V.vec_max(a), V.vec_min(a), V.vec_sub(a, b), V.vec_mul(a, b)).collect()
-    assert [tuple(r) for r in got] == [(11.0, [4.0, 6.0], 3.0, 2.0, 1.0, [-2.0, -2.0], [3.0, 8.0]), (0.0, None, 1.0, 1.0, 1.0, None, None), (0.0, [], 0.0, 0.0, 0.0, [], [])]
+    assert [tuple(r) for r in got] == [
+        (11.0, [4.0, 6.0], 3.0, 2.0, 1.0, [-2.0, -2.0], [3.0, 8.0]), (0.0, None, 1.0, 1.0, 1.0, None, None), (0.0, [], 0.0, 0.0, 0.0, [], [])
+    ]
 
 
 def test_envelopes_and_messages(spark):
     samples = spark.createDataFrame([("h", "cpu", T0, 1.5, "%", 0), ("h", "mem", T0, 2.0, "", 0), ("g", "cpu", at(5), 3.0, "%", 0)], SAMPLES)
-    sent = E.build_envelopes(samples).select(F.to_json(F.struct("host_id", F.col("timestamp"), F.col("metrics"))).alias("payload"), F.lit(0).cast("long").alias("seq"))
+    sent = E.build_envelopes(samples).select(
+        F.to_json(F.struct("host_id", F.col("timestamp"), F.col("metrics"))).alias("payload"), F.lit(0).cast("long").alias("seq")
+    )
     assert rows(E.explode_envelopes(sent), "host_id", "metric", "ts", "value", "unit") == rows(samples, "host_id", "metric", "ts", "value", "unit")
     bad = spark.createDataFrame([('{"host_id":"h","timestamp":1,"metrics":{"a":"x","b":"2"}}', 1)], "payload string, seq long")
     assert rows(E.explode_envelopes(bad), "metric", "value") == [("b", 2.0)]
@@ -260,7 +300,10 @@ def test_snapshots(spark):
 
 
 def test_hosts(spark):
-    e = spark.createDataFrame([("a", T0, 0, "n1", 10, {"x": "1"}), ("a", at(9), 1, "", 0, {"y": "2"}), ("a", at(5), 2, "n2", 20, {"x": "3"})], "host_id string, ts timestamp_ntz, seq long, hostname string, port int, tags map<string,string>")
+    e = spark.createDataFrame(
+        [("a", T0, 0, "n1", 10, {"x": "1"}), ("a", at(9), 1, "", 0, {"y": "2"}), ("a", at(5), 2, "n2", 20, {"x": "3"})],
+        "host_id string, ts timestamp_ntz, seq long, hostname string, port int, tags map<string,string>"
+    )
     (r,) = H.upsert_hosts(e, ("hostname",), ("port",), ("tags",)).collect()
     assert (r.hostname, r.port, r.tags, r.last_seen) == ("n2", 20, {"x": "3", "y": "2"}, at(9))
     s = series(spark, [1], host="h")

@@ -38,11 +38,17 @@ def test_overloaded_host_without_a_check(spark):
 
 def test_time_rules_and_decisions_of_two_fleets(spark):
     at = lambda h: datetime.datetime(2024, 1, 1, h)  # a Monday
-    rules = spark.createDataFrame([(1, "noon", "12:00", "12:59", [1], 3, 9, "scale_up")], "ord int, name string, start_time string, end_time string, days array<int>, min_hosts long, max_hosts long, action string")
+    rules = spark.createDataFrame(
+        [(1, "noon", "12:00", "12:59", [1], 3, 9, "scale_up")],
+        "ord int, name string, start_time string, end_time string, days array<int>, min_hosts long, max_hosts long, action string"
+    )
     load = spark.createDataFrame([("x", at(12), 5), ("y", at(12), 9), ("y", at(13), 9)], "fleet string, ts timestamp_ntz, hosts long")
     got = {(r.fleet, r.ts.hour): (r.rule_action, r.rule_target) for r in P.time_rules(load, rules, ("fleet",)).collect()}
     assert got == {("x", 12): ("scale_up", 6), ("y", 12): ("scale_up", 9), ("y", 13): (None, None)}
-    asked = spark.createDataFrame([(f, at(h), "scale_up", "r", 7, 6) for f in "xy" for h in (1, 2, 3)], "fleet string, ts timestamp_ntz, action string, reason string, target long, hosts long")
+    asked = spark.createDataFrame(
+        [(f, at(h), "scale_up", "r", 7, 6) for f in "xy" for h in (1, 2, 3)],
+        "fleet string, ts timestamp_ntz, action string, reason string, target long, hosts long"
+    )
     got = sorted((r.fleet, r.ts.hour, r.action, r.target) for r in P.scaling_decisions(asked, 7200, ("fleet",)).collect())
     assert got == [(f, h, a, t) for f in "xy" for h, a, t in ((1, "scale_up", 7), (2, "none", 6), (3, "scale_up", 7))]
 
@@ -50,12 +56,17 @@ def test_time_rules_and_decisions_of_two_fleets(spark):
 def test_prefixes_of_asked_lengths(spark):
     keys = spark.createDataFrame([("abc",), ("ab",), ("",), (None,)], "key string")
     asked = spark.createDataFrame([("",), ("ab",), ("abcd",), ("x",)], "prefix string")
-    assert sorted((r.prefix, r.n, r.found) for r in O.prefix_exists(keys, asked).collect()) == [("", 3, True), ("ab", 2, True), ("abcd", 0, False), ("x", 0, False)]
+    assert sorted((r.prefix, r.n, r.found) for r in O.prefix_exists(keys, asked).collect()) == [
+        ("", 3, True), ("ab", 2, True), ("abcd", 0, False), ("x", 0, False)
+    ]
     assert O.prefix_exists(keys, asked.where("false")).count() == 0
 
 
 def test_messages_there_and_back(spark):
-    rows = [("h", "m.a", datetime.datetime(2024, 1, 1), 1.5, "u"), ("h", "m.b", datetime.datetime(2024, 1, 1), -2.0, ""), ("g", "m.a", datetime.datetime(2024, 1, 2), 0.0, "%")]
+    rows = [
+        ("h", "m.a", datetime.datetime(2024, 1, 1), 1.5, "u"), ("h", "m.b", datetime.datetime(2024, 1, 1), -2.0, ""),
+        ("g", "m.a", datetime.datetime(2024, 1, 2), 0.0, "%")
+    ]
     samples = spark.createDataFrame(rows, "host_id string, metric string, ts timestamp_ntz, value double, unit string")
     back = kafka.decode_messages(kafka.encode_messages(E.scrapes(samples)))
     assert sorted((r.host_id, r.metric, r.ts, r.value, r.unit) for r in back.collect()) == sorted(rows)

@@ -76,7 +76,10 @@ def test_topk(spark, parts, tmp_path):
     finished_sink(stream(spark, parts), Q.topk_sink(f"{tmp_path}/t", 5, 86_400))
     same(spark.read.parquet(f"{tmp_path}/t/top"), K.topk_hosts(parts[1], 5, 86_400), "metric", "rank", "host_id", "value")
     forever = 10**9
-    same(T.merged_tops(finished(T.stream_topk(stream(spark, parts), 5, forever, buckets=3)), 5), K.topk_hosts(parts[1], 5, forever), "metric", "rank", "host_id", "value")
+    same(
+        T.merged_tops(finished(T.stream_topk(stream(spark, parts), 5, forever, buckets=3)), 5), K.topk_hosts(parts[1], 5, forever), "metric", "rank",
+        "host_id", "value"
+    )
     short = finished(T.stream_topk(stream(spark, parts), 5, 86_400, buckets=3))
     gone = {(r.metric, r.host_id) for r in short.where("kind = 'expire'").collect()}
     top = T.merged_tops(short, 5).collect()
@@ -84,7 +87,10 @@ def test_topk(spark, parts, tmp_path):
 
 
 def test_merged_tops(spark):
-    rows = [("m", 0, 1, "update", "a", 9.0), ("m", 0, 2, "update", "b", 8.0), ("m", 0, 2, "update", "c", 7.0), ("m", 0, 3, "expire", "b", 8.0), ("m", 1, 4, "update", "d", 8.0), ("n", 1, 1, "update", "e", 1.0)]
+    rows = [
+        ("m", 0, 1, "update", "a", 9.0), ("m", 0, 2, "update", "b", 8.0), ("m", 0, 2, "update", "c", 7.0), ("m", 0, 3, "expire", "b", 8.0),
+        ("m", 1, 4, "update", "d", 8.0), ("n", 1, 1, "update", "e", 1.0)
+    ]
     top = T.merged_tops(spark.createDataFrame(rows, "metric string, bucket long, turn long, kind string, host_id string, value double"), 2)
     assert sorted((r.metric, r["rank"], r.host_id) for r in top.collect()) == [("m", 1, "d"), ("m", 2, "c"), ("n", 1, "e")]
 
@@ -94,7 +100,13 @@ def test_sliding_windows_plain():
     rng = np.random.default_rng(3)
     for adaptive in (None, (2, 9)):
         own, state = T.Sliding(4, 300, adaptive), {}
-        keep = lambda name: type("State", (), {"exists": lambda _: name in state, "get": lambda _: state[name], "put": lambda _, x: state.update({name: x}), "update": lambda _, x: state.update({name: x})})()
+        keep = lambda name: type(
+            "State", (),
+            {
+                "exists": lambda _: name in state, "get": lambda _: state[name], "put": lambda _, x: state.update({name: x}), "update": lambda _,
+                x: state.update({name: x})
+            }
+        )()
         own.points, own.limit = keep("points"), keep("limit")
         held, size, resized, clock, seq = [], 4, 0, 0, 0
         for _ in range(5):
@@ -117,7 +129,10 @@ def test_sliding_windows_plain():
 def test_buckets(spark, parts):
     got = finished(Q.stream_bucket_stats(stream(spark, parts), "1 day"))
     end = parts[1].agg(F.max("ts")).first()[0] - datetime.timedelta(minutes=10)
-    same(got, bucket_stats(parts[1], "1 day").where(F.col("bucket") <= F.lit(end - datetime.timedelta(days=1))), "host_id", "metric", "bucket", "count", "avg")
+    same(
+        got, bucket_stats(parts[1], "1 day").where(F.col("bucket") <= F.lit(end - datetime.timedelta(days=1))), "host_id", "metric", "bucket",
+        "count", "avg"
+    )
 
 
 def test_dedup(spark, parts):
