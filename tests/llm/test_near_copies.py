@@ -62,3 +62,13 @@ def test_rows_not_doc_ids_are_chosen(spark):
     ]
     got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == sorted([("1", one), ("1", two), ("3", three), ("None", "p q"), ("None", "r s")])
+
+
+def test_other_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(k, text if k < 3 else f"{k} {text}" * 2, None, k, {"n": k}, 1.5) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, node map<string,int>, mins double")
+    got = simhash.keep_one(docs).collect()
+    assert got[0].asDict().keys() == set(docs.columns) and min(r.doc_id for r in got) == 0
+    assert all(r.row == r.doc_id and r.node == {"n": r.doc_id} and r.mins == 1.5 for r in got) and len(got) < 5
+    assert simhash.keep_one(docs.where("false")).count() == 0
