@@ -1,7 +1,7 @@
 """Main text of web pages: blocks, labelled by a recurrent network that reads the whole page.
 
 Edge cases: null and empty pages, and pages without a main block, give an empty text; pages of any length are read
-whole; unclosed tags, cut ends and stray end tags are read as browsers do, roughly; repeated rows each get a row; an
+whole; unclosed tags, cut ends and stray end tags are read as browsers do, roughly; repeated rows, and ties of page_id, each get a row; an
 empty table gives an empty result; other columns are ignored.
 """
 

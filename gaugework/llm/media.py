@@ -6,7 +6,7 @@ source ``media_archive`` plans byte ranges over the archives of a folder; a task
 takes the members that begin in its range, and streams them in Arrow batches of bounded size. A member is read by its
 offset and checked; if that fails, this member alone is read again.
 
-Edge cases: a null text is an empty one (64 bytes 0); texts of any length stay whole; repeated rows are members of their
+Edge cases: a null text is an empty one (64 bytes 0); texts of any length stay whole; repeated rows, and ties of doc_id, are members of their
 own; an empty table writes no archive and gives an empty result; other columns are ignored.
 """
 

@@ -6,7 +6,7 @@ of available lengths that fills the rest best (subset sums as bits of one intege
 often as the counts allow. Pieces are numbered within their length over all partitions and find their place by number.
 
 Edge cases: a null or empty text has the end id alone; texts of any length are cut at the capacity and stay whole;
-repeated rows are packed each for itself; an empty table gives an empty result; other columns are ignored.
+repeated rows, and ties of doc_id, are packed each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
