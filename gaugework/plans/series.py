@@ -82,6 +82,12 @@ HOSTS_SQL = """WITH {S}, e AS (SELECT host_id, metric, count(value) AS count, su
     SELECT host_id, metric, count, round(sum, 6) AS sum, round(avg, 6) AS avg, min, max, records, earliest, latest FROM e JOIN h USING (host_id)"""
 
 
+@query("WITH {S} SELECT host_id, metric, round(max(value) - min(value), 6) AS spread, count(value) AS count FROM s GROUP BY ALL")
+def registered_aggregate(spark, sf_dir):
+    A.register_aggregator("spread", lambda v: F.max(v) - F.min(v))
+    return rounded(A.aggregate(samples(spark, sf_dir), ("spread", "count")), "spread")
+
+
 @query(HOSTS_SQL)
 def host_statistics(spark, sf_dir):
     return rounded(A.host_statistics(samples(spark, sf_dir)), "sum", "avg")

@@ -204,3 +204,9 @@ def hosts_json(spark, sf_dir):
     path, rows = work_dir(spark, "hosts"), hosts(spark, sf_dir)
     J.write_hosts_json(rows, path)
     return J.read_hosts_json(spark, path, rows.schema).select("host_id", "hostname", "ip", "cpu_count")
+
+
+@query("WITH {S} SELECT host_id, metric, ts, value, '' AS unit, seq FROM s")
+def registered_source(spark, sf_dir):
+    J.register_source("events", lambda session: samples(session, sf_dir))
+    return J.read_source(spark, "events")
