@@ -248,7 +248,8 @@ def similar(pairs: DataFrame, near: DataFrame, texts_of_rows: DataFrame, words:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    asked = near.select("node", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
+    asked = near.select("node", "row").join(ends, "node", "left_semi")
     found = written(picked(texts_of_rows, asked.select("row")).join(asked, "row").select("node", "text"), "near-texts")
     texts_of = lambda c: found.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     met = pairs.join(texts_of("b"), "b").join(texts_of("a").hint("merge"), "a").select("a", "b", "text_a", "text_b")
@@ -267,7 +268,7 @@ def other_ends(met: DataFrame, turn: int) -> DataFrame:
     return asked.groupBy("node").agg(F.min_by("end", order).alias("end")).select(F.col("node").alias("a"), F.col("end").alias("b"))
 
 
-def near_links(rows: DataFrame, marks: DataFrame, words: int, least: float, bands: int, band_rows: int, bucket: int, turns: int = 2) -> DataFrame:
+def near_links(rows: DataFrame, marks: DataFrame, words: int, least: float, bands: int, band_rows: int, bucket: int, turns: int = 3) -> DataFrame:
     """Edges (a, b) between nodes of similarity ``least`` or more that share a band.
 
     In a few turns every node is compared with one node of another component that shares a band, so that a group of many
