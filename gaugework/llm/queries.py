@@ -79,6 +79,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3, share=1.0)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugework.llm.importance import resample
 
@@ -113,6 +125,19 @@ RESAMPLING = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_
     SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM r LEFT JOIN a USING (row)"""
 
 
+SEARCH = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+    p AS (SELECT row, x, count(*) AS tf FROM (SELECT row, unnest(w) AS x FROM d) GROUP BY row, x),
+    f AS (SELECT x, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT x, count(*) AS df FROM p GROUP BY x), c),
+    q AS (SELECT item, item_id, x, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS x FROM i) GROUP BY ALL),
+    m AS (SELECT row, doc_id, 100 - 25 + (25 * CAST(len(w) AS BIGINT) * n) // words AS m FROM d, c),
+    s AS (SELECT item, item_id, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (x) JOIN p USING (x) JOIN m USING (row) GROUP BY item, item_id, row, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+      FROM s WHERE score > 0) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the query; hashes, tokenizers, models and codecs are held against brute force in the tests."""
-    return {"op13_importance_resampling": RESAMPLING}
+    return {"op11_lexical_search": SEARCH, "op13_importance_resampling": RESAMPLING}
