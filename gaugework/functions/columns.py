@@ -60,5 +60,6 @@ def rfc3339(text: Column) -> Column:
 
 
 def merged_maps(old: Column, new: Column) -> Column:
-    """Both maps; the new one's values win."""
+    """Both maps; the new one's values win, and a null one has none."""
+    new = F.coalesce(new, F.create_map())
     return F.map_concat(F.map_filter(F.coalesce(old, F.create_map()), lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)

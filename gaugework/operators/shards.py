@@ -18,11 +18,13 @@ def ring(nodes: Sequence[str], virtual: int) -> list[tuple[int, str]]:
 
 def replica_lists(points: list[tuple[int, str]], replicas: int) -> list[list[str]]:
     """For each point the first distinct nodes from it on, clockwise."""
-    out = []
-    for k in range(len(points)):
-        names = dict.fromkeys(n for _, n in points[k:] + points[:k])
-        out.append(list(names)[:replicas])
-    return out
+    out, after = [], []
+    for k in range(2 * len(points) - 1, -1, -1):  # twice round, backwards: a point's list is its node and those of the next point's
+        node = points[k % len(points)][1]
+        after = [node, *(n for n in after if n != node)][:replicas]
+        if k < len(points):
+            out.append(after)
+    return out[::-1]
 
 
 def intervals(spark: SparkSession, nodes: Sequence[str], virtual: int, replicas: int) -> DataFrame:

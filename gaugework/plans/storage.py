@@ -13,6 +13,7 @@ from gaugework.sources import envelopes as E
 from gaugework.sources import hosts as J
 from gaugework.sources import kafka, procfs
 from gaugework.sources import samples as S
+from gaugework.sources.store import Store
 
 ALL = "host_id, metric, ts, value, '' AS unit, seq"
 
@@ -46,6 +47,17 @@ def delete_points(spark, sf_dir):
     return S.read_samples(spark, path)
 
 
+@query(f"WITH {{S}} SELECT {ALL} FROM s WHERE date_trunc('day', ts) NOT IN (SELECT date_trunc('day', min(ts)) FROM s)")
+def delete_day(spark, sf_dir):
+    """The first day of the table loses all its scrapes; then the store is compacted."""
+    path, s = work_dir(spark, "samples"), samples(spark, sf_dir)
+    S.write_samples(s, path)
+    first = s.agg(F.min(F.to_date("ts")).alias("day"))
+    S.delete_points(spark, path, s.join(F.broadcast(first), F.to_date("ts") == F.col("day"), "left_semi"))  # one row
+    Store(spark, path).compact()
+    return S.read_samples(spark, path)
+
+
 @query(f"WITH {{S}} SELECT {ALL} FROM s WHERE ts >= TIMESTAMP '{END}' - INTERVAL 7 DAY")
 def apply_retention(spark, sf_dir):
     return S.apply_retention(samples(spark, sf_dir), bounds()[1])

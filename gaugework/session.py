@@ -24,17 +24,29 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+#: Application -> the folder made for it where none is set.
+_OWN: dict[str, str] = {}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that Spark takes it for, so that other readers take it for the same."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it isn't set in a local run, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(sc.applicationId)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-gaugework-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+        root = _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-gaugework-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return qualified(spark, root)
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:

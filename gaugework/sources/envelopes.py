@@ -34,7 +34,8 @@ def explode_envelopes(rows: DataFrame, payload: str = "payload", on_error: str =
     inner = F.try_parse_json(at("$.metrics", "string"))  # metrics as JSON text in the JSON
     metrics = F.coalesce(listed(F.col("_e"), "$.metrics"), keyed(F.col("_e"), "$.metrics"), listed(inner, "$"), keyed(inner, "$"))
     tags = F.map_filter(at("$.tags", "map<string,string>"), lambda k, v: (k != "") & (F.coalesce(v, F.lit("")) != ""))
-    e = rows.select("seq", F.try_parse_json(F.col(payload).cast("string")).alias("_e"))
+    # a generator between, or the optimiser would write the parsing into each of the looks at its result
+    e = rows.select("seq", F.explode(F.array(F.try_parse_json(F.col(payload).cast("string")))).alias("_e"))
     e = e.select(host.alias("host_id"), time_of(at("$.timestamp", "string")).alias("ts"), "seq", tags.alias("tags"), metrics.alias("metrics"))
     each = e.select("host_id", "ts", "seq", "tags", F.explode_outer("metrics").alias("m"))
     part = lambda path: F.try_variant_get("m.value", path, "string")

@@ -1,71 +1,31 @@
-"""Stored samples: date-partitioned Parquet, read with pruning, upserted, deleted from, and kept for a time."""
+"""Stored samples: read with pruning, upserted, deleted from, and kept for a time. The store is in store.py."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.model import SERIES
-from gaugework.operators.filters import host_filter, time_range
+from gaugework.sources.store import POINT, SCHEMA, Store
 
-SCHEMA = "host_id string, metric string, ts timestamp_ntz, value double, unit string, seq long"
-POINT = (*SERIES, "ts")
+__all__ = ["POINT", "SCHEMA", "apply_retention", "delete_points", "drop_old", "expire_keys", "merged", "read_samples", "without_points", "write_samples"]
 
 
 def read_samples(spark: SparkSession, path: str, hosts: tuple[str, ...] = (), start=None, end=None) -> DataFrame:
-    """Samples of the hosts (all, if none is named) from start to end. Dates prune folders, hosts and times Parquet row groups."""
-    rows = spark.read.schema(SCHEMA + ", date date").parquet(path)
-    if start is not None:
-        rows = rows.where(F.col("date") >= F.to_date(F.lit(start)))
-    if end is not None:
-        rows = rows.where(F.col("date") <= F.to_date(F.lit(end)))
-    return host_filter(time_range(rows, start, end), *hosts).drop("date")
+    """Samples of the hosts (all, if none is named) from start to end, as the store's latest version has them."""
+    return Store(spark, path).read(hosts, start, end)
 
 
 def merged(samples: DataFrame) -> DataFrame:
     """One row for each point: the one that arrived last. Other metrics of the same scrape are points of their own."""
-    last = samples.groupBy(*POINT).agg(F.max_by(F.struct("value", "unit", "seq"), "seq").alias("x"))
+    last = samples.groupBy(*POINT).agg(F.max(F.struct("seq", "value", "unit")).alias("x"))
     return last.select(*POINT, "x.value", "x.unit", "x.seq")
 
 
-def _replace_dates(rows: DataFrame, path: str, rows_a_file: int = 2_000_000) -> None:
-    """Writes the rows over the dates that they have; other dates stay. A date has files by its rows, dealt by series (a
-    hot host's series apart), and within a file rows are in the order of series."""
-    out = rows.withColumn("date", F.to_date("ts"))
-    files = {r["date"]: -(-r["n"] // rows_a_file) for r in out.groupBy("date").agg(F.count("*").alias("n")).collect()}  # a row a day
-    if not files:
-        return
-    own = F.element_at(F.create_map(*(F.lit(x) for pair in files.items() for x in pair)), F.col("date")) if max(files.values()) > 1 else F.lit(1)
-    out = out.repartition(sum(files.values()), "date", F.pmod(F.xxhash64(*SERIES), own))
-    out.sortWithinPartitions("date", *POINT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-
-
-def _dates(rows: DataFrame) -> list:
-    return [r[0] for r in rows.select(F.to_date("ts")).distinct().collect()]  # days of one batch
-
-
-def _stored(spark: SparkSession, path: str, dates: list) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not dates or not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.schema(SCHEMA + ", date date").parquet(path).where(F.col("date").isin(dates)).drop("date")
-
-
-def write_samples(samples: DataFrame, path: str) -> None:
-    """Idempotent upsert: the dates of the new rows are read, merged with them and replaced."""
-    spark = samples.sparkSession
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    new = samples.select(*names)
-    old = _stored(spark, path, _dates(new))
-    rows = merged(new if old is None else old.unionByName(new)).select(*names)
-    _replace_dates(_settled(rows), path)
-
-
-def _settled(rows: DataFrame) -> DataFrame:
-    """Cuts the tie to the files that are about to be replaced."""
-    if rows.sparkSession.sparkContext.getCheckpointDir() is None:
-        raise ValueError("set a checkpoint folder that all executors share: rows are kept there while their files are replaced")
-    return rows.checkpoint()
+def write_samples(samples: DataFrame, path: str, writer: str | None = None, transaction: int = 0) -> bool:
+    """Idempotent upsert: adds a batch with the new rows alone. A writer's transaction counts once."""
+    return Store(samples.sparkSession, path).upsert(samples, writer, transaction)
 
 
 def without_points(samples: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -73,18 +33,20 @@ def without_points(samples: DataFrame, deleted: DataFrame) -> DataFrame:
     return samples.join(deleted.select("host_id", "ts").distinct(), ["host_id", "ts"], "left_anti")
 
 
-def delete_points(spark: SparkSession, path: str, deleted: DataFrame) -> None:
-    old = _stored(spark, path, _dates(deleted))
-    if old is not None:
-        _replace_dates(_settled(without_points(old, deleted)), path)
+def delete_points(spark: SparkSession, path: str, deleted: DataFrame) -> bool:
+    """Takes the scrapes (host_id, ts) of the list out of the store, with all their metrics."""
+    return Store(spark, path).delete(deleted)
 
 
 def apply_retention(samples: DataFrame, as_of, days: int = 7) -> DataFrame:
     return samples.where(F.col("ts") >= F.lit(as_of) - F.make_dt_interval(days=F.lit(days)))
 
 
+def drop_old(spark: SparkSession, path: str, as_of: datetime.date, days: int = 7) -> bool:
+    """Retention of whole days in the store, without reading a row."""
+    return Store(spark, path).drop_dates(as_of - datetime.timedelta(days=days))
+
+
 def expire_keys(rows: DataFrame, as_of) -> DataFrame:
     """``rows`` with expires_at: those that haven't expired; null never does."""
     return rows.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of)))
-
-

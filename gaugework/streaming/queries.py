@@ -18,6 +18,7 @@ from gaugework.operators.topk import topk_hosts
 from gaugework.operators.windows import latest
 from gaugework.sources.envelopes import dead_letters, explode_envelopes, live_messages
 from gaugework.sources.samples import write_samples
+from gaugework.sources.store import Store
 
 DELAY = "10 minutes"
 
@@ -52,10 +53,11 @@ def topk_sink(table_path: str, k: int = 10, ttl_s: int = 3600) -> Callable[[Data
     return merge
 
 
-def ingest_sink(path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
+def ingest_sink(path: str, dead_path: str, name: str = "ingest", compact_every: int = 50) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: messages with payload, seq and retries become stored samples; bad ones go to a table of their own.
 
-    Both writes can be repeated: samples are upserted, dead letters are replaced by batch.
+    Both writes can be repeated: a batch of the stream of that name is stored once, dead letters are replaced by batch. Every
+    so many batches the store's days with more than a few batches are compacted.
     """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
@@ -63,7 +65,9 @@ def ingest_sink(path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
         try:
             routed = dead_letters(batch)
             routed.where("route = 'dead'").write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
-            write_samples(explode_envelopes(routed.where("route <> 'dead'")), path)
+            write_samples(explode_envelopes(routed.where("route <> 'dead'")), path, name, batch_id)
+            if batch_id % compact_every == compact_every - 1:
+                Store(batch.sparkSession, path).compact(least=8)
         finally:
             batch.unpersist()
 

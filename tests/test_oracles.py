@@ -6,13 +6,16 @@ from gaugework import registry
 from tests.compare import difference
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+#: Queries of which the smallest tables have no rows.
+EMPTY = {"scale_down_candidates"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     if name in ORACLES:
-        assert difference(df, sf_dir, ORACLES[name]) in ("", "no rows")
+        said = difference(df, sf_dir, ORACLES[name])
+        assert said == "" or said == "no rows" and name in EMPTY
     else:
         assert df.count() >= 0 and df.columns
 

@@ -19,7 +19,8 @@ def plan(df):
 def test_one_scan_and_one_shuffle_at_most(spark, sf_dir):
     snapshots = plan(QUERIES["parse_host_snapshots"](spark, sf_dir))
     assert snapshots.count("FileScan") == 1 and "Exchange" not in snapshots
-    assert plan(QUERIES["explode_envelopes"](spark, sf_dir)).count("parse_json") <= 3
+    envelopes = plan(QUERIES["explode_envelopes"](spark, sf_dir))
+    assert "Exchange" not in envelopes and 1 <= envelopes.count("parseJson") <= 4, envelopes.count("parseJson")  # the payload once, and metrics that are text
     assert plan(QUERIES["fold_changelog"](spark, sf_dir)).count("FileScan") == 2
 
 
@@ -80,3 +81,51 @@ def test_odd_envelopes(spark):
     assert got == [(8, "a", 2.5), (9, "a", 3.0)]
     zero = sorted((r.seq, r.metric, r.value) for r in E.explode_envelopes(rows, on_error="zero").collect())
     assert (8, "b", 0.0) in zero and (9, "a", 3.0) in zero
+
+
+def test_ring_of_many_nodes():
+    import time
+
+    from gaugework.operators import shards
+
+    points = shards.ring([f"n{k}" for k in range(7)], 5)
+    plain = [list(dict.fromkeys(n for _, n in points[k:] + points[:k]))[:3] for k in range(len(points))]
+    assert shards.replica_lists(points, 3) == plain and shards.replica_lists(points[:1], 1) == [[points[0][1]]]
+    began = time.time()
+    lists = shards.replica_lists(shards.ring([f"n{k}" for k in range(1000)], 50), 3)
+    assert time.time() - began < 2 and all(len(set(x)) == 3 for x in lists)
+
+
+def test_maps_merge_with_null(spark):
+    from pyspark.sql import functions as F
+
+    from gaugework.functions.columns import merged_maps
+
+    rows = spark.createDataFrame([({"a": "1"}, None), (None, {"b": "2"}), ({"a": "1", "c": "0"}, {"a": "3"}), (None, None)], "old map<string,string>, new map<string,string>")
+    got = [r[0] for r in rows.select(merged_maps(F.col("old"), F.col("new"))).collect()]
+    assert got == [{"a": "1"}, {"b": "2"}, {"c": "0", "a": "3"}, {}]
+
+
+def test_a_session_without_settings(tmp_path):
+    """A plain installation: no spark.checkpoint.dir, no other setting; and one with a folder without a scheme."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from gaugework.session import shared_root, work_dir
+b = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+spark = (b.config("spark.checkpoint.dir", sys.argv[1]) if len(sys.argv) > 1 else b).getOrCreate()
+path = work_dir(spark, "any")
+assert path.startswith("file:///"), path
+spark.range(3).write.parquet(path)
+assert spark.range(2).checkpoint().count() == 2 and shared_root(spark) == shared_root(spark)
+print("fine", path)
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}
+    for more in ([], [f"{tmp_path}/shared"]):
+        done = subprocess.run([sys.executable, "-c", code, *more], env=env, capture_output=True, text=True, timeout=120)
+        assert "fine" in done.stdout, done.stderr[-2000:]
+        assert not more or f"file://{tmp_path}/shared/any-" in done.stdout
