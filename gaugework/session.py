@@ -54,6 +54,12 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, which must be there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
