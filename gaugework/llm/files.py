@@ -11,7 +11,10 @@ import pyarrow.parquet as pq
 
 
 def at(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """A whole URI's file system and path; a path alone is refused, as Spark and this machine could take it for different ones."""
+    if "://" not in uri:
+        raise ValueError(f"{uri}: a URI with its file system is needed")
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
 def make_dir(uri: str) -> None:
@@ -22,7 +25,7 @@ def make_dir(uri: str) -> None:
 def listed(uri: str, suffix: str) -> list[tuple[str, int]]:
     """Names and sizes of the finished files in a folder, by name."""
     fs, path = at(uri)
-    found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+    found = fs.get_file_info(pafs.FileSelector(path))
     return sorted((f.base_name, f.size) for f in found if f.is_file and f.base_name.endswith(suffix))
 
 
@@ -52,8 +55,8 @@ def read(folder: str, name: str) -> bytes:
 
 
 def column(uri: str, name: str) -> np.ndarray:
-    """A number column of all Parquet files of a folder; none if there is no such folder."""
+    """A number column of all Parquet files of a folder, which must be there."""
     fs, path = at(uri)
-    found = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.is_file and f.base_name.endswith(".parquet")]
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.is_file and f.base_name.endswith(".parquet")]
     parts = [pq.read_table(f, columns=[name], filesystem=fs).column(name).to_numpy() for f in sorted(found)]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)

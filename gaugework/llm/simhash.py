@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from gaugework.llm import files
 from gaugework.llm.common import MADE, give_back, scratch, small_batches, texts, written
-from gaugework.session import work_dir
+from gaugework.session import names_in, work_dir
 
 
 def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
@@ -158,6 +158,7 @@ def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     part = F.shiftright("row", 33)
     ids.select("row", part.alias("part")).repartition("part").write.partitionBy("part").parquet(path)
     MADE.append(path)
+    wanted = {int(n[5:]) for n in names_in(rows.sparkSession, path) if n.startswith("part=")}  # a partition each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -169,7 +170,7 @@ def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
                 if p not in held:
                     if len(held) > 8:
                         held.clear()
-                    held[p] = np.sort(files.column(f"{path}/part={p}", "row"))
+                    held[p] = np.sort(files.column(f"{path}/part={p}", "row")) if p in wanted else np.zeros(0, np.int64)
                 if len(held[p]):
                     k = np.searchsorted(held[p], row)
                     keep |= held[p][np.minimum(k, len(held[p]) - 1)] == row
@@ -268,19 +269,122 @@ def other_ends(met: DataFrame, turn: int) -> DataFrame:
     return asked.groupBy("node").agg(F.min_by("end", order).alias("end")).select(F.col("node").alias("a"), F.col("end").alias("b"))
 
 
-def near_links(rows: DataFrame, marks: DataFrame, words: int, least: float, bands: int, band_rows: int, bucket: int, turns: int = 2) -> DataFrame:
-    """Edges (a, b) between nodes of similarity ``least`` or more that share a band.
+def hot_groups(met: DataFrame, sizes: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """Of hot bands (key, node, root): key, side, left, right, node, root, a row for each pair of tiles that a node is in.
 
-    In a few turns every node is compared with one node of another component that shares a band, so that a group of many
-    near copies takes a few comparisons a node. Then the nodes of a band that still has several components are compared
-    all with all; of a band with over ``bucket`` nodes those that share one of three more bands, with two of these of
-    other components. Pairs are looked at by their min-hashes first: those with a share that is
-    four standard deviations below the similarity go. The texts of what is left decide.
+    A band's nodes are dealt by hash into tiles of about ``rows`` nodes and ``shingles`` shingles: the major ones, those of the
+    component that has most of the band, apart from the others. Tiles of others meet each other and the major ones; major tiles,
+    of one component, don't meet. sizes: node, n.
+    """
+    each = met.join(sizes, "node").select("key", "node", "root", "n")
+    by_root = each.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    most = F.struct("rows", "root")
+    top = by_root.groupBy("key").agg(
+        F.max_by("root", most).alias("major"), F.max("rows").alias("r"), F.max_by("n", most).alias("m"), F.sum("rows").alias("rows"), F.sum("n").alias("n")
+    )
+    tiles = lambda r, n: F.greatest(F.ceil(r / rows), F.ceil(n / shingles), F.lit(1)).cast("long")
+    top = top.select("key", "major", tiles(F.col("r"), F.col("m")).alias("majors"), tiles(F.col("rows") - F.col("r"), F.col("n") - F.col("m")).alias("others"))
+    each = each.join(top, "key").withColumn("is_major", F.col("root") == F.col("major"))
+    tile = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("others")))
+    each = each.withColumn("tile", tile)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda side, left, right: F.struct(F.lit(side).alias("side"), left.alias("left"), right.alias("right"))
+    with_majors = F.transform(upto(F.col("majors")), lambda q: pair("major", F.col("tile"), q))
+    with_others = F.transform(upto(F.col("others")), lambda q: pair("other", F.least("tile", q), F.greatest("tile", q)))
+    of_major = F.transform(upto(F.col("others")), lambda q: pair("major", q, F.col("tile")))
+    pairs = F.when(F.col("is_major"), of_major).otherwise(F.concat(with_majors, with_others))
+    return each.select("key", "node", "root", F.explode(pairs).alias("p")).select("key", "p.side", "p.left", "p.right", "node", "root")
+
+
+def common(sets: list, least_docs: int = 16):
+    """How many numbers each two of the sorted sets share, as a square table."""
+    import numpy as np
+
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    often = np.flatnonzero(count >= least_docs)
+    for lo in range(0, len(often), 4096):  # numbers that many sets have: products of 0/1 tables
+        place = np.full(len(count), -1)
+        own = often[lo : lo + 4096]
+        place[own] = np.arange(len(own))
+        inside = place[number] >= 0
+        table = np.zeros((len(sets), len(own)), np.float32)
+        table[doc[inside], place[number[inside]]] = 1
+        shared += table @ table.T
+    rare = np.flatnonzero((count[number] > 1) & (count[number] < least_docs))
+    rare = rare[np.argsort(number[rare], kind="stable")]
+    numbers, docs = number[rare], doc[rare]
+    for step in range(1, least_docs):  # numbers that few have: each with the next ones of the same number
+        same = numbers[step:] == numbers[:-step]
+        if not same.any():
+            break
+        a, b = docs[:-step][same], docs[step:][same]
+        np.add.at(shared, (a, b), 1)
+        np.add.at(shared, (b, a), 1)
+    return shared
+
+
+def spanning(a, b) -> list[int]:
+    """Places of those of the links (a, b) that join what the ones before them have not joined."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[x] = y
+            out.append(k)
+    return out
+
+
+def within_tiles(groups: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that join the components that meet in each pair of tiles: every two nodes of different components are
+    compared by their whole sets of shingles, and of those that are similar enough a spanning forest goes on. hashed: node, sets."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        root, held = table.column("root").to_numpy()[first], table.column("sets").to_pylist()
+        sets = [np.frombuffer(held[k], "<u8") for k in first.tolist()]
+        size = np.array([len(s) for s in sets], np.float64)
+        a, b = np.nonzero(np.triu(root[:, None] != root[None]))
+        shared = common(sets)[a, b].astype(np.float64)
+        near = shared >= least * (size[a] + size[b] - shared) - 1e-9
+        a, b = a[near], b[near]
+        pairs = np.unique(np.stack([root[a], root[b]]), axis=1, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
+        a, b = a[pairs], b[pairs]
+        take = spanning(root[a], root[b])
+        return pa.table({"a": node[a[take]], "b": node[b[take]]})
+
+    rows = groups.join(hashed, "node")
+    return rows.groupBy("key", "side", "left", "right").applyInArrow(run, "a long, b long").distinct()
+
+
+def near_links(
+    rows: DataFrame, marks: DataFrame, words: int, least: float, bands: int, band_rows: int, bucket: int, turns: int = 2, tile: int = 1024, places: int = 6
+) -> DataFrame:
+    """Edges (a, b) between nodes of similarity ``least`` or more that share a band, one at least for every two components
+    that such a pair joins.
+
+    First, in a few turns, every node is compared with one node of another component that shares a band, so that most of a
+    group of many near copies takes a few comparisons a node. Then the nodes of a band that still has several components are
+    compared all with all: of a band of up to ``bucket`` nodes as pairs, whose min-hashes are looked at first (those with a
+    share that is four standard deviations below the similarity go) and whose texts decide; of a larger band in tasks, pair of
+    tiles by pair of tiles, ``places`` of the bands at a time (a set of shingles is sent so many times), until all such bands
+    are done or of one component. What is of one
+    component by then isn't compared again.
     """
     spark = rows.sparkSession
     with scratch(spark):
         one = marks.groupBy("node").agg(F.min("row").alias("row"))
-        keyed = marks.join(one, ["node", "row"], "left_semi").select("node", F.explode(band_keys(bands, band_rows)).alias("key"))
+        keyed = marks.join(one, ["node", "row"], "left_semi").select("node", F.posexplode(band_keys(bands, band_rows)).alias("band", "key"))
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() * bands // 2_000_000)
         keyed = keyed.repartition(parts, "key")  # dealt out once: the counts and the join below both read it
         shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
@@ -289,29 +393,55 @@ def near_links(rows: DataFrame, marks: DataFrame, words: int, least: float, band
         of_near = written(picked(rows.select("row", F.coalesce("doc.text", F.lit("")).alias("text")), near.select("row")), "near-texts")
         floor = least - 4 * (least * (1 - least) / (bands * band_rows)) ** 0.5
         checked = lambda pairs: written(similar(written(likely(pairs, near, floor), "near-pairs"), near, of_near, words, least), "near-links")
-        found = None
+
+        def joined(met: DataFrame, links: DataFrame) -> DataFrame:
+            """The rows of bands that still have several components, once the links have joined some."""
+            of = met.select("node", "root").distinct()
+            ends = lambda c: of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            roots = links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+            met = met.join(components(roots).toDF("root", "own"), "root", "left").withColumn("root", F.coalesce("own", "root")).drop("own")
+            mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            return written(met.join(mixed, "key").select("node", "band", "key", "size", "root"), "near-met")
+
+        met, found = met.withColumn("root", F.col("node")).select("node", "band", "key", "size", "root"), None
         for turn in range(turns):
-            links = checked(other_ends(met.withColumn("root", F.col("node")) if found is None else met, turn))
+            links = checked(other_ends(met, turn))
             found = links if found is None else found.unionByName(links)
-            roots = components(found).withColumnRenamed("root", "own")
-            met = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("own", "node")).drop("own")
-            mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            met = written(met.join(mixed, "key"), "near-met")
-        some, hot = met.where(F.col("size") <= bucket), met.where(F.col("size") > bucket)
+            met = joined(met, links)
+        some = met.where(F.col("size") <= bucket)
         pairs = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        hot = hot.join(near.select("node", band_keys(bands, band_rows).alias("bands")), "node")
-        place = F.array_position("bands", F.col("key"))
-        more = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.element_at("bands", ((place - 1 + i) % F.size("bands") + 1).cast("int")))
-        hot = hot.select("node", "root", "key", F.explode(more).alias("more"))
-        ends = hot.groupBy("key", "more").agg(F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high"))
-        ends = hot.join(ends.where("low.root < high.root"), ["key", "more"])
-        ends = ends.select("node", "root", F.explode(F.array("low", "high")).alias("end")).where("end.root <> root")
-        last = checked(pairs.unionByName(ends.select(F.col("node").alias("a"), F.col("end.node").alias("b"))))
-        return written(found.unionByName(last), "near-edges")
-
-
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 6, bucket: int = 64) -> DataFrame:
+        links = checked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        found, hashed, band = found.unionByName(links), None, -1
+        if not met.where(F.col("size") > bucket).isEmpty():
+            met = joined(met, links).where(F.col("size") > bucket)
+            while (band := met.where(F.col("band") > band).agg(F.min("band")).first()[0]) is not None:
+                if hashed is None:
+                    hashed = written(hashed_sets(met.select("node").distinct(), near, of_near, words), "near-sets")
+                band, own = band + places - 1, met.where(F.col("band").between(band, band + places - 1))
+                links = written(within_tiles(hot_groups(own, near.select("node", "n"), tile, 1 << 20), hashed, least), "near-links")
+                found, met = found.unionByName(links), joined(met, links)
+        return written(found, "near-edges")
+
+
+def hashed_sets(nodes: DataFrame, near: DataFrame, texts_of_rows: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """node, sets: the sorted 64-bit hashes of a node's different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for b in batches:
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles(t, words)], "<u8")).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "sets"])
+        give_back()
+
+    asked = near.select("node", "row").join(nodes, "node", "left_semi")
+    return picked(texts_of_rows, asked.select("row")).join(asked, "row").select("node", "text").mapInArrow(run, "node long, sets binary")
+
+
+def keep_one(
+    docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 6, bucket: int = 64, turns: int = 2, tile: int = 1024
+) -> DataFrame:
     """The documents without near-duplicates: of each group of near copies (Jaccard similarity of ``words``-word shingles
     at ``least`` or more, in a chain) one row stays: by the smallest doc_id, null last, then by a hash of the text.
     Of rows of one doc_id, those with different texts all stay, unless they are near copies; so do rows without a doc_id.
@@ -324,7 +454,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 2
     order = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.xxhash64(F.coalesce("doc.text", F.lit(""))), F.xxhash64(others), "row")
     with scratch(docs.sparkSession):
         marks = written(near_rows(rows.select("row", F.col("doc.text").alias("text")), words, bands, band_rows), "near-marks")
-        roots = components(near_links(rows, marks, words, least, bands, band_rows, bucket))
+        roots = components(near_links(rows, marks, words, least, bands, band_rows, bucket, turns, tile))
         of = marks.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
         of = of.join(rows.select("row", order.alias("place")), "row")
         kept = written(of.groupBy("root").agg(F.min("place").alias("place")).select("place.row"), "near-kept")

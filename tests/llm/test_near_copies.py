@@ -72,3 +72,57 @@ def test_other_columns_of_any_name(spark):
     assert got[0].asDict().keys() == set(docs.columns) and min(r.doc_id for r in got) == 0
     assert all(r.row == r.doc_id and r.node == {"n": r.doc_id} and r.mins == 1.5 for r in got) and len(got) < 5
     assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def star(n, size=300, seed=1, first=0):
+    """A text of many fillings: near the text with all blanks, not near each other."""
+    rng, vocab = random.Random(seed), [f"v{seed}-{i}" for i in range(50_000)]
+    template = rng.choices(vocab, k=size)
+    rows = [(first, " ".join(template), "t")]
+    for k in range(n):
+        w = list(template)
+        for at in rng.sample(range(size), 5):
+            w[at] = rng.choice(vocab)
+        rows.append((first + k + 1, " ".join(w), "v"))
+    rng.shuffle(rows)
+    return rows, template
+
+
+def chain(n, seed, first, size=120):
+    """Each text near the next only: a window that moves over a long text."""
+    rng = random.Random(seed)
+    long = [f"c{seed}-{rng.randrange(10**6)}" for _ in range(size + 8 * n)]
+    return [(first + k, " ".join(long[8 * k : 8 * k + size]), "c") for k in range(n)]
+
+
+def test_groups_that_fill_a_band(spark):
+    """Stars of which most pairs are below 0.8, in bands that are larger than what is compared as pairs: no link is lost."""
+    for n in (250, 1500):
+        rows, _ = star(n)
+        got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert [r.doc_id for r in got] == [0], (n, len(got))
+
+
+def test_hot_bands_in_small_tiles(spark):
+    """Two stars that a chain joins, a star of its own, chains, and texts that share much below 0.8: as by all pairs."""
+    one, template = star(90, seed=2)
+    two, other = star(70, seed=3, first=1000)
+    steps = [(2000 + k, " ".join(other[: 30 * k] + template[30 * k :]), "j") for k in range(1, 10)]
+    loose = [(3000 + k, " ".join(template[:180] + [f"l{k}-{i}" for i in range(120)]), "l") for k in range(40)]
+    rows = one + two + steps + loose + star(60, seed=4, first=4000)[0] + chain(30, 5, 5000) + chain(20, 6, 6000)
+    for options in ({"bucket": 4, "tile": 16, "turns": 1}, {}):
+        got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), **options).collect())
+        assert got == sorted(brute_kept(sorted(rows))), options
+
+
+def test_shared_numbers_and_spanning_links():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60 if k % 2 else 4000, rng.integers(0, 80)).astype(np.uint64)) for k in range(70)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = simhash.common(sets)
+    assert all(got[i, j] == want[i][j] for i in range(70) for j in range(70) if i != j)
+    assert simhash.common([]).shape == (0, 0)
+    a, b = np.array([1, 2, 3, 1, 7]), np.array([2, 3, 1, 9, 7])
+    assert simhash.spanning(a, b) == [0, 1, 3]
