@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections import defaultdict
 from html import unescape
 from typing import NamedTuple
@@ -32,39 +34,48 @@ def ends(tag: str) -> re.Pattern:
     return re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>?", re.IGNORECASE)
 
 
+#: Elements that say nothing without a class, id or role: a page looks the same with more or fewer of them.
+PLAIN = frozenset({"div", "span"})
+PATHS = 512
+
+
+@functools.lru_cache(50_000)
+def marks(label: str, outer: str) -> int:
+    """Bits of the buckets of an element's name, of its class words, and of the pair of it and the element around it."""
+    tag, *words = label.split(" ")
+    mask = 0
+    for name in (tag, f"{outer}>{tag}", *("." + w for w in words)):
+        mask |= 1 << zlib.crc32(name.encode()) % PATHS
+    return mask
+
+
 class Element:
-    """An open element: its name and the words of its class, id and role, in one string, and the element around it."""
+    """An open element that isn't plain: its name, the words of its class, id and role with it, the bits of the whole path of
+    such elements from the outermost to it, and their number."""
 
-    __slots__ = ("parent", "label", "tag", "depth")
+    __slots__ = ("tag", "label", "mask", "depth")
 
-    def __init__(self, parent: Element | None, label: str):
-        self.parent, self.label, self.tag = parent, label, label.split(" ", 1)[0]
-        self.depth = parent.depth + 1 if parent else 1
+    def __init__(self, around: Element | None, label: str):
+        self.label, self.tag = label, label.split(" ", 1)[0]
+        self.mask = marks(label, around.tag if around else "") | (around.mask if around else 0)
+        self.depth = around.depth + 1 if around else 1
 
 
 class Block(NamedTuple):
     text: str
-    inside: Element | None  # the innermost open element
+    inside: Element | None  # the innermost open element that isn't plain
     linked: int  # characters in links
 
-    def path(self, most: int) -> tuple[str, ...]:
-        """The labels of the innermost open elements, ``most`` at most, from the outer to the inner."""
-        out, e = [], self.inside
-        while e and len(out) < most:
-            out.append(e.label)
-            e = e.parent
-        return tuple(reversed(out))
-
 
 class Stack:
     """The open elements, with the places of each tag: what a tag costs doesn't depend on the depth."""
 
     def __init__(self):
-        self.open: list[Element] = []
+        self.open: list[tuple[str, Element | None]] = []  # the name, and the innermost element that isn't plain
         self.at: dict[str, list[int]] = defaultdict(list)
 
     def top(self) -> Element | None:
-        return self.open[-1] if self.open else None
+        return self.open[-1][1] if self.open else None
 
     def last(self, *tags: str) -> int:
         k = -1
@@ -74,13 +85,13 @@ class Stack:
         return k
 
     def push(self, label: str) -> None:
-        e = Element(self.top(), label)
-        self.at[e.tag].append(len(self.open))
-        self.open.append(e)
+        tag, top = label.split(" ", 1)[0], self.top()
+        self.at[tag].append(len(self.open))
+        self.open.append((tag, top if label in PLAIN else Element(top, label)))
 
     def close(self, k: int) -> None:
         while len(self.open) > k:
-            self.at[self.open.pop().tag].pop()
+            self.at[self.open.pop()[0]].pop()
 
 
 def element(tag: str, attributes: str) -> str:
@@ -164,7 +175,7 @@ def blocks(html: str) -> list[Block]:
             if (k := stack.last("p")) >= 0 and stack.last("table", "button", "td", "th") < k:
                 stack.close(k)
             for inner, by in CLOSED_BY.items():
-                if tag in by and (k := stack.last(inner, "ul", "ol", "dl", "table")) >= 0 and stack.open[k].tag == inner:
+                if tag in by and (k := stack.last(inner, "ul", "ol", "dl", "table")) >= 0 and stack.open[k][0] == inner:
                     stack.close(k)
         if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE):
             stack.push(element(tag, attributes))

@@ -10,15 +10,12 @@ from __future__ import annotations
 import functools
 import math
 import os
-import zlib
 
 import numpy as np
 
-from gaugework.llm.html_blocks import Block
+from gaugework.llm.html_blocks import PATHS, Block
 
-PATHS, WORD_BITS, EMBED, HIDDEN, MEASURES = 512, 9, 16, 24, 9
-#: Of so many open elements around a block, the innermost, the names are read.
-NEAR = 64
+WORD_BITS, EMBED, HIDDEN, MEASURES = 9, 16, 24, 9
 WORDS = 1 << WORD_BITS
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(64)], np.uint64)
@@ -26,15 +23,10 @@ WEIGHTS = os.path.join(os.path.dirname(__file__), "block_labeller.npz")
 HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 
 
-@functools.lru_cache(20_000)
-def path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Buckets of every element's name, of its class words, and of each pair of an element and its parent."""
-    names, before = [], ""
-    for e in path:
-        tag, *words = e.split(" ")
-        names += [tag, f"{before}>{tag}", *("." + w for w in words)]
-        before = tag
-    return tuple(zlib.crc32(n.encode()) % PATHS for n in dict.fromkeys(names))
+def path_buckets(b: Block) -> np.ndarray:
+    """The buckets of a block's whole path."""
+    mask = b.inside.mask if b.inside else 0
+    return np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little"))
 
 
 def word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +47,7 @@ def measures(page: list[Block], words: np.ndarray) -> np.ndarray:
     for i, (b, n) in enumerate(zip(page, words.tolist(), strict=True)):
         size, e = len(b.text), b.inside
         marks = sum(map(b.text.count, ".,;:!?"))
-        depth = e.depth if e else 0
+        depth = min(e.depth, 20) if e else 0
         rows.append((
             math.log1p(size) / 8, math.log1p(n) / 6, b.linked / size, marks / n, size / n / 10, bool(e) and e.tag in HEADINGS, i / total,
             1 - i / total, depth / 10
@@ -73,8 +65,8 @@ def features(page: list[Block]) -> np.ndarray:
     np.add.at(out, (np.repeat(np.arange(len(page)), n), PATHS + bucket), 1)
     out[:, PATHS : PATHS + WORDS] /= n[:, None]
     for i, b in enumerate(page):
-        buckets = path_buckets(b.path(NEAR))
-        out[i, list(buckets)] = 1 / max(1, len(buckets)) ** 0.5
+        buckets = path_buckets(b)
+        out[i, buckets] = 1 / max(1, len(buckets)) ** 0.5
     out[:, PATHS + WORDS :] = measures(page, n)
     return out
 
@@ -88,7 +80,7 @@ class Labeller:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}  # embeddings of paths met before, for labelling
+        self.paths: dict[int, np.ndarray] = {}  # embeddings of paths met before, for labelling
 
     @classmethod
     def fresh(cls, seed: int = 7) -> Labeller:
@@ -171,11 +163,11 @@ class Labeller:
             self.paths.clear()
         for b in page:
             if (k := of.get(b.inside)) is None:
-                path, k = b.path(NEAR), len(table)
+                path, k = b.inside.mask if b.inside else 0, len(table)
                 of[b.inside] = k
                 if path not in self.paths:
-                    buckets = path_buckets(path)
-                    self.paths[path] = ep[list(set(buckets))].sum(0) / max(1, len(buckets)) ** 0.5
+                    buckets = path_buckets(b)
+                    self.paths[path] = ep[buckets].sum(0) / max(1, len(buckets)) ** 0.5
                 table.append(self.paths[path])
             numbers.append(k)
         out[:, :EMBED] = np.array(table)[numbers]

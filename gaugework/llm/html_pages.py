@@ -24,6 +24,8 @@ class Page:
         self.words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(300)]
         self.junk = rng.random() < 0.15
         self.bare = rng.random() < 0.25  # no class words
+        self.own = None if rng.random() < 0.8 else {}  # class words of this page's own instead of the usual ones
+        self.nested = rng.choice([0, 0, 0.1, 0.3, 0.6])  # how often parts lie in wrappers
 
     def text(self, n: int, end: str = ".") -> str:
         r, out = self.rng, []
@@ -35,9 +37,20 @@ class Page:
 
     def tag(self, name: str, inner: str, *words: str) -> str:
         key = self.rng.choice(["class", "class", "id"])
-        attribute = f' {key}="{self.rng.choice(words)}"' if words and not self.bare and self.rng.random() < 0.8 else ""
+        word = self.rng.choice(words) if words else ""
+        if word and self.own is not None:
+            word = self.own.setdefault(word, self.rng.choice(self.words))
+        attribute = f' {key}="{word}"' if word and not self.bare and self.rng.random() < 0.8 else ""
         return f"<{name}{attribute}>{inner}</{name}>"
 
+    def wrapped(self, inner: str) -> str:
+        """The same in some elements more: wrappers with words of layout, or with invented ones."""
+        r = self.rng
+        while r.random() < self.nested:
+            words = r.choice(["row", "col", "container", "wrapper", "inner", "grid", "box", "clearfix", "layout", "section", "block", r.choice(self.words)])
+            inner = f'<{(name := r.choice(["div", "div", "div", "section"]))} class="{words}">{inner}</{name}>' if r.random() < 0.7 else f"<section>{inner}</section>"
+        return inner
+
     def links(self, n: int, size: tuple[int, int] = (1, 2)) -> str:
         return "".join(f'<li><a href="/{k}">{self.text(self.rng.randint(*size), "")}</a></li>' for k in range(n))
 
@@ -107,8 +120,15 @@ class Page:
                 out.append(f"<h{level}>{MARK}{self.text(r.randint(1, 6), '')}</h{level}>")
             elif kind < 0.85:
                 out.append("<ul>" + "".join(f"<li>{MARK}{self.text(r.randint(2, 15))}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
-            elif kind < 0.9:
+            elif kind < 0.87:
                 out.append(f"<blockquote>{body()}</blockquote>")
+            elif kind < 0.9:
+                cell = lambda name: f"<{name}>{MARK}{self.text(r.randint(1, 6), '')}</{name}>"
+                rows = "".join("<tr>" + "".join(cell("td") for _ in range(r.randint(1, 4))) + "</tr>" for _ in range(r.randint(1, 4)))
+                out.append(r.choice([
+                    f"<table>{rows}</table>", f"<figure><img src=x><figcaption>{body()}</figcaption></figure>", f"<pre><code>{body()}</code></pre>",
+                    "<dl>" + "".join(cell("dt") + cell("dd") for _ in range(r.randint(1, 4))) + "</dl>"
+                ]))
             elif kind < 0.94:
                 out.append(f"<div>{body()}</div>")
             elif kind < 0.97:
@@ -118,18 +138,20 @@ class Page:
         if r.random() < 0.15:
             out.append(self.comments())
         name = r.choice(["article", "article", "article", "main", "div", "section"])
-        inner = self.tag(name, "".join(out), "article", "content", "post", "entry content", "main", "story body")
-        return inner if r.random() < 0.7 else self.tag(r.choice(["main", "div"]), inner, "main", "content", "page", "wrapper")
+        cut = r.randint(0, len(out))
+        parts = self.wrapped("".join(out[:cut])) + self.wrapped("".join(out[cut:])) if r.random() < 0.5 else "".join(out)
+        inner = self.tag(name, self.wrapped(parts), "article", "content", "post", "entry content", "main", "story body")
+        return self.wrapped(inner if r.random() < 0.7 else self.tag(r.choice(["main", "div"]), inner, "main", "content", "page", "wrapper"))
 
     def html(self) -> str:
         r = self.rng
-        maybe = lambda share, *makers: "".join(m() for m in r.sample(makers, len(makers)) if r.random() < share)
+        maybe = lambda share, *makers: "".join(self.wrapped(m()) for m in r.sample(makers, len(makers)) if r.random() < share)
         plain = r.random() < 0.35
         before = self.menu() + self.advert() if plain else maybe(0.45, self.header, self.menu, self.advert, self.notice, self.form, self.side)
         after = self.footer() if plain else maybe(
             0.45, self.side, self.comments, self.advert, self.notice, self.form, self.menu
         ) + maybe(0.8, self.footer)
-        page = f"<!DOCTYPE html><html><head><title>{self.text(4, '')}</title><style>p{{margin:0}}</style></head><body>{before}<!-- {self.text(1)} -->{self.article()}{after}</body></html>"
+        page = f"<!DOCTYPE html><html><head><title>{self.text(4, '')}</title><style>p{{margin:0}}</style></head><body>{self.wrapped(f'{before}<!-- {self.text(1)} -->{self.article()}{after}')}</body></html>"
         return page[: r.randint(len(page) // 3, len(page))] if r.random() < 0.1 else page
 
 
@@ -144,7 +166,7 @@ if __name__ == "__main__":
 
     from gaugework.llm.html_model import WEIGHTS, Labeller
 
-    model = Labeller.fresh().fit([labelled(k) for k in [*range(10_000), *range(20_000, 22_000)]])
+    model = Labeller.fresh().fit([labelled(k) for k in range(9_000)])
     tests = [labelled(k) for k in range(10_000, 10_600)]
     got = model.main_blocks([p for p, _ in tests])
     right = sum(a == b for g, (_, y) in zip(got, tests, strict=True) for a, b in zip(g, y, strict=True))

@@ -35,7 +35,7 @@ def test_blocks():
     found = html_blocks.blocks(page)
     assert [b.text for b in found] == ["one two three", "föur & five six A", "x", "y", "z", "tail"]
     assert [b.linked for b in found] == [0, 0, 0, 1, 0, 0]
-    assert found[4].path(9) == ("body a b", "div it") and found[1].path(9) == ("body a b", "p") and found[1].path(1) == ("p",)
+    assert (found[4].inside.label, found[4].inside.depth) == ("div it", 2) and (found[1].inside.label, found[1].inside.depth) == ("p", 2)
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<script>only") == []
 
 
@@ -98,3 +98,27 @@ def test_labelling_equals_training_path():
     dense, _ = model.forward(*model.padded([html_model.features(p) for p in pages]))
     for own, want in zip(model.odds([model.embedded(p) for p in pages], chunk=7), dense, strict=True):
         assert np.allclose(own, want[: len(own)], atol=1e-3)
+
+
+def test_other_markup_of_the_same_pages(spark):
+    """Wrappers of any number around the article's or the body's parts, plain or with words never met, and other elements in
+    the article's place: the same texts."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    base = html_extraction.main_texts(pages)
+
+    def inside(tag, start, end):
+        return [p.replace(f"<{tag}>", f"<{tag}>{start}").replace(f"</{tag}>", f"{end}</{tag}>") for p in pages]
+
+    for n in (1, 5, 20, 70):
+        for tag in ("article", "body"):
+            assert html_extraction.main_texts(inside(tag, "<div>" * n, "</div>" * n)) == base, (tag, n)
+    others = [inside(tag, f'<div class="{c}">', "</div>") for tag in ("article", "body") for c in ("row", "zzqx-inner", "k9")]
+    others += [[p.replace("<article>", f"<{new}>").replace("</article>", f"</{new.split()[0]}>") for p in pages] for new in ("main", "div class=qqpost")]
+    for made in others:
+        assert sum(a != b for a, b in zip(html_extraction.main_texts(made), base, strict=True)) <= 0.02 * len(pages)
+
+
+def test_a_path_has_no_end():
+    deep = html_blocks.blocks("<nav>" + "<section><b>" * 500 + "<p>x")[-1].inside
+    near = html_blocks.blocks("<nav><section><b><section><b><p>x")[-1].inside
+    assert deep.mask == near.mask and deep.depth > 1000
