@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugework.model import SERIES
 from gaugework.operators.filters import is_finite, metric_filter, time_range
+from gaugework.operators.segments import SPLIT, over_series, with_rank
 
 #: Name -> aggregate of a value column; register_aggregator adds to it. rate works on the deltas that with_deltas adds.
 AGGREGATORS: dict[str, Callable[[Column], Column]] = {
@@ -28,10 +29,10 @@ def register_aggregator(name: str, make: Callable[[Column], Column]) -> None:
     AGGREGATORS[name] = make
 
 
-def with_deltas(samples: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """Each sample with the value and time of the one before it in its series."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    return samples.withColumns({"prev": F.lag("value").over(w), "prev_ts": F.lag("ts").over(w)})
+def with_deltas(samples: DataFrame, keys: tuple[str, ...] = SERIES, split: int | None = SPLIT) -> DataFrame:
+    """Each sample with the value and time of the one before it in its series; series of more than ``split`` rows in blocks."""
+    add = lambda rows, w: rows.withColumns({"prev": F.lag("value").over(w), "prev_ts": F.lag("ts").over(w)})
+    return over_series(samples, keys, 1, split, add)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -48,7 +49,7 @@ def positive_rate() -> Column:
 
 def aggregate(
     samples: DataFrame, kinds: tuple[str, ...] = ("avg", "sum", "min", "max", "count", "rate", "p95", "stddev"), metric: str | None = None,
-    start=None, end=None, closed: str = "both", scope: str = "metric", exact: bool = True
+    start=None, end=None, closed: str = "both", scope: str = "metric", exact: bool = True, split: int | None = SPLIT
 ) -> DataFrame:
     """All the kinds for every series at once (for every host, if scope is record: over all metrics of the records).
 
@@ -59,7 +60,7 @@ def aggregate(
     rows = time_range(samples, start, end, closed)
     rows = rows if metric is None else metric_filter(rows, metric, scope=scope)
     keys = SERIES if scope == "metric" else ("host_id",)
-    rows = with_deltas(rows, keys) if "rate" in kinds else rows
+    rows = with_deltas(rows, keys, split) if "rate" in kinds else rows
 
     def of(kind: str) -> Column:
         if kind == "rate":
@@ -121,10 +122,9 @@ def topic_stats(messages: DataFrame) -> DataFrame:
     return messages.groupBy("topic").agg(F.count("*").alias("total"), *counts, F.max("ts").alias("last_ts"))
 
 
-def trend(samples: DataFrame, flat: float = 0.1) -> DataFrame:
+def trend(samples: DataFrame, flat: float = 0.1, split: int | None = SPLIT) -> DataFrame:
     """Least squares over the points in order: slope, correlation, direction, prediction, confidence; two points or more."""
-    w = Window.partitionBy(*SERIES).orderBy("ts", "seq")
-    rows = samples.withColumn("x", (F.row_number().over(w) - 1).cast("double"))
+    rows = with_rank(samples, SERIES, split).withColumn("x", F.col("_rank").cast("double"))
     a = rows.groupBy(*SERIES).agg(
         F.count("*").alias("n"), F.regr_slope(
             "value", "x"

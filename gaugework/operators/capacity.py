@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugework.operators.segments import same
+from gaugework.session import shared_root
+
 #: Resource weights; the custom weight is for connections.
 WEIGHTS = {"cpu_usage": 0.3, "memory_usage": 0.3, "disk_usage": 0.2, "network_usage": 0.2}
 
@@ -81,29 +84,69 @@ def proposed(scored: DataFrame, c: Scaling) -> DataFrame:
     )
 
 
-def scaling_decisions(decisions: DataFrame, cooldown_s: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The proposals in order, those within the cooldown after a decision set to none.
+def _next_after(wanted: DataFrame, cooldown: int, keys: tuple[str, ...]) -> DataFrame:
+    """``wanted``: keys, t. With next: the first wanted time at or past t + cooldown. Times are dealt by slots as long as the
+    cooldown: it lies in the slot of t + cooldown or in the first later slot with any time, of 4,096 slots at a look."""
+    slot = lambda c: F.floor(c / cooldown)
+    asked = wanted.select(*keys, (F.col("t") + cooldown).alias("at"), F.col("t").alias("from"), F.lit(None).cast("long").alias("own"))
+    given = wanted.select(*keys, F.col("t").alias("at"), F.lit(None).cast("long").alias("from"), F.col("t").alias("own"))
+    both = asked.unionByName(given).withColumn("slot", slot(F.col("at")))
+    here = Window.partitionBy(*keys, "slot").orderBy("at", F.col("own").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("near", F.first("own", ignorenulls=True).over(here))
+    slots = both.groupBy(*keys, "slot").agg(F.min("own").alias("first")).withColumn("many", F.floor(F.col("slot") / 4096))
+    ahead = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    slots = slots.withColumn("later", F.first("first", ignorenulls=True).over(ahead(Window.partitionBy(*keys, "many").orderBy("slot"))))
+    above = slots.groupBy(*keys, "many").agg(F.min("first").alias("first"))
+    above = above.withColumn("far", F.first("first", ignorenulls=True).over(ahead(Window.partitionBy(*keys).orderBy("many"))))
+    slots = slots.alias("x").join(above.alias("y"), same("x", "y", (*keys, "many"))).select(
+        *(F.col(f"x.{k}").alias(k) for k in keys), "x.slot", F.coalesce("x.later", "y.far").alias("later")
+    )
+    rows = found.where(F.col("from").isNotNull()).alias("x").join(slots.alias("y"), same("x", "y", (*keys, "slot")))
+    return rows.select(*(F.col(f"x.{k}").alias(k) for k in keys), F.col("x.from").alias("t"), F.coalesce("x.near", "y.later").alias("next"))
+
+
+def decided(wanted: DataFrame, cooldown: int, keys: tuple[str, ...], most: int = 1000) -> DataFrame:
+    """``wanted``: keys, t (distinct). Those that are decided: the first, and of each decision the first past its cooldown.
 
-    Each decision depends on the one before, so a fleet's buckets (one row a time bucket, not samples) are gone through
-    in order, once; fleets (by keys) are independent of each other.
+    Fleets of up to ``most`` proposals are folded in order. Of larger ones every proposal points to its next; what pointers reach
+    from the first is found by doubling: the decisions up to the 2^k-th and pointers of 2^k steps give those up to the 2^(k+1)-th.
     """
-    import numpy as np
-    import pandas as pd
-
-    def cooled(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        at, wanted = rows["ts"].to_numpy("datetime64[s]").astype("int64"), (rows["action"] != "none").to_numpy()
-        act, last = np.zeros(len(rows), bool), None
-        for k in np.flatnonzero(wanted).tolist():
-            if last is None or at[k] - last >= cooldown_s:
-                act[k], last = True, at[k]
-        out = rows[[*keys, "ts"]].copy()
-        out["action"] = np.where(act, rows["action"], "none")
-        out["reason"] = np.where(act, rows["reason"], "")
-        out["target"] = np.where(act, rows["target"], rows["hosts"])
+    each = wanted.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = each.where(F.col("n") > most).select(*keys)
+    over = same("x", "y", keys) if keys else F.lit(True)
+    mark = lambda rows, how: rows.alias("x").join(large.alias("y"), over, how)
+    small = mark(wanted, "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("ts"))  # ``most`` times at most
+    step = lambda s, t: F.when((F.size(s) == 0) | (t - F.element_at(s, -1) >= cooldown), F.concat(s, F.array(t))).otherwise(s)
+    out = small.select(*keys, F.explode(F.aggregate("ts", F.array().cast("array<bigint>"), step)).alias("t"))
+    if large.isEmpty():
         return out
-
+    rows = mark(wanted, "left_semi").checkpoint()
+    reached = rows.groupBy(*keys).agg(F.min("t").alias("t"))
+    jump = _next_after(rows, cooldown, keys).where("next is not null").checkpoint()
+    of = lambda a, columns: [*(F.col(f"{a}.{k}").alias(k) for k in keys), *columns]
+    while True:
+        more = reached.alias("x").join(jump.alias("y"), over & (F.col("x.t") == F.col("y.t"))).select(*of("x", [F.col("y.next").alias("t")])).checkpoint()
+        if more.isEmpty():
+            return out.unionByName(reached)
+        reached = reached.unionByName(more).checkpoint()
+        jump = jump.alias("x").join(jump.alias("y"), over & (F.col("x.next") == F.col("y.t"))).select(*of("x", [F.col("x.t"), F.col("y.next")])).checkpoint()
+
+
+def scaling_decisions(decisions: DataFrame, cooldown_s: int, keys: tuple[str, ...] = (), most: int = 1000) -> DataFrame:
+    """The proposals in order, those within the cooldown after a decision set to none. Of two proposals of one time the first by
+    action, reason and target counts. Fleets (by keys) are independent of each other."""
+    if decisions.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared_root(decisions.sparkSession)
     rows = decisions.select(*keys, "ts", "action", "reason", "target", "hosts")
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "ts", "action", "reason", "target"))
-    return rows.groupBy(*keys).applyInPandas(cooled, schema)
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = F.row_number().over(Window.partitionBy(*keys, "ts").orderBy(F.col("action") == "none", "action", "reason", "target")) == 1
+    rows = rows.withColumns({"t": time, "wanted": (F.col("action") != "none") & first})
+    wanted = rows.where("wanted").select(*keys, "t")
+    act = wanted if cooldown_s <= 0 else decided(wanted, cooldown_s * 1_000_000, keys, most)
+    over = same("x", "y", (*keys, "t"))
+    both = rows.alias("x").join(act.withColumn("_act", F.lit(True)).alias("y"), over, "left").select("x.*", F.coalesce("y._act", F.lit(False)).alias("_act"))
+    act = F.col("_act") & F.col("wanted")
+    return both.select(
+        *keys, "ts", F.when(act, F.col("action")).otherwise("none").alias("action"), F.when(act, F.col("reason")).otherwise("").alias("reason"),
+        F.when(act, F.col("target")).otherwise(F.col("hosts")).alias("target")
+    )

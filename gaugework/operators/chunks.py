@@ -5,33 +5,37 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugework.model import SERIES
+from gaugework.operators.segments import SPLIT, over_series
 
 #: Delta-of-delta ranges in seconds and the bits that one takes; beyond them 68 bits.
 DELTA_BITS = ((0, 0, 1), (-63, 64, 9), (-255, 256, 12), (-2047, 2048, 16))
 
 
-def deltas(samples: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
+def deltas(samples: DataFrame, keys: tuple[str, ...] = SERIES, split: int | None = SPLIT) -> DataFrame:
     """Each point with the difference of its time step (in whole seconds) to the one before, its bits, and the value before.
 
     The first point of a series has no step (and 64 bits); the second one's step counts against 0.
     """
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    t = F.unix_seconds(F.col("ts").cast("timestamp"))
-    rows = samples.withColumn("t", t).withColumn("step", F.col("t") - F.lag("t").over(w)).withColumn("prev", F.lag("value").over(w))
-    rows = rows.withColumn("dod", F.when(F.col("step").isNotNull(), F.col("step") - F.coalesce(F.lag("step").over(w), F.lit(0))))
+
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("step", F.col("t") - F.lag("t").over(w)).withColumn("prev", F.lag("value").over(w))
+        return rows.withColumn("dod", F.when(F.col("step").isNotNull(), F.col("step") - F.coalesce(F.lag("step").over(w), F.lit(0))))
+
+    rows = over_series(samples.withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp"))), keys, 2, split, add)
     bits = F.lit(68)
     for lo, hi, n in reversed(DELTA_BITS):
         bits = F.when(F.col("dod").between(lo, hi), n).otherwise(bits)
     return rows.withColumn("time_bits", F.when(F.col("dod").isNull(), 64).otherwise(bits))
 
 
-def delta_profile(samples: DataFrame) -> DataFrame:
+def delta_profile(samples: DataFrame, split: int | None = SPLIT) -> DataFrame:
     """Per series: points, points by the bits of their time step, all time bits, share of values equal to the one before."""
-    d = deltas(samples)
+    d = deltas(samples, split=split)
     by = [F.count_if(F.col("dod").isNotNull() & (F.col("time_bits") == n)).alias(f"n_{n}") for n in (1, 9, 12, 16, 68)]
     same = F.count_if(F.col("value") == F.col("prev")) / F.count("*")
     return d.groupBy(*SERIES).agg(F.count("*").alias("n"), *by, F.sum("time_bits").alias("time_bits"), same.alias("repeated"))

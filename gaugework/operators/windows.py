@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.model import SERIES
 from gaugework.operators.aggregates import seconds_between, with_deltas
+from gaugework.operators.segments import SPLIT, carried, over_series, with_rank
 
 
 def percentile_lower(ordered: Column, p: int) -> Column:
@@ -14,16 +15,14 @@ def percentile_lower(ordered: Column, p: int) -> Column:
     return F.element_at(ordered, (F.floor((F.size(ordered) - 1) * p / 100) + 1).cast("int"))
 
 
-def sliding_stats(samples: DataFrame, size: int, max_age_s: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
+def sliding_stats(samples: DataFrame, size: int, max_age_s: int, keys: tuple[str, ...] = SERIES, split: int | None = SPLIT) -> DataFrame:
     """At every sample, over the last ``size`` ones that are no older than max_age_s: count to percentiles, rate and last.
 
     The frame is an array of at most ``size`` structs, so both limits hold at once.
     """
-    w = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(-(size - 1), 0)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = samples.withColumn(
-        "frame", F.filter(F.collect_list(F.struct(at.alias("t"), F.col("value").alias("v"))).over(w), lambda x: x["t"] >= at - max_age_s * 1_000_000)
-    )
+    frame = lambda w: F.collect_list(F.struct(at.alias("t"), F.col("value").alias("v"))).over(w.rowsBetween(-(size - 1), 0))
+    rows = over_series(samples, keys, size - 1, split, lambda r, w: r.withColumn("frame", F.filter(frame(w), lambda x: x["t"] >= at - max_age_s * 1_000_000)))
     v = F.transform("frame", lambda x: x["v"])
     n = F.size("frame")
     rows = rows.withColumns({"v": v, "n": n}).withColumns({"total": F.aggregate("v", F.lit(0.0), lambda s, x: s + x), "ordered": F.array_sort("v")})
@@ -39,9 +38,9 @@ def sliding_stats(samples: DataFrame, size: int, max_age_s: int, keys: tuple[str
     )
 
 
-def counter_rates(counters: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
+def counter_rates(counters: DataFrame, keys: tuple[str, ...] = SERIES, split: int | None = SPLIT) -> DataFrame:
     """Growth a second since the sample before, the first left out; a smaller value is a reset and has no rate."""
-    rows = with_deltas(counters, keys).where(F.col("prev_ts").isNotNull())
+    rows = with_deltas(counters, keys, split).where(F.col("prev_ts").isNotNull())
     span = seconds_between(F.col("prev_ts"), F.col("ts"))
     reset = F.col("value") < F.col("prev")
     rate = F.when(~reset, (F.col("value") - F.col("prev")) / F.when(span > 0, span).otherwise(1.0))
@@ -83,21 +82,21 @@ def state_changes(states: DataFrame, keys: tuple[str, ...] = ("host_id",)) -> Da
     return rows.where(F.col("old_state") != F.col("state")).select(*keys, "ts", "old_state", F.col("state").alias("new_state"))
 
 
-def consecutive_failures(checks: DataFrame, max_retries: int = 3, keys: tuple[str, ...] = ("host_id",)) -> DataFrame:
-    """``checks``: ts, seq, ok. Failures in a row up to each check; offline from max_retries on."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    rows = checks.withColumn("island", F.sum(F.col("ok").cast("int")).over(w))
-    own = Window.partitionBy(*keys, F.coalesce("island", F.lit(0))).orderBy("ts", "seq")
-    rows = rows.withColumn("failures", F.count_if(~F.col("ok")).over(own))
+def consecutive_failures(checks: DataFrame, max_retries: int = 3, keys: tuple[str, ...] = ("host_id",), split: int | None = SPLIT) -> DataFrame:
+    """``checks``: ts, seq, ok. Failures in a row up to each check; offline from max_retries on. A check without a result
+    (null) neither counts nor ends a run: such checks are left out of the counting."""
+    known, order = checks.where("ok is not null"), ("ts", "seq")
+    rows = with_rank(known, keys, split).withColumn("_good", F.when(F.col("ok"), F.col("_rank"))).withColumnRenamed("_rank", "_place")
+    rows = carried(rows, keys, split, "_good", F.max, order)
+    rows = rows.withColumn("failures", F.col("_place") - F.coalesce("_upto", F.lit(-1).cast("long")))
     return rows.select(*keys, "ts", "seq", "failures", F.when(F.col("failures") >= max_retries, "offline").otherwise("online").alias("status"))
 
 
-def latest_as_of(requests: DataFrame, samples: DataFrame) -> DataFrame:
-    """For each request (host_id, metric, ts) the last value not after it: both kinds of rows in one ordered run a series."""
-    asked = requests.select(
-        *SERIES, "ts", F.lit(None).cast("double").alias("value"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(1).alias("kind")
-    )
-    given = samples.select(*SERIES, "ts", "value", F.col("ts").alias("at"), F.lit(0).alias("kind"))
-    w = Window.partitionBy(*SERIES).orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = given.unionByName(asked).withColumns({"value": F.last("value", ignorenulls=True).over(w), "at": F.last("at", ignorenulls=True).over(w)})
-    return rows.where("kind = 1").drop("kind")
+def latest_as_of(requests: DataFrame, samples: DataFrame, split: int | None = SPLIT) -> DataFrame:
+    """For each request (host_id, metric, ts) the last sample not after it, its value (which may be null) and its time: both
+    kinds of rows in one ordered run a series."""
+    sample = F.struct("value", F.col("ts").alias("at"))
+    given = samples.select(*SERIES, "ts", "seq", sample.alias("_sample"), F.lit(0).alias("_kind"))
+    asked = requests.select(*SERIES, "ts", F.lit(None).cast("long").alias("seq"), F.lit(None).alias("_sample"), F.lit(1).alias("_kind"))
+    rows = carried(given.unionByName(asked), SERIES, split, "_sample", lambda c: F.last(c, ignorenulls=True), ("ts", "_kind", "seq"))
+    return rows.where("_kind = 1").select(*SERIES, "ts", "_upto.value", "_upto.at")
