@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugework.model import SERIES
 from gaugework.operators.filters import is_finite, metric_filter, time_range
-from gaugework.operators.segments import SPLIT, over_series, with_rank
+from gaugework.operators.segments import SPLIT, over_series, same, with_rank
 
 #: Name -> aggregate of a value column; register_aggregator adds to it. rate works on the deltas that with_deltas adds.
 AGGREGATORS: dict[str, Callable[[Column], Column]] = {
@@ -157,38 +156,46 @@ def basic_stats(samples: DataFrame, keys: tuple[str, ...] = ("metric",)) -> Data
 
 
 def percentiles(
-    samples: DataFrame, points: tuple[int, ...] = (50, 90, 95, 99), keys: tuple[str, ...] = ("metric",), exact: bool = True, parts: int = 128
+    samples: DataFrame, points: tuple[int, ...] = (50, 90, 95, 99), keys: tuple[str, ...] = ("metric",), exact: bool = True, accuracy: int = 1000
 ) -> DataFrame:
     """Columns p50 and so on, with linear interpolation. Approximate ones need memory by their accuracy alone.
 
-    Exact ones come from counts of distinct values: approximate cuts split a group's values into ``parts`` ranges, whose
-    sums of counts say where each begins, so that the ranks within a range are one task's work, however large the group is.
+    Exact ones bracket each rank first: approximate quantiles two errors below and above it hold the wanted values between
+    them for certain, but for one rank at the ends, which the next values beyond make good. What lies below a bracket is
+    counted; the values in it (four thousandths of a group's) are counted by value, and the ranks found among them. So no
+    group is one task's memory.
     """
     if not exact:
         made = F.percentile_approx("value", F.array(*(F.lit(p / 100) for p in points)), 10_000)
         return samples.groupBy(*keys).agg(made.alias("p")).select(*keys, *(F.col("p")[i].alias(f"p{p}") for i, p in enumerate(points)))
-    same = lambda a, b: functools.reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
     of = lambda a: [F.col(f"{a}.{k}").alias(k) for k in keys]
-    cuts = samples.groupBy(*keys).agg(F.percentile_approx("value", F.array(*(F.lit(k / parts) for k in range(1, parts))), 10 * parts).alias("cuts"))
-    counts = samples.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    part = F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part")
-    rows = counts.alias("a").join(cuts.alias("b"), same("a", "b")).select(*of("a"), "value", "n", part)
-    back = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
-    sums = sums.select(
-        *keys, "part", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(*keys)).alias("total")
-    )  # a row a range
-    rows = rows.alias("a").join(sums.alias("b"), same("a", "b") & (F.col("a.part") == F.col("b.part"))).select(
-        *of("a"), F.col("a.part").alias("part"), "value", "n", "before", "total"
+    ends = [min(1.0, max(0.0, p / 100 + side * 2 / accuracy)) for p in points for side in (-1, 1)]
+    cuts = samples.groupBy(*keys).agg(F.percentile_approx("value", F.array(*map(F.lit, ends)), accuracy).alias("cuts"))
+    # the smallest and greatest rank can lie beyond an approximate end: these brackets are open
+    low = lambda i: F.lit(float("-inf")) if ends[2 * i] == 0.0 else F.col("cuts")[2 * i]
+    high = lambda i: F.lit(float("nan")) if ends[2 * i + 1] == 1.0 else F.col("cuts")[2 * i + 1]  # nan is the greatest
+    rows = samples.where("value is not null").alias("a").join(cuts.alias("b"), same("a", "b", keys)).select(*of("a"), "value", "cuts")
+    beyond = [c for i in range(len(points)) for c in (
+        F.count_if(F.col("value") < low(i)).alias(f"below{i}"), F.max(F.when(F.col("value") < low(i), F.col("value"))).alias(f"prev{i}"),
+        F.min(F.when(F.col("value") > high(i), F.col("value"))).alias(f"next{i}")
+    )]
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("total"), *beyond)
+    inside = F.array_compact(F.array(*(F.when((F.col("value") >= low(i)) & (F.col("value") <= high(i)), F.lit(i)) for i in range(len(points)))))
+    counts = rows.select(*keys, "value", F.explode(inside).alias("i")).groupBy(*keys, "i", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = counts.withColumn("upto", upto).alias("a").join(totals.alias("b"), same("a", "b", keys))
+    of_point = lambda name: F.element_at(F.array(*(F.col(f"{name}{i}") for i in range(len(points)))), F.col("i") + 1)
+    share = F.element_at(F.array(*(F.lit(p / 100) for p in points)), F.col("i") + 1)
+    both = both.select(
+        *of("a"), "i", "value", "n", (of_point("below") + F.col("upto")).alias("end"), (share * (F.col("total") - 1)).alias("x"),
+        of_point("below").alias("below"), of_point("prev").alias("prev"), of_point("next").alias("next")
     )
-    upto = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("end", F.col("before") + upto)
-    place = {p: F.lit(p / 100) * (F.col("total") - 1) for p in points}
-    at = lambda rank: F.max(F.when((rank >= F.col("end") - F.col("n")) & (rank < F.col("end")), F.col("value")))
-    ends = [c for p, x in place.items() for c in (at(F.floor(x)).alias(f"low{p}"), at(F.ceil(x)).alias(f"high{p}"))]
-    found = rows.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
-    made = [(F.col(f"low{p}") + (F.col(f"high{p}") - F.col(f"low{p}")) * (x - F.floor(x))).alias(f"p{p}") for p, x in place.items()]
-    return cuts.alias("a").join(found.alias("b"), same("a", "b"), "left").select(*of("a"), *made)
+    inner = lambda rank: F.max(F.when((rank >= F.col("end") - F.col("n")) & (rank < F.col("end")), F.col("value")))
+    at = lambda rank: F.coalesce(inner(rank), F.max(F.when(rank < F.col("below"), F.col("prev"))), F.max("next"))
+    found = both.groupBy(*keys, "i").agg(F.max("x").alias("x"), at(F.floor("x")).alias("low"), at(F.ceil("x")).alias("high"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("x") - F.floor("x"))
+    made = found.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, value)).alias(f"p{p}") for i, p in enumerate(points)))
+    return cuts.alias("a").join(made.alias("b"), same("a", "b", keys), "left").select(*of("a"), *(f"b.p{p}" for p in points))
 
 
 def valid_count(samples: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:

@@ -140,7 +140,7 @@ def scaling_decisions(decisions: DataFrame, cooldown_s: int, keys: tuple[str, ..
     rows = decisions.select(*keys, "ts", "action", "reason", "target", "hosts")
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     first = F.row_number().over(Window.partitionBy(*keys, "ts").orderBy(F.col("action") == "none", "action", "reason", "target")) == 1
-    rows = rows.withColumns({"t": time, "wanted": (F.col("action") != "none") & first})
+    rows = rows.withColumns({"t": time, "wanted": (F.col("action") != "none") & first}).checkpoint()  # a row a time bucket, read thrice
     wanted = rows.where("wanted").select(*keys, "t")
     act = wanted if cooldown_s <= 0 else decided(wanted, cooldown_s * 1_000_000, keys, most)
     over = same("x", "y", (*keys, "t"))

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from gaugework.model import samples, table
 from gaugework.operators import aggregates as A
+from gaugework.operators import rollups as R
 from gaugework.operators import topk as K
 from gaugework.registry import query
+from gaugework.session import work_dir
+from gaugework.sources.store import Store
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
 
@@ -140,6 +143,31 @@ def valid_count(spark, sf_dir):
     return A.valid_count(samples(spark, sf_dir).withColumn("value", odd))
 
 
+@query(
+    """WITH {S} SELECT host_id, metric, count(value) AS count, round(sum(value), 6) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max,
+      round(stddev_pop(value), 6) AS stddev, true AS p95_near FROM s GROUP BY ALL"""
+)
+def rollup_stats(spark, sf_dir):
+    """All days of every series from stored rollups; p95 is held against the shares of the series' values below and up to it."""
+    store, path, s = Store(spark, work_dir(spark, "samples")), work_dir(spark, "rollups"), samples(spark, sf_dir)
+    store.upsert(s)
+    R.refresh(store, path)
+    got = rounded(R.merged_stats(R.read_rollups(spark, path), points=(95,)), "sum", "avg", "stddev")
+    each = s.join(got.select("host_id", "metric", "p95", "count"), ["host_id", "metric"]).groupBy("host_id", "metric")
+    near = each.agg(
+        ((F.count_if(F.col("value") < F.col("p95")) <= 0.97 * F.max("count") + 1) & (F.count_if(F.col("value") <= F.col("p95")) >= 0.93 * F.max("count") - 1)).alias("p95_near")
+    )
+    return got.drop("p95", "last").join(near, ["host_id", "metric"])
+
+
+@query("WITH {S} SELECT metric, true AS near FROM s GROUP BY ALL")
+def rollup_hosts(spark, sf_dir):
+    """Numbers of hosts from sketches, within five of a hundred of the exact ones."""
+    s = samples(spark, sf_dir)
+    got = R.host_counts(R.host_rollup(s)).join(A.metric_names(s).withColumnRenamed("series", "exact"), "metric")
+    return got.select("metric", (F.abs(F.col("series") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("near"))
+
+
 @query("WITH {S} SELECT metric, count(DISTINCT host_id) AS series FROM s GROUP BY ALL")
 def metric_names(spark, sf_dir):
     return A.metric_names(samples(spark, sf_dir))

@@ -137,7 +137,7 @@ NET = (
     "rx_bytes", "rx_packets", "rx_errors", "rx_dropped", "rx_fifo", "rx_frame", "rx_compressed", "rx_multicast", "tx_bytes", "tx_packets",
     "tx_errors", "tx_dropped", "tx_fifo", "tx_collisions", "tx_carrier", "tx_compressed"
 )
-#: For each kind of file (by event_id % 11) its text, with %s for a number, and the metrics in it as (name, value in SQL, unit).
+#: For each kind of file (by event_id, in turns) its text, with %s for a number, and the metrics in it as (name, value in SQL, unit).
 KINDS = (
     (
         "meminfo", "MemTotal:  1000000 kB\nMemFree: %s0 kB\nDirectMap4k: 5 kB\nSReclaimable: %s kB",
@@ -157,7 +157,7 @@ KINDS = (
     ("stat", "cpu  %s 1 2 3 4 5 6 7 0 0\ncpu0 %s 1 2 3 4 5 6 7 0 0\nintr 99 1 2\nctxt 17\nbtime 5\nprocesses 12\nprocs_running 2\nprocs_blocked 0",
         [(f"cpu.jiffies.{c}.{n}", "v" if i == 0 else str(i), "jiffies") for c in ("total", "cpu0") for i, n in enumerate(JIFFIES)]
         + [
-            ("cpu.interrupts", "99", ""), ("cpu.context_switches", "17", ""), ("cpu.processes", "12", ""), ("cpu.procs_running", "2", ""),
+            ("cpu.interrupts", "99", ""), ("cpu.context_switches", "17", ""), ("cpu.processes", "12", ""), ("cpu.procs_running", "2", ""), ("cpu.threads", "2", ""),
             ("cpu.procs_blocked", "0", "")
         ]),
     (
@@ -178,10 +178,13 @@ KINDS = (
         "Inter-|   Receive    |  Transmit\n face |bytes packets |bytes packets\n    lo: " + "1 " * 16 + "\n  eth0: %s 2 3 4 5 6 7 8 %s 10 11 12 13 14 15 16",
         [(f"network.{n}.eth0", "v" if i in (0, 8) else str(i + 1), "") for i, n in enumerate(NET)]
     ),
+    ("scaling_cur_freq", "%s500\n", [("cpu.frequency", "v + 0.5", "MHz")]),
+    ("thermal_zone", "x86_CPU_temp\n%s250\n", [("cpu.temperature", "v + 0.25", "°C")]),
+    ("thermal_zone", "acpitz\n%s000\n", [("never", "NULL", "")]),
 )
 METRIC = "{'m': '%s', 'v': CAST(%s AS DOUBLE), 'u': '%s'}"
 OF_KIND = " UNION ALL ".join(
-    f"SELECT host_id, ts, unnest([{', '.join(METRIC % m for m in made)}]) AS x FROM i WHERE kind = {k}" for k, (_, _, made) in enumerate(KINDS)
+    f"SELECT host_id, ts, unnest([{', '.join(METRIC % m for m in made)}]) AS x FROM i WHERE kind = {k}" for k, (_, _, made) in enumerate(KINDS) if made[0][0] != "never"
 )
 SNAPSHOTS = f"i AS (SELECT event_id % {len(KINDS)} AS kind, 'host-' || user_id AS host_id, ts, CAST(floor(value) AS BIGINT) AS v FROM events), m AS ({OF_KIND})"
 

@@ -63,6 +63,14 @@ def stream_dedup_alerts(spark, sf_dir):
     return kept.join(given, "seq", "left").select("host_id", "metric", "hour", own.alias("of_the_hour"), same.alias("is_an_alert"))
 
 
+@query(
+    """WITH {S}, a AS (SELECT *, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM s WHERE value > 20), m AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM a)
+    SELECT host_id, metric, hour, ts, value, seq FROM a, m WHERE (hour + 1) * 3600000 <= mark QUALIFY row_number() OVER (PARTITION BY host_id, metric, hour ORDER BY ts, seq) = 1"""
+)
+def stream_earliest_alerts(spark, sf_dir):
+    return finished(T.stream_earliest_alerts(samples_of(events_stream(spark, sf_dir)).where("value > 20")))
+
+
 @query(
     """WITH {S}, l AS (SELECT host_id, metric, max(ts) AS ts, arg_max(value, (ts, seq)) AS value FROM s GROUP BY ALL)
     SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, host_id) AS rank, host_id, value FROM l WHERE epoch_ms(ts) + 86400000 > (SELECT epoch_ms(max(ts)) - 600000 FROM s) QUALIFY rank <= 10"""

@@ -24,10 +24,13 @@ MEMINFO_FIELDS = {
     "MemTotal": "memory.total", "MemFree": "memory.free", "MemAvailable": "memory.available", "Buffers": "memory.buffers", "Cached": "memory.cached",
     "SwapTotal": "memory.swap_total", "SwapFree": "memory.swap_free", "Mapped": "memory.mapped", "Shmem": "memory.shared", "Slab": "memory.slab",
     "SReclaimable": "memory.slab_reclaimable", "SUnreclaim": "memory.slab_unreclaimable",
+    "Tmpfs": "memory.tmpfs",
 }
 NUMA_FIELDS = {"MemTotal": "total", "MemFree": "free"}
 PSEUDO_FILESYSTEMS, PSEUDO_MOUNTS = ("proc", "sysfs", "devpts", "tmpfs", "devtmpfs"), ("/sys", "/proc", "/dev")
-FILES = ("stat", "loadavg", "meminfo", "vmstat", "buddyinfo", "pressure_memory", "numa_meminfo", "diskstats", "mounts", "net_dev", "sockstat")
+FILES = ("stat", "loadavg", "meminfo", "vmstat", "buddyinfo", "pressure_memory", "numa_meminfo", "diskstats", "mounts", "net_dev", "sockstat", "scaling_cur_freq", "thermal_zone")
+#: Files that are read whole, not line by line.
+WHOLE = ("buddyinfo", "thermal_zone")
 
 
 METRICS = "array<struct<metric:string,value:double,unit:string>>"
@@ -80,7 +83,8 @@ def _rules() -> list[tuple[str, Column, Column]]:
         ),
         ("stat", name == "ctxt", _metrics((lit("cpu.context_switches"), _num(2), ""))),
         ("stat", name == "intr", _metrics((lit("cpu.interrupts"), _num(2), ""))),
-        ("stat", name.isin("processes", "procs_running", "procs_blocked"), _metrics((_named("cpu.", name), _num(2), ""))),
+        ("stat", name == "procs_running", _metrics((_named("cpu.", name), _num(2), ""), (lit("cpu.threads"), _num(2), ""))),
+        ("stat", name.isin("processes", "procs_blocked"), _metrics((_named("cpu.", name), _num(2), ""))),
         ("loadavg", lit(True), _metrics(*((lit(f"cpu.load_avg_{n}"), _num(i), "") for i, n in load))),
         ("meminfo", name.isin(*MEMINFO_FIELDS), _metrics((_renamed(MEMINFO_FIELDS, 1), _num(2), "KB"))),
         ("vmstat", name.isin(*VMSTAT_FIELDS), _metrics((_named("memory.vmstat_", name), _num(2), ""))),
@@ -104,12 +108,18 @@ def _rules() -> list[tuple[str, Column, Column]]:
         ),
         ("sockstat", (name == "TCP") & (_at(2) == "inuse"), _metrics((lit("network.connections"), _num(3), "conn"))),
         ("buddyinfo", lit(True), _metrics((lit("memory.free_pages"), _free_pages(F.col("line")), "KB"))),
+        ("scaling_cur_freq", lit(True), _metrics((lit("cpu.frequency"), _num(1) / 1000, "MHz"))),  # the file has kHz
+        (
+            "thermal_zone", F.lower(F.substring_index("line", "\n", 1)).contains("cpu"),
+            _metrics((lit("cpu.temperature"), F.trim(F.try_element_at(F.split("line", "\n"), F.lit(2))).try_cast("bigint") / 1000, "°C"))  # thousandths of a degree
+        ),
     ]
 
 
 def parse_host_snapshots(snapshots: DataFrame) -> DataFrame:
-    """One pass: every file's lines (buddyinfo, whose zones are summed, as one), each line's metrics by its file."""
-    lines = F.when(F.col("file") == "buddyinfo", F.array("content")).otherwise(F.split("content", "\n"))
+    """One pass: every file's lines (buddyinfo, whose zones are summed, and a sensor's type and value as one), each line's
+    metrics by its file. Of several sensors and cores each snapshot gives its own row."""
+    lines = F.when(F.col("file").isin(*WHOLE), F.array("content")).otherwise(F.split("content", "\n"))
     rows = snapshots.select("host_id", "ts", "file", F.explode_outer(lines).alias("line")).withColumn("f", _fields(F.col("line")))
     made = None
     for file, hit, metrics in _rules():

@@ -48,8 +48,10 @@ class Manifest:
 class Store:
     """Samples under a folder of any file system that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 4):
-        self.spark, self.path, self.buckets, self.jvm = spark, path.rstrip("/"), buckets, spark._jvm
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark._jvm
+        # parts of a day; by default they grow with the tasks that a shuffle has
+        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
     def _at(self, *parts: str):
         return self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))

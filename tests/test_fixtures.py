@@ -319,3 +319,17 @@ def test_order_of_rows_does_not_matter(spark, sf_dir):
     for f in (A.aggregate, A.trend, W.latest, K.topk_hosts, lambda x: W.sliding_stats(x, 5, 10_000_000)):
         a, b = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(x).collect()) for x in (s, mixed))
         assert a == b
+
+
+def test_percentiles_of_groups_of_any_size(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    groups = {f"h{n}": np.round(rng.normal(size=n), 2) for n in (1, 2, 3, 5, 39, 500, 5000)} | {"same": np.full(700, 3.0), "two": np.repeat([1.0, 9.0], [990, 10])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(None, 1.0), (None, 2.0), ("null", None)]
+    df = spark.createDataFrame(rows, "metric string, value double").repartition(4)
+    points = (0, 1, 50, 90, 95, 99, 100)
+    got = {r.metric: [r[f"p{p}"] for p in points] for r in A.percentiles(df, points).collect()}
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.percentile(vs, points)), k
+    assert got[None] == [1.0, 1.01, 1.5, 1.9, 1.95, 1.99, 2.0] and got["null"] == [None] * 7

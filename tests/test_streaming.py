@@ -51,6 +51,24 @@ def test_adaptive_window_stays_in_its_bounds(spark, parts):
     assert len(sizes) > 1 and min(sizes) >= 2 and max(sizes) <= 9
 
 
+def test_earliest_alert_for_any_order_of_arrival(spark, parts, tmp_path):
+    """Later alerts of an hour come in an earlier file: the earliest still is the one that is sent, whole."""
+    alerts = parts[1].where("value > 20").select("host_id", "metric", "ts", "value", "seq")
+    late = F.xxhash64("seq") % 3 == 0
+    for k, rows in enumerate((alerts.where(~late), alerts.where(late))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        time.sleep(1.1)
+    given = spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = finished(T.stream_earliest_alerts(given, "400 days"))
+    assert got.count() == 0  # no hour is over yet
+    got = finished(T.stream_earliest_alerts(spark.readStream.schema(alerts.schema).parquet(f"{tmp_path}/in/*")))
+    want = L.dedup_alerts(alerts.withColumn("value", F.col("value")))
+    keys = ("host_id", "metric", "ts", "value")
+    mark = alerts.agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9 - 1 / 6).alias("h")).first().h
+    over = lambda df: df.where(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) + 1 <= mark)
+    same(got, over(want), *keys)
+
+
 def test_sustained(spark, parts):
     rules = L.default_rules(spark).withColumn("duration_s", F.lit(3600).cast("long"))
     got = finished(T.stream_sustained_alerts(L.matched(resources_of(stream(spark, parts)), rules)))
