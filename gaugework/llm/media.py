@@ -121,20 +121,25 @@ class ArchiveReader(DataSourceReader):
         fs, path = files.at(self.folder)
         return fs.open_input_file(f"{path}/{archive}")
 
-    def member(self, archive: str, info: zipfile.ZipInfo) -> bytes:
-        """One member by its offset, checked; read again by itself if anything about it fails."""
+    @staticmethod
+    def checked(data: bytes, info: zipfile.ZipInfo, base: int) -> bytes:
+        """A member's bytes out of the archive's bytes from ``base`` on."""
+        at = info.header_offset - base
+        if data[at : at + 4] != b"PK\3\4" or len(data) < at + 30:
+            raise ValueError("no member begins here")
+        at += 30 + sum(struct.unpack("<HH", data[at + 26 : at + 30]))
+        own = data[at : at + info.compress_size]
+        if len(own) != info.file_size or zlib.crc32(own) != info.CRC:
+            raise ValueError("the bytes differ from the directory's checksum")
+        return own
+
+    def member(self, archive: str, info: zipfile.ZipInfo, end: int) -> bytes:
+        """One member by its offset, with a handle of its own, checked; tried again by itself if anything about it fails."""
         for attempt in range(self.attempts):
             try:
                 with self.open(archive) as f:
                     f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\3\4":
-                        raise ValueError("no member begins here")
-                    f.seek(info.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
-                    data = f.read(info.compress_size)
-                if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                    raise ValueError("the bytes differ from the directory's checksum")
-                return data
+                    return self.checked(f.read(end - info.header_offset), info, info.header_offset)
             except (OSError, ValueError) as e:
                 if attempt + 1 == self.attempts:
                     raise OSError(f"{archive}, member {info.filename} at {info.header_offset}: {e}") from e
@@ -144,19 +149,28 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no archive at all
             return
-        with self.open(partition.archive) as f, zipfile.ZipFile(f) as z:
-            own = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
-        held: list[tuple] = []
-        size = 0
-        for info in own:
-            media = self.member(partition.archive, info)
-            held.append((partition.archive, info.filename, info.header_offset, media))
-            size += len(media)
-            if size >= self.batch_bytes:
+        with self.open(partition.archive) as f, zipfile.ZipFile(f) as z:  # one handle a range: the directory, then spans of members
+            infos = sorted(z.infolist(), key=lambda i: i.header_offset)
+            ends = [i.header_offset for i in infos[1:]] + [z.start_dir]
+            own = [(i, end) for i, end in zip(infos, ends) if partition.start <= i.header_offset < partition.end]
+            while own:
+                base, n = own[0][0].header_offset, 1
+                while n < len(own) and own[n][1] - base <= self.batch_bytes:
+                    n += 1
+                span, own = own[:n], own[n:]
+                try:
+                    f.seek(base)
+                    data = f.read(span[-1][1] - base)
+                except OSError:
+                    data = b""  # each of its members is read by itself
+                held = []
+                for info, end in span:
+                    try:
+                        media = self.checked(data, info, base)
+                    except ValueError:
+                        media = self.member(partition.archive, info, end)
+                    held.append((partition.archive, info.filename, info.header_offset, media))
                 yield self.batch(held)
-                held, size = [], 0
-        if held:
-            yield self.batch(held)
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -60,18 +60,26 @@ def test_a_member_is_read_again_by_itself(tmp_path, monkeypatch):
         for k in range(3):
             z.writestr(f"{k}_{k}.png", media.to_png(b"x" * k))
     reader = media.ArchiveReader({"path": f"file://{tmp_path}", "attempts": "2"})
-    opened, plain = [], reader.open
+    opened, plain, checked = [], reader.open, media.ArchiveReader.checked
 
     def flaky(archive):
         opened.append(archive)
-        if len(opened) == 2:  # the first is for the directory
+        if len(opened) == 2:  # the first is for the directory and all members
             raise OSError("gone")
         return plain(archive)
 
+    def odd(data, info, base):
+        if len(opened) == 1 and info.filename == "1_1.png":
+            raise ValueError("damaged on its way")
+        return checked(data, info, base)
+
     monkeypatch.setattr(reader, "open", flaky)
     (part,) = reader.partitions()
-    rows = [m for b in reader.read(part) for m in b.column(3).to_pylist()]
-    assert [media.from_png(m)[1] for m in rows] == [0, 1, 2] and len(opened) == 5
+    read = lambda: [media.from_png(m)[1] for b in reader.read(part) for m in b.column(3).to_pylist()]
+    assert read() == [0, 1, 2] and len(opened) == 1
+    opened.clear()
+    monkeypatch.setattr(reader, "checked", odd)
+    assert read() == [0, 1, 2] and len(opened) == 3  # one member alone, whose first attempt fails
     data = bytearray((tmp_path / "a.zip").read_bytes())
     data[60] ^= 1
     (tmp_path / "a.zip").write_bytes(data)
