@@ -63,5 +63,5 @@ def test_empty_and_odd(spark, tmp_path):
 
 
 def test_every_operator_has_a_query(spark, sf_dir):
-    assert [int(k[2:].split("_")[0]) for k in queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries()] == list(range(1, 14))
     assert public_tokenizers.path("byte_bpe_50k.json")
