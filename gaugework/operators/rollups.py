@@ -48,23 +48,20 @@ def refresh(store: Store, path: str, since: int = 0) -> int:
     before = {d for b in store.manifest(since).batches for d in b["dates"]} if since else set()
     changed = {d for b in now.batches for d in b["dates"] if b["gen"] > since} - {NO_DATE}
     gone = (before - live) - {NO_DATE}
-    if changed & live:
-        rows = store._read(now, lambda r: r, lambda d: d in changed)
-        for name, made in (("series", rollup(rows)), ("hosts", host_rollup(rows))):
+    rows = store._read(now, lambda r: r, lambda d: d in changed)
+    for name, made, counted in (("series", rollup(rows), rows.where("value is not null")), ("hosts", host_rollup(rows), rows)):
+        held = {str(r[0]) for r in counted.select(F.to_date("ts")).distinct().collect()} if changed & live else set()  # a row a day
+        if held:
             out = made.repartition("date").sortWithinPartitions("date", *(c for c in SERIES if c in made.columns))
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/{name}")
-    if gone or changed:
-        left = _days(spark, path)
-        empty = {d for d in left if d in gone | changed and (d not in live or not store._read(now, lambda r: r, lambda x: x == d).limit(1).count())}
-        for day in empty:
-            for name in ("series", "hosts"):
-                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/date={day}")
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        for day in (gone | changed) - held:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/date={day}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return now.version
 
 
-def _days(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/series")
+def _days(spark: SparkSession, path: str, name: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
     return [n[5:] for n in names if n.startswith("date=")]
@@ -72,9 +69,8 @@ def _days(spark: SparkSession, path: str) -> list[str]:
 
 def read_rollups(spark: SparkSession, path: str, first: datetime.date | None = None, last: datetime.date | None = None, name: str = "series") -> DataFrame:
     """The rollups of the days from first to last (all, if none is named); folders of other days aren't read."""
-    rows = spark.read.schema(f"{ROLLUP if name == 'series' else HOSTS}, date date").parquet(f"{path}/{name}") if _days(spark, path) else spark.createDataFrame(
-        [], f"{ROLLUP if name == 'series' else HOSTS}, date date"
-    )
+    schema = f"{ROLLUP if name == 'series' else HOSTS}, date date"
+    rows = spark.read.schema(schema).parquet(f"{path}/{name}") if _days(spark, path, name) else spark.createDataFrame([], schema)
     rows = rows if first is None else rows.where(F.col("date") >= F.lit(first))
     return rows if last is None else rows.where(F.col("date") <= F.lit(last))
 

@@ -57,6 +57,10 @@ def test_ranges_by_rollups(spark, tmp_path):
     assert R.refresh(store, path, version) > version
     near(stats(R.merged_stats(R.read_rollups(spark, path))), exact(store.read()))
     after = {f for f in R.read_rollups(spark, path).inputFiles()}
+    store.upsert(store.read(start=at(72), end=at(95)).withColumns({"value": F.lit(None).cast("double"), "seq": F.col("seq") + 10**7}))
+    R.refresh(store, path, store.versions()[-1] - 1)  # a day with rows, but without a value
+    near(stats(R.merged_stats(R.read_rollups(spark, path))), exact(store.read().where("value is not null")))
+    assert "2024-05-04" in {str(r.date) for r in R.read_rollups(spark, path, name="hosts").select("date").distinct().collect()}
     kept = {f for f in before if "date=2024-05-02" in f or "date=2024-05-04" in f or "date=2024-05-06" in f}
     assert kept and kept <= after and not any("date=2024-05-01" in f or "date=2024-05-03" in f for f in after)
 
