@@ -14,6 +14,7 @@ from gaugework.plans.storage import payloads, sent
 from gaugework.registry import query
 from gaugework.session import work_dir
 from gaugework.sources import kafka
+from gaugework.sources import messages as M
 from gaugework.sources import samples as stored
 from gaugework.streaming import queries as Q
 from gaugework.streaming import stateful as T
@@ -164,3 +165,18 @@ def kafka_messages(spark, sf_dir):
     return kafka.decode_messages(rows).drop("tags")
 
 
+
+
+@query("WITH {S} SELECT host_id, metric, date_trunc('second', ts)::TIMESTAMP AS ts, value, CASE seq % 4 WHEN 0 THEN 'u' WHEN 1 THEN '%' ELSE '' END AS unit FROM s WHERE seq % 4 <> 3")
+def message_log(spark, sf_dir):
+    """Envelopes published to a topic in two batches, by host, and read by a stream that is stopped and started between them."""
+    path, out = work_dir(spark, "topics"), work_dir(spark, "stream")
+    given = payloads(spark, sf_dir).select(
+        F.coalesce(F.get_json_object("payload", "$.host_id"), F.get_json_object("payload", "$.hostId")).alias("key"), F.col("payload").alias("value"), "seq"
+    )
+    M.create_topic(spark, path, "metrics", 8)
+    for part in (0, 1):
+        M.publish(given.where(F.floor(F.col("seq") / 100) % 2 == part), path, "metrics", "events", part)
+        rows = kafka.decode_messages(M.stream_messages(spark, path, "metrics", "earliest")).drop("tags", "seq")
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
