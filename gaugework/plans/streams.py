@@ -148,6 +148,19 @@ def stream_anomaly(spark, sf_dir):
     return rounded(spark.read.parquet(out).select("host_id", "metric", "n", "last", "score"), "score")
 
 
+@query(
+    """WITH {S}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY host_id, metric ORDER BY ts DESC, seq DESC) <= 100),
+    a AS (SELECT host_id, metric, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, max(ts) AS ts, arg_max(value, (ts, seq)) AS last FROM t GROUP BY ALL HAVING count(*) >= 10)
+    SELECT host_id, metric, ts, n, last, round(abs(last - mean) / sd, 6) AS score FROM a WHERE sd > 0 AND abs(last - mean) / sd > 2
+    AND (host_id, metric) IN (SELECT (host_id, metric) FROM s WHERE seq % 2 = 1)"""
+)
+def stream_anomalies(spark, sf_dir):
+    """Odd samples as a stream, even ones as the history that its state starts from."""
+    new = samples_of(events_stream(spark, sf_dir)).where("seq % 2 = 1")
+    found = T.stream_anomalies(new, 100, 2.0, history=samples(spark, sf_dir).where("seq % 2 = 0"))
+    return rounded(finished(found).select("host_id", "metric", "ts", "n", "last", "score"), "score")
+
+
 @query("SELECT CASE WHEN event_type = 'error' THEN 'alerts' ELSE 'metrics' END AS topic, event_id, user_id, event_type, ts, value, props FROM events")
 def route_topics(spark, sf_dir):
     out = work_dir(spark, "topics")

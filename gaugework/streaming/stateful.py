@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gaugework.functions.columns import hour_of
+from gaugework.model import SERIES
+from gaugework.operators.filters import keep_last_n
 from gaugework.streaming.queries import DELAY, event_time
 
 
@@ -127,24 +129,26 @@ class Sustained(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start, fired = self.run.get() if self.run.exists() else (None, False)
-        out = []
-        for r in _sorted(rows).itertuples():
-            t = _ms(r.ts)
-            if not r.breach:
-                if fired:
-                    out.append((t, "resolved"))
-                start, fired = None, False
-                continue
-            start = t if start is None else start
-            if not fired and t - start >= r.duration_s * 1000:
-                out.append((t, "firing"))
-                fired = True
-        if start is None:
-            self.run.clear()
+        own = _sorted(rows)
+        if own.empty:
+            return
+        t, breach = own["ts"].to_numpy("datetime64[ms]").astype(np.int64), own["breach"].eq(True).to_numpy(bool)
+        run = np.cumsum(~breach)  # a sample that doesn't breach ends a run; the run before the first is the one carried over
+        opens = breach & ~np.append(start is not None, breach[:-1])
+        at = np.maximum.accumulate(np.where(opens, np.arange(len(t)), -1))
+        since = np.where(at >= 0, t[at], 0 if start is None else start)
+        due = np.flatnonzero(breach & (t - since >= own["duration_s"].to_numpy(np.int64) * 1000))
+        runs, first = np.unique(run[due], return_index=True)
+        new = ~((runs == 0) & fired)
+        firing, fires = due[first[new]], np.append(runs, 0) if fired else runs
+        resolved = np.flatnonzero(~breach & np.isin(run - 1, fires))
+        out = sorted([(int(t[k]), int(k), "firing") for k in firing] + [(int(t[k]), int(k), "resolved") for k in resolved])
+        if breach[-1]:
+            self.run.update((int(since[-1]), bool(np.isin(run[-1], fires))))
         else:
-            self.run.update((start, fired))
+            self.run.clear()
         n = len(out)
-        yield from _frame(host_id=[key[0]] * n, rule_id=[key[1]] * n, ts=pd.to_datetime([x for x, _ in out], unit="ms"), status=[s for _, s in out])
+        yield from _frame(host_id=[key[0]] * n, rule_id=[key[1]] * n, ts=pd.to_datetime([x for x, *_ in out], unit="ms"), status=[s for *_, s in out])
 
     def close(self) -> None:
         pass
@@ -303,3 +307,58 @@ def stream_sliding_stats(samples: DataFrame, size: int, max_age_s: int, adaptive
     rows = event_time(samples, delay).select("host_id", "metric", "ts", "seq", "value")
     schema = "host_id string, metric string, ts timestamp, count long, sum double, avg double, min double, max double, std_dev double, size long"
     return rows.groupBy("host_id", "metric").transformWithStateInPandas(Sliding(size, max_age_s, adaptive), schema, "Append", "EventTime")
+
+
+class Tail(StatefulProcessor):
+    """The last points of a series by time and arrival, and whether the newest of them stands out after a batch."""
+
+    def __init__(self, points: int, threshold: float, least: int):
+        self.points, self.threshold, self.least = points, threshold, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getListState("tail", "us long, seq long, v double")
+
+    def _with(self, held: np.ndarray, rows: Iterator[pd.DataFrame]) -> np.ndarray:
+        """The last points of those held and new, frame by frame, so that no more than a frame is added at a time."""
+        for own in rows:
+            new = np.empty(len(own), held.dtype)
+            new["us"], new["seq"], new["v"] = own["ts"].to_numpy("datetime64[us]").astype(np.int64), own["seq"], own["value"]
+            held = np.sort(np.concatenate([held, new]), order=["us", "seq"])[-self.points :]
+        return held
+
+    def _held(self) -> np.ndarray:
+        kind = [("us", np.int64), ("seq", np.int64), ("v", np.float64)]
+        return np.array([tuple(p) for p in self.tail.get()] if self.tail.exists() else [], kind)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.tail.put(self._with(self._held(), iter([initialState])).tolist())
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self._with(self._held(), rows)
+        self.tail.put(held.tolist())
+        mean, spread, last = held["v"].mean(), held["v"].std(), held["v"][-1]
+        score = abs(last - mean) / spread if spread > 0 else 0.0
+        if len(held) >= self.least and score > self.threshold:
+            yield from _frame(
+                host_id=[key[0]], metric=[key[1]], ts=[pd.Timestamp(int(held["us"][-1]), unit="us")], n=[len(held)], mean=[mean], stddev=[spread],
+                last=[last], score=[score]
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def stream_anomalies(
+    samples: DataFrame, points: int = 100, threshold: float = 3.0, least: int = 10, history: DataFrame | None = None, delay: str = DELAY
+) -> DataFrame:
+    """After each batch the series that it has rows of and whose newest point stands out among their last ``points``, as
+    anomaly() has it. State is kept by series (a batch touches its own series alone) and starts from ``history``, if it is given.
+    Samples without a value don't count; rows behind the watermark are dropped."""
+    columns = ("host_id", "metric", "ts", "seq", "value")
+    rows = event_time(samples, delay).select(*columns).where("value is not null")
+    first = None
+    if history is not None:
+        last = keep_last_n(history.where("value is not null").select(*columns), points, SERIES)
+        first = last.select(*columns).withColumn("ts", F.col("ts").cast("timestamp")).groupBy(*SERIES)
+    schema = "host_id string, metric string, ts timestamp, n long, mean double, stddev double, last double, score double"
+    return rows.groupBy(*SERIES).transformWithStateInPandas(Tail(points, threshold, least), schema, "Append", "EventTime", first)

@@ -158,3 +158,62 @@ def test_dedup(spark, parts):
     got = finished(Q.stream_dedup_alerts(alerts))
     want = L.dedup_alerts(parts[1].where("value > 20"))
     assert got.count() == want.count()
+
+
+def test_anomalies_after_each_batch_and_a_restart(spark, parts, tmp_path):
+    """The last word on each series, over four batches in two runs, against all rows at once; with and without a history."""
+    folder, rows = parts
+    old = spark.read.schema(rows.schema).parquet(f"{folder}/0")
+    seqs = lambda df: {r.seq for r in df.select("seq").collect()}
+    for history, given in ((None, "0123"), (old, "123")):
+        out = f"{tmp_path}/{len(given)}"
+        for k in given[:2], given:
+            read = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/[{k}]")
+            found = T.stream_anomalies(read, 12, 1.5, 5, history, "400 days")
+            found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+        got = {(r.host_id, r.metric, r.ts, round(r["last"], 6), r.n, round(r.score, 6)) for r in spark.read.parquet(out).collect()}
+        want, seen = set(), old if history is not None else old.limit(0)
+        for k in given:
+            new = spark.read.schema(rows.schema).parquet(f"{folder}/{k}")
+            seen = seen.unionByName(new)
+            own, series = {}, {(r.host_id, r.metric) for r in new.collect()}
+            for r in seen.collect():
+                own.setdefault((r.host_id, r.metric), []).append((r.ts, r.seq, r.value))
+            for key in series:
+                last = sorted(own[key])[-12:]
+                v = np.array([x for *_, x in last])
+                z = abs(v[-1] - v.mean()) / v.std() if v.std() > 0 else 0
+                if len(v) >= 5 and z > 1.5:
+                    want.add((*key, last[-1][0], round(v[-1], 6), len(v), round(z, 6)))
+        assert got == want and want and seqs(seen) == seqs(rows)
+
+
+def test_sustained_plain():
+    """Runs over several batches against a plain loop, equal times and null breaches included."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        own, state = T.Sustained(), {}
+        own.run = type(
+            "State", (), {"exists": lambda _: "x" in state, "get": lambda _: state["x"], "update": lambda _, x: state.update(x=x), "clear": lambda _: state.pop("x", None)}
+        )()
+        start, fired, clock = None, False, 0
+        for _ in range(4):
+            n = int(rng.integers(0, 12))
+            t = clock + np.cumsum(rng.integers(0, 4, n))
+            clock = int(t[-1]) if n else clock
+            breach = [None if x < 0.05 else bool(x < 0.75) for x in rng.random(n)]
+            want = []
+            for s, b in zip(t.tolist(), breach):
+                if not b:
+                    if fired:
+                        want.append((s, "resolved"))
+                    start, fired = None, False
+                    continue
+                start = s if start is None else start
+                if not fired and s - start >= 5:
+                    want.append((s, "firing"))
+                    fired = True
+            rows = pd.DataFrame({"ts": pd.to_datetime(t, unit="s"), "seq": range(n), "breach": pd.Series(breach, dtype=object), "duration_s": [5] * n})
+            got = [(int(r.ts.timestamp()), r.status) for f in own.handleInputRows(("h", "r"), iter([rows] if n else []), None) for r in f.itertuples()]
+            assert got == want
+            assert state.get("x") == (None if start is None else (start * 1000, fired))
