@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from gaugework.model import hosts, messages, samples, table
 from gaugework.plans.filters import CANON, HOSTS, raw_names
 from gaugework.plans.series import END, START, bounds
 from gaugework.registry import query
-from gaugework.session import work_dir
+from gaugework.session import qualified, work_dir
+from gaugework.sources import collectors as C
 from gaugework.sources import envelopes as E
 from gaugework.sources import hosts as J
 from gaugework.sources import kafka, procfs
@@ -26,8 +33,6 @@ def read_samples(spark, sf_dir):
 
 
 def bounds_text():
-    import datetime
-
     return tuple(datetime.datetime.fromisoformat(t) for t in (START, END))
 
 
@@ -225,3 +230,42 @@ def hosts_json(spark, sf_dir):
 def registered_source(spark, sf_dir):
     J.register_source("events", lambda session: samples(session, sf_dir))
     return J.read_source(spark, "events")
+
+
+class EventsCollector(C.Collector):
+    """The events of a Parquet table as samples: a part is a row group whose times can match, by the file's own statistics."""
+
+    name = "gaugework_events"
+
+    def parts(self, wanted):
+        fs, root = pafs.FileSystem.from_uri(self.options["path"])
+        top = fs.get_file_info(root)
+        files = [root] if top.is_file else sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet"))
+        found = []
+        for path in files:
+            with fs.open_input_file(path) as f:
+                meta = pq.ParquetFile(f).metadata
+            at = meta.schema.names.index("ts")
+            for g in range(meta.num_row_groups):
+                s = meta.row_group(g).column(at).statistics
+                first, last = (s.min, s.max) if s is not None and s.has_min_max else (None, None)
+                if wanted.may_hold(*(t if t is None else t.replace(tzinfo=None) for t in (first, last))):
+                    found.append((path, g))
+        return found
+
+    def read(self, part, wanted):
+        fs, _ = pafs.FileSystem.from_uri(self.options["path"])
+        with fs.open_input_file(part[0]) as f:
+            for rows in pq.ParquetFile(f).iter_batches(row_groups=[part[1]], columns=["event_id", "user_id", "event_type", "ts", "value"]):
+                host = pc.binary_join_element_wise("host-", pc.cast(rows.column("user_id"), pa.string()), "")
+                yield pa.RecordBatch.from_pydict({
+                    "host_id": host, "metric": rows.column("event_type"), "ts": rows.column("ts"), "value": rows.column("value"),
+                    "unit": pa.repeat("", rows.num_rows), "seq": rows.column("event_id")
+                })
+
+
+@query(f"WITH {{S}} SELECT {ALL} FROM s WHERE metric IN ('click', 'error') AND ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'")
+def registered_collector(spark, sf_dir):
+    C.register_collector(spark, EventsCollector)
+    rows = C.collected(spark, EventsCollector.name, path=qualified(spark, f"{sf_dir}/events.parquet"))
+    return rows.where(F.col("metric").isin("click", "error") & F.col("ts").between(*(F.lit(t).cast("timestamp_ntz") for t in bounds_text())))
