@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.columns import alert_key, alert_message, threshold_predicate
+from gaugework.operators.segments import SPLIT, carried, long_series, over_series, parted, with_rank
 from gaugework.operators.windows import latest
 
 #: Rule id, metric, condition, threshold, severity.
@@ -42,20 +43,33 @@ def evaluate_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def sustained_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Runs of breaching samples of a series and rule that last at least the rule's duration: start, end, whether they ended."""
-    w = Window.partitionBy("host_id", "rule_id").orderBy("ts", "seq")
-    rows = matched(samples, rules).withColumn("island", F.count_if(~F.col("breach")).over(w))
-    runs = rows.groupBy("host_id", "metric", "rule_id", "duration_s", "island").agg(
-        F.min(F.when(
-            F.col("breach"), F.col("ts")
-        )).alias("start_ts"), F.max(F.when(F.col("breach"), F.col("ts"))).alias("end_ts"), F.count_if("breach").alias("n")
+def sustained_alerts(samples: DataFrame, rules: DataFrame, split: int | None = SPLIT) -> DataFrame:
+    """Runs of breaching samples of a series and rule that last at least the rule's duration: start, end, whether they ended.
+
+    A run's rows have the same last calm row before them, and so has the calm row that ends it: one group a run. Series of over
+    ``split`` rows are gone through in blocks. Rows of equal time and arrival are in any order.
+    """
+    keys, rows = ("host_id", "rule_id"), matched(samples, rules)
+    long = long_series(rows, keys, split)
+    if long is None:
+        rows = _runs(rows, keys, None)
+    else:
+        rest, big = parted(rows, keys, long)
+        rows = _runs(rest, keys, None).unionByName(_runs(big, keys, split))
+    at = F.when(F.col("breach"), F.col("ts"))
+    runs = rows.groupBy("host_id", "metric", "rule_id", "duration_s", "_upto").agg(
+        F.min(at).alias("start_ts"), F.max(at).alias("end_ts"), F.count_if("breach").alias("n"), (F.count_if(~F.col("breach")) > 0).alias("resolved")
     ).where("n > 0")
-    last = rows.groupBy("host_id", "rule_id").agg(F.max("island").alias("last_island"))
     long_enough = F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp")) >= F.col("duration_s") * 1_000_000
-    return runs.where(long_enough).join(last, ["host_id", "rule_id"]).select(
-        "host_id", "metric", "rule_id", "start_ts", "end_ts", "n", (F.col("island") < F.col("last_island")).alias("resolved")
-    )
+    return runs.where(long_enough).select("host_id", "metric", "rule_id", "start_ts", "end_ts", "n", "resolved")
+
+
+def _runs(rows: DataFrame, keys: tuple[str, ...], split: int | None) -> DataFrame:
+    """With _upto: the place of the last calm row before each row."""
+    rows = with_rank(rows, keys, split).withColumnRenamed("_rank", "_place")
+    calm = F.when(~F.col("breach"), F.col("_place"))
+    rows = over_series(rows, keys, 1, split, lambda r, w: r.withColumn("_calm", F.lag(calm).over(w)), ("_place",))
+    return carried(rows, keys, split, "_calm", F.max, ("_place",))
 
 
 def dedup_alerts(alerts: DataFrame) -> DataFrame:

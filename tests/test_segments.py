@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework.operators import aggregates as A
+from gaugework.operators import alerts as L
 from gaugework.operators import capacity as P
 from gaugework.operators import chunks as C
 from gaugework.operators import segments as G
@@ -95,3 +96,26 @@ def test_decisions_by_doubling(spark, most):
     assert sorted(map(tuple, alone.collect())) == sorted(w[1:] for w in want if w[0] == "a")
     assert P.scaling_decisions(df, 0, ("fleet",)).where("action <> 'none'").count() == df.where("action <> 'none'").count()
     assert P.scaling_decisions(df.where("false"), 60, ("fleet",), most).count() == 0
+
+
+@pytest.mark.parametrize("split", [7, 50, None])
+def test_sustained_runs_over_blocks(spark, samples, split):
+    """Runs against a plain loop: over block ends, at the start and the end of a series, of one series in one block and many."""
+    rules = spark.createDataFrame([("r", "m", ">", 4.0, "warning", 120, True), ("s", "m", "<", 20.0, "warning", 0, True), ("all", "m", ">=", 0.0, "info", 60, True)], L.RULES)
+    rows = {}
+    for r in samples.collect():
+        rows.setdefault(r.host_id, []).append((r.ts, r.seq, r.value))
+    want = []
+    for host, own in rows.items():
+        for rule, least, test in (("r", 120, lambda v: v > 4), ("s", 0, lambda v: v < 20), ("all", 60, lambda v: v >= 0)):
+            run = []
+            for t, _, v in [*sorted(own), (None, None, None)]:
+                hit = v is not None and test(v)
+                if hit:
+                    run.append(t)
+                    continue
+                if run and (run[-1] - run[0]).total_seconds() >= least:
+                    want.append((str(host), rule, str(run[0]), str(run[-1]), len(run), t is not None))
+                run = []
+    got = [(str(r.host_id), r.rule_id, str(r.start_ts), str(r.end_ts), r.n, r.resolved) for r in L.sustained_alerts(samples, rules, split).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
