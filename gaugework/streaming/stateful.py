@@ -5,7 +5,10 @@ Rows of one key in a batch come in any order, so each processor sorts them by ti
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import heapq
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -163,7 +166,11 @@ def stream_sustained_alerts(breaches: DataFrame, delay: str = DELAY) -> DataFram
 
 
 class TopK(StatefulProcessor):
-    """The top of a metric among a bucket of its hosts after every batch, and hosts whose last sample has expired: update and expire rows."""
+    """The top of a metric among a bucket of its hosts after every batch, and hosts whose last sample has expired: update and expire rows.
+
+    Beside all hosts' last samples the best k to 2k hosts are kept, all those up to some floor. A batch changes these alone; all
+    hosts are gone through only when fewer than k are left of them, or when one may have expired.
+    """
 
     def __init__(self, k: int, ttl_s: int):
         self.k, self.ttl_ms = k, ttl_s * 1000
@@ -171,45 +178,80 @@ class TopK(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.hosts = handle.getMapState("hosts", "host_id string", "ts long, value double")
-        self.turn = handle.getValueState("turn", "n long, timer long")
+        self.best = handle.getListState("best", "value double, host_id string, ts long")  # by falling value
+        self.turn = handle.getValueState("turn", "n long, timer long, complete boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        turn, timer = self.turn.get() if self.turn.exists() else (0, None)
+        turn, timer, complete = self.turn.get() if self.turn.exists() else (0, None, True)
+        best = [(-v, h, t) for v, h, t in self.best.get()] if self.best.exists() else []
+        oldest = None
         for own in rows:  # frame by frame: of each host its last sample
             own = own.sort_values(["ts", "seq"]).drop_duplicates("host_id", keep="last")
             for host, t, value in zip(own["host_id"], map(_ms, own["ts"]), own["value"]):
-                if not self.hosts.containsKey((host,)) or self.hosts.getValue((host,))[0] <= t:
-                    self.hosts.updateValue((host,), (t, float(value)))
-        self._wake(turn + 1, timer)
-        yield from self._top(key, turn + 1)
-
-    def _wake(self, turn: int, timer: int | None) -> None:
-        """One timer a bucket: for the host that expires first."""
-        first = min((v[0] for _, v in self.hosts.iterator()), default=None)
-        due = None if first is None else first + self.ttl_ms
+                had = self.hosts.getValue((host,)) if self.hosts.containsKey((host,)) else None
+                if had is not None and had[0] > t:
+                    continue
+                self.hosts.updateValue((host,), (t, float(value)))
+                oldest = t if oldest is None else min(oldest, t)
+                if had is not None:
+                    k = bisect.bisect_left(best, (-had[1], host, had[0]))
+                    if k < len(best) and best[k][1] == host:
+                        del best[k]
+                if complete or best and (-float(value), host, t) < best[-1]:
+                    bisect.insort(best, (-float(value), host, t))
+                    if len(best) > 2 * self.k:
+                        best.pop()
+                        complete = False
+        if len(best) < self.k and not complete:
+            best, complete, _ = self._walked()
+        self._wait(timer, oldest if timer is None or oldest is None else min(oldest, timer - self.ttl_ms), turn + 1, complete)
+        yield from self._top(key, turn + 1, best)
+
+    def _walked(self) -> tuple[list[tuple[float, str, int]], bool, int | None]:
+        """The best 2k of all hosts, whether there are no others, and the oldest time."""
+        oldest, count = None, 0
+
+        def each():
+            nonlocal oldest, count
+            for h, (t, v) in self.hosts.iterator():
+                oldest, count = t if oldest is None else min(oldest, t), count + 1
+                yield -v, h[0], t
+
+        best = heapq.nsmallest(2 * self.k, each())
+        return best, count <= 2 * self.k, oldest
+
+    def _wait(self, timer: int | None, oldest: int | None, turn: int, complete: bool) -> None:
+        """One timer a bucket, not after the first expiry: hosts may have had samples since, then it is moved when it comes."""
+        due = timer if oldest is None else oldest + self.ttl_ms
         if due != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
-        self.turn.update((turn, due))
+        self.turn.update((turn, due, complete))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         gone = [(h[0], v) for h, v in self.hosts.iterator() if v[0] + self.ttl_ms <= now]
         for host, _ in gone:
             self.hosts.removeKey((host,))
-        turn, _ = self.turn.get()
-        self._wake(turn + 1, None)
-        n = len(gone)
-        yield from _frame(
-            metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn + 1] * n, kind=["expire"] * n, host_id=[h for h, _ in gone],
-            ts=[_time(v[0]) for _, v in gone], value=[v[1] for _, v in gone]
-        )
-        yield from self._top(key, turn + 1)
+        turn, *_ = self.turn.get()
+        best, complete, oldest = self._walked()
+        self._wait(None, oldest, turn + 1 if gone else turn, complete)
+        if gone:
+            n = len(gone)
+            yield from _frame(
+                metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn + 1] * n, kind=["expire"] * n, host_id=[h for h, _ in gone],
+                ts=[_time(v[0]) for _, v in gone], value=[v[1] for _, v in gone]
+            )
+            yield from self._top(key, turn + 1, best)
 
-    def _top(self, key, turn: int) -> Iterator[pd.DataFrame]:
-        best = sorted((-v[1], h[0], v[0]) for h, v in self.hosts.iterator())[: self.k]
+    def _top(self, key, turn: int, best: list[tuple[float, str, int]]) -> Iterator[pd.DataFrame]:
+        if best:
+            self.best.put([(-v, h, t) for v, h, t in best])
+        else:
+            self.best.clear()
+        best = best[: self.k]
         n = len(best)
         yield from _frame(
             metric=[key[0]] * n, bucket=[key[1]] * n, turn=[turn] * n, kind=["update"] * n, host_id=[h for _, h, _ in best],
@@ -222,8 +264,9 @@ class TopK(StatefulProcessor):
 
 def stream_topk(samples: DataFrame, k: int = 10, ttl_s: int = 3600, delay: str = DELAY, buckets: int = 64) -> DataFrame:
     """metric, bucket, turn, kind (update or expire), host_id, ts, value. State is kept by metric and bucket of hosts, so that a
-    metric of many hosts is many tasks' work; merged_tops() makes a metric's top of its buckets'."""
+    metric of many hosts is many tasks' work; merged_tops() makes a metric's top of its buckets'. Samples without a number don't count."""
     rows = event_time(samples, delay).select("metric", F.pmod(F.xxhash64("host_id"), F.lit(buckets)).alias("bucket"), "host_id", "ts", "seq", "value")
+    rows = rows.where("value is not null and not isnan(value)")
     schema = "metric string, bucket long, turn long, kind string, host_id string, ts timestamp, value double"
     return rows.groupBy("metric", "bucket").transformWithStateInPandas(TopK(k, ttl_s), schema, "Append", "EventTime")
 
@@ -318,8 +361,8 @@ class Tail(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getListState("tail", "us long, seq long, v double")
 
-    def _with(self, held: np.ndarray, rows: Iterator[pd.DataFrame]) -> np.ndarray:
-        """The last points of those held and new, frame by frame, so that no more than a frame is added at a time."""
+    def _with(self, held: np.ndarray, rows: Iterable[pd.DataFrame]) -> np.ndarray:
+        """The last points of those held and new, cut to the number kept after each frame."""
         for own in rows:
             new = np.empty(len(own), held.dtype)
             new["us"], new["seq"], new["v"] = own["ts"].to_numpy("datetime64[us]").astype(np.int64), own["seq"], own["value"]
@@ -331,10 +374,13 @@ class Tail(StatefulProcessor):
         return np.array([tuple(p) for p in self.tail.get()] if self.tail.exists() else [], kind)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.tail.put(self._with(self._held(), iter([initialState])).tolist())
+        self.tail.put(self._with(self._held(), [initialState]).tolist())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._with(self._held(), rows)
+        first = next(rows, None)
+        if first is None or first.empty:  # a key of the initial state alone
+            return
+        held = self._with(self._held(), itertools.chain([first], rows))
         self.tail.put(held.tolist())
         mean, spread, last = held["v"].mean(), held["v"].std(), held["v"][-1]
         score = abs(last - mean) / spread if spread > 0 else 0.0

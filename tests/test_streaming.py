@@ -217,3 +217,68 @@ def test_sustained_plain():
             got = [(int(r.ts.timestamp()), r.status) for f in own.handleInputRows(("h", "r"), iter([rows] if n else []), None) for r in f.itertuples()]
             assert got == want
             assert state.get("x") == (None if start is None else (start * 1000, fired))
+
+
+def test_topk_plain():
+    """Tops and expiries of one bucket over many batches against all hosts sorted anew; how often all hosts are gone through."""
+    rng = np.random.default_rng(9)
+
+    class Map(dict):
+        containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.pop
+        iterator = dict.items
+        updateValue = dict.__setitem__
+
+    class Kept:
+        def __init__(self):
+            self.x = None
+
+        exists, get = lambda self: self.x is not None, lambda self: self.x
+
+        def put(self, x):
+            self.x = x
+
+        def clear(self):
+            self.x = None
+
+        update = put
+
+    for ttl, hosts, spread in ((50, 40, 1), (10**6, 40, 1), (30, 6, 4), (200, 300, 0)):
+        own, timers, walks = T.TopK(4, ttl), [], 0
+        own.hosts, own.best, own.turn = Map(), Kept(), Kept()
+        own.handle = type("Handle", (), {"registerTimer": lambda _, t: timers.append(t), "deleteTimer": lambda _, t: timers.remove(t)})()
+        walked = own._walked
+
+        def counted():
+            nonlocal walks
+            walks += 1
+            return walked()
+
+        own._walked = counted
+        clock, last, top = 0, {}, []
+        for batch in range(80):
+            n = int(rng.integers(1, 9))
+            t = np.maximum(clock + rng.integers(-3, 6, n), 0)
+            rows = pd.DataFrame({
+                "ts": pd.to_datetime(t, unit="s"), "seq": range(n), "host_id": [f"h{x}" for x in rng.integers(0, hosts, n)],
+                "value": rng.integers(0, 10, n) + spread * rng.random(n)
+            })
+            out = list(own.handleInputRows(("m", 0), iter([rows]), None))
+            for r in rows.sort_values(["ts", "seq"]).itertuples():
+                if r.host_id not in last or last[r.host_id][0] <= T._ms(r.ts):
+                    last[r.host_id] = (T._ms(r.ts), r.value)
+            ranks = lambda: [h for _, h in sorted((-v, h) for h, (_, v) in last.items())][:4]
+            assert [h for f in out for h in f["host_id"]] == ranks()
+            clock = max(clock, int(t.max()))
+            mark = (clock - 4) * 1000
+            while timers and min(timers) <= mark:
+                due = min(timers)
+                timers.remove(due)
+                info, mark_of = type("I", (), {"getExpiryTimeInMs": lambda _: due})(), type("V", (), {"getCurrentWatermarkInMs": lambda _: mark})()
+                got = [(r.kind, r.host_id) for f in own.handleExpiredTimer(("m", 0), mark_of, info) for r in f.itertuples()]
+                gone = {h for h, (s, _) in last.items() if s + ttl * 1000 <= mark}
+                assert {h for kind, h in got if kind == "expire"} == gone
+                for h in gone:
+                    del last[h]
+                assert [h for kind, h in got if kind == "update"] == (ranks() if gone else [])
+            assert all(s + ttl * 1000 > mark for s, _ in last.values()) and len(timers) == bool(last)
+        assert ttl < 10**6 or walks < 40
