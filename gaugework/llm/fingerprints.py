@@ -5,7 +5,8 @@ bit in which it differs from the one before, and that bit's value, until few lab
 from their neighbours; phrases begin at the largest labels. A phrase's name is a hash of its symbols, and names are the
 symbols of the next level. Where phrases begin depends on a few symbols around, so equal substrings have equal names
 inside, wherever they stand. The fingerprint has the smallest name of each of SLOTS classes among all names from level
-``first`` up; likeness is the share of classes that agree, an estimate of how many names two texts share.
+``first`` up, 32 bits of it, so that minima of long unrelated texts don't agree by chance; likeness is the share of
+classes that agree, an estimate of how many names two texts share.
 
 Edge cases: null and empty texts have no names, and a likeness of 1 to each other and 0 to others; the next document of
 a table's only row is itself; repeated rows and ties of doc_id stand in the order of their texts, null doc_ids first;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gaugework.llm.common import small_batches, texts, written
 
-SLOTS, EMPTY, PIECE = 64, 0xFFFF, 1 << 19
+SLOTS, EMPTY, PIECE = 64, 0xFFFFFFFF, 1 << 19
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 POWERS = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(64)], np.uint64)
 
@@ -74,8 +75,8 @@ def level_up(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(parts: list[str], first_level: int) -> np.ndarray:
-    """A row of SLOTS 16-bit values for each of these texts, none of them empty."""
-    out = np.full(len(parts) * SLOTS, EMPTY, np.uint16)
+    """A row of SLOTS 32-bit values for each of these texts, none of them empty."""
+    out = np.full(len(parts) * SLOTS, EMPTY, np.uint32)
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
     first = np.zeros(len(codes), bool)
     first[np.cumsum([0, *(len(p) for p in parts[:-1])])] = True
@@ -87,7 +88,7 @@ def _sketches(parts: list[str], first_level: int) -> np.ndarray:
         if level >= first_level:
             names = mixed(x ^ np.uint64(level))
             slot = np.repeat(owner, size) * SLOTS + (names >> np.uint64(58)).astype(np.int64)
-            np.minimum.at(out, slot, np.minimum((names & np.uint64(0xFFFF)).astype(np.uint16), EMPTY - 1))
+            np.minimum.at(out, slot, np.minimum(names.astype(np.uint32), EMPTY - 1))
             done = size == 1
             if done.all():
                 return out.reshape(-1, SLOTS)
@@ -96,7 +97,7 @@ def _sketches(parts: list[str], first_level: int) -> np.ndarray:
 
 
 def sketches(parts: list[str], first_level: int = 3) -> np.ndarray:
-    out = np.full((len(parts), SLOTS), EMPTY, np.uint16)
+    out = np.full((len(parts), SLOTS), EMPTY, np.uint32)
     todo = [i for i, p in enumerate(parts) if p]
     while todo:
         now, size = [], 0

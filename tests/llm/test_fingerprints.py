@@ -59,6 +59,12 @@ def test_equal_substrings_share_names_at_any_offset():
     assert fp.likeness(fp.sketches([a]), fp.sketches([b]))[0] < 0.1
 
 
+def test_long_unrelated_texts_are_unlike():
+    rng = np.random.default_rng(5)
+    a, b = ("".join(map(chr, rng.integers(97, 123, 3_000_000))) for _ in range(2))
+    assert fp.likeness(*fp.sketches([a, b])[:, None])[0] < 0.02
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -110,12 +116,12 @@ def plain_names(x):
 
 
 def plain_sketch(text, first_level=3):
-    out, x, level = [0xFFFF] * 64, [ord(c) for c in text], 0
+    out, x, level = [0xFFFFFFFF] * 64, [ord(c) for c in text], 0
     while text:
         x, level = plain_names(x), level + 1
         if level >= first_level:
             for name in (plain_mix(c ^ level) for c in x):
-                out[name >> 58] = min(out[name >> 58], name & 0xFFFF, 0xFFFE)
+                out[name >> 58] = min(out[name >> 58], name & 0xFFFFFFFF, 0xFFFFFFFE)
             if len(x) == 1:
                 break
     return out
@@ -128,6 +134,6 @@ def test_parsing_symbol_by_symbol():
     want = [plain_sketch(t) for t in texts]
     assert got.tolist() == want
     for a, b in itertools.combinations(range(0, len(texts), 3), 2):
-        some = [(x, y) for x, y in zip(want[a], want[b]) if (x, y) != (0xFFFF, 0xFFFF)]
+        some = [(x, y) for x, y in zip(want[a], want[b]) if (x, y) != (0xFFFFFFFF, 0xFFFFFFFF)]
         like = sum(x == y for x, y in some) / len(some) if some else 1.0
         assert abs(fp.likeness(got[[a]], got[[b]])[0] - like) < 1e-12
