@@ -1,7 +1,7 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 E-mail and IP addresses, card and phone numbers that pass their checks always stay. Others are added where their score
-reaches ``least``, which words nearby raise (what such data is called) or lower (what else such numbers are): bank account
+reaches ``least``, which words nearby raise (what such data is called) or lower (what else such numbers are), in four languages: bank account
 numbers of a registered length (mod 97), which need no word for it; those of other lengths, social security numbers,
 phone numbers without a country and 13-digit card numbers (Luhn), which do.
 
@@ -13,6 +13,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,23 +40,38 @@ IBAN_LENGTHS = {c: int(n) for c, n in re.findall(r"([A-Z]{2})([0-9]{2})", (
 ))}
 IBAN_OF = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-LOCAL_PHONE = re.compile(r"(?<![0-9+(.,-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})(?:[\x20./-]?[0-9]{2,4}){2,4}(?![0-9]|[.,][0-9])")
+LOCAL_PHONE = re.compile(r"(?<![A-Za-z0-9+(.,-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})(?:[\x20./-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9]|[.,][0-9])")
 SHORT_CARD = re.compile(r"(?<![0-9-])[0-9]{4}([\x20-]?)[0-9]{3}\1[0-9]{3}\1[0-9]{3}(?![0-9]|[\x20-][0-9])")
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "account": 0.4, "ssn": 0.4, "local_phone": 0.4, "short_card": 0.4}
+#: What such data is called, in English, German, French and Spanish.
+PHONE_WORDS = (
+    "phone telephone call tel mobile fax telefon telefonnummer rufnummer anruf anrufen handy mobil mobilnummer tél téléphone téléphoner "
+    "appeler appelez télécopie teléfono telefono llamar llame llamada móvil celular"
+)
+CARD_WORDS = "card visa credit payment mastercard karte kreditkarte kartennummer zahlung carte bancaire crédit paiement tarjeta crédito pago"
+BANK_WORDS = (
+    "iban account bank transfer konto kontonummer bankverbindung überweisung überweisen compte banque bancaire virement rib cuenta banco "
+    "bancaria transferencia"
+)
+PERSON_WORDS = (
+    "ssn social security insurance sozialversicherung sozialversicherungsnummer versicherungsnummer sécurité sociale assurance seguridad "
+    "seguro nss"
+)
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "address", "server", "host"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "transfer"),
-    "account": ("iban", "account", "bank", "transfer"),
-    "ssn": ("ssn", "social", "security", "insurance"),
-    "local_phone": ("phone", "call", "tel", "mobile", "fax"),
-    "short_card": ("card", "visa", "credit", "payment"),
+    kind: frozenset(words.split())
+    for kind, words in {
+        "email": "mail email contact write kontakt schreiben adresse courriel écrire écrivez contactez correo escribir escriba contacto",
+        "ip": "ip address server host adresse rechner serveur hôte dirección servidor",
+        "card": CARD_WORDS, "phone": PHONE_WORDS, "iban": BANK_WORDS, "account": BANK_WORDS, "ssn": PERSON_WORDS,
+        "local_phone": PHONE_WORDS, "short_card": CARD_WORDS
+    }.items()
 }
-#: Words that speak against personal data: each takes away twice what a word of the context gives.
-AGAINST = ("example", "sample", "isbn", "order", "invoice", "tracking", "serial", "version")
-
+#: Words that speak against personal data, in the same languages: each takes away twice what a word of the context gives.
+AGAINST = frozenset((
+    "example sample isbn order invoice tracking serial version beispiel muster bestellung bestellnummer rechnung rechnungsnummer sendung "
+    "sendungsnummer seriennummer exemple échantillon commande facture suivi série ejemplo muestra pedido factura seguimiento serie versión"
+).split())
+WORD = re.compile(r"[^\W\d_]+")
 
 def luhn(digits: str) -> bool:
     twice = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -113,11 +129,21 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def score(text: str, span: Span, reach: int = 40) -> float:
+def context(text: str, span: Span, reach: int = 40) -> float:
+    """What whole words within ``reach`` characters, those of the span left out, add to its score."""
     kind, start, end = span
-    near = (text[max(0, start - reach) : start] + " " + text[end : end + reach]).lower()
-    words = set(re.findall(r"[a-z]+", near))
-    return max(0.0, min(1.0, SCORES[kind] + 0.1 * sum(w in words for w in CONTEXT[kind]) - 0.2 * sum(w in words for w in AGAINST)))
+    before, after = max(0, start - reach), min(len(text), end + reach)
+    while before and start - before < 2 * reach and text[before - 1].isalpha() and text[before].isalpha():
+        before -= 1  # a word is taken whole
+    while after < len(text) and after - end < 2 * reach and text[after - 1].isalpha() and text[after].isalpha():
+        after += 1
+    near = unicodedata.normalize("NFC", text[before:start] + " " + text[end:after]).lower()
+    words = set(WORD.findall(near))
+    return 0.1 * len(words & CONTEXT[kind]) - 0.2 * len(words & AGAINST)
+
+
+def score(text: str, span: Span, reach: int = 40) -> float:
+    return max(0.0, min(1.0, SCORES[span[0]] + context(text, span, reach)))
 
 
 def more_spans(text: str, base: list[Span], least: float) -> list[Span]:
@@ -137,10 +163,11 @@ def more_spans(text: str, base: list[Span], least: float) -> list[Span]:
 
 
 def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (of the spans, in their order)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (of the spans, in their order), moved: what words
+    nearby added to each of these or took away."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"]
-    types = [pa.int64()] * 5 + [pa.string()] * 3
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "moved"]
+    types = [pa.int64()] * 5 + [pa.string()] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,10 +177,12 @@ def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 spans = base + more_spans(text, base, least)
                 count = [sum(k == kind for k, *_ in base) for kind in KINDS[:4]]
                 scores = ",".join(f"{score(text, s):.2f}" for s in in_order(spans, KINDS))
-                out.append((doc_id, *count, sha256(joined(base, KINDS)), joined(spans, KINDS), scores))
+                moved = ",".join(f"{context(text, s):+.1f}" for s in in_order(spans, KINDS))
+                out.append((doc_id, *count, sha256(joined(base, KINDS)), joined(spans, KINDS), scores, moved))
             columns = zip(*out, strict=True) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
     return texts(docs, "doc_id").mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
+        run,
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, moved string"
     )

@@ -139,6 +139,36 @@ def test_context_decides():
     ) == 0.8 and pii.more_spans("order DE89370400440532013000 isbn", [], 0.5) == [("iban", 6, 28)]
 
 
+def test_context_in_each_language(spark):
+    """The same proposal with a word for it, none, or one for it and one against it, in each language, through the whole operator."""
+    cases = (
+        ("local_phone", "030/123 4567", "please phone", "order phone"), ("local_phone", "030/123 4567", "Telefonnummer:", "Bestellung, Telefon"),
+        ("local_phone", "01 42 34 56 78", "Téléphone :", "Commande, téléphone"), ("local_phone", "01 42 34 56 78", "llame al teléfono", "pedido, teléfono"),
+        ("short_card", "4222 222 222 222", "Kreditkarte", "Rechnung, Karte"), ("short_card", "4222 222 222 222", "carte bancaire", "facture, carte"),
+        ("short_card", "4222 222 222 222", "la tarjeta", "factura, tarjeta"), ("account", "ZZ33 1234 5678 9012 345", "Kontonummer", "Muster, Konto"),
+        ("account", "ZZ33 1234 5678 9012 345", "compte", "exemple, compte"), ("account", "ZZ33 1234 5678 9012 345", "cuenta", "ejemplo, cuenta"),
+        ("ssn", "078-05-1120", "Versicherungsnummer", "Seriennummer, Versicherungsnummer"), ("ssn", "078-05-1120", "sécurité sociale", "série, sociale"),
+        ("ssn", "078-05-1120", "seguridad", "serie, seguridad"), ("local_phone", "01 42 34 56 78", "te\u0301le\u0301phone", "commande, tél"),
+    )
+    rows = [(k, text) for k, (_, n, word, bad) in enumerate(cases) for text in (f"{word} {n} {'x' * 50}", f"{'x' * 50} {n} so", f"{bad} {n}")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, (_, t) in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    for k, (kind, number, word, _) in enumerate(cases):
+        found, none, refused = (got[3 * k + j] for j in range(3))
+        assert found.spans == f"{kind}:{len(word) + 1}:{len(word) + 1 + len(number)}" and found.moved.startswith("+0."), cases[k]
+        assert none.spans == refused.spans == "", cases[k]
+
+
+def test_context_moves_base_scores_alone():
+    text = "Kontakt: a@b.cd, und nach einigen Worten ein Muster: e@f.gh"
+    base = pii.base_spans(text)
+    assert [round(pii.context(text, s, reach=9), 1) for s in base] == [0.1, -0.2] and [k for k, *_ in base] == ["email"] * 2
+
+
+def test_digits_within_identifiers_are_no_phones():
+    assert pii.more_spans("phone a01234567890b, phone x0123 456 789", [], 0.5) == []
+
+
 def test_covered():
     rng = random.Random(2)
     for _ in range(200):
