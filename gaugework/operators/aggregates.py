@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -217,14 +216,6 @@ def topk_stats(samples: DataFrame, as_of, k: int = 10, ttl_s: int = 3600) -> Dat
     ).withColumns({"k": F.lit(k), "ttl_s": F.lit(ttl_s)})
 
 
-def membership(candidates: DataFrame, members: DataFrame, key: str, bits: int = 1_000_000, hashes: int = 7) -> DataFrame:
-    """Each candidate with an exact flag; fp_estimate is what a Bloom filter of that size would err by."""
-    own = members.select(key).distinct()
-    n = own.count()
-    flagged = candidates.join(own.withColumn("_in", F.lit(True)), key, "left").withColumn("found", F.coalesce("_in", F.lit(False))).drop("_in")
-    return flagged.withColumn("fp_estimate", F.lit((1 - math.exp(-hashes * n / bits)) ** hashes))
-
-
 def rule_stats(rules: DataFrame) -> DataFrame:
     p = F.col("prefix")
     return rules.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugework.model import samples, table
 from gaugework.operators import aggregates as A
+from gaugework.operators import members as N
 from gaugework.operators import rollups as R
 from gaugework.operators import topk as K
 from gaugework.registry import query
@@ -188,7 +189,7 @@ def topk_stats(spark, sf_dir):
 @query("WITH {S}, m AS (SELECT DISTINCT host_id FROM s WHERE metric = 'error' AND value > 200), a AS (SELECT DISTINCT host_id FROM s) SELECT host_id, host_id IN (SELECT host_id FROM m) AS found, round((1 - exp(-7.0 * (SELECT count(*) FROM m) / 1000)) ** 7, 6) AS fp_estimate FROM a")
 def membership(spark, sf_dir):
     s = samples(spark, sf_dir)
-    return rounded(A.membership(s.select("host_id").distinct(), s.where("metric = 'error' and value > 200"), "host_id", 1000, 7), "fp_estimate")
+    return rounded(N.membership(s.select("host_id").distinct(), s.where("metric = 'error' and value > 200"), "host_id", 1000, 7), "fp_estimate")
 
 
 RANKED = "SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY value DESC, host_id) AS rank, host_id, value"

@@ -16,6 +16,7 @@ from gaugework.operators import changelog as G
 from gaugework.operators import chunks as Z
 from gaugework.operators import filters as O
 from gaugework.operators import hosts as H
+from gaugework.operators import members as N
 from gaugework.operators import rules as U
 from gaugework.operators import shards as D
 from gaugework.operators import topk as K
@@ -150,7 +151,7 @@ def test_ring(spark):
 
 def test_membership_and_rules(spark):
     keys = spark.createDataFrame([("item1",), ("item2",), ("item3",), ("nonexistent",)], "k string")
-    assert rows(A.membership(keys, keys.where("k like 'item%'"), "k"), "k", "found") == [
+    assert rows(N.membership(keys, keys.where("k like 'item%'"), "k"), "k", "found") == [
         ("item1", True), ("item2", True), ("item3", True), ("nonexistent", False)
     ]
     rules = spark.createDataFrame([("host-*", "any"), ("host-1*", "ones")], "prefix string, category string")
