@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,9 +161,9 @@ def percentiles(
     """Columns p50 and so on, with linear interpolation. Approximate ones need memory by their accuracy alone.
 
     Exact ones bracket each rank first: approximate quantiles two errors below and above it hold the wanted values between
-    them for certain, but for one rank at the ends, which the next values beyond make good. What lies below a bracket is
-    counted; the values in it (four thousandths of a group's) are counted by value, and the ranks found among them. So no
-    group is one task's memory.
+    them for certain, but for one rank at the ends, which is the first or last value of what lies beside the bracket. One pass
+    counts the values in brackets (four thousandths of a group's) by value, and what lies between brackets as one row with its
+    extremes; summed in order, these give the ranks. So no group is one task's memory.
     """
     if not exact:
         made = F.percentile_approx("value", F.array(*(F.lit(p / 100) for p in points)), 10_000)
@@ -171,29 +172,26 @@ def percentiles(
     ends = [min(1.0, max(0.0, p / 100 + side * 2 / accuracy)) for p in points for side in (-1, 1)]
     cuts = samples.groupBy(*keys).agg(F.percentile_approx("value", F.array(*map(F.lit, ends)), accuracy).alias("cuts"))
     # the smallest and greatest rank can lie beyond an approximate end: these brackets are open
-    low = lambda i: F.lit(float("-inf")) if ends[2 * i] == 0.0 else F.col("cuts")[2 * i]
-    high = lambda i: F.lit(float("nan")) if ends[2 * i + 1] == 1.0 else F.col("cuts")[2 * i + 1]  # nan is the greatest
+    low = [F.lit(float("-inf")) if ends[2 * i] == 0.0 else F.col("cuts")[2 * i] for i in range(len(points))]
+    high = [F.lit(float("nan")) if ends[2 * i + 1] == 1.0 else F.col("cuts")[2 * i + 1] for i in range(len(points))]
+    v = F.col("value")
     rows = samples.where("value is not null").alias("a").join(cuts.alias("b"), same("a", "b", keys)).select(*of("a"), "value", "cuts")
-    beyond = [c for i in range(len(points)) for c in (
-        F.count_if(F.col("value") < low(i)).alias(f"below{i}"), F.max(F.when(F.col("value") < low(i), F.col("value"))).alias(f"prev{i}"),
-        F.min(F.when(F.col("value") > high(i), F.col("value"))).alias(f"next{i}")
-    )]
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("total"), *beyond)
-    inside = F.array_compact(F.array(*(F.when((F.col("value") >= low(i)) & (F.col("value") <= high(i)), F.lit(i)) for i in range(len(points)))))
-    counts = rows.select(*keys, "value", F.explode(inside).alias("i")).groupBy(*keys, "i", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = counts.withColumn("upto", upto).alias("a").join(totals.alias("b"), same("a", "b", keys))
-    of_point = lambda name: F.element_at(F.array(*(F.col(f"{name}{i}") for i in range(len(points)))), F.col("i") + 1)
-    share = F.element_at(F.array(*(F.lit(p / 100) for p in points)), F.col("i") + 1)
-    both = both.select(
-        *of("a"), "i", "value", "n", (of_point("below") + F.col("upto")).alias("end"), (share * (F.col("total") - 1)).alias("x"),
-        of_point("below").alias("below"), of_point("prev").alias("prev"), of_point("next").alias("next")
+    inside = reduce(Column.__or__, ((v >= a) & (v <= z) for a, z in zip(low, high, strict=True)))
+    zone = reduce(Column.__add__, ((v >= a).cast("int") + (v > z).cast("int") for a, z in zip(low, high, strict=True)))
+    counts = rows.groupBy(*keys, zone.alias("zone"), F.when(inside, v).alias("own")).agg(
+        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")
     )
-    inner = lambda rank: F.max(F.when((rank >= F.col("end") - F.col("n")) & (rank < F.col("end")), F.col("value")))
-    at = lambda rank: F.coalesce(inner(rank), F.max(F.when(rank < F.col("below"), F.col("prev"))), F.max("next"))
-    found = both.groupBy(*keys, "i").agg(F.max("x").alias("x"), at(F.floor("x")).alias("low"), at(F.ceil("x")).alias("high"))
-    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("x") - F.floor("x"))
-    made = found.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, value)).alias(f"p{p}") for i, p in enumerate(points)))
+    group = Window.partitionBy(*keys)
+    ranked = counts.withColumns({"end": F.sum("n").over(group.orderBy("least")), "total": F.sum("n").over(group)})
+    x = [F.lit(p / 100) * (F.col("total") - 1) for p in points]
+
+    def at(rank: Column) -> Column:
+        first = F.col("end") - F.col("n")
+        return F.max(F.when((rank >= first) & (rank < F.col("end")), F.when(rank == first, F.col("least")).otherwise(F.col("most"))))
+
+    made = ranked.groupBy(*keys).agg(*(
+        (at(F.floor(r)) + (at(F.ceil(r)) - at(F.floor(r))) * (F.max(r) - F.floor(F.max(r)))).alias(f"p{p}") for p, r in zip(points, x, strict=True)
+    ))
     return cuts.alias("a").join(made.alias("b"), same("a", "b", keys), "left").select(*of("a"), *(f"b.p{p}" for p in points))
 
 
