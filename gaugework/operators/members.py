@@ -1,8 +1,9 @@
 """Which keys are in a set: an exact flag, with a Bloom filter of the set before the join.
 
-The filter is a scalar subquery, an array of 64-bit words that is made by a bitwise aggregate of the members' places. Keys that it
-refuses are no members for certain, so they are flagged where they lie; only the others are dealt out and joined. Its size
-follows the number of members; a set that would need more than ``widest`` bits (8 MB) has no filter, and all keys are joined.
+The distinct members are written once, to the shared folder. The filter is an array of 64-bit words, made by a bitwise aggregate of
+their places, and comes back as a scalar subquery. Keys that it refuses are no members for certain, so they are flagged where they
+lie; only the others are dealt out and joined. Its size follows the number of members; a set that would need more than ``widest``
+bits (8 MB, which the driver holds once) has no filter, and all keys are joined.
 
 Edge cases: a null key is in no set, and null members are ignored (but counted); repeated candidates each keep a row, repeated
 members count once; an empty set flags nothing; other columns of the candidates are kept (a column found is replaced), also where ``members`` has the same names.
@@ -15,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.session import work_dir
+
 WIDEST = 1 << 26
 
 
@@ -35,13 +38,14 @@ def places(key: Column, bits: int, hashes: int) -> list[Column]:
 
 
 def filter_words(members: DataFrame, key: str, bits: int, hashes: int = 7) -> DataFrame:
-    """One row with the filter's words: partial masks before the shuffle, at most bits / 64 rows after it."""
+    """One row with the filter's words, a local table of at most bits / 8 bytes: partial masks before the shuffle, at most bits / 64 rows after it."""
     rows = members.where(F.col(key).isNotNull()).select(F.explode(F.array(*places(F.col(key), bits, hashes))).alias("p"))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
     own = rows.groupBy((F.col("p") / 64).cast("long").alias("id")).agg(F.bit_or(mask).alias("mask"))
     every = members.sparkSession.range(math.ceil(bits / 64)).join(own, "id", "left")
     entry = F.struct("id", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["mask"]).alias("words"))
+    words = every.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["mask"]).alias("words"))
+    return members.sparkSession.createDataFrame(words.toArrow())
 
 
 def may_hold(words: DataFrame, key: Column, bits: int, hashes: int = 7) -> Column:
@@ -52,11 +56,17 @@ def may_hold(words: DataFrame, key: Column, bits: int, hashes: int = 7) -> Colum
     return F.coalesce(held, F.lit(False))
 
 
+def distinct_members(members: DataFrame, key: str) -> DataFrame:
+    spark, path = members.sparkSession, work_dir(members.sparkSession, "members")
+    members.select(key).distinct().write.parquet(path)
+    return spark.read.schema(members.select(key).schema).parquet(path)
+
+
 def membership(
     candidates: DataFrame, members: DataFrame, key: str, bits: int | None = None, hashes: int = 7, widest: int = WIDEST
 ) -> DataFrame:
     """Each candidate with found, exact, and fp_estimate: the share that the filter would err by. ``bits``: by the set's size."""
-    own = members.select(key).distinct()
+    own = distinct_members(members, key)
     n = own.count()
     bits = bits or bits_for(n, hashes)
     if bits <= widest:
@@ -73,7 +83,7 @@ def membership(
 def filter_report(candidates: DataFrame, members: DataFrame, key: str, bits: int | None = None, hashes: int = 7) -> DataFrame:
     """One row: members, bits, candidates, those that pass the filter, those found, and the measured share of the others that
     passes (null without others) beside the formula's."""
-    own = members.select(key).distinct()
+    own = distinct_members(members, key)
     n = own.count()
     bits = bits or bits_for(n, hashes)
     held = may_hold(filter_words(own, key, bits, hashes), F.col(key), bits, hashes)
