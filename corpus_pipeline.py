@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in stages that each write their result for the next.
 
 language: documents of which less than a quarter is in a known language go. near_dedup: of each group of near-duplicates one
-document stays.
+document stays, by op9's method with longer fingerprints, and the texts decide.
 secrets: found secrets are replaced by a mark. mix: sources are mixed to their target weights; documents are repeated,
 shortened or left out for it. packing: the mixed documents become pieces, each with its place in a sequence.
 

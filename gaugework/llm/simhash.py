@@ -13,6 +13,7 @@ shingle; repeated rows each get a row; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -180,56 +181,210 @@ def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def near_rows(rows: DataFrame, words: int, bands: int, band_rows: int, seed: int = 42) -> DataFrame:
-    """row, node (a hash of the text's set of shingles), n (the set's size) and mins (the low 16 bits of every min-hash). rows: row, text."""
+def cut(rows: int, least: float, missed: float = 0.0005) -> tuple[int, int]:
+    """Width (even) and number of the segments of long fingerprints: about as many values as rows, and so many segments that of
+    the pairs of similarity ``least`` a share of ``missed`` has no segment that differs by at most one bit."""
+    width = max(12, math.ceil(math.log2(max(rows, 1))))
+    width += width % 2
+    p = differing(least)
+    meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return width, 1 if meet > 1 - missed else math.ceil(math.log(missed) / math.log(1 - meet))
+
+
+def differing(least: float) -> float:
+    """The share of bits in which fingerprints of two sets of one size differ, at this Jaccard similarity (other sizes: fewer)."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def farthest(bits: int, least: float) -> int:
+    """So many of the bits may differ: five standard deviations over the mean at this similarity."""
+    p = differing(least)
+    return math.floor(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
+
+
+def long_fingerprint(h, longs: int):
+    """``longs`` x 64 bits, each 1 if it is set in over half the hashes: the hashes themselves, as in fingerprint_of, then mixes of them."""
+    import numpy as np
+
+    factors = np.random.default_rng(42).integers(0, 1 << 64, longs - 1, np.uint64) | np.uint64(1)
+    ones = np.zeros(64 * longs, np.int64)
+    for at in range(0, len(h), 255):  # counts of a block fit a byte
+        x = h[at : at + 255, None] * factors
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        x = np.concatenate([h[at : at + 255, None], x], 1)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
+
+
+def near_rows(rows: DataFrame, words: int, longs: int, seed: int = 42) -> DataFrame:
+    """row, node (a hash of the text's set of shingles), n (the set's size) and bits (its long fingerprint). rows: row, text."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
-        factors = np.random.default_rng(seed).integers(0, 1 << 32, bands * band_rows, np.uint32) | np.uint32(1)
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            nodes, sizes, mins = [], [], []
+            nodes, sizes, bits = [], [], []
             for t in b.column(1).to_pylist():
                 h = np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles(t or "", words)], "<u8"))
-                g, least = (h ^ (h >> np.uint64(32))).astype("<u4"), np.full(bands * band_rows, (1 << 32) - 1, "<u4")
-                for k in range(0, len(g), 1024):
-                    np.minimum(least, (g[k : k + 1024, None] * factors).min(0), out=least)
                 nodes.append(signed(xxhash.xxh64_intdigest(h.tobytes(), seed)))
                 sizes.append(len(h))
-                mins.append(least.astype("<u2").tobytes())
+                bits.append(long_fingerprint(h, longs).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mins, pa.binary())], ["row", "node", "n", "mins"]
+                [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["row", "node", "n", "bits"]
             )
         give_back()
 
-    return rows.select("row", "text").mapInArrow(run, "row long, node long, n long, mins binary")
+    return rows.select("row", "text").mapInArrow(run, "row long, node long, n long, bits binary")
+
+
+def segment_halves(nodes: DataFrame, width: int, segments: int, parts: int) -> DataFrame:
+    """Each segment of each fingerprint twice, by its lower and by its upper half, as in segments that differ by one bit one half is
+    equal. part: by segment, which half and that half; entries: numbers, four a row: value (these and the other half), node, and
+    128 bits to look at; some hundreds of rows together. nodes: node, bits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        half, seg = width // 2, np.arange(segments)
+
+        def dealt(node, own):
+            bits = np.unpackbits(own.view(np.uint8), axis=1, bitorder="little")[:, : segments * width].reshape(len(own), segments, width)
+            low, high = bits[:, :, :half] @ (1 << np.arange(half)), bits[:, :, half:] @ (1 << np.arange(half))
+            value = np.concatenate([((seg * 2 << half) + low << half) + high, ((seg * 2 + 1 << half) + high << half) + low], 1).ravel()
+            part = (value >> half) % parts
+            order = np.argsort(part, kind="stable")
+            doc = order // (2 * segments)
+            entries = np.stack([value[order], node[doc], own[doc, 0].view("<i8"), own[doc, 1].view("<i8")], 1)
+            there, first = np.unique(part[order], return_index=True)
+            blocks = [entries[lo:hi].tobytes() for lo, hi in zip(first, [*first[1:], len(entries)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(there), pa.array(blocks, pa.binary())], ["part", "entries"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), b"".join(batch.column(1).to_pylist())))
+            n += batch.num_rows
+            if n * segments > 1 << 17:
+                yield dealt(np.concatenate([k for k, _ in held]), np.frombuffer(b"".join(x for _, x in held), "<u8").reshape(n, -1))
+                held, n = [], 0
+        if n:
+            yield dealt(np.concatenate([k for k, _ in held]), np.frombuffer(b"".join(x for _, x in held), "<u8").reshape(n, -1))
+        give_back()
+
+    return nodes.mapInArrow(run, "part long, entries binary").repartition(parts, "part")
+
+
+def near_values(value, bits, half: int, most: int):
+    """Pairs (x, y) of places in the sorted values: they share all but at most one bit of the last half, and at most ``most`` of
+    128 bits differ. Of two values with over 2^16 pairs, instead of these: whoever has such a partner, in a chain."""
+    import numpy as np
+
+    def apart(x, y):
+        return np.bitwise_count(bits[0][x] ^ bits[0][y]).astype(np.int16) + np.bitwise_count(bits[1][x] ^ bits[1][y])
+
+    def partnered(x, y):
+        """Those of x that have one of y near: most are near one of the first, the others meet all."""
+        left, lo = x, 0
+        while len(left) and lo < len(y):
+            some = y[lo : lo + (2048 if lo else 64)]
+            near = [((apart(part[:, None], some) <= most) & (part[:, None] != some)).any(1) for k in range(0, len(left), 1024) if len(part := left[k : k + 1024])]
+            left, lo = left[~np.concatenate(near)], lo + len(some)
+        return np.setdiff1d(x, left, assume_unique=True)
+
+    different, first, count = np.unique(value, return_index=True, return_counts=True)
+    place = np.arange(len(different))
+    met = [(place[count > 1], place[count > 1])]
+    for wild in range(half):
+        i = place[different >> wild & 1 == 0]
+        j = np.minimum(np.searchsorted(different, different[i] | 1 << wild), len(different) - 1)
+        same = different[j] == different[i] | 1 << wild
+        met.append((i[same], j[same]))
+    # one bit of the lower half: that is seen by the upper half; equal ones are seen by the lower half alone
+    i, j = (np.concatenate(ends) for ends in zip(*met, strict=True))
+    once = (i != j) | (different[i] >> 2 * half & 1 == 0)
+    i, j = i[once], j[once]
+    sizes = count[i] * count[j]
+    for k in np.flatnonzero(sizes > 1 << 16).tolist():
+        x, y = (np.arange(first[v], first[v] + count[v]) for v in (i[k], j[k]))
+        both = np.union1d(partnered(x, y), partnered(y, x))
+        yield both[:-1], both[1:]
+    i, j, sizes = (v[sizes <= 1 << 16] for v in (i, j, sizes))
+    turn = np.cumsum(sizes) >> 20
+    ends = [*np.flatnonzero(np.diff(turn, prepend=-1)).tolist(), len(turn)]
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        n = sizes[lo:hi]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x = np.repeat(first[i[lo:hi]], n) + at // np.repeat(count[j[lo:hi]], n)
+        y = np.repeat(first[j[lo:hi]], n) + at % np.repeat(count[j[lo:hi]], n)
+        near = (x != y) & (apart(x, y) <= most)
+        yield x[near], y[near]
+
+
+def meetings(halves: DataFrame, width: int, most: int) -> DataFrame:
+    """node, band (the segment), key, size: who meets in a one-wildcard variant of a segment and is near by 128 bits shares a key.
+
+    A segment's variants with a wildcard in one half lie where the other half is dealt to, so they are made there and not sent.
+    A key is all that such pairs connect, of one segment and half.
+    """
+    half = width // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(part, []).append(entries)
+        for part in list(held):
+            rows = np.frombuffer(b"".join(held.pop(part)), "<i8").reshape(-1, 4)
+            value, node, *bits = np.ascontiguousarray(rows[np.lexsort((rows[:, 1], rows[:, 0]))].T)
+            bits = [x.view("<u8") for x in bits]
+            least, met = np.arange(len(node)), np.zeros(len(node), bool)
+
+            def top(x):
+                while ((up := least[x]) != x).any():
+                    x = up
+                return x
+
+            for x, y in near_values(value, bits, half, most):
+                met[x] = met[y] = True
+                x, y = top(x), top(y)
+                while (apart := x != y).any():
+                    np.minimum.at(least, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+                    x, y = top(x[apart]), top(y[apart])
+            least, who = top(least), np.flatnonzero(met)
+            _, group, size = np.unique(least[who], return_inverse=True, return_counts=True)
+            first = least[who]
+            key = (value[first] >> half) * np.int64(0x1E3779B97F4A7C15) ^ node[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[who]), pa.array(value[who] >> 2 * half + 1), pa.array(key), pa.array(size[group])], ["node", "band", "key", "size"]
+            )
+        give_back()
 
-def band_keys(bands: int, band_rows: int) -> Column:
-    """A hash of each band of the min-hashes."""
-    width = 2 * band_rows
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("mins"), i * width + 1, F.lit(width)), i))
+    return halves.mapInArrow(run, "node long, band long, key long, size long")
 
 
-def likely(pairs: DataFrame, near: DataFrame, floor: float) -> DataFrame:
-    """The pairs (a, b) of nodes that can have the similarity by their sizes, and of whose min-hashes a share of ``floor`` or more agree."""
+def likely(pairs: DataFrame, near: DataFrame, least: float, bits: int) -> DataFrame:
+    """The pairs (a, b) of nodes that can have the similarity by their sizes and by the differing bits of their fingerprints."""
+    most = farthest(bits, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
-                keep = (a == b).mean(1) >= floor
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (2, 3))
+                keep = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: near.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mins").alias(f"mins_{c}"))
+    of = lambda c: near.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     met = pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().join(of("b"), "b").join(of("a"), "a")
-    met = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * floor)
-    return met.select("a", "b", "mins_a", "mins_b").mapInArrow(run, "a long, b long")
+    met = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)
+    return met.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, near: DataFrame, texts_of_rows: DataFrame, words: int, least: float) -> DataFrame:
@@ -368,31 +523,27 @@ def within_tiles(groups: DataFrame, hashed: DataFrame, least: float) -> DataFram
 
 
 def near_links(
-    rows: DataFrame, marks: DataFrame, words: int, least: float, bands: int, band_rows: int, bucket: int, turns: int = 2, tile: int = 1024, places: int = 6
+    rows: DataFrame, marks: DataFrame, words: int, least: float, width: int, segments: int, longs: int, bucket: int, turns: int = 2, tile: int = 1024, places: int = 6
 ) -> DataFrame:
-    """Edges (a, b) between nodes of similarity ``least`` or more that share a band, one at least for every two components
-    that such a pair joins.
-
-    First, in a few turns, every node is compared with one node of another component that shares a band, so that most of a
-    group of many near copies takes a few comparisons a node. Then the nodes of a band that still has several components are
-    compared all with all: of a band of up to ``bucket`` nodes as pairs, whose min-hashes are looked at first (those with a
-    share that is four standard deviations below the similarity go) and whose texts decide; of a larger band in tasks, pair of
-    tiles by pair of tiles, ``places`` of the bands at a time (a set of shingles is sent so many times), until all such bands
-    are done or of one component. What is of one
+    """Edges (a, b) between nodes of similarity ``least`` or more that meet in a variant of a segment, one at least for every two
+    components that such a pair joins.
+
+    First, in a few turns, every node is compared with one node of another component that shares a key, so that most of a
+    group of many near copies takes a few comparisons a node. Then the nodes of a key that still has several components are
+    compared all with all: of a key of up to ``bucket`` nodes as pairs, whose whole fingerprints are looked at first and whose
+    texts decide; of a larger key in tasks, pair of tiles by pair of tiles, ``places`` of the segments at a time (a set of
+    shingles is sent so many times, by halves twice), until all such keys are done or of one component. What is of one
     component by then isn't compared again.
     """
     spark = rows.sparkSession
     with scratch(spark):
         one = marks.groupBy("node").agg(F.min("row").alias("row"))
-        keyed = marks.join(one, ["node", "row"], "left_semi").select("node", F.posexplode(band_keys(bands, band_rows)).alias("band", "key"))
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() * bands // 2_000_000)
-        keyed = keyed.repartition(parts, "key")  # dealt out once: the counts and the join below both read it
-        shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
-        met = written(keyed.join(shared, "key"), "near-met")
+        nodes = marks.join(one, ["node", "row"], "left_semi").select("node", "bits")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() * segments // 100_000)
+        met = written(meetings(segment_halves(nodes, width, segments, parts), width, farthest(128, least)), "near-met")
         near = written(marks.join(one.join(met.select("node").distinct(), "node", "left_semi"), ["node", "row"], "left_semi"), "near-nodes")
         of_near = written(picked(rows.select("row", F.coalesce("doc.text", F.lit("")).alias("text")), near.select("row")), "near-texts")
-        floor = least - 4 * (least * (1 - least) / (bands * band_rows)) ** 0.5
-        checked = lambda pairs: written(similar(written(likely(pairs, near, floor), "near-pairs"), near, of_near, words, least), "near-links")
+        checked = lambda pairs: written(similar(written(likely(pairs, near, least, 64 * longs), "near-pairs"), near, of_near, words, least), "near-links")
 
         def joined(met: DataFrame, links: DataFrame) -> DataFrame:
             """The rows of bands that still have several components, once the links have joined some."""
@@ -440,21 +591,24 @@ def hashed_sets(nodes: DataFrame, near: DataFrame, texts_of_rows: DataFrame, wor
 
 
 def keep_one(
-    docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 6, bucket: int = 64, turns: int = 2, tile: int = 1024
+    docs: DataFrame, words: int = 5, least: float = 0.8, bucket: int = 64, turns: int = 2, tile: int = 1024
 ) -> DataFrame:
     """The documents without near-duplicates: of each group of near copies (Jaccard similarity of ``words``-word shingles
     at ``least`` or more, in a chain) one row stays: by the smallest doc_id, null last, then by a hash of the text.
     Of rows of one doc_id, those with different texts all stay, unless they are near copies; so do rows without a doc_id.
 
-    A 64-bit fingerprint is too short for this: at 0.8 about ten bits differ. Min-hash bands propose the pairs (24 of 6
-    values: 99.9 % of the pairs at 0.8, by the formula), the texts confirm them.
+    By fingerprints, as simhash_components, but of as many bits as this similarity takes: at 0.8, 15 % of the bits differ.
+    They are cut into segments of log2(rows) bits (12 at least), so many that 99.95 % of the pairs at 0.8 have one that differs by
+    at most one bit; who meets in a one-wildcard variant of a segment is looked at by 128 bits, then by all, and the texts decide.
     """
     others = F.to_json(F.struct(*(F.col(f"doc.`{c}`") for c in docs.columns if c != "text")))
     rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near-rows")
     order = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.xxhash64(F.coalesce("doc.text", F.lit(""))), F.xxhash64(others), "row")
     with scratch(docs.sparkSession):
-        marks = written(near_rows(rows.select("row", F.col("doc.text").alias("text")), words, bands, band_rows), "near-marks")
-        roots = components(near_links(rows, marks, words, least, bands, band_rows, bucket, turns, tile))
+        width, segments = cut(rows.count(), least)
+        longs = max(2, -(-width * segments // 64))
+        marks = written(near_rows(rows.select("row", F.col("doc.text").alias("text")), words, longs), "near-marks")
+        roots = components(near_links(rows, marks, words, least, width, segments, longs, bucket, turns, tile))
         of = marks.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
         of = of.join(rows.select("row", order.alias("place")), "row")
         kept = written(of.groupBy("root").agg(F.min("place").alias("place")).select("place.row"), "near-kept")
