@@ -587,7 +587,9 @@ def hashed_sets(nodes: DataFrame, near: DataFrame, texts_of_rows: DataFrame, wor
         give_back()
 
     asked = near.select("node", "row").join(nodes, "node", "left_semi")
-    return picked(texts_of_rows, asked.select("row")).join(asked, "row").select("node", "text").mapInArrow(run, "node long, sets binary")
+    # written first: two Python functions in a stage take two workers a task, and an executor keeps them all from then on
+    found = written(picked(texts_of_rows, asked.select("row")).join(asked, "row").select("node", "text"), "near-texts")
+    return found.mapInArrow(run, "node long, sets binary")
 
 
 def keep_one(
