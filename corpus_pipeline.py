@@ -10,33 +10,74 @@ Edge cases are those of the operators; an empty table goes through all stages to
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm.common import scratch, written
+from gaugework.llm.common import MADE, scratch, written
 from gaugework.llm.language_id import drop_unidentified, fit, held_out
 from gaugework.llm.packing import pack_documents
 from gaugework.llm.secrets import redact_secrets
 from gaugework.llm.simhash import keep_one
 from gaugework.llm.source_mixing import mix_documents
+from gaugework.session import remove_dir
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders that the last stage has made for its result.
+LEFT: list[str] = []
+
+
+def left_behind(stage: Stage) -> Stage:
+    """The stage; what it makes for its result is in LEFT."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        first = len(MADE)
+        out = stage(spark, docs, sf_dir)
+        LEFT[:] = MADE[first:]
+        return out
+
+    return run
+
+
+def after_written(stage: Stage) -> Stage:
+    """The stage, which first removes what the stage before it has left, once that one's result is written: if its input is
+    a plain table of files, none of them among these. An input that is still to be computed keeps all."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if LEFT and docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+            files = docs.inputFiles()
+            if not any(path.rpartition("/")[2] in f for path in LEFT for f in files):
+                for path in LEFT:
+                    remove_dir(spark, path)
+        return left_behind(stage)(spark, docs, sf_dir)
+
+    return run
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_unidentified(docs, fit(docs.where(~held_out(docs["doc_id"]))))
 
 
+@left_behind
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+@after_written
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@after_written
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs, weights=(5, 2, 1), cap=3, share=1.0)
 
 
+@after_written
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 

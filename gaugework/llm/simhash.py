@@ -154,31 +154,39 @@ def shingles(text: str, words: int = 5) -> set[bytes]:
 
 def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose number is among ``ids`` (column row in both, from monotonically_increasing_id, so that the high bits
-    are a partition), without dealing the rows out: ids are written by partition, and a task reads those that it meets."""
+    are a partition), without dealing the rows out: ids are written by partition, and a task reads those that it meets.
+    Other columns of ids, longs of which a number has one, come behind those of the rows."""
     path, at = work_dir(rows.sparkSession, "picked"), rows.columns.index("row")
-    part = F.shiftright("row", 33)
-    ids.select("row", part.alias("part")).repartition("part").write.partitionBy("part").parquet(path)
+    part, more = F.shiftright("row", 33), [c for c in ids.columns if c != "row"]
+    ids.select("row", *more, part.alias("part")).repartition("part").write.partitionBy("part").parquet(path)
     MADE.append(path)
     wanted = {int(n[5:]) for n in names_in(rows.sparkSession, path) if n.startswith("part=")}  # a partition each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             row, keep = b.column(at).to_numpy(), np.zeros(b.num_rows, bool)
+            own = [np.zeros(b.num_rows, np.int64) for _ in more]
             for p in np.unique(row >> 33).tolist():
                 if p not in held:
                     if len(held) > 8:
                         held.clear()
-                    held[p] = np.sort(files.column(f"{path}/part={p}", "row")) if p in wanted else np.zeros(0, np.int64)
-                if len(held[p]):
-                    k = np.searchsorted(held[p], row)
-                    keep |= held[p][np.minimum(k, len(held[p]) - 1)] == row
+                    columns = [files.column(f"{path}/part={p}", c) if p in wanted else np.zeros(0, np.int64) for c in ("row", *more)]
+                    order = np.argsort(columns[0], kind="stable")
+                    held[p] = [c[order] for c in columns]
+                if len(there := held[p][0]):
+                    k = np.minimum(np.searchsorted(there, row), len(there) - 1)
+                    found = there[k] == row
+                    keep |= found
+                    for column, values in zip(own, held[p][1:], strict=True):
+                        column[found] = values[k[found]]
+            b = pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, own)], [*b.schema.names, *more])
             yield b.filter(pa.array(keep))
         give_back()
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in more)]))
 
 
 def cut(rows: int, least: float, missed: float = 0.0005) -> tuple[int, int]:
@@ -389,7 +397,7 @@ def likely(pairs: DataFrame, near: DataFrame, least: float, bits: int) -> DataFr
 
 def similar(pairs: DataFrame, near: DataFrame, texts_of_rows: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``. near: node, row; the
-    texts by row."""
+    texts by row, with their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, set()
@@ -406,7 +414,7 @@ def similar(pairs: DataFrame, near: DataFrame, texts_of_rows: DataFrame, words:
 
     ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
     asked = near.select("node", "row").join(ends, "node", "left_semi")
-    found = written(picked(texts_of_rows, asked.select("row")).join(asked, "row").select("node", "text"), "near-texts")
+    found = written(picked(texts_of_rows, asked.select("row")).select("node", "text"), "near-texts")
     texts_of = lambda c: found.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     met = pairs.join(texts_of("b"), "b").join(texts_of("a").hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(run, "a long, b long")
@@ -424,11 +432,34 @@ def other_ends(met: DataFrame, turn: int) -> DataFrame:
     return asked.groupBy("node").agg(F.min_by("end", order).alias("end")).select(F.col("node").alias("a"), F.col("end").alias("b"))
 
 
-def hot_groups(met: DataFrame, sizes: DataFrame, rows: int, shingles: int) -> DataFrame:
-    """Of hot bands (key, node, root): key, side, left, right, node, root, a row for each pair of tiles that a node is in.
+def tiles(nodes: Column, n: Column, tile: int, shingles: int = 1 << 20) -> Column:
+    """How many tiles of about ``tile`` nodes and ``shingles`` shingles hold so many nodes with n shingles."""
+    return F.greatest(F.ceil(nodes / tile), F.ceil(n / shingles), F.lit(1)).cast("long")
 
-    A band's nodes are dealt by hash into tiles of about ``rows`` nodes and ``shingles`` shingles: the major ones, those of the
-    component that has most of the band, apart from the others. Tiles of others meet each other and the major ones; major tiles,
+
+def key_links(met: DataFrame) -> DataFrame:
+    """Edges (a, b) from each node to the least of each of its keys."""
+    low = met.groupBy("key").agg(F.min("node").alias("b"))
+    return met.join(low, "key").select(F.col("node").alias("a"), "b")
+
+
+def in_groups(met: DataFrame, sizes: DataFrame, links: DataFrame, bucket: int, tile: int) -> DataFrame:
+    """Of the nodes that links (a, b) name, the rows of met with one key, band -1, for each group (all that the links connect) of up
+    to ``bucket`` nodes, or that is sent to no more tiles as a whole than its nodes have keys; those of other groups as they are.
+    sizes: node, n."""
+    groups = components(links).toDF("node", "group")
+    each = met.groupBy("node", "root").agg(F.count("*").alias("keys")).join(groups, "node").join(sizes, "node")
+    of = each.groupBy("group").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"), F.sum("keys").alias("keys"))
+    whole = of.where((F.col("nodes") <= bucket) | (F.col("nodes") * tiles(F.col("nodes"), F.col("n"), tile) <= F.col("keys"))).select("group")
+    as_groups = each.join(whole, "group").select("node", F.lit(-1).cast("long").alias("band"), F.col("group").alias("key"), "root")
+    return as_groups.unionByName(met.join(groups.join(whole, "group", "left_anti"), "node").select("node", "band", "key", "root"))
+
+
+def tile_pairs(met: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """Of keys (key, node, root): key, side, left, right, node, root, a row for each pair of tiles that a node is in.
+
+    The nodes of a key that one tile holds are all in it. Those of another are dealt by hash: the major ones, those of the
+    component that has most of the key, apart from the others. Tiles of others meet each other and the major ones; major tiles,
     of one component, don't meet. sizes: node, n.
     """
     each = met.join(sizes, "node").select("key", "node", "root", "n")
@@ -437,8 +468,10 @@ def hot_groups(met: DataFrame, sizes: DataFrame, rows: int, shingles: int) -> Da
     top = by_root.groupBy("key").agg(
         F.max_by("root", most).alias("major"), F.max("rows").alias("r"), F.max_by("n", most).alias("m"), F.sum("rows").alias("rows"), F.sum("n").alias("n")
     )
-    tiles = lambda r, n: F.greatest(F.ceil(r / rows), F.ceil(n / shingles), F.lit(1)).cast("long")
-    top = top.select("key", "major", tiles(F.col("r"), F.col("m")).alias("majors"), tiles(F.col("rows") - F.col("r"), F.col("n") - F.col("m")).alias("others"))
+    top = top.select(
+        "key", "major", tiles(F.col("rows"), F.col("n"), tile).alias("all"), tiles(F.col("r"), F.col("m"), tile).alias("majors"),
+        tiles(F.col("rows") - F.col("r"), F.col("n") - F.col("m"), tile).alias("others")
+    )
     each = each.join(top, "key").withColumn("is_major", F.col("root") == F.col("major"))
     tile = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("others")))
     each = each.withColumn("tile", tile)
@@ -447,7 +480,8 @@ def hot_groups(met: DataFrame, sizes: DataFrame, rows: int, shingles: int) -> Da
     with_majors = F.transform(upto(F.col("majors")), lambda q: pair("major", F.col("tile"), q))
     with_others = F.transform(upto(F.col("others")), lambda q: pair("other", F.least("tile", q), F.greatest("tile", q)))
     of_major = F.transform(upto(F.col("others")), lambda q: pair("major", q, F.col("tile")))
-    pairs = F.when(F.col("is_major"), of_major).otherwise(F.concat(with_majors, with_others))
+    alone = F.array(pair("all", F.lit(0).cast("long"), F.lit(0).cast("long")))
+    pairs = F.when(F.col("all") == 1, alone).when(F.col("is_major"), of_major).otherwise(F.concat(with_majors, with_others))
     return each.select("key", "node", "root", F.explode(pairs).alias("p")).select("key", "p.side", "p.left", "p.right", "node", "root")
 
 
@@ -498,6 +532,35 @@ def spanning(a, b) -> list[int]:
     return out
 
 
+def likely_links(groups: DataFrame, near: DataFrame, least: float, bits: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes that meet in a pair of tiles, are of different components and can have the similarity
+    by their sizes and bits, as in likely(): a spanning forest of such pairs goes on. near: node, n, bits."""
+    most = farthest(bits, least)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        root, size = (table.column(c).to_numpy()[first] for c in ("root", "n"))
+        held = table.column("bits").to_pylist()
+        own = np.frombuffer(b"".join(held[k] for k in first.tolist()), "<u8").reshape(len(node), -1)
+        a, b = [], []
+        for lo in range(0, len(node), 64):
+            x = slice(lo, lo + 64)
+            apart = np.bitwise_count(own[x, None] ^ own[None]).sum(2, dtype=np.int64)
+            alike = np.minimum(size[x, None], size[None]) >= np.maximum(size[x, None], size[None]) * least - 1e-9
+            i, j = np.nonzero((apart <= most) & alike & (root[x, None] != root[None]))
+            take = spanning(i + lo, j)
+            a.append(node[i[take] + lo])
+            b.append(node[j[take]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        take = spanning(a, b)
+        return pa.table({"a": a[take], "b": b[take]})
+
+    rows = groups.join(near.select("node", "n", "bits"), "node")
+    return rows.groupBy("key", "side", "left", "right").applyInArrow(run, "a long, b long").distinct()
+
+
 def within_tiles(groups: DataFrame, hashed: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) that join the components that meet in each pair of tiles: every two nodes of different components are
     compared by their whole sets of shingles, and of those that are similar enough a spanning forest goes on. hashed: node, sets."""
@@ -516,6 +579,8 @@ def within_tiles(groups: DataFrame, hashed: DataFrame, least: float) -> DataFram
         pairs = np.unique(np.stack([root[a], root[b]]), axis=1, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
         a, b = a[pairs], b[pairs]
         take = spanning(root[a], root[b])
+        if len(node) > 256:
+            give_back()
         return pa.table({"a": node[a[take]], "b": node[b[take]]})
 
     rows = groups.join(hashed, "node")
@@ -529,11 +594,12 @@ def near_links(
     components that such a pair joins.
 
     First, in a few turns, every node is compared with one node of another component that shares a key, so that most of a
-    group of many near copies takes a few comparisons a node. Then the nodes of a key that still has several components are
-    compared all with all: of a key of up to ``bucket`` nodes as pairs, whose whole fingerprints are looked at first and whose
-    texts decide; of a larger key in tasks, pair of tiles by pair of tiles, ``places`` of the segments at a time (a set of
-    shingles is sent so many times, by halves twice), until all such keys are done or of one component. What is of one
-    component by then isn't compared again.
+    group of many near copies takes a few comparisons a node: the whole fingerprints are looked at, then the texts decide. Then
+    the nodes that still share a key with another component are compared all with all in tasks, pair of tiles by pair of tiles, and
+    no pair is a row: by groups, all that the keys connect, where these are small or their nodes have so many keys that a node
+    is sent less often than by key, else by key. By whole fingerprints first; what can be similar by these makes smaller
+    groups, of which the sets of shingles are sent: larger ones by key, ``places`` of the segments at a time, until all keys are
+    done or of one component. What is of one component by then isn't compared again.
     """
     spark = rows.sparkSession
     with scratch(spark):
@@ -542,35 +608,33 @@ def near_links(
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() * segments // 100_000)
         met = written(meetings(segment_halves(nodes, width, segments, parts), width, farthest(128, least)), "near-met")
         near = written(marks.join(one.join(met.select("node").distinct(), "node", "left_semi"), ["node", "row"], "left_semi"), "near-nodes")
-        of_near = written(picked(rows.select("row", F.coalesce("doc.text", F.lit("")).alias("text")), near.select("row")), "near-texts")
+        of_near = written(picked(rows.select("row", F.coalesce("doc.text", F.lit("")).alias("text")), near.select("row", "node")), "near-texts")
         checked = lambda pairs: written(similar(written(likely(pairs, near, least, 64 * longs), "near-pairs"), near, of_near, words, least), "near-links")
 
         def joined(met: DataFrame, links: DataFrame) -> DataFrame:
-            """The rows of bands that still have several components, once the links have joined some."""
+            """The rows of keys that still have several components, once the links have joined some."""
             of = met.select("node", "root").distinct()
             ends = lambda c: of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
             roots = links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
             met = met.join(components(roots).toDF("root", "own"), "root", "left").withColumn("root", F.coalesce("own", "root")).drop("own")
             mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            return written(met.join(mixed, "key").select("node", "band", "key", "size", "root"), "near-met")
+            return written(met.join(mixed, "key").select("node", "band", "key", "root"), "near-met")
 
-        met, found = met.withColumn("root", F.col("node")).select("node", "band", "key", "size", "root"), None
+        met, found = met.withColumn("root", F.col("node")).select("node", "band", "key", "root"), None
         for turn in range(turns):
             links = checked(other_ends(met, turn))
             found = links if found is None else found.unionByName(links)
             met = joined(met, links)
-        some = met.where(F.col("size") <= bucket)
-        pairs = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-        links = checked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        found, hashed, band = found.unionByName(links), None, -1
-        if not met.where(F.col("size") > bucket).isEmpty():
-            met = joined(met, links).where(F.col("size") > bucket)
-            while (band := met.where(F.col("band") > band).agg(F.min("band")).first()[0]) is not None:
-                if hashed is None:
-                    hashed = written(hashed_sets(met.select("node").distinct(), near, of_near, words), "near-sets")
-                band, own = band + places - 1, met.where(F.col("band").between(band, band + places - 1))
-                links = written(within_tiles(hot_groups(own, near.select("node", "n"), tile, 1 << 20), hashed, least), "near-links")
-                found, met = found.unionByName(links), joined(met, links)
+        sizes = near.select("node", "n")
+        pairs = tile_pairs(written(in_groups(met, sizes, key_links(met), bucket, tile), "near-groups"), sizes, tile)
+        met = written(in_groups(met, sizes, written(likely_links(pairs, near, least, 64 * longs), "near-likely"), bucket, tile), "near-met")
+        bands, links = sorted(r.band for r in met.select("band").distinct().collect()), None  # one a segment at most
+        hashed = written(hashed_sets(met.select("node").distinct(), near, of_near, words), "near-sets") if bands else None
+        while bands:
+            band, met = bands[0], met if links is None else joined(met, links)
+            own, bands = met.where(F.col("band").between(band, band + places - 1)), [b for b in bands if b >= band + places]
+            links = written(within_tiles(tile_pairs(own, sizes, tile), hashed, least), "near-links")
+            found = found.unionByName(links)
         return written(found, "near-edges")
 
 
@@ -588,7 +652,7 @@ def hashed_sets(nodes: DataFrame, near: DataFrame, texts_of_rows: DataFrame, wor
 
     asked = near.select("node", "row").join(nodes, "node", "left_semi")
     # written first: two Python functions in a stage take two workers a task, and an executor keeps them all from then on
-    found = written(picked(texts_of_rows, asked.select("row")).join(asked, "row").select("node", "text"), "near-texts")
+    found = written(picked(texts_of_rows, asked.select("row")).select("node", "text"), "near-texts")
     return found.mapInArrow(run, "node long, sets binary")
 
 
