@@ -69,7 +69,7 @@ def stream_dedup_alerts(spark, sf_dir):
     SELECT host_id, metric, hour, ts, value, seq FROM a, m WHERE (hour + 1) * 3600000 <= mark QUALIFY row_number() OVER (PARTITION BY host_id, metric, hour ORDER BY ts, seq) = 1"""
 )
 def stream_earliest_alerts(spark, sf_dir):
-    return finished(T.stream_earliest_alerts(samples_of(events_stream(spark, sf_dir)).where("value > 20")))
+    return finished(Q.stream_earliest_alerts(samples_of(events_stream(spark, sf_dir)).where("value > 20")))
 
 
 @query(

@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gaugework.functions.columns import hour_of
 from gaugework.model import SERIES
 from gaugework.operators.filters import keep_last_n
-from gaugework.streaming.queries import DELAY, event_time
+from gaugework.streaming.queries import DELAY, event_time, stream_earliest_alerts  # noqa: F401 (found here before it was an aggregate)
 
 
 def _ms(t) -> int:
@@ -86,44 +85,6 @@ def stream_liveness(samples: DataFrame, timeout_s: int = 300, delay: str = DELAY
     )
 
 
-class EarliestOfHour(StatefulProcessor):
-    """The earliest alert of a host, metric and hour, by time and arrival, once the watermark has passed the hour's end."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "us long, seq long, value double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = self.first.get() if self.first.exists() else None
-        new = best is None
-        for own in rows:  # frame by frame: of each its least
-            at = own["ts"].to_numpy("datetime64[us]").astype("int64")
-            k = np.lexsort((own["seq"].to_numpy("int64"), at))[0]
-            found = (int(at[k]), int(own["seq"].iloc[k]), float(own["value"].iloc[k]))
-            best = found if best is None or found[:2] < tuple(best)[:2] else best
-        if best is not None:
-            self.first.update(best)
-            if new:
-                self.handle.registerTimer((key[2] + 1) * 3_600_000)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        us, seq, value = self.first.get()
-        self.first.clear()
-        yield from _frame(host_id=[key[0]], metric=[key[1]], hour=[key[2]], ts=[pd.Timestamp(us, unit="us")], value=[value], seq=[seq])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_earliest_alerts(alerts: DataFrame, delay: str = DELAY) -> DataFrame:
-    """``alerts``: host_id, metric, ts, value, seq. One alert for each host, metric and hour: the earliest, however the rows
-    arrive, when the watermark has passed the hour; rows of an hour that has been sent are late and dropped."""
-    rows = event_time(alerts, delay).select("host_id", "metric", hour_of(F.col("ts")).alias("hour"), "ts", "value", "seq")
-    schema = "host_id string, metric string, hour long, ts timestamp, value double, seq long"
-    return rows.groupBy("host_id", "metric", "hour").transformWithStateInPandas(EarliestOfHour(), schema, "Append", "EventTime")
-
-
 class Sustained(StatefulProcessor):
     """firing once a breach has lasted the rule's duration, resolved with the first sample that doesn't breach."""
 
