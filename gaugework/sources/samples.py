@@ -7,9 +7,9 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.sources.store import POINT, SCHEMA, Store
+from gaugework.sources.store import ARRIVAL, POINT, SCHEMA, Store
 
-__all__ = ["POINT", "SCHEMA", "apply_retention", "delete_points", "drop_old", "expire_keys", "merged", "read_samples", "without_points", "write_samples"]
+__all__ = ["ARRIVAL", "POINT", "SCHEMA", "apply_retention", "delete_points", "drop_old", "expire_keys", "merged", "read_samples", "without_points", "write_samples"]
 
 
 def read_samples(spark: SparkSession, path: str, hosts: tuple[str, ...] = (), start=None, end=None) -> DataFrame:
@@ -23,9 +23,10 @@ def merged(samples: DataFrame) -> DataFrame:
     return last.select(*POINT, "x.value", "x.unit", "x.seq")
 
 
-def write_samples(samples: DataFrame, path: str, writer: str | None = None, transaction: int = 0) -> bool:
-    """Idempotent upsert: adds a batch with the new rows alone. A writer's transaction counts once."""
-    return Store(samples.sparkSession, path).upsert(samples, writer, transaction)
+def write_samples(samples: DataFrame, path: str, writer: str | None = None, transaction: int = 0, key: tuple[str, ...] | None = None) -> bool:
+    """Idempotent upsert: adds a batch with the new rows alone. A writer's transaction counts once. A store made with the key
+    ARRIVAL keeps several samples of a point."""
+    return Store(samples.sparkSession, path, key=key).upsert(samples, writer, transaction)
 
 
 def without_points(samples: DataFrame, deleted: DataFrame) -> DataFrame:

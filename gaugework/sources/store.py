@@ -4,7 +4,8 @@
 deleted. ``manifests/<version>.json`` names the (batch, day) pairs that count and each batch's generation; a reader takes one
 version and sees nothing else, whatever is written or removed meanwhile. A writer writes its own rows alone and then puts the next
 version under a name that must be new; who comes second takes the version then current and tries again. Of a point the row with
-the greatest seq counts, of equal ones that of the later generation; a tombstone takes away rows of earlier generations. Days that
+the greatest seq counts, of equal ones that of the later generation; a tombstone takes away rows of earlier generations. A store
+whose first writer asked for the key ARRIVAL keeps all rows of a point that have different seqs. Days that
 have several batches or tombstones are merged in a shuffle by point, all others are read as they lie. compact() turns days into
 one batch; vacuum() removes folders that no kept version names.
 """
@@ -18,7 +19,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.model import SERIES
@@ -26,6 +27,8 @@ from gaugework.operators.filters import host_filter, time_range
 
 SCHEMA = "host_id string, metric string, ts timestamp_ntz, value double, unit string, seq long"
 POINT = (*SERIES, "ts")
+ARRIVAL = (*POINT, "seq")  # every sample that arrived, also several of one point; of the same one the later generation counts
+NAMES = tuple(c.split()[0] for c in SCHEMA.split(", "))
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows without a time
 
 
@@ -34,6 +37,7 @@ class Manifest:
     version: int = 0
     batches: list[dict] = field(default_factory=list)  # token, gen, kind (rows or tombs), dates
     done: dict[str, int] = field(default_factory=dict)  # writer -> its last transaction
+    key: list[str] = field(default_factory=lambda: list(POINT))  # columns of which equal rows are one
 
     def pairs(self, kind: str) -> list[tuple[str, int, str]]:
         """(token, gen, day) that count."""
@@ -46,10 +50,13 @@ class Manifest:
 
 
 class Store:
-    """Samples under a folder of any file system that Spark writes to."""
+    """Samples under a folder of any file system that Spark writes to. ``key``: POINT or ARRIVAL, for a new store (POINT, if none
+    is named); a store keeps its key, and a writer that names another one fails."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark._jvm
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, key: tuple[str, ...] | None = None):
+        if key not in (None, POINT, ARRIVAL):
+            raise ValueError(f"a store's key is {POINT} or {ARRIVAL}, not {key}")
+        self.spark, self.path, self.jvm, self.key = spark, path.rstrip("/"), spark._jvm, key
         # parts of a day; by default they grow with the tasks that a shuffle has
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
@@ -95,18 +102,28 @@ class Store:
                 return False
             raise
 
-    def commit(self, change: Callable[[Manifest], list[dict] | None], writer: str | None = None, transaction: int = 0, tries: int = 100) -> bool:
+    def _key_of(self, m: Manifest, expected: tuple[str, ...] | None) -> tuple[str, ...]:
+        """The key of a version, or of the next one if nothing has been stored; it must be the expected one, if there is one."""
+        key = tuple(m.key) if m.version else expected or POINT
+        if expected not in (None, key):
+            raise ValueError(f"{self.path}: rows are one by {key}, not by {expected}")
+        return key
+
+    def commit(
+        self, change: Callable[[Manifest], list[dict] | None], writer: str | None = None, transaction: int = 0, tries: int = 100, key: tuple[str, ...] | None = None
+    ) -> bool:
         """Puts the next version with the batches that ``change`` makes of the latest one's; None leaves all as it is. A
-        writer's transaction that is already in, or an earlier one, isn't put again."""
+        writer's transaction that is already in, or an earlier one, isn't put again. ``key`` is that of the rows written."""
         for _ in range(tries):
             now = self.manifest()
+            own = self._key_of(now, key or self.key)
             if writer is not None and now.done.get(writer, -1) >= transaction:
                 return False
             batches = change(now)
             if batches is None:
                 return False
             done = now.done | ({writer: transaction} if writer is not None else {})
-            if self._put(Manifest(now.version + 1, batches, done)):
+            if self._put(Manifest(now.version + 1, batches, done, list(own))):
                 return True
         raise RuntimeError(f"{self.path}: other writers were first {tries} times")
 
@@ -122,14 +139,17 @@ class Store:
         return rows.withColumns({"date": F.to_date("ts"), "bucket": F.pmod(F.xxhash64(*SERIES, hour), F.lit(self.buckets))}).repartition("date", "bucket")
 
     def upsert(self, samples: DataFrame, writer: str | None = None, transaction: int = 0) -> bool:
-        """Adds the samples; of a point the row with the greatest seq counts. False if the transaction was already in."""
-        if writer is not None and self.manifest().done.get(writer, -1) >= transaction:
+        """Adds the samples; of a point the row with the greatest seq counts, or, by ARRIVAL, each seq's. False if the
+        transaction was already in."""
+        now = self.manifest()
+        if writer is not None and now.done.get(writer, -1) >= transaction:
             return False
-        rows = self._dealt(samples.select(*(c.split()[0] for c in SCHEMA.split(", ")))).groupBy("date", "bucket", *POINT)
-        rows = rows.agg(F.max(F.struct("seq", "value", "unit")).alias("x")).select(*POINT, "x.value", "x.unit", "x.seq", "date")
+        key = self._key_of(now, self.key)
+        rows = self._dealt(samples.select(*NAMES)).groupBy("date", "bucket", *key)
+        rows = _last(rows, key, "seq", "value", "unit").select(*NAMES, "date")
         token, dates = self._written(rows.sortWithinPartitions("date", *POINT), "rows")
         add = lambda m: [*m.batches, {"token": token, "gen": m.version + 1, "kind": "rows", "dates": dates}] if dates or writer is not None else None
-        return self.commit(lambda m: None if (x := add(m)) is None else [b for b in x if b["dates"]], writer, transaction)
+        return self.commit(lambda m: None if (x := add(m)) is None else [b for b in x if b["dates"]], writer, transaction, key=key)
 
     def delete(self, scrapes: DataFrame) -> bool:
         """Takes away all points of the scrapes (host_id, ts) that are stored by now."""
@@ -156,17 +176,15 @@ class Store:
         tombs = [p for p in tombs if p[2] in batches and min(batches[p[2]]) < p[1]]
         mixed = {d for d, gens in batches.items() if len(gens) > 1} | {d for *_, d in tombs}
         clean, merge = [p for p in rows if p[2] not in mixed], [p for p in rows if p[2] in mixed]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         parts = []
         if clean or not merge:
-            parts.append(picked(self._scan(clean, "rows", SCHEMA)).select(*names))
+            parts.append(picked(self._scan(clean, "rows", SCHEMA)).select(*NAMES))
         if merge:
             old = picked(self._scan(merge, "rows", SCHEMA))
             if tombs:
                 gone = picked(self._scan(tombs, "tombs", "host_id string, ts timestamp_ntz")).groupBy("host_id", "ts").agg(F.max("gen").alias("gone"))
                 old = old.join(gone, ["host_id", "ts"], "left").where(F.col("gone").isNull() | (F.col("gone") < F.col("gen")))
-            last = old.groupBy(*POINT).agg(F.max(F.struct("seq", "gen", "value", "unit")).alias("x"))
-            parts.append(last.select(*POINT, "x.value", "x.unit", "x.seq").select(*names))
+            parts.append(_last(old.groupBy(*m.key), tuple(m.key), "seq", "gen", "value", "unit").select(*NAMES))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _scan(self, pairs: list[tuple[str, int, str]], kind: str, schema: str) -> DataFrame:
@@ -222,6 +240,11 @@ class Store:
         return gone
 
 
+def _last(groups: GroupedData, key: tuple[str, ...], *columns: str) -> DataFrame:
+    """Of each group the row with the greatest of the columns that aren't in its key."""
+    return groups.agg(F.max(F.struct(*(c for c in columns if c not in key))).alias("x")).select("*", "x.*").drop("x")
+
+
 def _meets(day: str, start, end) -> bool:
     """Whether a day's rows can lie between the times."""
     if day == NO_DATE:
