@@ -24,6 +24,11 @@ def rounded(df, *columns, places=6):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def signed(df, *columns, places=6):
+    """Rounded, where what is below zero and rounds to it stays a negative zero, as in SQL."""
+    return df.withColumns({c: F.when((F.round(c, places) == 0) & (F.col(c) < 0), F.lit(-0.0)).otherwise(F.round(c, places)) for c in columns})
+
+
 @query(
     """WITH {S}, d AS (SELECT *, lag(value) OVER w AS prev FROM s WINDOW w AS (PARTITION BY host_id, metric ORDER BY ts, seq))
     SELECT host_id, metric, round(avg(value), 6) AS avg, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max, count(value) AS count,
@@ -113,7 +118,7 @@ def host_statistics_map(spark, sf_dir):
       round(last + k * n, 6) AS prediction, round(abs(c) * 100, 6) AS confidence FROM b"""
 )
 def trend(spark, sf_dir):
-    return rounded(A.trend(samples(spark, sf_dir)), "slope", "correlation", "prediction", "confidence")
+    return signed(A.trend(samples(spark, sf_dir)), "slope", "correlation", "prediction", "confidence")
 
 
 @query(
